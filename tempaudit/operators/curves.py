@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempaudit.operators.holds import as_col
-from tempaudit.operators.timeline import (Timeline, following, last_seen, next_seen, prev, run_sum, seconds)
+from tempaudit.operators.timeline import Timeline, following, last_seen, next_seen, prev, range_sums, seconds
 
 
 def with_step(tl: Timeline) -> Timeline:
@@ -109,28 +109,18 @@ def in_phase() -> Column:
 def rolling_uniformity(tl: Timeline, half_width_s=1800.0, value="value", min_points=3) -> DataFrame:
     """Mean of the population deviation over windows centred on each sample.
 
-    Windows are differences of running sums, so the cost does not depend on how many samples
-    a window holds: every sample sends two markers, one to each edge of its window, and each
-    marker reads the sums that hold there.  Values are centred on the run mean first.
+    Windows are differences of running sums (see ``range_sums``); values are centred on the run
+    mean first, so that little is lost to cancellation.
     """
     half = int(half_width_s * 1_000_000)
     centre = tl.per_run(F.avg(value).alias("_m"))
-    # marker 0 closes the part before the window, 1 is the sample itself, 2 closes the window
-    points = tl.rows().join(centre, tl.key).select(
-        *tl.key, "us", "seq", (F.col(value) - F.col("_m")).alias("_x"),
-        F.explode(F.array(*[F.struct((F.col("us") + F.lit(d * half)).alias("at"), F.lit(m).alias("mark"))
-                            for d, m in ((-1, 0), (0, 1), (1, 2))])).alias("_p"))
-    points = points.select(*tl.key, F.col("_p.at").alias("at"), F.col("_p.mark").alias("mark"), "us", "seq", "_x")
-    own = F.col("mark") == 1
-    line = tl.again(points, order=["at", "mark", "seq"]).scan(
-        _n=run_sum(F.when(own, 1).otherwise(0)), _s=run_sum(F.when(own & F.col("_x").isNotNull(), F.col("_x")).otherwise(0.0)),
-        _q=run_sum(F.when(own & F.col("_x").isNotNull(), F.col("_x") * F.col("_x")).otherwise(0.0)))
-    edge = lambda c: F.sum(F.when(F.col("mark") == 2, F.col(c)).when(F.col("mark") == 0, -F.col(c)).otherwise(0))
-    per_sample = line.rows().filter("mark <> 1").groupBy(*tl.key, "us", "seq").agg(
-        edge("_n").alias("_n"), edge("_s").alias("_s"), edge("_q").alias("_q"))
+    x = F.col(value) - F.col("_m")
+    centred = tl.again(tl.rows().join(centre, tl.key).select(*tl.key, "us", "seq", x.alias("_x")))
+    w = range_sums(centred, half, half, {"_n": F.lit(1), "_s": F.coalesce("_x", F.lit(0.0)),
+                                         "_q": F.coalesce(F.col("_x") * F.col("_x"), F.lit(0.0))})
     variance = F.greatest(F.col("_q") / F.col("_n") - F.pow(F.col("_s") / F.col("_n"), 2), F.lit(0.0))
     kept = F.when(F.col("_n") >= min_points, F.sqrt(variance))
-    return per_sample.groupBy(*tl.key).agg(F.avg(kept).alias("uniformity"), F.count(kept).alias("windows"))
+    return w.groupBy(*tl.key).agg(F.avg(kept).alias("uniformity"), F.count(kept).alias("windows"))
 
 
 def resample(tl: Timeline, step_s: int, value="value", force=False, fill_limit=2) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempaudit.operators.curves import in_phase, with_step
-from tempaudit.operators.holds import _true, as_col
-from tempaudit.operators.timeline import Timeline, following, position, prev, seconds
+from tempaudit.operators.holds import _true, as_col, latch
+from tempaudit.operators.timeline import Timeline, following, position, prev, run_sum, seconds
 
 DAY_US = 86_400_000_000
 
@@ -46,7 +46,7 @@ def daily_compliance(df: DataFrame, lo, hi, value="value", key=("run_id",)) -> D
     ok = _true(F.col(value).between(as_col(lo), as_col(hi))).cast("double")
     return df.withColumn("day", F.to_date(F.timestamp_micros("us"))).groupBy(*key, "day").agg(
         F.count(F.lit(1)).alias("samples"), F.sum(ok).cast("long").alias("samples_in_range"),
-        (F.round(F.avg(ok), 3) * 100).alias("compliance_pct"), F.min(value).alias("min_value"),
+        (F.bround(F.avg(ok), 3) * 100).alias("compliance_pct"), F.min(value).alias("min_value"),
         F.max(value).alias("max_value"), F.avg(value).alias("mean_value"), F.stddev_samp(value).alias("std_value"))
 
 
@@ -223,3 +223,29 @@ def critical_period(tl: Timeline, lo=16.0, hi=27.0, value="value", humidity="k",
         F.count(F.lit(1)).alias("critical_samples"), pct(F.col(value).between(lo, hi)).alias("critical_pct"),
         pct(F.col(humidity) >= 95.0).alias("critical_rh_pct"),
     ).withColumn("critical_ok", (F.col("critical_samples") > 1) & (F.col("critical_pct") >= 98.0))
+
+
+def hold_pressure(tl: Timeline, threshold, hysteresis, pressure="k", value="value") -> DataFrame:
+    """Lowest pressure in each latched hold, the sample that ends the hold included."""
+    latched = latch(tl, threshold, hysteresis, value).scan(_np=following(pressure), _ns=following("state"))
+    leaves = F.col("state") & ~F.coalesce("_ns", F.lit(True))
+    reading = F.when(leaves, F.least(F.col(pressure), F.col("_np"))).otherwise(F.col(pressure))
+    islands = latched.with_columns(_p=reading).islands("state").rows().filter("state")
+    return islands.groupBy(*tl.key, "island").agg(
+        F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.min("_p").alias("min_pressure"))
+
+
+def order_statistic(df: DataFrame, value, index, name: str, key=()) -> DataFrame:
+    """Element at a 0-based ``index`` (an expression over the group's size ``_n``) of the sorted values.
+
+    Equal values are counted first and the counts are summed along the values, so no group is
+    ever sorted as a list.
+    """
+    v = F.col(value) if isinstance(value, str) else value
+    keyed = df.withColumn("_all", F.lit(1)) if not key else df
+    key = list(key) or ["_all"]
+    counts = keyed.select(*key, v.alias("_v")).filter("_v is not null").groupBy(*key, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    totals = counts.groupBy(*key).agg(F.sum("_c").alias("_n"))
+    ranked = Timeline.open(counts, key, ["_v"]).scan(_upto=run_sum("_c")).rows().join(totals, key)
+    found = ranked.groupBy(*key).agg(F.min(F.when(F.col("_upto") > index, F.col("_v"))).alias(name))
+    return found.drop("_all")

@@ -264,6 +264,27 @@ def _merge(s: Scan, local: Column, carry: Column) -> Column:
     return F.greatest(local, carry)
 
 
+def range_sums(tl: Timeline, before_us: int, after_us: int, sums: dict[str, Column], open_start: bool = False) -> DataFrame:
+    """Sums over ``[us - before_us, us + after_us]`` around every row (start excluded if ``open_start``).
+
+    A sliding frame costs as much per row as it holds rows.  Here every row sends a marker to
+    each edge of its window and reads the running sums there, so the cost is two extra rows
+    per row whatever the density.  Rows are identified by ``(key, us, seq)``.
+    """
+    edge_mark = 2 if open_start else 0  # before or after the samples of that instant
+    spots = [(-before_us, edge_mark, -1), (0, 1, 0), (after_us, 3, 1)]
+    points = tl.rows().select(
+        *tl.key, F.col("us").alias("_us"), F.col("seq").alias("_seq"), *[c.alias(f"_v_{n}") for n, c in sums.items()],
+        F.explode(F.array(*[F.struct((F.col("us") + F.lit(d)).alias("at"), F.lit(m).alias("mark"), F.lit(g).alias("sign"))
+                            for d, m, g in spots])).alias("_p"))
+    points = points.select("*", "_p.at", "_p.mark", "_p.sign").drop("_p")
+    line = tl.again(points, order=["at", "mark", "_seq"]).scan(
+        **{f"_r_{n}": run_sum(F.when(F.col("mark") == 1, F.col(f"_v_{n}"))) for n in sums})
+    return line.rows().filter("sign <> 0").groupBy(*tl.key, "_us", "_seq").agg(
+        *[F.sum(F.col("sign") * F.coalesce(F.col(f"_r_{n}"), F.lit(0))).alias(n) for n in sums]
+    ).withColumnsRenamed({"_us": "us", "_seq": "seq"})
+
+
 def join_runs(*tables: DataFrame, key=("run_id",)) -> DataFrame:
     """Put one-row-per-run tables side by side."""
     return reduce(lambda a, b: a.join(b, list(key), "left"), tables)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("ordered",)
+FAMILIES = ("ordered", "measures", "columns", "verdicts")
 
 
 def load_all():
