@@ -123,31 +123,38 @@ def rolling_uniformity(tl: Timeline, half_width_s=1800.0, value="value", min_poi
     return w.groupBy(*tl.key).agg(F.avg(kept).alias("uniformity"), F.count(kept).alias("windows"))
 
 
+def grid(df: DataFrame, step_s: int, value="value", key=("run_id",)) -> DataFrame:
+    """Bucket means on a regular grid from each run's first bucket to its last, empty cells included.
+
+    Buckets start at midnight of the run's first day, which is the epoch grid where the step
+    divides a day.
+    """
+    step, day, key = step_s * 1_000_000, 86_400_000_000, list(key)
+    if 86_400 % step_s == 0:
+        buckets = df.withColumn("bucket_us", F.expr(f"us - pmod(us, {step}L)"))
+    else:
+        origin = df.groupBy(*key).agg(F.expr(f"min(us) - pmod(min(us), {day}L)").alias("_o"))
+        buckets = df.join(origin, key).withColumn("bucket_us", F.expr(f"us - pmod(us - _o, {step}L)")).drop("_o")
+    means = buckets.groupBy(*key, "bucket_us").agg(F.avg(value).alias("mean_value"))
+    span = means.groupBy(*key).agg(F.min("bucket_us").alias("_a"), F.max("bucket_us").alias("_z"))
+    # two levels, so that no row ever carries the grid of a long run as one array
+    block = step * 4096
+    blocks = span.select(*key, "_z", F.explode(F.expr(f"sequence(_a, _z, {block}L)")).alias("_b"))
+    cells = blocks.select(*key, F.explode(F.expr(f"sequence(_b, least(_z, _b + {block - step}L), {step}L)")).alias("bucket_us"))
+    return cells.join(means, [*key, "bucket_us"], "left")
+
+
 def resample(tl: Timeline, step_s: int, value="value", force=False, fill_limit=2) -> DataFrame:
     """Fixed-step series: bucket means, forward fill up to ``fill_limit`` buckets, then time interpolation.
 
     Runs whose median step is outside [1.15 step, 2 step] are left out unless ``force``.
     """
     step = step_s * 1_000_000
-    day = 86_400_000_000
     wanted = tl.rows()
     if not force:
         medians = with_step(tl).quantile("dt", 0.5, "_median")
         wanted = wanted.join(medians.filter(F.col("_median").between(1.15 * step_s, 2.0 * step_s)), tl.key, "left_semi")
-    if 86_400 % step_s == 0:
-        bucket = F.expr(f"us - pmod(us, {step}L)")
-        buckets = wanted.withColumn("bucket_us", bucket)
-    else:
-        origin = wanted.groupBy(*tl.key).agg(F.expr(f"min(us) - pmod(min(us), {day}L)").alias("_o"))
-        buckets = wanted.join(origin, tl.key).withColumn("bucket_us", F.expr(f"us - pmod(us - _o, {step}L)")).drop("_o")
-    means = buckets.groupBy(*tl.key, "bucket_us").agg(F.avg(value).alias("mean_value"))
-    span = means.groupBy(*tl.key).agg(F.min("bucket_us").alias("_a"), F.max("bucket_us").alias("_z"))
-    # two levels, so that no row ever carries the grid of a long run as one array
-    block = step * 4096
-    blocks = span.select(*tl.key, "_z", F.explode(F.expr(f"sequence(_a, _z, {block}L)")).alias("_b"))
-    grid = blocks.select(*tl.key, F.explode(F.expr(
-        f"sequence(_b, least(_z, _b + {block - step}L), {step}L)")).alias("bucket_us"))
-    cells = grid.join(means, [*tl.key, "bucket_us"], "left")
+    cells = grid(wanted, step_s, value, tl.key)
     line = tl.again(cells, order=["bucket_us"])
     known = F.struct(F.col("bucket_us").alias("at"), F.col("mean_value").alias("v"))
     seen = F.when(F.col("mean_value").isNotNull(), known)

@@ -249,3 +249,15 @@ def order_statistic(df: DataFrame, value, index, name: str, key=()) -> DataFrame
     ranked = Timeline.open(counts, key, ["_v"]).scan(_upto=run_sum("_c")).rows().join(totals, key)
     found = ranked.groupBy(*key).agg(F.min(F.when(F.col("_upto") > index, F.col("_v"))).alias(name))
     return found.drop("_all")
+
+
+def truth_by_counts(df: DataFrame, threshold, step_s: float, min_hold_min=400.0, value="value", pressure="k", key=("run_id",)) -> DataFrame:
+    """Sanity verdicts that only count samples and multiply by a fixed step."""
+    minutes = lambda cond: F.count_if(cond) * F.lit(step_s) / 60
+    v = F.col(value)
+    word = lambda ok: F.when(ok, "PASS").otherwise("FAIL")
+    hold = minutes(v >= as_col(threshold))
+    return df.groupBy(*key).agg(
+        hold.alias("hold_min"), word(hold >= min_hold_min).alias("powder"),
+        word(minutes((v >= 60) & (F.col(pressure) >= 20)) >= 150).alias("autoclave"),
+        word(F.count_if(v.between(2, 150)) / F.count(F.lit(1)) * 100 >= 95).alias("coldchain"))

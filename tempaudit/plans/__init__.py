@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("ordered", "measures", "columns", "verdicts")
+FAMILIES = ("ordered", "measures", "columns", "verdicts", "comparisons", "operations", "ingest")
 
 
 def load_all():
