@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempaudit.functions.scalars import join_reasons, touch_credits
+from tempaudit.operators.opslog import one_row
 
 UPLOAD, SUCCESS, DOWNLOAD, PURCHASE = "upload_csv", "compile_success", "download_pdf", "purchase"
 
@@ -65,7 +66,7 @@ def weekly_kpis(actions: DataFrame, spend: DataFrame, since_us: Column) -> DataF
         F.sum(F.when(F.col("action") == PURCHASE, F.col("revenue")).otherwise(0.0)).alias("revenue"))
     money = cost.join(seen.select("campaign").distinct(), "campaign", "left_semi").agg(F.sum("spend").alias("spend"))
     ratio = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
-    return acts.join(money).withColumns({
+    return one_row(acts, money).withColumns({
         "cpa": ratio("spend", "uploads"), "roas": ratio("revenue", "spend"), "upload_cvr": ratio("uploads", "visitors") * 100})
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempaudit.functions.scalars import join_reasons, tolerance_check
@@ -106,11 +106,12 @@ def confusion_4x4(spark: SparkSession, df: DataFrame) -> DataFrame:
     """All sixteen cells, zero ones too, each with the overall accuracy as a fraction."""
     counts = df.groupBy("expected", "actual").agg(F.count(F.lit(1)).alias("_n"))
     cells = spark.createDataFrame([(e, a) for e in CLASSES for a in CLASSES], "expected string, actual string")
-    total = counts.agg(F.sum("_n").alias("_total"), F.sum(F.when(F.col("expected") == F.col("actual"), F.col("_n")).otherwise(0)).alias("_hit"))
     filled = cells.join(counts, ["expected", "actual"], "left")
-    return filled.join(F.broadcast(total)).select(
+    every = Window.partitionBy(F.lit(1))  # sixteen rows
+    hit = F.sum(F.when(F.col("expected") == F.col("actual"), F.col("_n"))).over(every)
+    return filled.select(
         "expected", "actual", F.coalesce("_n", F.lit(0).cast("long")).alias("n"),
-        F.coalesce(F.col("_hit") / F.nullif("_total", F.lit(0)), F.lit(0.0)).alias("accuracy"))
+        F.coalesce(hit / F.nullif(F.sum("_n").over(every), F.lit(0)), F.lit(0.0)).alias("accuracy"))
 
 
 def timing_stats(df: DataFrame, by: str, value: str) -> DataFrame:

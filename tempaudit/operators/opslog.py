@@ -20,6 +20,14 @@ def parse_lines(lines: DataFrame, line="line", since: Column | None = None) -> D
     return out if since is None else out.filter(F.col("log_ts") >= since)
 
 
+def one_row(*figures: DataFrame) -> DataFrame:
+    """Several one-row tables side by side: stacked, then folded column by column."""
+    stacked = figures[0]
+    for other in figures[1:]:
+        stacked = stacked.unionByName(other, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def p95(df: DataFrame, value: str, name="p95") -> DataFrame:
     """Element floor(0.95 n) of the sorted values, exact."""
     return order_statistic(df, value, F.floor(F.col("_n") * 0.95), name)
@@ -28,7 +36,7 @@ def p95(df: DataFrame, value: str, name="p95") -> DataFrame:
 def compile_metrics(events: DataFrame, limit_s=5.0) -> DataFrame:
     timed = events.filter("compile_s is not null")
     base = timed.agg(F.coalesce(F.avg("compile_s"), F.lit(0.0)).alias("avg_s"), F.count(F.lit(1)).alias("compiles"))
-    joined = base.join(p95(timed, "compile_s", "p95_s"), how="left")
+    joined = one_row(base, p95(timed, "compile_s", "p95_s"))
     v = F.coalesce("p95_s", F.lit(0.0))
     return joined.select(F.round(v, 2).alias("p95_s"), F.round("avg_s", 2).alias("avg_s"), "compiles", (v > limit_s).alias("slow"))
 
@@ -54,7 +62,7 @@ def health_summary(events: DataFrame, now: Column, short="interval 5 minutes", l
     """Compile, request and verification figures of the trailing windows with one overall flag."""
     recent = events.filter(F.col("log_ts") >= now - F.expr(long))
     latest = events.filter(F.col("log_ts") >= now - F.expr(short))
-    joined = compile_metrics(recent).join(error_metrics(latest)).join(verify_metrics(recent))
+    joined = one_row(compile_metrics(recent), error_metrics(latest), verify_metrics(recent))
     return joined.withColumn("healthy", ~F.col("slow") & ~F.col("erring") & ~F.col("verify_failing"))
 
 

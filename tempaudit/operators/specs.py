@@ -109,7 +109,11 @@ def dispatch(samples: DataFrame, specs: DataFrame, engines: dict) -> DataFrame:
     parts = []
     for name, engine in engines.items():
         mine = routed.filter(F.col("industry") == name)
-        parts.append(engine(samples.join(mine.select("run_id"), "run_id", "left_semi"), mine))
+        if "industry" in samples.columns:  # stored by industry: each engine reads its own partition only
+            rows = samples.filter(F.col("industry") == name)
+        else:
+            rows = samples.join(mine.select("run_id"), "run_id", "left_semi")
+        parts.append(engine(rows, mine))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)

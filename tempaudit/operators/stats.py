@@ -14,6 +14,7 @@ from tempaudit.operators.holds import _true, as_col, latch
 from tempaudit.operators.timeline import Timeline, following, position, prev, run_sum, seconds
 
 DAY_US = 86_400_000_000
+F135_C, F70_C, F41_C = (135 - 32) * 5 / 9, (70 - 32) * 5 / 9, 5.0  # fixed values: cooling targets
 
 
 def pct(cond: Column) -> Column:
@@ -106,7 +107,7 @@ def window_ids(df: DataFrame, window_s: int, step_s: int, key=("run_id",)) -> Da
 def window_compliance(tl: Timeline, lo, hi, window_s=86_400, step_s=43_200, required=95.0, value="value") -> DataFrame:
     """Time-weighted in-range share of each overlapping window; a sample's value holds until the next."""
     assigned = window_ids(tl.rows(), window_s, step_s, tl.key)
-    line = tl.again(assigned, key=[*tl.key, "window_id"]).scan(_nu=following("us"))
+    line = tl.again(assigned, key=[*tl.key, "window_id"], growth=window_s // step_s + 1).scan(_nu=following("us"))
     step = F.coalesce(seconds(F.col("_nu"), F.col("us")), F.lit(0.0))
     inside = F.col(value).between(as_col(lo), as_col(hi))
     total, good = F.sum(step), F.sum(F.when(inside, step).otherwise(0.0))
@@ -261,3 +262,18 @@ def truth_by_counts(df: DataFrame, threshold, step_s: float, min_hold_min=400.0,
         hold.alias("hold_min"), word(hold >= min_hold_min).alias("powder"),
         word(minutes((v >= 60) & (F.col(pressure) >= 20)) >= 150).alias("autoclave"),
         word(F.count_if(v.between(2, 150)) / F.count(F.lit(1)) * 100 >= 95).alias("coldchain"))
+
+
+def truth_by_positions(tl: Timeline, targets=(F135_C, F70_C, F41_C), limits_h=(2.0, 4.0), step_s=30.0, lo=16.0, hi=27.0,
+                       window=2880, humidity="k", min_humidity=80.0, value="value") -> DataFrame:
+    """Sanity verdicts for cooling and curing by sample positions times a fixed step."""
+    line = tl.scan(_pos=position())
+    first = lambda t: F.min(F.when(F.col(value) <= t, F.col("_pos")))
+    ok = _true(F.col(value).between(lo, hi)) & _true(F.col(humidity) >= min_humidity)
+    lead = F.col("_pos") <= window
+    f = line.per_run(*[first(t).alias(f"_p{i}") for i, t in enumerate(targets)],
+                     (F.count_if(lead & ok) / F.count_if(lead) * 100).alias("leading_pct"))
+    hours = lambda a, b: (F.col(b) - F.col(a)) * F.lit(step_s) / 3600
+    fast = _true(hours("_p0", "_p1") <= limits_h[0]) & _true(hours("_p1", "_p2") <= limits_h[1])
+    return f.select(*tl.key, F.when(fast, "PASS").otherwise("FAIL").alias("cooling"), "leading_pct",
+                    F.when(F.col("leading_pct") >= 95, "PASS").otherwise("FAIL").alias("concrete"))

@@ -77,52 +77,64 @@ def _add(a: Column, b: Column) -> Column:
 class Timeline:
     """Rows of many runs with an order inside each run."""
 
-    def __init__(self, df: DataFrame, key=("run_id",), order=("us", "seq"), pieces: bool = False, fresh: bool = True):
+    def __init__(self, df: DataFrame, key=("run_id",), order=("us", "seq"), parts: int = 0, fresh: bool = True):
         self.df = df
         self.key = [key] if isinstance(key, str) else list(key)
         self.order = [order] if isinstance(order, str) else list(order)
-        self.pieces = pieces
+        self.parts = parts  # number of pieces all rows are cut into; 0 while whole runs fit a task
         self._fresh = fresh
 
+    @property
+    def pieces(self) -> bool:
+        return self.parts > 0
+
     # -- opening -----------------------------------------------------------------------------
 
     @classmethod
-    def open(cls, df: DataFrame, key=("run_id",), order=("us", "seq"), limit: int | None = None) -> "Timeline":
-        """Measure the runs and choose the plain or the piecewise form."""
+    def open(cls, df: DataFrame, key=("run_id",), order=("us", "seq"), limit: int | None = None,
+             measure: DataFrame | None = None) -> "Timeline":
+        """Measure the runs and choose the plain or the piecewise form.
+
+        ``measure`` is a cheaper table with the same keys and no fewer rows (the source ``df`` was
+        derived from); counting it spares a second evaluation of ``df``.
+        """
         key = [key] if isinstance(key, str) else list(key)
         order = [order] if isinstance(order, str) else list(order)
         limit = limit or rows_per_task(df.sparkSession)
         size = (
-            df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+            (df if measure is None else measure).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
             .agg(F.max("n").alias("longest"), F.sum("n").alias("total")).first()
         )
         longest, total = size["longest"] or 0, size["total"] or 0
         if longest <= limit:
             return cls(df, key, order)
-        return cls._cut(df, key, order, total, limit)
+        return cls._cut(df, key, order, max(2, -(-total // limit)))
 
     @classmethod
-    def _cut(cls, df, key, order, total, limit) -> "Timeline":
+    def _cut(cls, df, key, order, parts: int) -> "Timeline":
         ensure_checkpointing(df.sparkSession)
-        parts = max(2, -(-total // limit))
         pinned = (
             df.repartitionByRange(int(parts), *key, *order)
             .withColumn(PIECE, F.spark_partition_id())
             .checkpoint()
         )
-        return cls(pinned, key, order, pieces=True)
+        return cls(pinned, key, order, parts)
 
-    def again(self, df: DataFrame, key=None, order=None) -> "Timeline":
-        """A timeline over rows derived from this one (islands, grids); measured only if this one was cut."""
+    def again(self, df: DataFrame, key=None, order=None, growth: int = 1) -> "Timeline":
+        """A timeline over rows derived from this one (islands, grids), cut if this one was.
+
+        Its rows are at most about ``growth`` times as many, which sets the number of pieces
+        without another count.
+        """
         key = [key] if isinstance(key, str) else list(key or self.key)
         order = [order] if isinstance(order, str) else list(order or self.order)
         if not self.pieces:
             return Timeline(df, key, order)
-        return Timeline.open(df.drop(PIECE), key, order)
+        return Timeline._cut(df.drop(PIECE), key, order, self.parts * growth)
 
     def with_columns(self, **cols: Column) -> "Timeline":
         """Row-local columns."""
-        return Timeline(self.df.withColumns(cols), self.key, self.order, self.pieces, self._fresh)
+        return Timeline(self.df.withColumns(cols), self.key, self.order, self.parts, self._fresh)
 
     def rows(self) -> DataFrame:
         return self.df.drop(PIECE) if self.pieces else self.df
@@ -134,7 +146,7 @@ class Timeline:
             window = Window.partitionBy(*self.key).orderBy(*self.order)
             return Timeline(
                 self.df.withColumns({name: _over(s, window) for name, s in scans.items()}),
-                self.key, self.order, False, False,
+                self.key, self.order, 0, False,
             )
         return self._scan_pieces(scans)
 
@@ -152,7 +164,7 @@ class Timeline:
         done = joined.withColumns(
             {n: _merge(s, F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n, s in scans.items()}
         ).drop(*[f"_{p}_{n}" for n in scans for p in ("l", "c")])
-        return Timeline(done, self.key, self.order, True, False)
+        return Timeline(done, self.key, self.order, self.parts, False)
 
     # -- per-run results ---------------------------------------------------------------------
 
@@ -174,7 +186,7 @@ class Timeline:
             .groupBy(*self.key, "_v").agg(F.count(F.lit(1)).alias("_c"))
         )
         totals = counts.groupBy(*self.key).agg(F.sum("_c").alias("_n"))
-        ranked = Timeline.open(counts, self.key, ["_v"]).scan(_upto=run_sum("_c")).rows()
+        ranked = self.again(counts, order=["_v"]).scan(_upto=run_sum("_c")).rows()
         spot = (F.col("_n") - 1) * F.lit(p)
         lo = F.min(F.when(F.col("_upto") > F.floor(spot), F.col("_v")))
         hi = F.min(F.when(F.col("_upto") > F.ceil(spot), F.col("_v")))
@@ -195,10 +207,10 @@ class Timeline:
         )
 
     def dropping(self, *names: str) -> "Timeline":
-        return Timeline(self.df.drop(*names), self.key, self.order, self.pieces, self._fresh)
+        return Timeline(self.df.drop(*names), self.key, self.order, self.parts, self._fresh)
 
     def where(self, cond) -> "Timeline":
-        return Timeline(self.df.filter(cond), self.key, self.order, self.pieces, self._fresh)
+        return Timeline(self.df.filter(cond), self.key, self.order, self.parts, self._fresh)
 
 
 def _over(s: Scan, w) -> Column:
@@ -278,7 +290,7 @@ def range_sums(tl: Timeline, before_us: int, after_us: int, sums: dict[str, Colu
         F.explode(F.array(*[F.struct((F.col("us") + F.lit(d)).alias("at"), F.lit(m).alias("mark"), F.lit(g).alias("sign"))
                             for d, m, g in spots])).alias("_p"))
     points = points.select("*", "_p.at", "_p.mark", "_p.sign").drop("_p")
-    line = tl.again(points, order=["at", "mark", "_seq"]).scan(
+    line = tl.again(points, order=["at", "mark", "_seq"], growth=3).scan(
         **{f"_r_{n}": run_sum(F.when(F.col("mark") == 1, F.col(f"_v_{n}"))) for n in sums})
     return line.rows().filter("sign <> 0").groupBy(*tl.key, "_us", "_seq").agg(
         *[F.sum(F.col("sign") * F.coalesce(F.col(f"_r_{n}"), F.lit(0))).alias(n) for n in sums]

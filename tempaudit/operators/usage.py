@@ -24,10 +24,10 @@ def current_plan(users: DataFrame, subscriptions: DataFrame, plans: DataFrame, f
     newest = subscriptions.filter(F.col("active")).groupBy("user_id").agg(
         F.max_by("plan", F.struct("created_us", "subscription_id")).alias("_plan"))
     named = users.join(newest, "user_id", "left").withColumn("plan", F.coalesce("_plan", F.lit(free))).drop("_plan")
-    p = F.broadcast(plans.select("plan", "quota"))
-    fallback = F.broadcast(plans.filter(F.col("plan") == free).select(F.col("quota").alias("_free")).limit(1))
-    joined = named.join(p, "plan", "left").join(fallback, how="left")
-    return joined.withColumn("quota", F.coalesce("quota", "_free", F.lit(DEFAULT_QUOTA))).drop("_free")
+    # the plan table is a dimension of a few rows
+    base = plans.filter(F.col("plan") == free).select("quota").first()
+    joined = named.join(F.broadcast(plans.select("plan", "quota")), "plan", "left")
+    return joined.withColumn("quota", F.coalesce("quota", F.lit(base["quota"] if base else DEFAULT_QUOTA)))
 
 
 def monthly_usage(jobs: DataFrame) -> DataFrame:
@@ -199,20 +199,20 @@ def signup_rules(signups: DataFrame, max_per_ip=2, max_per_device=3, days=30, ra
     Columns ``ip, fingerprint, email, us, seq``.  A shared address may carry any number of
     sign-ups: recent counts are range sums, the e-mail rule is one lookup per (ip, stem).
     """
+    prefix = F.substring_index("email", "@", 1)
+    stem = F.when(prefix.rlike(r"\d$"), F.regexp_replace(prefix, ".$", ""))
+    signups = signups.withColumns({"_stem": stem, "_domain": F.lower(F.substring_index("email", "@", -1))})
     by_ip = Timeline.open(signups, key=["ip"])
     recent = range_sums(by_ip, days * DAY_US, 0, {"_upto": F.lit(1)}, open_start=True)
     # sign-ups of the same instant that come later in order are not "before"
     seen = by_ip.scan(_last=prev("us")).rows()
-    same = Timeline.open(signups, key=["ip", "us"], order=["seq"]).scan(_nth=position())
+    same = by_ip.again(signups, key=["ip", "us"], order=["seq"]).scan(_nth=position())
     later = same.rows().join(same.per_run(F.count(F.lit(1)).alias("_same")), ["ip", "us"]).select(
         "ip", "us", "seq", (F.col("_same") - F.col("_nth")).alias("_later"))
     base = seen.join(recent, ["ip", "us", "seq"]).join(later, ["ip", "us", "seq"])
     base = base.withColumn("recent_ip", F.col("_upto") - 1 - F.col("_later")).drop("_upto", "_later")
-    device = Timeline.open(base, key=["fingerprint"]).scan(_dev=position()).rows()
-    prefix, domain = F.substring_index("email", "@", 1), F.lower(F.substring_index("email", "@", -1))
-    stem = F.when(prefix.rlike(r"\d$"), F.expr("left(substring_index(email, '@', 1), length(substring_index(email, '@', 1)) - 1)"))
-    stems = device.withColumns({"_stem": stem, "_domain": domain})
-    chain = Timeline.open(stems, key=["ip", "_stem"]).scan(_twin=prev("seq")).rows()
+    device = Timeline.open(base, key=["fingerprint"], measure=signups).scan(_dev=position()).rows()
+    chain = by_ip.again(device, key=["ip", "_stem"]).scan(_twin=prev("seq")).rows()
     sequential = F.col("_stem").isNotNull() & F.col("_twin").isNotNull()
     rapid = (F.col("recent_ip") > 0) & ((F.col("us") - F.col("_last")) < rapid_s * 1_000_000)
     rule = (

@@ -240,6 +240,16 @@ def g45(spark, sf):
     return t
 
 
+@query("g45_truth_by_positions", f"""WITH {S}, n AS (SELECT *, row_number() OVER {WIN} AS pos FROM s),
+a AS (SELECT run_id, min(pos) FILTER (WHERE value <= 60) AS p0, min(pos) FILTER (WHERE value <= 20) AS p1, min(pos) FILTER (WHERE value <= 5) AS p2,
+  count(*) FILTER (WHERE pos <= 40 AND value BETWEEN 2 AND 250 AND k >= 4) / count(*) FILTER (WHERE pos <= 40) * 100 AS lp FROM n GROUP BY run_id)
+SELECT run_id, CASE WHEN coalesce((p1 - p0) * 36000 / 3600.0 <= 40, false) AND coalesce((p2 - p1) * 36000 / 3600.0 <= 80, false) THEN 'PASS' ELSE 'FAIL' END AS cooling,
+  round(lp, 6) AS leading_pct, CASE WHEN lp >= 95 THEN 'PASS' ELSE 'FAIL' END AS concrete FROM a""")
+def g45p(spark, sf):
+    t = stats.truth_by_positions(timeline(spark, sf, "k"), (60.0, 20.0, 5.0), (40.0, 80.0), 36_000.0, 2.0, 250.0, 40, min_humidity=4.0)
+    return t.withColumn("leading_pct", F.round("leading_pct", 6))
+
+
 @query("s01_sorted_samples", f"WITH {S} SELECT run_id, seq, row_number() OVER {WIN} AS pos FROM s")
 def s01(spark, sf):
     return holds.numbered(timeline(spark, sf)).rows().select("run_id", "seq", "pos")

@@ -21,12 +21,12 @@ def g01(spark, sf):
 
 
 @query("g02_sampling_stats", f"""WITH {S}, d AS (SELECT *, (us - lag(us) OVER {WIN}) / 1e6 AS dt FROM s)
-SELECT run_id, count(*) AS samples, round(avg(dt), 5) AS mean_step_s, round(quantile_cont(dt, 0.5), 5) AS median_step_s,
+SELECT run_id, count(*) AS samples, round(avg(dt), 5) AS mean_step_s, round(quantile_cont(dt, 0.5), 7) AS median_step_s,
   round(min(dt), 6) AS min_step_s, round(max(dt), 6) AS max_step_s, count(*) FILTER (WHERE dt = 0) AS duplicates,
   count(*) FILTER (WHERE value IS NULL) AS missing, round((max(us) - min(us)) / 1e6, 6) AS duration_s FROM d GROUP BY run_id""")
 def g02(spark, sf):
     return stats.sampling_stats(timeline(spark, sf)).select(
-        "run_id", "samples", r("mean_step_s", 5), r("median_step_s", 5), r("min_step_s"), r("max_step_s"), "duplicates",
+        "run_id", "samples", r("mean_step_s", 5), r("median_step_s", 7), r("min_step_s"), r("max_step_s"), "duplicates",
         "missing", r("duration_s"))
 
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 def write_samples(df: DataFrame, path: str, by="industry", fmt="parquet", files_per_value: int = 1, mode="errorifexists") -> None:
     """Normalised samples, partitioned by industry.
 
-    A large industry is spread over ``files_per_value`` tasks by a hash of the run.
+    A large industry, or one large run, is spread over ``files_per_value`` tasks by a hash of its rows.
     """
-    spread = F.pmod(F.xxhash64("run_id"), F.lit(files_per_value))
+    spread = F.pmod(F.xxhash64("run_id", "seq"), F.lit(files_per_value))
     placed = df.repartition(F.col(by), spread)
     placed.write.mode(mode).partitionBy(by).option("header", True).format(fmt).save(path)
 
