@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tempaudit.functions.scalars import join_reasons, tolerance_check
 from tempaudit.operators.stats import order_statistic
+from tempaudit.session import small_table
 
 CLASSES = ("PASS", "FAIL", "ERROR", "INDETERMINATE")
 
@@ -22,7 +23,7 @@ TOLERANCES = (
 
 
 def tolerance_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(TOLERANCES), "industry string, metric string, tolerance double")
+    return small_table(spark, list(TOLERANCES), "industry string, metric string, tolerance double")
 
 
 def unpivot_metrics(df: DataFrame, metrics: list[str], keep=("run_id", "industry"), name="engine") -> DataFrame:
@@ -105,7 +106,7 @@ def confusion_2x2(df: DataFrame, by: str) -> DataFrame:
 def confusion_4x4(spark: SparkSession, df: DataFrame) -> DataFrame:
     """All sixteen cells, zero ones too, each with the overall accuracy as a fraction."""
     counts = df.groupBy("expected", "actual").agg(F.count(F.lit(1)).alias("_n"))
-    cells = spark.createDataFrame([(e, a) for e in CLASSES for a in CLASSES], "expected string, actual string")
+    cells = small_table(spark, [(e, a) for e in CLASSES for a in CLASSES], "expected string, actual string")
     filled = cells.join(counts, ["expected", "actual"], "left")
     every = Window.partitionBy(F.lit(1))  # sixteen rows
     hit = F.sum(F.when(F.col("expected") == F.col("actual"), F.col("_n"))).over(every)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempaudit.functions.scalars import compile_seconds, log_record, log_time, request_fields, verify_event
+from tempaudit.functions.scalars import compile_seconds, log_record, log_time, once, request_fields, verify_event
 from tempaudit.operators.stats import order_statistic
 
 
 def parse_lines(lines: DataFrame, line="line", since: Column | None = None) -> DataFrame:
     """Log lines to typed events; lines before ``since`` or without a time are left out when it is given."""
-    rec = lines.withColumn("_r", log_record(F.col(line)))
+    rec = lines.select("*", once(log_record(F.col(line))).alias("_r"))
     text, r = F.col(line), F.col("_r")
     req = request_fields(text, r)
     out = rec.withColumns({

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tempaudit.functions import clock, names, scalars, units
 from tempaudit.plans.common import S, THR, expr, query, r, samples, table
+from tempaudit.session import small_table
 
 # header spellings dealt out over the events, with the meaning each must get
 HEADERS = [
@@ -166,12 +167,12 @@ def c02(spark, sf):
   WHEN 2 THEN 60 + k ELSE k END AS p FROM s),
 u AS (SELECT run_id, CASE WHEN max(p) BETWEEN 0.8 AND 3.0 AND min(p) >= 0.5 THEN 'bar' WHEN max(p) BETWEEN 10 AND 50 AND min(p) >= 5
   THEN 'psi' WHEN max(p) BETWEEN 80 AND 300 AND min(p) >= 50 THEN 'kPa' ELSE 'unknown' END AS unit FROM p GROUP BY run_id)
-SELECT run_id, unit AS pressure_unit, round(avg(p * CASE unit WHEN 'bar' THEN 100.0 WHEN 'psi' THEN 6.895 ELSE 1 END), 4) AS mean_kpa
+SELECT run_id, unit AS pressure_unit, round(avg(p * CASE unit WHEN 'bar' THEN 100.0 WHEN 'psi' THEN 6.895 ELSE 1 END), 8) AS mean_kpa
 FROM p JOIN u USING (run_id) GROUP BY run_id, unit""")
 def c03(spark, sf):
     p = F.expr("CASE run_id % 4 WHEN 0 THEN 0.8 + k / 50 WHEN 1 THEN 10 + k / 4 WHEN 2 THEN 60 + k ELSE k END").cast("double")
     df = units.with_pressure_kpa(samples(spark, sf).withColumn("p", p), "p")
-    return df.groupBy("run_id", "pressure_unit").agg(F.round(F.avg("pressure_kpa"), 4).alias("mean_kpa"))
+    return df.groupBy("run_id", "pressure_unit").agg(F.round(F.avg("pressure_kpa"), 8).alias("mean_kpa"))
 
 
 SQL_FAHR = "sensor IN ('click', 'view')"
@@ -213,7 +214,7 @@ def c05(spark, sf):
 @query("u01_zone_resolver", f"""WITH {S} SELECT seq, us + CASE run_id % 3 WHEN 0 THEN 18000000000 WHEN 1 THEN -3600000000 ELSE 0 END AS utc_us FROM s""")
 def u01(spark, sf):
     # fixed zones without a daylight rule, so that the SQL side needs no zone data
-    zones = spark.createDataFrame([("plant-a", "-05:00"), ("plant-b", "+01:00")], "alias string, zone string")
+    zones = small_table(spark, [("plant-a", "-05:00"), ("plant-b", "+01:00")], "alias string, zone string")
     zone = F.when(F.col("run_id") % 3 == 0, "Plant-A").when(F.col("run_id") % 3 == 1, "plant-b").otherwise("plant-x")
     df = clock.resolve_zone(samples(spark, sf).withColumn("zone", zone), F.broadcast(zones))
     return df.select("seq", F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("us"), F.col("zone"))).alias("utc_us"))
@@ -222,7 +223,7 @@ def u01(spark, sf):
 @query("u02_unit_resolver", f"""WITH {S} SELECT sensor, sensor IN ('error', 'view') AS converted,
   round(avg(CASE WHEN sensor IN ('error', 'view') THEN (value - 32) * 5 / 9 ELSE value END), 8) AS mean_value FROM s GROUP BY ALL""")
 def u02(spark, sf):
-    table_ = spark.createDataFrame([("error", "F"), ("view", "fahrenheit"), ("click", "C")], "sensor string, unit string")
+    table_ = small_table(spark, [("error", "F"), ("view", "fahrenheit"), ("click", "C")], "sensor string, unit string")
     df = units.celsius_samples(samples(spark, sf), units=F.broadcast(table_))
     return df.groupBy("sensor", "converted").agg(F.round(F.avg("value"), 8).alias("mean_value"))
 
@@ -285,7 +286,7 @@ def log_lines(spark, sf):
             '{"time": "%s", "msg": "request", "method": "GET", "path": "/api/%s", "status": %d}', t, "sensor", status))
         .when(F.col("seq") % 4 == 2, F.format_string('%s "POST /api/%s" %d %d', t, "sensor", status, ms))
         .otherwise(F.format_string("%s bundle verify %s took %d ms", t, F.when(F.col("sensor") == "error", "failed").otherwise("ok"), ms)))
-    return e.select("seq", "us", "sensor", line.alias("line"))
+    return e.select("seq", "us", "sensor", scalars.once(line).alias("line"))
 
 
 SQL_LOG = f"""{S}, lg AS (SELECT seq, us // 1000000 * 1000000 AS us, seq % 4 AS f, sensor, round(value * 100)::BIGINT AS ms,
@@ -297,7 +298,7 @@ SELECT seq, us AS time_us, CASE WHEN f = 0 OR f = 3 THEN ms / 1000.0 END AS comp
   coalesce(CASE f WHEN 1 THEN 'GET' WHEN 2 THEN 'POST' END, '') AS method, CASE WHEN f IN (1, 2) THEN '/api/' || sensor ELSE '' END AS path,
   (CASE WHEN f IN (1, 2) THEN st ELSE -1 END)::BIGINT AS status, (CASE WHEN f = 3 THEN CASE WHEN sensor = 'error' THEN 1 ELSE 0 END ELSE -1 END)::BIGINT AS verify_error FROM lg""")
 def c16(spark, sf):
-    df = log_lines(spark, sf).withColumn("rec", scalars.log_record(F.col("line")))
+    df = log_lines(spark, sf).select("*", scalars.once(scalars.log_record(F.col("line"))).alias("rec"))
     line, rec = F.col("line"), F.col("rec")
     req = scalars.request_fields(line, rec)
     return df.select(

@@ -28,7 +28,7 @@ def log_files(spark, sf):
         F.col("value").cast("decimal(12,2)").cast("string"))
     number = F.when(F.col("seq") % 101 == 0, "").when(F.col("seq") % 103 == 0, "n/a").otherwise(number)
     rows = s.select(F.col("run_id").cast("string").alias("file"), place(F.col("seq")).alias("place"),
-                    F.concat(iso, d, number, d, F.col("k").cast("int").cast("string")).alias("line"))
+                    scalars.once(F.concat(iso, d, number, d, F.col("k").cast("int").cast("string"))).alias("line"))
     runs = s.select("run_id").distinct()
     head = F.array(F.concat(F.lit("# job: J"), "run_id"), F.concat(F.lit("# operator: op"), F.col("run_id") % 3), F.lit(""),
                    F.concat(F.lit("timestamp"), d, F.lit("temp_C"), d, F.lit("pressure_psi")))

@@ -9,6 +9,7 @@ from tempaudit.operators import bundles, campaigns, opslog, usage
 from tempaudit.operators.timeline import Timeline
 from tempaudit.plans.columns import SQL_LOG, log_lines
 from tempaudit.plans.common import S, WIN, expr, query, r, samples, table
+from tempaudit.session import small_table
 
 DAY = 86_400_000_000
 
@@ -198,7 +199,7 @@ PLAN_OF = "['starter','pro','business','enterprise','gold'][{0} % 5 + 1]"
 
 
 def plans(spark):
-    return spark.createDataFrame(PLANS, "plan string, quota long, price double, overage_price double")
+    return small_table(spark, PLANS, "plan string, quota long, price double, overage_price double")
 
 
 def users(spark, sf):

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 ROWS_PER_TASK = "tempaudit.rowsPerTask"
 DEFAULT_ROWS_PER_TASK = 5_000_000
@@ -56,6 +57,14 @@ def ensure_checkpointing(spark: SparkSession) -> None:
             spark.sparkContext.setCheckpointDir(folder)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A literal table (a rule set, a dimension of a few rows) as a local relation of known size."""
+    kinds = {"string": pa.string(), "double": pa.float64(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    fields = [f.split() for f in ddl.split(", ")]
+    columns = zip(*rows)
+    return spark.createDataFrame(pa.table({name: pa.array(col, kinds[kind]) for (name, kind), col in zip(fields, columns)}))
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder for a written table."""
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempaudit.functions import clock, names
+from tempaudit.functions.scalars import once
 
 DELIMITERS = (";", ",", "\t", "|")  # in order of preference on equal score
 CRITICAL = ("no_header", "no_rows")
@@ -65,17 +66,41 @@ def data_lines(lines: DataFrame) -> DataFrame:
     return lines.filter(~F.startswith("line", F.lit("#")) & (F.trim("line") != ""))
 
 
-def delimiters(data: DataFrame, leading=10) -> DataFrame:
-    """Delimiter per file from its leading data lines: occurrences, halved unless equal on every line."""
+def leading_lines(data: DataFrame, leading=10) -> DataFrame:
+    """First data lines of each file; the rank limit is applied before the shuffle."""
     w = Window.partitionBy("file").orderBy("place")
-    head = data.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= leading)
+    return data.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= leading)
+
+
+def layouts(data: DataFrame) -> DataFrame:
+    """One row per file with data: delimiter, header names, index of the time column, place of the header.
+
+    The delimiter is judged on the leading lines: occurrences, halved unless equal on every line.
+    The time column is the first one with a time name, else one containing such a name, else the first.
+    """
+    head = leading_lines(data)
     counts = F.array(*[F.struct(F.lit(-i).alias("rank"), F.lit(d).alias("d"), F.expr(
         f"length(line) - length(replace(line, '{d}', ''))").alias("n")) for i, d in enumerate(DELIMITERS)])
     per = head.select("file", F.explode(counts).alias("c")).filter("c.n > 0").groupBy("file", "c.d", "c.rank").agg(
         F.sum("c.n").alias("total"), F.count_distinct("c.n").alias("kinds"))
     score = F.col("total") * F.when(F.col("kinds") == 1, 1.0).otherwise(0.5)
     best = per.groupBy("file").agg(F.max_by("d", F.struct(score, "rank")).alias("_d"))
-    return data.select("file").distinct().join(best, "file", "left").select("file", F.coalesce("_d", F.lit(",")).alias("delimiter"))
+    header = head.filter("_rn = 1").select("file", F.col("place").alias("header_place"), F.col("line").alias("_header"))
+    found = header.join(best, "file", "left").withColumn("delimiter", F.coalesce("_d", F.lit(",")))
+    named = found.withColumn("names", F.transform(F.split("_header", _literal("delimiter")), lambda x: F.trim(x)))
+    indexed = F.transform("names", lambda n, i: F.struct(F.lower(n).alias("name"), i.alias("i")))
+    exact = F.filter(indexed, lambda x: x["name"].isin(*names.TIME_NAMES))
+    loose = F.filter(indexed, lambda x: x["name"].rlike("|".join(names.TIME_NAMES)))
+    at = F.coalesce(F.get(exact, F.lit(0))["i"], F.get(loose, F.lit(0))["i"], F.lit(0))
+    return named.select("file", "delimiter", "names", at.alias("time_at"), "header_place")
+
+
+def _literal(delimiter: str) -> Column:
+    return F.concat(F.lit("\\Q"), F.col(delimiter), F.lit("\\E"))
+
+
+def delimiters(data: DataFrame) -> DataFrame:
+    return layouts(data).select("file", "delimiter")
 
 
 def normalize_decimals(line: Column) -> Column:
@@ -98,26 +123,18 @@ def normalize_decimals(line: Column) -> Column:
 def readings(lines: DataFrame) -> DataFrame:
     """Long-form readings of all files: ``file, place, ts_text, name, text, value``.
 
-    Delimiter and header are one row per file and meet the lines by an equi join; a file that
-    holds a large share of all lines is split there by the adaptive skew join.
+    The layout is one row per file and meets the lines by an equi join; a file that holds a
+    large share of all lines is split there by the adaptive skew join.
     """
     data = data_lines(lines)
-    found = delimiters(data)
-    header = data.groupBy("file").agg(F.min_by("line", "place").alias("_header"), F.min("place").alias("_first"))
-    body = data.join(found.join(header, "file"), "file").filter(F.col("place") > F.col("_first"))
-    mark = F.concat(F.lit("\\Q"), F.col("delimiter"), F.lit("\\E"))
+    body = data.join(layouts(data), "file").filter(F.col("place") > F.col("header_place"))
     text = F.when(F.col("delimiter") != ",", normalize_decimals(F.col("line"))).otherwise(F.col("line"))
-    cells = body.select("file", "place", F.split(F.col("_header"), mark).alias("_names"), F.split(text, mark).alias("_cells"))
-    named = F.transform("_names", lambda n, i: F.struct(F.trim(n).alias("name"), i.alias("i")))
-    # the first column whose name is a time name, else one containing one, else the first
-    low = lambda x: F.lower(x["name"])
-    exact = F.filter(named, lambda x: low(x).isin(*names.TIME_NAMES))
-    loose = F.filter(named, lambda x: low(x).rlike("|".join(names.TIME_NAMES)))
-    at = F.when(F.size(exact) > 0, exact[0]["i"]).when(F.size(loose) > 0, loose[0]["i"]).otherwise(0)
-    placed = cells.withColumn("_t", at)
-    long = placed.select("file", "place", F.get("_cells", F.col("_t")).alias("ts_text"), "_t", F.posexplode("_cells").alias("_i", "text"), "_names")
-    return long.filter(F.col("_i") != F.col("_t")).select(
-        "file", "place", F.trim("ts_text").alias("ts_text"), F.trim(F.get("_names", F.col("_i"))).alias("name"), F.trim("text").alias("text"),
+    cells = body.select("file", "place", "names", "time_at", once(F.split(text, _literal("delimiter"))).alias("cells"))
+    # the outer form keeps the optimizer from testing the cells a second time; no line is without cells
+    long = cells.select("file", "place", F.trim(F.get("cells", F.col("time_at"))).alias("ts_text"), "names", "time_at",
+                        F.posexplode_outer("cells").alias("i", "text"))
+    return long.filter(F.col("i") != F.col("time_at")).select(
+        "file", "place", "ts_text", F.get("names", F.col("i")).alias("name"), F.trim("text").alias("text"),
         F.trim("text").try_cast("double").alias("value"))
 
 
@@ -131,7 +148,7 @@ def samples_of(long: DataFrame, zone="UTC") -> DataFrame:
 def parse_status(lines: DataFrame, safe_mode=True) -> DataFrame:
     """Warnings per file and what they mean: critical ones are errors, others INDETERMINATE in safe mode."""
     data = data_lines(lines)
-    header = data.groupBy("file").agg(F.min_by("line", "place").alias("_h"), F.count(F.lit(1)).alias("data_lines"))
+    header = data.groupBy("file").agg(F.count(F.lit(1)).alias("data_lines"))
     long = readings(lines)
     bad = long.groupBy("file").agg(
         F.count_if(F.col("text").isNotNull() & (F.col("text") != "") & F.col("value").isNull()).alias("bad_cells"),
