@@ -46,8 +46,8 @@ def _text(cond: Column, fmt: str, *args) -> Column:
 # -- holds -----------------------------------------------------------------------------------------
 
 
-def hold_features(tl: Timeline, value="value", form="latch") -> DataFrame:
-    """Everything a hold verdict needs, in one ordered pass.
+def hold_features(tl: Timeline, value="value", form="latch", carry=()) -> DataFrame:
+    """Everything a hold verdict needs, in one ordered pass.  ``carry`` are per-run columns to keep.
 
     Rows carry ``threshold``, ``hysteresis``, ``continuous``, ``max_dips_s``.  A continuous run is
     split into holds by the latch (or by the band, ``form='band'``), a cumulative one by the plain
@@ -66,7 +66,7 @@ def hold_features(tl: Timeline, value="value", form="latch") -> DataFrame:
         line, "state", F.max("_ramp").alias("_ramp"), F.min(value).alias("_min"), F.max(value).alias("_max"),
         F.min(F.when(v >= thr, F.col("us"))).alias("_first"), F.max("max_dips_s").alias("_budget"),
         F.sum(F.when(v >= thr, F.col("_dt")).otherwise(0.0)).alias("_above_dt"), F.sum("_dt").alias("_all_dt"),
-        F.first("continuous").alias("_continuous"))
+        F.first("continuous").alias("_continuous"), *[F.max(c).alias(c) for c in carry])
     dip = F.when(~F.col("state"), F.col("duration_s")).otherwise(0.0)
     used = tl.again(islands, order=["island"]).scan(_used=run_sum(dip))
     used = used.with_columns(_over=(F.col("_used") > F.col("_budget")).cast("int")).scan(_stop=run_max("_over"))
@@ -79,7 +79,8 @@ def hold_features(tl: Timeline, value="value", form="latch") -> DataFrame:
         F.sum("samples").alias("samples"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"),
         F.min("_min").alias("min_temp"), F.max("_max").alias("max_temp"), F.max("_ramp").alias("max_ramp"),
         seconds(F.min("_first"), F.min("start_us")).alias("time_to_threshold_s"),
-        F.when(F.bool_or("_continuous"), best).otherwise(budgeted if form == "latch" else stepped).alias("hold_s"))
+        F.when(F.bool_or("_continuous"), best).otherwise(budgeted if form == "latch" else stepped).alias("hold_s"),
+        *[F.max(c).alias(c) for c in carry])
 
 
 def hold_verdict(samples: DataFrame, form="latch", sample_period_s=30.0, too_few="INDETERMINATE", value="value",
@@ -89,12 +90,10 @@ def hold_verdict(samples: DataFrame, form="latch", sample_period_s=30.0, too_few
     Needs ``target_temp``, ``uncertainty``, ``hold_time_s``, ``hysteresis``, ``continuous``,
     ``max_dips_s``, ``max_ramp`` and ``max_time_to_threshold_s`` (the last two may be null).
     """
-    lean = samples.withColumn("threshold", F.col("target_temp") + F.col("uncertainty"))
-    spec = ["threshold", "hold_time_s", "max_ramp", "max_time_to_threshold_s"]
-    line = lean.select(*key, "us", "seq", value, "threshold", "hysteresis", "continuous", "max_dips_s")
-    found = hold_features(Timeline.open(line, key), value, form)
-    limits = lean.groupBy(*key).agg(*[F.max(c).alias(c if c != "max_ramp" else "ramp_limit") for c in spec])
-    f = found.join(limits, list(key))
+    limits = ["hold_time_s", "ramp_limit", "max_time_to_threshold_s"]
+    line = samples.withColumns({"threshold": F.col("target_temp") + F.col("uncertainty"), "ramp_limit": F.col("max_ramp")}).select(
+        *key, "us", "seq", value, "threshold", "hysteresis", "continuous", "max_dips_s", *limits)
+    f = hold_features(Timeline.open(line, key), value, form, ["threshold", *limits])
     n, need = F.col("samples"), F.greatest(F.lit(5), F.floor(F.col("hold_time_s") / sample_period_s) + 2)
     short, never = n < need, F.col("max_temp") < F.col("threshold")
     fast = _true(F.col("max_ramp") > F.col("ramp_limit"))
