@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tempaudit.operators.timeline import keyed_join
+
 PSI_TO_KPA = 6.895
 BAR_TO_KPA = 100.0
 
@@ -45,7 +47,7 @@ def to_kpa(p: Column, unit: Column) -> Column:
 def with_pressure_kpa(df: DataFrame, pressure="k", key=("run_id",)) -> DataFrame:
     """Pressure in kPa by the unit inferred for each run."""
     unit = df.groupBy(*key).agg(pressure_unit(F.min(pressure), F.max(pressure)).alias("pressure_unit"))
-    return df.join(unit, list(key)).withColumn("pressure_kpa", to_kpa(F.col(pressure), F.col("pressure_unit")))
+    return keyed_join(df, unit, key, ["us", "seq"]).withColumn("pressure_kpa", to_kpa(F.col(pressure), F.col("pressure_unit")))
 
 
 def named_fahrenheit(name: Column) -> Column:
@@ -70,7 +72,7 @@ def celsius_samples(df: DataFrame, value="value", sensor="sensor", key=("run_id"
     if heuristic:
         shape = df.groupBy(*key, sensor).agg(
             looks_fahrenheit(F.count(value), F.avg(value), F.min(value), F.max(value)).alias("_hot"))
-        df, named = df.join(shape, [*key, sensor]), named | F.col("_hot")
+        df, named = keyed_join(df, shape, [*key, sensor], ["us", "seq"]), named | F.col("_hot")
     if units is not None:
         df = df.join(units.select(F.col("sensor").alias(sensor), F.col("unit").alias("_unit")), sensor, "left")
         named = F.when(F.col("_unit").isNotNull(), F.lower("_unit").isin("f", "°f", "fahrenheit")).otherwise(named)

@@ -94,7 +94,7 @@ def gas_phases(tl: Timeline, lo=50.0, hi=60.0, value="value", gas="k") -> DataFr
     starts = tl.per_run(
         F.min(F.when(in_range, F.col("us"))).alias("phase_start_us"), F.min("us").alias("run_start_us"),
         F.max("us").alias("run_end_us"))
-    drop = tl.rows().join(median, tl.key).filter(F.col(gas) < F.col("gas_median") * 0.1)
+    drop = tl.join_run(median).rows().filter(F.col(gas) < F.col("gas_median") * 0.1)
     drops = drop.groupBy(*tl.key).agg(F.min("us").alias("first_drop_us"))
     found = starts.join(median, tl.key).join(drops, tl.key, "left")
     end = F.when(F.col("first_drop_us") > F.col("phase_start_us"), F.col("first_drop_us")).otherwise(F.col("run_end_us"))
@@ -115,7 +115,7 @@ def rolling_uniformity(tl: Timeline, half_width_s=1800.0, value="value", min_poi
     half = int(half_width_s * 1_000_000)
     centre = tl.per_run(F.avg(value).alias("_m"))
     x = F.col(value) - F.col("_m")
-    centred = tl.again(tl.rows().join(centre, tl.key).select(*tl.key, "us", "seq", x.alias("_x")))
+    centred = tl.join_run(centre).with_columns(_x=x)
     w = range_sums(centred, half, half, {"_n": F.lit(1), "_s": F.coalesce("_x", F.lit(0.0)),
                                          "_q": F.coalesce(F.col("_x") * F.col("_x"), F.lit(0.0))})
     variance = F.greatest(F.col("_q") / F.col("_n") - F.pow(F.col("_s") / F.col("_n"), 2), F.lit(0.0))
@@ -123,19 +123,19 @@ def rolling_uniformity(tl: Timeline, half_width_s=1800.0, value="value", min_poi
     return w.groupBy(*tl.key).agg(F.avg(kept).alias("uniformity"), F.count(kept).alias("windows"))
 
 
-def grid(df: DataFrame, step_s: int, value="value", key=("run_id",)) -> DataFrame:
+def grid(tl: Timeline, step_s: int, value="value") -> DataFrame:
     """Bucket means on a regular grid from each run's first bucket to its last, empty cells included.
 
     Buckets start at midnight of the run's first day, which is the epoch grid where the step
     divides a day.
     """
-    step, day, key = step_s * 1_000_000, 86_400_000_000, list(key)
+    step, day, key = step_s * 1_000_000, 86_400_000_000, tl.key
     if 86_400 % step_s == 0:
-        buckets = df.withColumn("bucket_us", F.expr(f"us - pmod(us, {step}L)"))
+        buckets = tl.with_columns(bucket_us=F.expr(f"us - pmod(us, {step}L)"))
     else:
-        origin = df.groupBy(*key).agg(F.expr(f"min(us) - pmod(min(us), {day}L)").alias("_o"))
-        buckets = df.join(origin, key).withColumn("bucket_us", F.expr(f"us - pmod(us - _o, {step}L)")).drop("_o")
-    means = buckets.groupBy(*key, "bucket_us").agg(F.avg(value).alias("mean_value"))
+        origin = tl.per_run(F.expr(f"min(us) - pmod(min(us), {day}L)").alias("_o"))
+        buckets = tl.join_run(origin).with_columns(bucket_us=F.expr(f"us - pmod(us - _o, {step}L)"))
+    means = buckets.rows().groupBy(*key, "bucket_us").agg(F.avg(value).alias("mean_value"))
     span = means.groupBy(*key).agg(F.min("bucket_us").alias("_a"), F.max("bucket_us").alias("_z"))
     # two levels, so that no row ever carries the grid of a long run as one array
     block = step * 4096
@@ -150,11 +150,11 @@ def resample(tl: Timeline, step_s: int, value="value", force=False, fill_limit=2
     Runs whose median step is outside [1.15 step, 2 step] are left out unless ``force``.
     """
     step = step_s * 1_000_000
-    wanted = tl.rows()
+    wanted = tl
     if not force:
         medians = with_step(tl).quantile("dt", 0.5, "_median")
-        wanted = wanted.join(medians.filter(F.col("_median").between(1.15 * step_s, 2.0 * step_s)), tl.key, "left_semi")
-    cells = grid(wanted, step_s, value, tl.key)
+        wanted = tl.join_run(medians.filter(F.col("_median").between(1.15 * step_s, 2.0 * step_s)), "left_semi")
+    cells = grid(wanted, step_s, value)
     line = tl.again(cells, order=["bucket_us"])
     known = F.struct(F.col("bucket_us").alias("at"), F.col("mean_value").alias("v"))
     seen = F.when(F.col("mean_value").isNotNull(), known)

@@ -40,8 +40,9 @@ def excursion_totals(tl: Timeline, lo, hi, alarm_s=1800.0, value="value", refere
     events = excursion_islands(tl, lo, hi, alarm_s, value)
     bad = F.count_if(outside(lo, hi, value))
     base = tl.per_run(F.count(F.lit(1)).alias("samples"), bad.alias("samples_outside"), F.max("us").alias("_last"))
-    counted = events.join(base.select(*tl.key, "_last"), tl.key)
-    whole = F.lit(True) if not reference_tail else F.col("end_us") < F.col("_last")
+    counted, whole = events, F.lit(True)
+    if reference_tail:
+        counted, whole = tl.again(events, order=["island"]).join_run(base.select(*tl.key, "_last")).rows(), F.col("end_us") < F.col("_last")
     total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("duration_s"))), F.lit(0.0))
     sums = counted.groupBy(*tl.key).agg(
         F.count(F.lit(1)).alias("events"), F.count_if("is_alarm").alias("alarm_events"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tempaudit.functions.units import celsius_samples
 from tempaudit.operators import curves
 from tempaudit.operators.holds import as_col
-from tempaudit.operators.timeline import Timeline
+from tempaudit.operators.timeline import Timeline, keyed_join
 
 
 def normalize(readings: DataFrame, max_period_s=300.0, allowed_gaps_s=60.0, step_s: int | None = 30, within_s=0.1,
@@ -40,12 +40,12 @@ def normalize(readings: DataFrame, max_period_s=300.0, allowed_gaps_s=60.0, step
         "trace", F.array_compact(F.array(
             F.lit("timestamps_utc"), F.lit("sorted"), F.when(F.col("near_duplicates") > 0, F.lit("near_duplicates_dropped")),
             F.when(F.col("converted_rows") > 0, F.lit("fahrenheit_converted")), F.lit("quality_checked"))))
-    good = kept.rows().join(report.filter("status = 'OK'").select("run_id"), "run_id", "left_semi")
+    good = keyed_join(kept.rows(), report.filter("status = 'OK'").select("run_id"), "run_id", ["us", "seq"], "left_semi", readings)
     clean = good.select("run_id", "us", "seq", "sensor", "value")
     if step_s:
         resampled = curves.resample(kept.again(clean), step_s)
         done = resampled.select("run_id", "sensor").distinct()
-        rest = clean.join(done, ["run_id", "sensor"], "left_anti")
+        rest = keyed_join(clean, done, ["run_id", "sensor"], ["us", "seq"], "left_anti", readings)
         out = resampled.select("run_id", F.col("bucket_us").alias("us"), F.col("bucket_us").alias("seq"), "sensor", "value")
         clean = rest.unionByName(out)
     return clean, report

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempaudit.operators.holds import as_col
-from tempaudit.operators.timeline import Timeline
+from tempaudit.operators.timeline import Timeline, keyed_join
 
 
 def combine(df: DataFrame, mode="min", key=("run_id", "us"), value="value", threshold=None, require_at_least=None) -> DataFrame:
@@ -49,7 +49,7 @@ def live_sensors(df: DataFrame, key=("run_id",), value="value") -> DataFrame:
 
 def drop_dead_sensors(df: DataFrame, key=("run_id",), value="value") -> DataFrame:
     dead = live_sensors(df, key, value).filter("n_valid = 0")
-    return df.join(dead.select(*key, "sensor"), [*key, "sensor"], "left_anti")
+    return keyed_join(df, dead.select(*key, "sensor"), [*key, "sensor"], ["us", value], "left_anti")
 
 
 def dead_sensor_report(df: DataFrame, key=("run_id",), value="value") -> DataFrame:
@@ -70,7 +70,7 @@ def select_with_fallback(df: DataFrame, wanted: DataFrame, key=("run_id",)) -> D
     fallback = F.coalesce("_listed", F.lit(False)) & F.col("_hits").isNull()
     keep = F.col("_listed").isNull() | fallback | F.coalesce("_hit", F.lit(False))
     chosen = choice.filter(keep).select(*key, "sensor", fallback.alias("fallback_used"))
-    return df.join(chosen, [*key, "sensor"])
+    return keyed_join(df, chosen, [*key, "sensor"], ["us", "value"])
 
 
 def selection_issues(df: DataFrame, wanted: DataFrame, require_at_least: int, key=("run_id",)) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempaudit.functions.scalars import one_of
+from tempaudit.operators.timeline import keyed_join
 
 SPEC_SCHEMA = """
 version string, industry string, job struct<job_id: string>,
@@ -112,7 +113,7 @@ def dispatch(samples: DataFrame, specs: DataFrame, engines: dict) -> DataFrame:
         if "industry" in samples.columns:  # stored by industry: each engine reads its own partition only
             rows = samples.filter(F.col("industry") == name)
         else:
-            rows = samples.join(mine.select("run_id"), "run_id", "left_semi")
+            rows = keyed_join(samples, mine.select("run_id"), "run_id", ["us", "seq"], "left_semi")
         parts.append(engine(rows, mine))
     out = parts[0]
     for part in parts[1:]:

@@ -87,7 +87,7 @@ def maturity(tl: Timeline, datum=-10.0, factor=13.65, value="value") -> DataFram
     ).otherwise(0.0))
 
 
-def window_ids(df: DataFrame, window_s: int, step_s: int, key=("run_id",)) -> DataFrame:
+def window_ids(tl: Timeline, window_s: int, step_s: int) -> DataFrame:
     """Attach every sample to the overlapping windows that contain it, both ends included.
 
     Windows start every ``step_s`` from the run's first sample and must end within the run.
@@ -95,8 +95,8 @@ def window_ids(df: DataFrame, window_s: int, step_s: int, key=("run_id",)) -> Da
     ``window_s / step_s + 1`` windows.
     """
     w, s = window_s * 1_000_000, step_s * 1_000_000
-    bounds = df.groupBy(*key).agg(F.min("us").alias("_t0"), F.max("us").alias("_t1"))
-    placed = df.join(bounds, list(key))
+    bounds = tl.per_run(F.min("us").alias("_t0"), F.max("us").alias("_t1"))
+    placed = tl.join_run(bounds).rows()
     offset = "(us - _t0)"
     first = f"greatest(0L, ({offset} - {w}L + {s - 1}L) div {s}L)"
     last = f"least({offset} div {s}L, (_t1 - _t0 - {w}L) div {s}L)"
@@ -106,7 +106,7 @@ def window_ids(df: DataFrame, window_s: int, step_s: int, key=("run_id",)) -> Da
 
 def window_compliance(tl: Timeline, lo, hi, window_s=86_400, step_s=43_200, required=95.0, value="value") -> DataFrame:
     """Time-weighted in-range share of each overlapping window; a sample's value holds until the next."""
-    assigned = window_ids(tl.rows(), window_s, step_s, tl.key)
+    assigned = window_ids(tl, window_s, step_s)
     line = tl.again(assigned, key=[*tl.key, "window_id"], growth=window_s // step_s + 1).scan(_nu=following("us"))
     step = F.coalesce(seconds(F.col("_nu"), F.col("us")), F.lit(0.0))
     inside = F.col(value).between(as_col(lo), as_col(hi))
@@ -181,12 +181,12 @@ def low_share(df: DataFrame, minimum, limit_pct=5.0, value="k", key=("run_id",))
 def phase_checks(tl: Timeline, phases: DataFrame, humidity="k", gas="value") -> DataFrame:
     """Humidity and gas inside the sterilisation phase, and the evacuation at the end of the run."""
     whole = tl.per_run(F.max(gas).alias("peak_gas"), F.max_by(gas, F.struct(*tl.order)).alias("final_gas"))
-    inside = tl.rows().join(phases.select(*tl.key, "phase_start_us", "phase_end_us"), tl.key).filter(in_phase())
+    phase = tl.join_run(phases.select(*tl.key, "phase_start_us", "phase_end_us")).where(in_phase())
+    inside = phase.rows()
     ok = _true(F.col(humidity).between(45.0, 85.0))
     hum = inside.groupBy(*tl.key).agg(F.every(ok).alias("humidity_ok"), ((1 - F.avg(ok.cast("double"))) * 100).alias("humidity_bad_pct"))
-    phase_line = tl.again(inside)
-    median = phase_line.quantile(gas, 0.5, "_median")
-    kept = inside.join(median, tl.key).groupBy(*tl.key).agg(
+    median = phase.quantile(gas, 0.5, "_median")
+    kept = phase.join_run(median).rows().groupBy(*tl.key).agg(
         (F.avg(_true(F.col(gas) >= F.col("_median") * 0.5).cast("double"))).alias("gas_kept_share"))
     joined = whole.join(hum, tl.key, "left").join(kept, tl.key, "left")
     return joined.select(
@@ -196,20 +196,21 @@ def phase_checks(tl: Timeline, phases: DataFrame, humidity="k", gas="value") ->
         ((F.col("peak_gas") > 100) & (F.col("final_gas") > F.col("peak_gas") * 0.1)).alias("evacuation_incomplete"))
 
 
-def first_hours(df: DataFrame, hours=24.0, key=("run_id",)) -> DataFrame:
+def first_hours(tl: Timeline, hours=24.0) -> DataFrame:
     """Samples up to ``hours`` after the run's first one, that instant included."""
-    start = df.groupBy(*key).agg(F.min("us").alias("_t0"))
-    return df.join(start, list(key)).filter(F.col("us") <= F.col("_t0") + F.lit(int(hours * 3_600_000_000))).drop("_t0")
+    start = tl.per_run(F.min("us").alias("_t0"))
+    lead = F.col("us") <= F.col("_t0") + F.lit(int(hours * 3_600_000_000))
+    return tl.join_run(start).where(lead).dropping("_t0").rows()
 
 
-def first_day_verdict(df: DataFrame, lo=16.0, hi=27.0, value="value", humidity: str | None = None, min_samples=10,
-                      required=95.0, hours=24.0, key=("run_id",)) -> DataFrame:
+def first_day_verdict(tl: Timeline, lo=16.0, hi=27.0, value="value", humidity: str | None = None, min_samples=10,
+                      required=95.0, hours=24.0) -> DataFrame:
     """Share of instants in the first day at which every sensor is in band (and humidity is high)."""
     ok = _true(F.col(value).between(as_col(lo), as_col(hi)))
     if humidity:
         ok = ok & _true(F.col(humidity) >= 95.0)
-    instants = first_hours(df, hours, key).groupBy(*key, "us").agg(F.every(ok).alias("_ok"))
-    return instants.groupBy(*key).agg(
+    instants = first_hours(tl, hours).groupBy(*tl.key, "us").agg(F.every(ok).alias("_ok"))
+    return instants.groupBy(*tl.key).agg(
         F.count(F.lit(1)).alias("samples_24h"), (F.avg(F.col("_ok").cast("double")) * 100).alias("ok_pct"),
     ).withColumn("status", F.when(F.col("samples_24h") < min_samples, "INDETERMINATE")
                  .when(F.col("ok_pct") >= required, "PASS").otherwise("FAIL"))
@@ -219,7 +220,7 @@ def critical_period(tl: Timeline, lo=16.0, hi=27.0, value="value", humidity="k",
     """Leading samples as many as fit the period at the run's first step."""
     line = tl.scan(_pos=position(), _pu=prev("us"))
     first_dt = line.per_run(F.max(F.when(F.col("_pos") == 2, seconds(F.col("us"), F.col("_pu")))).alias("_first_dt"))
-    lead = line.rows().join(first_dt, tl.key).filter(F.col("_pos") <= F.floor(F.lit(period_s) / F.col("_first_dt")))
+    lead = line.join_run(first_dt).rows().filter(F.col("_pos") <= F.floor(F.lit(period_s) / F.col("_first_dt")))
     return lead.groupBy(*tl.key).agg(
         F.count(F.lit(1)).alias("critical_samples"), pct(F.col(value).between(lo, hi)).alias("critical_pct"),
         pct(F.col(humidity) >= 95.0).alias("critical_rh_pct"),

@@ -166,6 +166,17 @@ class Timeline:
         ).drop(*[f"_{p}_{n}" for n in scans for p in ("l", "c")])
         return Timeline(done, self.key, self.order, self.parts, False)
 
+    def join_run(self, table: DataFrame, how: str = "inner") -> "Timeline":
+        """Join a table with one row per run to the rows.
+
+        A cut run meets its row once per piece, so the rows stay spread as they are.
+        """
+        if not self.pieces:
+            return Timeline(self.df.join(table, self.key, how), self.key, self.order, 0, self._fresh)
+        spots = self.df.select(*self.key, PIECE).distinct()
+        joined = self.df.join(spots.join(table, self.key), [*self.key, PIECE], how)
+        return Timeline(joined, self.key, self.order, self.parts, False)
+
     # -- per-run results ---------------------------------------------------------------------
 
     def per_run(self, *aggs: Column) -> DataFrame:
@@ -297,6 +308,29 @@ def range_sums(tl: Timeline, before_us: int, after_us: int, sums: dict[str, Colu
     ).withColumnsRenamed({"_us": "us", "_seq": "seq"})
 
 
+def keyed_join(big: DataFrame, small: DataFrame, on, spread, how: str = "inner", measure: DataFrame | None = None,
+               limit: int | None = None) -> DataFrame:
+    """Join rows to a table with few rows per key when a key may hold a large share of the rows.
+
+    Keys beyond ``limit`` rows are counted first; there are at most ``rows / limit`` of them, so
+    their list is small enough to broadcast.  Their rows are dealt out over as many salts as they
+    need by a hash of ``spread``, and only their rows of ``small`` are repeated per salt.  Without
+    such keys this is the plain join.  Inner, left, left_semi and left_anti joins.
+    """
+    on = [on] if isinstance(on, str) else list(on)
+    limit = limit or rows_per_task(big.sparkSession)
+    counted = (big if measure is None else measure).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = counted.filter(F.col("_rows") > limit).select(*on, F.ceil(F.col("_rows") / limit).cast("int").alias("_salts"))
+    if hot.isEmpty():
+        return big.join(small, on, how)
+    ensure_checkpointing(big.sparkSession)
+    hot = F.broadcast(hot.checkpoint())
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = big.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), salts).cast("int")).drop("_salts")
+    copies = small.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
 def join_runs(*tables: DataFrame, key=("run_id",)) -> DataFrame:
     """Put one-row-per-run tables side by side."""
     return reduce(lambda a, b: a.join(b, list(key), "left"), tables)

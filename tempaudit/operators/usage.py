@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempaudit.functions.clock import month_key, next_reset
-from tempaudit.operators.timeline import Timeline, position, prev, range_sums
+from tempaudit.operators.timeline import Timeline, keyed_join, position, prev, range_sums
 
 DAY_US = 86_400_000_000
 DEFAULT_QUOTA = 5
@@ -64,8 +64,9 @@ def dashboard(status: DataFrame, recent: DataFrame, today: Column) -> DataFrame:
 
 def overage_events(jobs: DataFrame, limits: DataFrame) -> DataFrame:
     """Jobs beyond the monthly limit, by their position in the user's month."""
-    keyed = jobs.join(limits, "user_id").withColumn("month", month_key(F.timestamp_micros("us")))
-    line = Timeline.open(keyed, key=["user_id", "month"]).scan(nth=position())
+    keyed = keyed_join(jobs, limits, "user_id", ["us", "seq"]).withColumn("month", month_key(F.timestamp_micros("us")))
+    month = month_key(F.timestamp_micros("us")).alias("month")
+    line = Timeline.open(keyed, key=["user_id", "month"], measure=jobs.select("user_id", month)).scan(nth=position())
     return line.rows().withColumn("is_overage", F.col("nth") > F.col("quota"))
 
 
@@ -109,7 +110,7 @@ def page_of(jobs: DataFrame, page: int, per_page=5, user="user_id") -> DataFrame
     ranked = line.scan(rank=position())
     pages = line.per_run(F.ceil(F.count(F.lit(1)) / per_page).alias("pages"))
     shown = F.greatest(F.lit(1), F.least(F.lit(page), F.col("pages")))
-    out = ranked.rows().join(pages, user).withColumn("page", shown)
+    out = ranked.join_run(pages).rows().withColumn("page", shown)
     return out.filter(F.col("rank").between((F.col("page") - 1) * per_page + 1, F.col("page") * per_page)).drop("_down", "_tie")
 
 
@@ -226,4 +227,4 @@ def signup_rules(signups: DataFrame, max_per_ip=2, max_per_device=3, days=30, ra
 def shared_keys(signups: DataFrame, key: str, limit: int) -> DataFrame:
     """Keys with at least ``limit`` sign-ups, one row per sign-up rather than a list per key."""
     counts = signups.groupBy(key).agg(F.count(F.lit(1)).alias("signups")).filter(F.col("signups") >= limit)
-    return signups.join(counts, key).select(key, "signups", "email", "seq")
+    return keyed_join(signups, counts, key, ["seq"]).select(key, "signups", "email", "seq")

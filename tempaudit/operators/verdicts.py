@@ -15,7 +15,7 @@ from tempaudit.functions.scalars import join_reasons
 from tempaudit.functions.units import (BAR_TO_KPA, PSI_TO_KPA, celsius_to_fahrenheit, kpa_to_psi, pressure_unit)
 from tempaudit.operators import curves, excursions, holds, stats
 from tempaudit.operators.holds import _true, as_col
-from tempaudit.operators.timeline import Timeline, following, last_seen, prev, run_max, run_sum, seconds
+from tempaudit.operators.timeline import Timeline, following, keyed_join, last_seen, prev, run_max, run_sum, seconds
 
 # fixed values of the food-cooling rule, in Celsius
 F135, F70, F41, F35 = (135 - 32) * 5 / 9, (70 - 32) * 5 / 9, (41 - 32) * 5 / 9, (35 - 32) * 5 / 9
@@ -24,9 +24,14 @@ MIN_F0 = 12.0
 
 
 def attach_specs(samples: DataFrame, specs: DataFrame, on="run_id", fixed=False) -> DataFrame:
-    """Samples with their run's specification.  ``fixed`` marks a library of known small size, which
-    is broadcast; a table that grows with the runs is joined on the key the windows use anyway."""
-    return samples.join(F.broadcast(specs) if fixed else specs, on)
+    """Samples with their run's specification.
+
+    ``fixed`` marks a library of known small size, which is broadcast.  A table that grows with
+    the runs is joined by key, the rows of very long runs dealt out over several tasks.
+    """
+    if fixed:
+        return samples.join(F.broadcast(specs), on)
+    return keyed_join(samples, specs, on, ["us", "seq"])
 
 
 def _finish(df: DataFrame, key, status: Column, codes: list[Column], texts: list[Column], *columns) -> DataFrame:
@@ -265,8 +270,8 @@ def sterile_verdict(tl: Timeline, lo=50.0, hi=60.0, min_hold_s=7200.0, value="va
     hold = holds.latched_hold(tl, lo, 1.0, value).select(*tl.key, "hold_s")
     checks = stats.phase_checks(tl, phases, humidity, gas)
     whole = tl.per_run(F.count(F.lit(1)).alias("samples"), F.min(value).alias("min_temp"), F.max(value).alias("max_temp"))
-    inside = tl.rows().join(phases.select(*tl.key, "phase_start_us", "phase_end_us"), tl.key).filter(curves.in_phase())
-    floor = inside.groupBy(*tl.key).agg(F.min(value).alias("_phase_min"))
+    inside = tl.join_run(phases.select(*tl.key, "phase_start_us", "phase_end_us")).where(curves.in_phase())
+    floor = inside.rows().groupBy(*tl.key).agg(F.min(value).alias("_phase_min"))
     f = whole.join(phases, tl.key).join(hold, tl.key).join(checks, tl.key).join(floor, tl.key, "left")
     reached = F.col("phase_start_us").isNotNull()
     hot = F.col("max_temp") > hi
@@ -302,9 +307,8 @@ def concrete_verdict(tl: Timeline, readings: DataFrame | None = None, lo=16.0, h
 
     ``readings`` are the separate sensors in long form where there are several.
     """
-    rows = tl.rows()
-    first = stats.first_day_verdict(readings if readings is not None else rows, lo, hi, value, humidity if require_humidity else None,
-                                    min_samples, required, day_hours, tl.key)
+    sensors = tl if readings is None else Timeline.open(readings, tl.key, ["us", "sensor"])
+    first = stats.first_day_verdict(sensors, lo, hi, value, humidity if require_humidity else None, min_samples, required, day_hours)
     stable = stats.stability(tl, 5.0, value)
     critical = stats.critical_period(tl, lo, hi, value, humidity or value, period_s)
     hold = holds.latched_hold(tl, lo, 0.5, value).select(*tl.key, "hold_s")

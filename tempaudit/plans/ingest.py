@@ -176,7 +176,7 @@ def a18j(spark, sf):
 g AS (SELECT run_id, unnest(generate_series(min(bucket_us), max(bucket_us), {STEP_US})) AS bucket_us FROM b GROUP BY run_id)
 SELECT g.run_id, g.bucket_us, round(coalesce(m, -1), 8) AS mean_value FROM g LEFT JOIN b ON g.run_id = b.run_id AND g.bucket_us = b.bucket_us""")
 def j04(spark, sf):
-    cells = curves.grid(samples(spark, sf).select("run_id", "us", "value"), 21_600)
+    cells = curves.grid(timeline(spark, sf), 21_600)
     return cells.select("run_id", "bucket_us", F.round(F.coalesce("mean_value", F.lit(-1.0)), 8).alias("mean_value"))
 
 

@@ -132,7 +132,7 @@ wa AS (SELECT run_id, window_id, count(*) AS samples, sum(dt) AS total_s,
 
 @query("j05_window_samples", f"""WITH {S}, {SQL_WINDOWS} SELECT run_id, window_id, seq FROM ws""")
 def j05(spark, sf):
-    return stats.window_ids(samples(spark, sf), 5 * 86_400, 5 * 43_200).select("run_id", "window_id", "seq")
+    return stats.window_ids(timeline(spark, sf), 5 * 86_400, 5 * 43_200).select("run_id", "window_id", "seq")
 
 
 @query("g11_window_compliance", f"""WITH {S}, {SQL_WINDOWS}
@@ -250,7 +250,7 @@ SELECT run_id, count(*) AS samples_24h, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0
 def g21(spark, sf):
     # the stand-in is sparse: twenty days stand for the first day, 10 on the k scale for humidity 95
     scaled = readings(spark, sf).withColumn("rh", F.when(F.col("k") >= 10, 95.0).otherwise(0.0))
-    return stats.first_day_verdict(scaled, 5.0, 120.0, humidity="rh", min_samples=18, required=40.0, hours=480.0).select(
+    return stats.first_day_verdict(Timeline.open(scaled, order=["us", "sensor"]), 5.0, 120.0, humidity="rh", min_samples=18, required=40.0, hours=480.0).select(
         "run_id", "samples_24h", r("ok_pct"), "status")
 
 

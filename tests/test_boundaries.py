@@ -56,7 +56,7 @@ def test_severity_follows_latest_and_skips_first(series):
 
 
 def test_windows_are_closed_on_both_ends(series):
-    df = series({1: [(0, 1.0), (50, 1.0), (100, 1.0), (150, 1.0)]})
+    df = Timeline.open(series({1: [(0, 1.0), (50, 1.0), (100, 1.0), (150, 1.0)]}))
     got = {(r["window_id"], r["us"] // 10**6) for r in stats.window_ids(df, 100, 50).collect()}
     assert got == {(0, 0), (0, 50), (0, 100), (1, 50), (1, 100), (1, 150)}
 

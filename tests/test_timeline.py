@@ -189,3 +189,25 @@ def test_equal_instants_are_split_too(form, series):
     got = Timeline.open(series(runs)).scan(p=prev("value"), n=position()).rows().orderBy("seq").collect()
     assert [r["p"] for r in got] == [None] + [float(i) for i in range(39)]
     assert [r["n"] for r in got] == list(range(1, 41))
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_keyed_join_deals_out_hot_keys(spark, how):
+    from tempaudit.operators.timeline import keyed_join
+
+    big = spark.createDataFrame([(0 if i % 2 else i % 5, i) for i in range(200)], "k long, us long")
+    small = spark.createDataFrame([(0, "a"), (1, "b"), (1, "c"), (9, "d")], "k long, w string")
+    want = sorted(map(tuple, big.join(small, "k", how).collect()), key=str)
+    joined = keyed_join(big, small, "k", ["us"], how, limit=25)
+    assert sorted(map(tuple, joined.collect()), key=str) == want
+    assert sorted(map(tuple, keyed_join(big, small, "k", ["us"], how).collect()), key=str) == want
+
+
+def test_join_run(form, series):
+    runs = make_runs(11)
+    tl = Timeline.open(series(runs)).scan(pos=position())
+    means = tl.per_run(F.avg("value").alias("mean"))
+    got = tl.join_run(means).rows().groupBy("run_id").agg(F.first("mean").alias("m"), F.count("*").alias("n")).collect()
+    assert {r["run_id"]: r["n"] for r in got} == {k: len(v) for k, v in runs.items()}
+    half = tl.join_run(means.filter("run_id < 2"), "left_semi").rows().select("run_id").distinct().collect()
+    assert {r["run_id"] for r in half} == {0, 1}
