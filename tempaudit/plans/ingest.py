@@ -213,7 +213,7 @@ def drain(stream, spark, label: str, mode: str, schema: str):
     return spark.read.schema(schema).parquet(path)
 
 
-@query("t01_live_alert_windows", f"""WITH {S}, e AS (SELECT us, CASE WHEN sensor <> 'view' THEN CASE WHEN sensor = 'error' THEN 500 ELSE 200 END END AS h, CASE WHEN sensor = 'view' THEN value > 100 END AS v FROM s),
+@query("t01_live_alert_windows", f"""WITH {S}, e AS (SELECT us, CASE WHEN sensor <> 'view' THEN CASE WHEN sensor = 'error' AND value > 150 THEN 500 ELSE 200 END END AS h, CASE WHEN sensor = 'view' THEN value > 100 END AS v FROM s),
 w AS (SELECT e.*, unnest(generate_series(us // 3600000000 - 5, us // 3600000000)) * 3600000000 AS start_us FROM e)
 SELECT start_us, start_us + 21600000000 AS end_us, count(h) AS requests, count(*) FILTER (WHERE h >= 500) AS errors, count(v) AS verifications, count(*) FILTER (WHERE v) AS verify_errors,
   count(*) FILTER (WHERE h >= 500) / count(h) * 100 > 1 AS erring FROM w WHERE start_us + 21600000000 <= (SELECT max(us) // 1000 * 1000 - 3600000000 FROM s) GROUP BY start_us HAVING count(*) > 0
@@ -222,7 +222,7 @@ def t01(spark, sf):
     from tempaudit.streaming.live import alert_windows
 
     e = event_stream(spark, sf).select(
-        "ts", (F.col("value") / 10).alias("compile_s"), F.when(F.col("sensor") != "view", F.when(F.col("sensor") == "error", 500).otherwise(200)).alias("http_status"),
+        "ts", (F.col("value") / 10).alias("compile_s"), F.when(F.col("sensor") != "view", F.when((F.col("sensor") == "error") & (F.col("value") > 150), 500).otherwise(200)).alias("http_status"),
         F.when(F.col("sensor") == "view", F.col("value") > 100).alias("verify_error"))
     w = alert_windows(e, "6 hours", "1 hour", "1 hour")
     schema = "start_us long, end_us long, p95_s double, requests long, errors long, verifications long, verify_errors long, slow boolean, erring boolean, verify_failing boolean"

@@ -130,10 +130,10 @@ def g32(spark, sf):
     return opslog.health_summary(log_events(spark, sf), F.timestamp_seconds(F.lit(1705968000)), "interval 5 days", "interval 10 days")
 
 
-ART = """art AS (SELECT doc_id, substr(sha256(text), 1, 2) || '/' || substr(sha256(text), 3, 10) || '/' || ['in.csv','decision.json','proof.pdf','evidence.zip'][doc_id % 4 + 1] AS rel,
+ART = """art AS (SELECT doc_id, substr(sha256(text), 1, 2) || '/' || substr(sha256(text), 3, 10) || '/' || ['in.csv','decision.json','report.pdf','evidence.zip'][doc_id % 4 + 1] AS rel,
   n_chars AS size_bytes, (doc_id % 60) * 86400000000 + 1704067200000000 AS created_us, CASE WHEN doc_id % 8 = 1 THEN 'PASS' ELSE 'FAIL' END AS status,
   CASE WHEN doc_id % 6 = 0 THEN 'LIVE-QA' ELSE '' END AS tag FROM documents)"""
-ART_FILES = ("in.csv", "decision.json", "proof.pdf", "evidence.zip")
+ART_FILES = ("in.csv", "decision.json", "report.pdf", "evidence.zip")
 
 
 def artifacts(spark, sf):
@@ -434,17 +434,17 @@ def g38(spark, sf):
 # -- campaigns -----------------------------------------------------------------------------------------
 
 ACT = """act AS (SELECT user_id, epoch_us(ts) AS us, event_id AS seq, ['upload_csv','compile_success','download_pdf','purchase'][event_id % 4 + 1] AS action,
-  CASE WHEN event_id % 4 = 3 THEN round(value, 2) ELSE 0 END AS revenue, ['google','bing'][event_id % 2 + 1] AS source, CASE WHEN event_id % 2 = 0 THEN 'cpc' ELSE 'organic' END AS medium,
+  CASE WHEN event_id % 4 = 3 THEN round(value, 2) ELSE 0 END AS revenue, ['google','bing'][event_id // 4 % 2 + 1] AS source, CASE WHEN event_id // 4 % 2 = 0 THEN 'cpc' ELSE 'organic' END AS medium,
   'camp' || (user_id % 7) AS campaign, CASE WHEN event_id % 9 = 0 THEN event_type END AS referral FROM events)"""
 SPEND = """sp AS (SELECT 'camp' || (o_custkey % 6) AS campaign, o_totalprice / 100 AS ad_spend, o_orderkey % 50 AS clicks, DATE '2024-01-01' + (o_orderkey % 30)::INT AS day FROM orders)"""
 
 
 def actions(spark, sf):
-    q = F.col("seq")
+    q, half = F.col("seq"), F.expr("seq div 4 % 2")
     action = F.element_at(F.array(*map(F.lit, ("upload_csv", "compile_success", "download_pdf", "purchase"))), (q % 4 + 1).cast("int"))
     return samples(spark, sf).select(
         F.col("run_id").alias("user_id"), "us", "seq", action.alias("action"), F.when(q % 4 == 3, F.col("value")).otherwise(0.0).alias("revenue"),
-        F.when(q % 2 == 0, "google").otherwise("bing").alias("source"), F.when(q % 2 == 0, "cpc").otherwise("organic").alias("medium"),
+        F.when(half == 0, "google").otherwise("bing").alias("source"), F.when(half == 0, "cpc").otherwise("organic").alias("medium"),
         F.concat(F.lit("camp"), F.col("run_id") % 7).alias("campaign"), F.when(q % 9 == 0, F.col("sensor")).alias("referral"))
 
 
@@ -520,12 +520,12 @@ def g40k(spark, sf):
 @query("g41_kpi_alerts", f"""WITH {ACT}, {SPEND}, {SQL_DAILYC}, c AS (SELECT campaign, sum(ad_spend) AS spend FROM sp GROUP BY campaign),
 k AS (SELECT campaign, sum(uploads) AS uploads, sum(unique_visitors) AS visitors, any_value(spend) AS spend FROM dc JOIN c USING (campaign) GROUP BY campaign),
 x AS (SELECT campaign, spend / uploads AS cpa, uploads / visitors * 100 AS cvr, spend FROM k)
-SELECT campaign, 'HIGH_CPA' AS alert FROM x WHERE cpa > 10 UNION ALL SELECT campaign, 'LOW_CVR' FROM x WHERE cvr < 26 UNION ALL SELECT campaign, 'UNDER_SPEND' FROM x WHERE spend < 3500000""")
+SELECT campaign, 'HIGH_CPA' AS alert FROM x WHERE cpa > 67000 UNION ALL SELECT campaign, 'LOW_CVR' FROM x WHERE cvr < 26 UNION ALL SELECT campaign, 'UNDER_SPEND' FROM x WHERE spend < 6250000""")
 def g41(spark, sf):
     cost = spend(spark, sf).groupBy("campaign").agg(F.sum("ad_spend").alias("spend"))
     k = daily(spark, sf).groupBy("campaign").agg(F.sum("uploads").alias("uploads"), F.sum("unique_visitors").alias("visitors")).join(cost, "campaign")
     k = k.select("campaign", (F.col("spend") / F.col("uploads")).alias("cpa"), (F.col("uploads") / F.col("visitors") * 100).alias("upload_cvr"), "spend")
-    return campaigns.kpi_alerts(k, 10.0, 26.0, 3_500_000.0).select("campaign", "alert")
+    return campaigns.kpi_alerts(k, 67_000.0, 26.0, 6_250_000.0).select("campaign", "alert")
 
 
 @query("j09_actions_with_spend", f"""WITH {ACT}, {SPEND}, c AS (SELECT campaign, sum(ad_spend) AS spend FROM sp GROUP BY campaign)

@@ -118,7 +118,7 @@ def v09(spark, sf):
     return v.select("run_id", "start_ok", r("phase1_s", 3), r("phase2_s", 3), "phase1_pass", "phase2_pass")
 
 
-PRESSURE = "CAST(CASE run_id % 3 WHEN 0 THEN 60 + k * 2 WHEN 1 THEN 0.8 + k / 50 ELSE 10 + k / 4 END AS DOUBLE)"
+PRESSURE = "CAST(CASE run_id % 3 WHEN 0 THEN 105 + k WHEN 1 THEN 0.8 + k / 50 ELSE 10 + k / 4 END AS DOUBLE)"
 
 
 @query("v04_autoclave_verdict", f"""WITH {S}, {sql_f0(150.0, 100.0)},
