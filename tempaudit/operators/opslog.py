@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempaudit.functions.scalars import compile_seconds, log_record, log_time, once, request_fields, verify_event
-from tempaudit.operators.stats import order_statistic
+from tempaudit.operators.stats import nth_of_counts, order_statistic, value_counts
 
 
 def parse_lines(lines: DataFrame, line="line", since: Column | None = None) -> DataFrame:
@@ -34,9 +34,10 @@ def p95(df: DataFrame, value: str, name="p95") -> DataFrame:
 
 
 def compile_metrics(events: DataFrame, limit_s=5.0) -> DataFrame:
-    timed = events.filter("compile_s is not null")
-    base = timed.agg(F.coalesce(F.avg("compile_s"), F.lit(0.0)).alias("avg_s"), F.count(F.lit(1)).alias("compiles"))
-    joined = one_row(base, p95(timed, "compile_s", "p95_s"))
+    counts = value_counts(events, "compile_s")
+    n = F.coalesce(F.sum("_c"), F.lit(0).cast("long"))
+    base = counts.agg(F.coalesce(F.sum(F.col("_v") * F.col("_c")) / F.sum("_c"), F.lit(0.0)).alias("avg_s"), n.alias("compiles"))
+    joined = one_row(base, nth_of_counts(counts, F.floor(F.col("_n") * 0.95), "p95_s"))
     v = F.coalesce("p95_s", F.lit(0.0))
     return joined.select(F.round(v, 2).alias("p95_s"), F.round("avg_s", 2).alias("avg_s"), "compiles", (v > limit_s).alias("slow"))
 
@@ -45,24 +46,36 @@ def rate(part: Column, whole: Column) -> Column:
     return F.coalesce(part / F.nullif(whole, F.lit(0)) * 100, F.lit(0.0))
 
 
+def _requests(during: Column) -> list[Column]:
+    status = F.when(during, F.col("http_status"))
+    return [F.count(status).alias("requests"), F.count_if(status >= 500).alias("errors")]
+
+
+def _verifications() -> list[Column]:
+    return [F.count("verify_error").alias("verifications"), F.count_if("verify_error").alias("verify_errors")]
+
+
+def _breach(part: str, whole: str, pct: str, flag: str, limit: float) -> list[Column]:
+    share = rate(F.col(part), F.col(whole))
+    return [F.col(whole), F.col(part), F.round(share, 2).alias(pct), (share > limit).alias(flag)]
+
+
 def error_metrics(events: DataFrame, limit_pct=1.0) -> DataFrame:
-    n, bad = F.count("http_status"), F.count_if(F.col("http_status") >= 500)
-    return events.agg(n.alias("requests"), bad.alias("errors")).select(
-        "requests", "errors", F.round(rate(F.col("errors"), F.col("requests")), 2).alias("error_pct"),
-        (rate(F.col("errors"), F.col("requests")) > limit_pct).alias("erring"))
+    return events.agg(*_requests(F.lit(True))).select(*_breach("errors", "requests", "error_pct", "erring", limit_pct))
 
 
 def verify_metrics(events: DataFrame, limit_pct=0.5) -> DataFrame:
-    return events.agg(F.count("verify_error").alias("verifications"), F.count_if("verify_error").alias("verify_errors")).select(
-        "verifications", "verify_errors", F.round(rate(F.col("verify_errors"), F.col("verifications")), 2).alias("verify_error_pct"),
-        (rate(F.col("verify_errors"), F.col("verifications")) > limit_pct).alias("verify_failing"))
+    return events.agg(*_verifications()).select(
+        *_breach("verify_errors", "verifications", "verify_error_pct", "verify_failing", limit_pct))
 
 
 def health_summary(events: DataFrame, now: Column, short="interval 5 minutes", long="interval 10 minutes") -> DataFrame:
     """Compile, request and verification figures of the trailing windows with one overall flag."""
     recent = events.filter(F.col("log_ts") >= now - F.expr(long))
-    latest = events.filter(F.col("log_ts") >= now - F.expr(short))
-    joined = one_row(compile_metrics(recent), error_metrics(latest), verify_metrics(recent))
+    counted = recent.agg(*_requests(F.col("log_ts") >= now - F.expr(short)), *_verifications()).select(
+        *_breach("errors", "requests", "error_pct", "erring", 1.0),
+        *_breach("verify_errors", "verifications", "verify_error_pct", "verify_failing", 0.5))
+    joined = one_row(compile_metrics(recent), counted)
     return joined.withColumn("healthy", ~F.col("slow") & ~F.col("erring") & ~F.col("verify_failing"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tempaudit.operators.curves import in_phase, with_step
 from tempaudit.operators.holds import _true, as_col, latch
 from tempaudit.operators.timeline import Timeline, following, position, prev, run_sum, seconds
+from tempaudit.session import ensure_checkpointing
 
 DAY_US = 86_400_000_000
 F135_C, F70_C, F41_C = (135 - 32) * 5 / 9, (70 - 32) * 5 / 9, 5.0  # fixed values: cooling targets
@@ -237,20 +238,34 @@ def hold_pressure(tl: Timeline, threshold, hysteresis, pressure="k", value="valu
         F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.min("_p").alias("min_pressure"))
 
 
+def value_counts(df: DataFrame, value, key=()) -> DataFrame:
+    """How often each value occurs per group (``_v``, ``_c``; ``_all`` stands for no key).
+
+    Checkpointed: the table is compact, the rows behind it may be costly (parsed logs), and
+    whatever is taken from it reads them once.
+    """
+    v = F.col(value) if isinstance(value, str) else value
+    keyed = df.withColumn("_all", F.lit(1)) if not key else df
+    key = list(key) or ["_all"]
+    ensure_checkpointing(df.sparkSession)
+    # the group of missing values goes after the count, so that no filter repeats a costly value
+    counts = keyed.select(*key, v.alias("_v")).groupBy(*key, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    return counts.checkpoint().filter("_v is not null")
+
+
 def order_statistic(df: DataFrame, value, index, name: str, key=()) -> DataFrame:
     """Element at a 0-based ``index`` (an expression over the group's size ``_n``) of the sorted values.
 
     Equal values are counted first and the counts are summed along the values, so no group is
     ever sorted as a list.
     """
-    v = F.col(value) if isinstance(value, str) else value
-    keyed = df.withColumn("_all", F.lit(1)) if not key else df
-    key = list(key) or ["_all"]
-    counts = keyed.select(*key, v.alias("_v")).filter("_v is not null").groupBy(*key, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    totals = counts.groupBy(*key).agg(F.sum("_c").alias("_n"))
-    ranked = Timeline.open(counts, key, ["_v"]).scan(_upto=run_sum("_c")).rows().join(totals, key)
-    found = ranked.groupBy(*key).agg(F.min(F.when(F.col("_upto") > index, F.col("_v"))).alias(name))
-    return found.drop("_all")
+    return nth_of_counts(value_counts(df, value, key), index, name, key)
+
+
+def nth_of_counts(counts: DataFrame, index, name: str, key=()) -> DataFrame:
+    line = Timeline.open(counts, list(key) or ["_all"], ["_v"])
+    ranked = line.scan(_upto=run_sum("_c")).join_run(line.per_run(F.sum("_c").alias("_n")))
+    return ranked.per_run(F.min(F.when(F.col("_upto") > index, F.col("_v"))).alias(name)).drop("_all")
 
 
 def truth_by_counts(df: DataFrame, threshold, step_s: float, min_hold_min=400.0, value="value", pressure="k", key=("run_id",)) -> DataFrame:

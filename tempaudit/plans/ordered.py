@@ -258,3 +258,9 @@ SELECT run_id, coalesce(max(samples) FILTER (WHERE state), 0) AS longest_streak,
 def d25(spark, sf):
     return holds.consecutive_good(timeline(spark, sf), F.col("value") >= expr(LO), 12).select(
         "run_id", F.col("longest_streak").cast("long"), "exposure_met")
+
+
+@query("d23_longest_interval", f"""WITH {S}, {sql_islands(sql_latch())}, {SQL_LONGEST}
+SELECT run_id, start_us, end_us FROM best WHERE rn = 1""")
+def d23l(spark, sf):
+    return holds.hold_intervals(timeline(spark, sf), expr(THR), expr(HYST), True)

@@ -400,3 +400,11 @@ def u03(spark, sf):
     specs = df.select("run_id").distinct().withColumn("industry", industry)
     tagged = {k: (lambda f, k: lambda d, s: f(d, s).select("run_id", F.lit(k).alias("industry"), "status"))(f, k) for k, f in engines.items()}
     return specs_mod.dispatch(df, specs, tagged)
+
+
+@query("u04_processing_trace", f"""WITH {V0_SQL}, t AS (SELECT run_id, unnest(['timestamps_utc', 'sorted', 'quality_checked']) AS step FROM rep
+  UNION ALL SELECT run_id, 'near_duplicates_dropped' FROM rep WHERE near_duplicates > 0 UNION ALL SELECT run_id, 'fahrenheit_converted' FROM rep WHERE converted_rows > 0)
+SELECT step, count(*) AS runs FROM t GROUP BY step""")
+def u04(spark, sf):
+    report = _normalized(spark, sf)[1]
+    return report.select(F.explode("trace").alias("step")).groupBy("step").agg(F.count(F.lit(1)).alias("runs"))

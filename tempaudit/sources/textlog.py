@@ -120,8 +120,10 @@ def normalize_decimals(line: Column) -> Column:
     return F.when(plain | separators, line).otherwise(changed)
 
 
-def readings(lines: DataFrame) -> DataFrame:
-    """Long-form readings of all files: ``file, place, ts_text, name, text, value``.
+def readings(lines: DataFrame, zone="UTC") -> DataFrame:
+    """Long-form readings of all files: ``file, place, us, ts_text, name, text, value``.
+
+    The instant is parsed once per line, before its cells become rows.
 
     The layout is one row per file and meets the lines by an equi join; a file that holds a
     large share of all lines is split there by the adaptive skew join.
@@ -131,17 +133,18 @@ def readings(lines: DataFrame) -> DataFrame:
     text = F.when(F.col("delimiter") != ",", normalize_decimals(F.col("line"))).otherwise(F.col("line"))
     cells = body.select("file", "place", "names", "time_at", once(F.split(text, _literal("delimiter"))).alias("cells"))
     # the outer form keeps the optimizer from testing the cells a second time; no line is without cells
-    long = cells.select("file", "place", F.trim(F.get("cells", F.col("time_at"))).alias("ts_text"), "names", "time_at",
-                        F.posexplode_outer("cells").alias("i", "text"))
+    timed = cells.withColumn("ts_text", F.trim(F.get("cells", F.col("time_at"))))
+    timed = timed.select("*", once(F.unix_micros(clock.parse(F.col("ts_text"), zone))).alias("us"))
+    long = timed.select("file", "place", "us", "ts_text", "names", "time_at", F.posexplode_outer("cells").alias("i", "text"))
     return long.filter(F.col("i") != F.col("time_at")).select(
-        "file", "place", "ts_text", F.get("names", F.col("i")).alias("name"), F.trim("text").alias("text"),
+        "file", "place", "us", "ts_text", F.get("names", F.col("i")).alias("name"), F.trim("text").alias("text"),
         F.trim("text").try_cast("double").alias("value"))
 
 
-def samples_of(long: DataFrame, zone="UTC") -> DataFrame:
+def samples_of(long: DataFrame) -> DataFrame:
     """Readings as samples; the place keeps equal instants in file order."""
     return long.select(
-        F.col("file").alias("run_id"), F.unix_micros(clock.parse(F.col("ts_text"), zone)).alias("us"), F.col("place").alias("seq"),
+        F.col("file").alias("run_id"), "us", F.col("place").alias("seq"),
         F.col("name").alias("sensor"), "value", "text")
 
 
