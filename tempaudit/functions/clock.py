@@ -10,7 +10,9 @@ EXCEL_EPOCH_DAYS = 25_569  # fixed value: days from 1899-12-30 to 1970-01-01
 
 
 def numeric(text: Column) -> Column:
-    return text.cast("string").try_cast("double")
+    """Number or null.  A failing cast costs far more than the pattern that avoids it."""
+    text = text.cast("string")
+    return F.when(text.rlike(r"^\s*[-+]?[0-9.]+([eE][-+]?[0-9]+)?\s*$"), text.try_cast("double"))
 
 
 def timestamp_format(lowest: Column, highest: Column) -> Column:

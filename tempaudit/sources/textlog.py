@@ -105,7 +105,7 @@ def delimiters(data: DataFrame) -> DataFrame:
 
 def normalize_decimals(line: Column) -> Column:
     """Decimal commas to points (1.234,56 becomes 1234.56), unless the commas separate fields."""
-    plain = (F.trim(line) == "") | line.startswith("#") | ~line.rlike(r"\d")
+    plain = ~line.contains(",") | (F.trim(line) == "") | line.startswith("#") | ~line.rlike(r"\d")
     grouped = line.rlike(r"\b\d{1,3}(?:\.\d{3})+,\d{1,9}\b")
     numbers = F.regexp_extract_all(line, F.lit(r"\d+[.,]\d+(?:[.,]\d+)*"), F.lit(0))
     comma_last = F.exists(numbers, lambda x: x.rlike(r"\..*,[^.]*$"))
