@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempaudit.llm import quality_rules
+from tempaudit.llm import quality_rules, url_filters
+from tempaudit.session import small_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +26,24 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query
 def op4_quality_rules(spark, sf):
     return quality_rules.repetition(table(spark, sf, "documents"))
+
+
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"),
+             ("com", "/de/", "block")]
+
+
+@query
+def op8_url_filters(spark, sf):
+    rules = small_table(spark, URL_RULES, "host string, path string, action string")
+    return url_filters.judge(table(spark, sf, "pages"), rules)
+
+
+ORACLES["op8_url_filters"] = """
+WITH u AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '') AS raw,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u),
+r(h, q, action) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+    ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+f AS (SELECT page_id, arg_max(h || q, length(h || q) * 1000 + length(h)) AS rule, arg_max(action, length(h || q) * 1000 + length(h)) AS action
+    FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id)
+SELECT p.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN f USING (page_id)"""
