@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempaudit.llm import quality_rules, secrets, url_filters
+from tempaudit.llm import bpe, quality_rules, secrets, url_filters
 from tempaudit.session import small_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,18 @@ def op3_secret_scan(spark, sf):
     return secrets.scan(table(spark, sf, "documents"))
 
 
+def vocabulary() -> str:
+    """The public byte-level vocabulary of 50,257 tokens on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op5_bpe_round_trip(spark, sf):
+    return bpe.round_trip(table(spark, sf, "documents"), vocabulary())
+
+
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"),
              ("com", "/de/", "block")]
 
