@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempaudit.llm import bpe, quality_rules, secrets, url_filters
+from tempaudit.llm import bpe, embedding_dedup, quality_rules, secrets, url_filters
 from tempaudit.session import small_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,8 @@ r(h, q, action) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block
 f AS (SELECT page_id, arg_max(h || q, length(h || q) * 1000 + length(h)) AS rule, arg_max(action, length(h || q) * 1000 + length(h)) AS action
     FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id)
 SELECT p.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN f USING (page_id)"""
+
+
+@query
+def op9_embedding_near_dedup(spark, sf):
+    return embedding_dedup.links(table(spark, sf, "embeddings"))
