@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempaudit.llm import bpe, embedding_dedup, quality_rules, secrets, url_filters
+from tempaudit.llm import bpe, embedding_dedup, ngram_join, quality_rules, secrets, url_filters
 from tempaudit.session import small_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op4_quality_rules(spark, sf):
     return quality_rules.repetition(table(spark, sf, "documents"))
 
 
+@query
+def op2_ngram_jaccard_join(spark, sf):
+    return ngram_join.near_duplicates(table(spark, sf, "documents"))
+
+
 @query
 def op3_secret_scan(spark, sf):
     return secrets.scan(table(spark, sf, "documents"))
