@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempaudit.llm import bpe, embedding_dedup, ngram_join, quality_rules, secrets, url_filters
+from tempaudit.llm import bpe, embedding_dedup, mixing, ngram_join, quality_rules, secrets, url_filters
 from tempaudit.session import small_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,15 @@ def op4_quality_rules(spark, sf):
     return quality_rules.repetition(table(spark, sf, "documents"))
 
 
+@query
+def op1_source_mix(spark, sf):
+    docs = table(spark, sf, "documents")
+    chosen = mixing.mix(docs, F.array("source"), mixing.cycled(5, 2, 1))
+    sources = F.broadcast(spark.createDataFrame([s[:3] for s in chosen.sources], "source string, source_size long, target double"))
+    mixed = chosen.documents.withColumn("name", F.col("members")[0]).join(sources, F.col("name").eqNullSafe(F.col("source")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query
 def op2_ngram_jaccard_join(spark, sf):
     return ngram_join.near_duplicates(table(spark, sf, "documents"))
