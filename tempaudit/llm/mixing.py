@@ -41,7 +41,7 @@ def capped_targets(sizes: list[int], weights: list[float], total: float, cap: fl
         share = {i: total * weights[i] / weight if weight else 0.0 for i in open_}
         over = {i for i in open_ if share[i] > cap * sizes[i]}
         for i in over or open_:
-            target[i] = cap * sizes[i] if over else share[i]
+            target[i] = float(cap * sizes[i]) if over else share[i]
         if not over:
             break
         total -= sum(target[i] for i in over)
