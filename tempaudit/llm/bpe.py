@@ -25,8 +25,6 @@ LETTER, NUMBER, SPACE, OTHER = range(4)
 #: Fixed by the vocabulary's splitting rule: endings that an apostrophe opens.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 LATE = np.int64(1 << 40)
-#: Words whose exact merging a Python worker remembers.
-REMEMBERED = 200_000
 
 
 @cache
@@ -75,6 +73,11 @@ class Vocabulary:
                 self.left[made], self.right[made], self.rank[made] = ids[a], ids[b], rank
         pairs.sort()
         self.pair_keys, self.pair_ranks, self.pair_made = (np.array(x, np.int64) for x in zip(*pairs))
+        made = np.flatnonzero(self.rank >= 0)
+        if not (np.maximum(self.rank[self.left[made]], self.rank[self.right[made]]) < self.rank[made]).all():
+            raise ValueError(f"{path} merges tokens before it makes them")
+        self.made_by = np.zeros(len(model["merges"]), np.int64)
+        self.made_by[self.pair_ranks] = self.pair_made
         self.byte_ids = np.array([ids[c] for c in sorted(symbols, key=symbols.get)], np.int64)
         self.lengths = np.array([len(p) for p in self.pieces], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
@@ -156,20 +159,50 @@ class Vocabulary:
         order = np.argsort(word, kind="stable")
         return word[order], ids[order]
 
-    def merge(self, piece: bytes) -> list[int]:
-        """BPE of one word by its definition: the earliest merge first, of equal ones the leftmost."""
-        ids = self.byte_ids[list(piece)]
-        while len(ids) > 1:
-            ranks = self.ranks_of(ids[:-1], ids[1:])
-            i = int(ranks.argmin())
-            if ranks[i] == LATE:
-                break
-            made = self.pair_made[np.searchsorted(self.pair_keys, ids[i] << 20 | ids[i + 1])]
-            ids = np.concatenate([ids[:i], [made], ids[i + 2:]])
-        return ids.tolist()
-
-
-_EXACT: dict[bytes, list[int]] = {}
+    def merge(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """BPE of byte ranges by its definition: in every word all pairs of its earliest merge, from the left, then again.
+
+        A token's merges come after the one that makes it, so the pairs of one merge can be joined together.
+        """
+        size = end - start
+        word = np.repeat(np.arange(len(start)), size)
+        first = np.concatenate([[0], np.cumsum(size)])
+        ids = self.byte_ids[data[np.arange(len(word)) - first[word] + start[word]]]
+        rank = np.full(len(ids), LATE)  # of each token with the next one of its word
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        rank[inner] = self.ranks_of(ids[inner], ids[inner + 1])
+        done_words, done_ids = [], []
+        while len(ids):
+            begins = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            size = np.diff(np.append(begins, len(ids)))
+            least = np.minimum.reduceat(rank, begins)
+            over = np.repeat(least == LATE, size)
+            if over.any():
+                done_words.append(word[over])
+                done_ids.append(ids[over])
+                word, ids, rank = word[~over], ids[~over], rank[~over]
+                size, least = size[least < LATE], least[least < LATE]
+                if not len(ids):
+                    break
+            hits = np.flatnonzero(rank == np.repeat(least, size))
+            apart = np.append(True, (np.diff(hits) > 1) | (word[hits][1:] != word[hits][:-1]))
+            run = np.maximum.accumulate(np.where(apart, np.arange(len(hits)), 0))
+            at = hits[(np.arange(len(hits)) - run) % 2 == 0]  # a a a: the first two join
+            ids[at] = self.made_by[rank[at]]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            at = at - np.arange(len(at))  # one token is gone for each earlier pair
+            word, ids, rank = word[keep], ids[keep], rank[keep]
+            for left in (at - 1, at):
+                left = left[(left >= 0) & (left + 1 < len(ids))]
+                same = word[left] == word[left + 1]
+                rank[left[same]] = self.ranks_of(ids[left[same]], ids[left[same] + 1])
+                rank[left[~same]] = LATE
+            if at[-1] == len(ids) - 1:
+                rank[-1] = LATE
+        word, ids = np.concatenate(done_words), np.concatenate(done_ids)
+        order = np.argsort(word, kind="stable")
+        return word[order], ids[order]
 
 
 def encode_words(vocab: Vocabulary, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,30 +213,15 @@ def encode_words(vocab: Vocabulary, data: np.ndarray, start: np.ndarray, end: np
     distinct, back = np.unique(pair, return_inverse=True)
     failing = ~vocab.stable(distinct >> 20, distinct & 0xFFFFF)[back]
     bad = np.unique(word[:-1][same][failing])
-    count = np.bincount(word, minlength=len(start))
-    if not len(bad):
-        return ids, np.concatenate([[0], np.cumsum(count)])
-    if len(_EXACT) > REMEMBERED:
-        _EXACT.clear()
-    exact = []
-    raw = data.tobytes()
-    for a, b in zip(start[bad].tolist(), end[bad].tolist()):
-        piece = raw[a:b]
-        found = _EXACT.get(piece)
-        if found is None:
-            found = vocab.merge(piece)
-            if len(piece) < 100:
-                _EXACT[piece] = found
-        exact.append(found)
-    is_bad = np.zeros(len(start), bool)
-    is_bad[bad] = True
-    keep = ~is_bad[word]
-    sizes = [len(x) for x in exact]
-    word = np.concatenate([word[keep], np.repeat(bad, sizes)])
-    ids = np.concatenate([ids[keep], np.array([t for x in exact for t in x], np.int64)])
-    order = np.argsort(word, kind="stable")
-    count[bad] = sizes
-    return ids[order], np.concatenate([[0], np.cumsum(count)])
+    if len(bad):
+        exact, exact_ids = vocab.merge(data, start[bad], end[bad])
+        passed = np.ones(len(start), bool)
+        passed[bad] = False
+        keep = passed[word]
+        word, ids = np.concatenate([word[keep], bad[exact]]), np.concatenate([ids[keep], exact_ids])
+        order = np.argsort(word, kind="stable")
+        word, ids = word[order], ids[order]
+    return ids, np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(start)))])
 
 
 def split_words(chars: np.ndarray, first: np.ndarray) -> np.ndarray:
