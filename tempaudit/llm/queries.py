@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempaudit.llm import bpe, embedding_dedup, mixing, ngram_join, quality_rules, secrets, url_filters
+from tempaudit.llm import bpe, embedding_dedup, mixing, ngram_join, quality_classifier, quality_rules, secrets, url_filters
 from tempaudit.session import small_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,13 @@ SELECT p.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p
 @query
 def op9_embedding_near_dedup(spark, sf):
     return embedding_dedup.links(table(spark, sf, "embeddings"))
+
+
+def judged(docs, sf):
+    """Documents by the quality classifier; a source stands for a host, its languages for the host's paths."""
+    return quality_classifier.classify(docs, table(docs.sparkSession, sf, "labels"), F.col("source"), F.col("lang"))
+
+
+@query
+def op10_quality_classifier(spark, sf):
+    return judged(table(spark, sf, "documents"), sf)
