@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempaudit.llm import bpe, embedding_dedup, mixing, ngram_join, quality_classifier, quality_rules, secrets, url_filters
+from tempaudit.llm import bpe, embedding_dedup, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, secrets, url_filters
 from tempaudit.session import small_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,12 @@ def op5_bpe_round_trip(spark, sf):
     return bpe.round_trip(table(spark, sf, "documents"), vocabulary())
 
 
+@query
+def op7_line_dedup(spark, sf):
+    out = line_dedup.dedup_lines(table(spark, sf, "documents"))
+    return out.select("doc_id", "n_lines", "n_exact", "n_near", "removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"),
              ("com", "/de/", "block")]
 
