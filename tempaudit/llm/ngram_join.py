@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     base = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text).alias("text"))
     signed = written(signatures(base, "text", "doc"), "signatures")
     full = signed.filter("size > 0 AND doc IS NOT NULL")
-    own = full.select("doc", "one", "two", "size").distinct()
+    own = written(full.select("doc", "one", "two", "size").distinct(), "sets")
     classes = written(own.groupBy("one", "two").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("size").alias("size")), "classes")
     keys = ["doc", "one", "two"]
     reps = full.select(*keys, "signature").join(classes.select(F.col("rep").alias("doc"), "one", "two"), keys).dropDuplicates(keys)
@@ -265,22 +265,27 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     blocks = F.greatest(F.ceil(texts / BLOCK_TEXTS), F.ceil(words / BLOCK_SHINGLES), F.least(F.ceil(texts / 64), F.lit(SPREAD)))
     plan = members.groupBy("group").agg(blocks.cast("int").alias("blocks"))
     placed = members.join(plan, "group").withColumn("block", F.pmod(F.xxhash64("one"), F.col("blocks")).cast("int"))
-    tiles = base.join(placed, base.doc == placed.rep).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    # both sides are shuffled at every size: a group may hold any share of the texts
+    tiles = base.join(placed.hint("merge"), base.doc == placed.rep).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "group", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), (F.col("block") > F.col("other")).alias("right"),
         "rep", "n", "one", "two", "text")
     found = written(verified_links(tiles, threshold), "verified")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    per_doc = own.join(classes.drop("size"), ["one", "two"]).join(linked, "rep", "left").groupBy("doc").agg(
-        F.min("rep").alias("rep"), F.max("rep").alias("other"), F.sum(F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    several = per_doc.filter("rep <> other").select(F.col("rep").alias("u"), F.col("other").alias("v"))
+    named = own.join(classes.select("one", "two", "rep"), ["one", "two"])
+    several = named.groupBy("doc").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).filter("u <> v").select("u", "v")
     roots = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")).unionByName(several))
-    out = signed.select("doc").join(per_doc, "doc", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    return out.select(F.col("doc").alias(id_column), F.coalesce("root", "rep", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
-                      F.coalesce("rep", "doc").alias("copy_of"))
+    per_class = classes.join(linked, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").select(
+        "one", "two", "rep", F.coalesce("root", "rep").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    per_class = written(per_class, "class-links")  # so that a class of very many copies is a plain join, which can be split
+    per_doc = own.join(per_class, ["one", "two"]).groupBy("doc").agg(
+        F.min("rep").alias("copy_of"), F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links"))
+    out = signed.select("doc").join(per_doc, "doc", "left")
+    return out.select(F.col("doc").alias(id_column), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+                      F.coalesce("copy_of", "doc").alias("copy_of"))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", id_column: str = "doc_id", threshold: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` whose id is their class's smallest; all columns stay.  Rows with a null id stay, as they are in no class."""
     found = near_duplicates(docs, text, id_column, threshold)
     gone = found.filter(F.col(id_column) != F.col("class_id")).select(F.col(id_column).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_column) == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col(id_column) == F.col("_gone"), "left_anti")
