@@ -176,5 +176,5 @@ def mixed_rows(docs: DataFrame, chosen: Mix, id_column: str = "doc_id") -> DataF
     """
     uses = chosen.documents.groupBy(F.col(id_column).alias("_id")).agg(F.round(F.try_divide(F.sum("taken"), F.sum("size"))).cast("int").alias("_uses"))
     uses = uses.filter("_uses > 0")
-    out = docs.join(uses, F.col(id_column).eqNullSafe(F.col("_id"))).withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("_uses"))))
+    out = docs.join(uses.hint("merge"), F.col(id_column).eqNullSafe(F.col("_id"))).withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("_uses"))))
     return out.select(*[docs[c] for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempaudit.llm import bpe, embedding_dedup, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, secrets, url_filters
+from tempaudit.llm import bpe, embedding_dedup, line_dedup, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, secrets, url_filters
 from tempaudit.session import small_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,12 @@ def op5_bpe_round_trip(spark, sf):
     return bpe.round_trip(table(spark, sf, "documents"), vocabulary())
 
 
+@query
+def op6_lm_scoring(spark, sf):
+    training = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) != 2
+    return lm_scoring.score(table(spark, sf, "documents"), vocabulary(), training)
+
+
 @query
 def op7_line_dedup(spark, sf):
     out = line_dedup.dedup_lines(table(spark, sf, "documents"))
