@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNIX_MAX = 4_102_444_800  # fixed value: 2100-01-01, the upper end of plausible epoch seconds
+EXCEL_DAYS = (25_000, 100_000)  # fixed value: serial days a log can hold (1968 to 2173)
 EXCEL_EPOCH_DAYS = 25_569  # fixed value: days from 1899-12-30 to 1970-01-01
 
 
@@ -16,11 +17,13 @@ def numeric(text: Column) -> Column:
 
 
 def timestamp_format(lowest: Column, highest: Column) -> Column:
-    """``unix`` if all values are numbers in the epoch range, else ``iso``."""
-    return F.when((lowest >= 0) & (highest <= UNIX_MAX), "unix").otherwise("iso")
+    """``excel`` if all values are serial days, ``unix`` if all are in the epoch range, else ``iso``."""
+    return F.when((lowest >= EXCEL_DAYS[0]) & (highest <= EXCEL_DAYS[1]), "excel").when(
+        (lowest >= 0) & (highest <= UNIX_MAX), "unix").otherwise("iso")
 
 
 def detect_format(df: DataFrame, text: str, key=("run_id",)) -> DataFrame:
+    """Format of each run's instants, judged on all its values together: one log has one format."""
     number = numeric(F.col(text))
     whole = F.count(number) == F.count(text)
     return df.groupBy(*key).agg(
@@ -40,14 +43,12 @@ def has_offset(text: Column) -> Column:
     return text.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
 
 
-def parse(text: Column, zone: Column | str = "UTC") -> Column:
-    """Epoch numbers, Excel serial days (1 to 100000) and ISO text; naive text is in ``zone``."""
+def parse(text: Column, fmt: Column, zone: Column | str = "UTC") -> Column:
+    """Instant of a text by its run's format (see ``detect_format``); naive ISO text is in ``zone``."""
     zone = F.lit(zone) if isinstance(zone, str) else zone
-    n = numeric(text)
     iso = F.try_to_timestamp(text)
     local = F.when(has_offset(text), iso).otherwise(F.to_utc_timestamp(iso, zone))
-    return F.when(n.between(1, 100_000), from_excel_serial(text)).when(
-        n.between(0, UNIX_MAX), from_unix(text)).otherwise(local)
+    return F.when(fmt == "excel", from_excel_serial(text)).when(fmt == "unix", from_unix(text)).otherwise(local)
 
 
 def resolve_zone(df: DataFrame, zones: DataFrame, name: str = "zone") -> DataFrame:

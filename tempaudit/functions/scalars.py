@@ -55,7 +55,7 @@ def short_run_id(spec_json: Column, content: Column) -> Column:
 
 
 def email_hash(email: Column) -> Column:
-    return F.substring(F.sha2(F.lower(F.trim(email)).cast("binary"), 256), 1, 16)
+    return F.substring(F.sha2(email.cast("binary"), 256), 1, 16)
 
 
 def one_of(value: Column, aliases: dict[str, str]) -> Column:
@@ -102,19 +102,27 @@ def _number(text: Column) -> Column:
     return text.try_cast("double")
 
 
+# fixed values: the patterns and words of the service's log lines
+COMPILE_WORDS = "compilation|compile|processing completed"
+TOOK_SECONDS = r"(?i)(?:completed|took|finished).*?(\d+\.?\d*)\s*(?:s|sec|seconds)(?![a-z])"
+TOOK_MILLIS = r"(?i)(?:duration|took).*?(\d+)\s*(?:ms|milliseconds)"
+ACCESS_LINE = r'"([A-Z]+)\s+([^"]+)"\s+(\d+)\s+(\d+)'
+VERIFY_MESSAGES, VERIFY_LINES = "verify|verification|bundle check", "verify|verification|bundle"
+BAD_MESSAGES, BAD_LINES = "error|fail", "error|fail|invalid|corrupt"
+
+
 def compile_seconds(line: Column, record: Column) -> Column:
     """Compile duration in seconds from structured fields or from ``took 3.2s`` / ``took 250 ms``."""
-    about = F.lower(record["msg"]).rlike("compilation|compile|processing completed")
+    about = F.lower(record["msg"]).rlike(COMPILE_WORDS)
     structured = F.when(about, F.coalesce(record["duration_ms"] / 1000, record["duration"]))
-    in_s = _number(F.regexp_extract(line, r"(?i)(?:completed|took|finished).*?(\d+\.?\d*)\s*(?:s|sec|seconds)(?![a-z])", 1))
-    in_ms = _number(F.regexp_extract(line, r"(?i)(?:duration|took).*?(\d+)\s*(?:ms|milliseconds)", 1)) / 1000
+    in_s = _number(F.regexp_extract(line, TOOK_SECONDS, 1))
+    in_ms = _number(F.regexp_extract(line, TOOK_MILLIS, 1)) / 1000
     return F.coalesce(structured, in_s, in_ms)
 
 
 def request_fields(line: Column, record: Column) -> Column:
-    access = r'"([A-Z]+)\s+([^"]+)"\s+(\d+)\s+(\d+)'
     structured = record["status"].isNotNull() & record["method"].isNotNull()
-    part = lambda i: F.nullif(F.regexp_extract(line, access, i), F.lit(""))
+    part = lambda i: F.nullif(F.regexp_extract(line, ACCESS_LINE, i), F.lit(""))
     return F.struct(
         F.when(structured, record["method"]).otherwise(part(1)).alias("method"),
         F.when(structured, F.coalesce(record["path"], F.lit(""))).otherwise(part(2)).alias("path"),
@@ -124,8 +132,8 @@ def request_fields(line: Column, record: Column) -> Column:
 def verify_event(line: Column, record: Column) -> Column:
     """Null for other lines, else whether the verification failed."""
     msg, raw = F.lower(record["msg"]), F.lower(line)
-    structured = F.when(msg.rlike("verify|verification|bundle check"), msg.rlike("error|fail"))
-    free = F.when(raw.rlike("verify|verification|bundle"), raw.rlike("error|fail|invalid|corrupt"))
+    structured = F.when(msg.rlike(VERIFY_MESSAGES), msg.rlike(BAD_MESSAGES))
+    free = F.when(raw.rlike(VERIFY_LINES), raw.rlike(BAD_LINES))
     return F.coalesce(structured, free)
 
 

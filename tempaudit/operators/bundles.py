@@ -5,12 +5,10 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempaudit.session import rows_per_task
-
 # fixed values: parts every bundle must hold
 REQUIRED_PARTS = ("raw_data", "specification", "normalized_data", "decision", "plot", "report")
 
@@ -37,50 +35,52 @@ def manifest_line(path: Column, size: Column) -> Column:
     return F.format_string("sha256 %d %s\n", size, path)
 
 
-def _digest_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _digest_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digest of each bundle's lines, which arrive sorted and adjacent; holds one running hash."""
-    current, running = None, None
+    nothing = object()
+    current, running, kind = nothing, None, None
+
+    def closed():
+        return pa.RecordBatch.from_arrays([pa.array([current], kind), pa.array([running.hexdigest()], pa.string())], ["bundle_id", "digest"])
+
     for batch in batches:
-        for bundle, lines in batch.groupby("bundle_id", sort=False)["line"]:
-            if bundle != current:
-                if running is not None:
-                    yield pd.DataFrame({"bundle_id": [current], "digest": [running.hexdigest()]})
+        kind = batch.column(0).type
+        for bundle, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if current is nothing or bundle != current:
+                if current is not nothing:
+                    yield closed()
                 current, running = bundle, hashlib.sha256()
-            running.update("".join(lines).encode())
-    if running is not None:
-        yield pd.DataFrame({"bundle_id": [current], "digest": [running.hexdigest()]})
+            if line is not None:
+                running.update(line.encode())
+    if current is not nothing:
+        yield closed()
 
 
-def ordered_digest(df: DataFrame, line: Column, limit: int | None = None) -> DataFrame:
+def ordered_digest(df: DataFrame, line: Column) -> DataFrame:
     """SHA-256 over the bundle's lines in path order.
 
-    Ordinary bundles are hashed by built-in functions.  Where one is too large for that, its
-    sorted lines stream through a running hash instead; nothing is collected.
+    A digest is sequential, so a bundle is one task's work; its sorted lines stream through a running hash and
+    nothing is collected, whatever the bundle's size.  A null line adds nothing, a null path comes first, and
+    rows without a bundle id are a bundle of their own with a null id.
     """
-    limit = limit or min(rows_per_task(df.sparkSession), 100_000)
-    largest = df.groupBy("bundle_id").count().agg(F.max("count")).first()[0] or 0
-    lines = df.select("bundle_id", "path", line.alias("line"))
-    if largest <= limit:
-        ordered = F.transform(F.sort_array(F.collect_list(F.struct("path", "line"))), lambda x: x["line"])
-        return lines.groupBy("bundle_id").agg(F.sha2(F.array_join(ordered, "").cast("binary"), 256).alias("digest"))
-    kind = dict(lines.dtypes)["bundle_id"]
-    placed = lines.repartition("bundle_id").sortWithinPartitions("bundle_id", "path").select("bundle_id", "line")
-    return placed.mapInPandas(_digest_stream, f"bundle_id {kind}, digest string")
-
-
-def root_digest(manifest: DataFrame, limit: int | None = None) -> DataFrame:
+    kind = df.schema["bundle_id"].dataType.simpleString()
+    lines = df.select("bundle_id", "path", line.alias("line")).repartition("bundle_id").sortWithinPartitions("bundle_id", "path", "line")
+    return lines.select("bundle_id", "line").mapInArrow(_digest_stream, f"bundle_id {kind}, digest string")
+
+
+def root_digest(manifest: DataFrame) -> DataFrame:
     """Digest over sizes and paths."""
-    return ordered_digest(manifest, manifest_line(F.col("path"), F.col("size_bytes")), limit)
+    return ordered_digest(manifest, manifest_line(F.col("path"), F.col("size_bytes")))
 
 
-def content_digest(manifest: DataFrame, limit: int | None = None) -> DataFrame:
+def content_digest(manifest: DataFrame) -> DataFrame:
     """Digest over the concatenated file hashes."""
-    return ordered_digest(manifest, F.col("sha256"), limit)
+    return ordered_digest(manifest, F.col("sha256"))
 
 
-def canonical_manifest(manifest: DataFrame, limit: int | None = None) -> DataFrame:
+def canonical_manifest(manifest: DataFrame) -> DataFrame:
     """Digest over the files as canonical JSON, keys in sorted order."""
-    return ordered_digest(manifest, F.to_json(F.struct("path", "sha256", "size_bytes")), limit)
+    return ordered_digest(manifest, F.to_json(F.struct("path", "sha256", "size_bytes")))
 
 
 def bundle_verdict(file_states: DataFrame, digests: DataFrame, stored: DataFrame, replay: DataFrame | None = None) -> DataFrame:

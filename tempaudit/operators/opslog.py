@@ -82,7 +82,7 @@ def health_summary(events: DataFrame, now: Column, short="interval 5 minutes", l
 def daily_artifacts(files: DataFrame) -> DataFrame:
     """Uploads, verdicts and sizes per day from a listing (path, size, day, status)."""
     ends = lambda x: F.col("path").endswith(x)
-    mb = lambda x: F.round(F.coalesce(F.sum(F.when(ends(x), F.col("size_bytes"))), F.lit(0)) / 1048576, 4)
+    mb = lambda x: F.round(F.coalesce(F.sum(F.when(ends(x), F.col("size_bytes"))), F.lit(0)) / 1048576, 2)
     return files.groupBy("day").agg(
         F.count_if(ends(".csv")).alias("uploads"), F.count_if(ends("decision.json") & (F.col("status") == "PASS")).alias("passes"),
         F.count_if(ends("decision.json") & (F.col("status") == "FAIL")).alias("fails"), mb(".pdf").alias("pdf_mb"), mb(".zip").alias("zip_mb"),
@@ -90,9 +90,10 @@ def daily_artifacts(files: DataFrame) -> DataFrame:
 
 
 def daily_log_metrics(lines: DataFrame, day: Column, line="line") -> DataFrame:
-    low = F.lower(F.col(line))
-    compiles = low.contains("compile")
+    """Requests, errors and ends of compilations per day, by the words of the service's log lines."""
+    text, low = F.col(line), F.lower(F.col(line))
+    succeeded = low.contains("compilation success")
     return lines.groupBy(day.alias("day")).agg(
-        F.count_if(low.contains("request") | low.contains('" ')).alias("requests"), F.count_if(low.contains("error")).alias("errors"),
-        F.count_if(compiles & low.contains("done")).alias("compile_successes"),
-        F.count_if(compiles & low.contains("fail")).alias("compile_failures"))
+        F.count_if(text.contains('"POST /') | text.contains('"GET /')).alias("requests"), F.count_if(low.contains("error")).alias("errors"),
+        F.count_if(succeeded).alias("compile_successes"),
+        F.count_if(~succeeded & low.contains("compilation fail")).alias("compile_failures"))

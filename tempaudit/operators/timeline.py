@@ -160,7 +160,7 @@ class Timeline:
         inner = base.withColumns({f"_l_{n}": _over_boxed(s, local) for n, s in scans.items()})
         summary = base.groupBy(*group).agg(*[_piece_summary(s, rank).alias(f"_s_{n}") for n, s in scans.items()])
         carry = summary.select(*group, *[_carry(s, F.col(f"_s_{n}"), across).alias(f"_c_{n}") for n, s in scans.items()])
-        joined = inner.join(carry, group, "left")
+        joined = _join_null_safe(inner, carry, group)
         done = joined.withColumns(
             {n: _merge(s, F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n, s in scans.items()}
         ).drop(*[f"_{p}_{n}" for n in scans for p in ("l", "c")])
@@ -224,6 +224,13 @@ class Timeline:
         return Timeline(self.df.filter(cond), self.key, self.order, self.parts, self._fresh)
 
 
+def _join_null_safe(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join in which a null key meets a null key, as windows and groups treat it."""
+    other = table.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return rows.join(other, same, "left").drop(*[f"_k_{k}" for k in keys])
+
+
 def _over(s: Scan, w) -> Column:
     if s.kind == "prev":
         return F.lag(s.expr).over(w)

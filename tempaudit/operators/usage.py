@@ -96,12 +96,12 @@ def monthly_extras(changes: DataFrame) -> DataFrame:
 def recent_jobs(jobs: DataFrame, k: int, user="user_id") -> DataFrame:
     """Newest ``k`` jobs of each user.  The rank limit is applied before the shuffle."""
     w = Window.partitionBy(user).orderBy(F.col("us").desc(), F.col("job_id").desc())
-    return jobs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= min(k, 50))
+    return jobs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def job_time(directory: Column) -> Column:
-    """Creation time from a ``yyyyMMdd_HHmmss_id`` directory name."""
-    return F.try_to_timestamp(F.regexp_extract(directory, r"(\d{8}_\d{6})_", 1), F.lit("yyyyMMdd_HHmmss"))
+    """Creation time from a ``yyyy-MM-dd_HHmmss_id`` directory name."""
+    return F.try_to_timestamp(F.regexp_extract(directory, r"^(\d{4}-\d{2}-\d{2}_\d{6})_", 1), F.lit("yyyy-MM-dd_HHmmss"))
 
 
 def page_of(jobs: DataFrame, page: int, per_page=5, user="user_id") -> DataFrame:

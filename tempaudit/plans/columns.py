@@ -195,18 +195,24 @@ def c04r(spark, sf):
     return df.groupBy("run_id", "sensor", "converted").agg(F.round(F.avg("value"), 8).alias("mean_value"))
 
 
-@query("c05_timestamp_parsing", f"""WITH {S} SELECT seq, CASE run_id % 4 WHEN 0 THEN us // 1000000 * 1000000
+@query("c05_timestamp_parsing", f"""WITH {S} SELECT seq, CASE run_id % 5 WHEN 4 THEN (us - min(us) OVER (PARTITION BY run_id)) // 1000000 * 1000000 ELSE CASE run_id % 4 WHEN 0 THEN us // 1000000 * 1000000
   WHEN 1 THEN us // 3600000000 * 3600000000 WHEN 2 THEN us // 1000000 * 1000000
-  ELSE us // 1000000 * 1000000 + 18000000000 END AS utc_us FROM s""")
+  ELSE us // 1000000 * 1000000 + 18000000000 END END AS utc_us FROM s""")
 def c05(spark, sf):
+    """Epoch seconds, serial days, text with and without offset, and seconds counted from a run's start."""
     t = F.timestamp_micros("us")
     text = (
-        F.when(F.col("run_id") % 4 == 0, F.expr("us div 1000000L").cast("string"))
+        F.when(F.col("run_id") % 5 == 4, F.expr("(us - start_us) div 1000000L").cast("string"))
+        .when(F.col("run_id") % 4 == 0, F.expr("us div 1000000L").cast("string"))
         .when(F.col("run_id") % 4 == 1, (F.expr("us div 3600000000L") / 24.0 + clock.EXCEL_EPOCH_DAYS).cast("string"))
         .when(F.col("run_id") % 4 == 2, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
         .otherwise(F.date_format(t, "yyyy-MM-dd HH:mm:ss")))
     zone = F.when(F.col("run_id") % 4 == 3, "-05:00").otherwise("UTC")
-    at = samples(spark, sf).select("seq", F.unix_micros(clock.parse(text, zone)).alias("us"))
+    s = samples(spark, sf)
+    starts = s.groupBy("run_id").agg(F.min("us").alias("start_us"))
+    texts = s.join(starts, "run_id").select("run_id", "seq", text.alias("text"), zone.alias("zone"))
+    formats = clock.detect_format(texts, "text")
+    at = texts.join(formats, "run_id").select("seq", F.unix_micros(clock.parse(F.col("text"), F.col("ts_format"), F.col("zone"))).alias("us"))
     # serial days carry about a microsecond of rounding
     return at.select("seq", (F.round(F.col("us") / 1000) * 1000).cast("long").alias("utc_us"))
 
@@ -265,12 +271,12 @@ def c14(spark, sf):
 
 
 @query("c15_content_hash", """SELECT doc_id, sha256(text) AS digest, substr(sha256(concat('{"lang":"', lang, '"}', text)), 1, 10) AS short_id,
-  substr(sha256(lower(trim(source)) || '@example.com'), 1, 16) AS owner FROM documents""")
+  substr(sha256(upper(source) || ' @example.com'), 1, 16) AS owner FROM documents""")
 def c15(spark, sf):
     spec = F.to_json(F.struct("lang"))
     return table(spark, sf, "documents").select(
         "doc_id", scalars.content_hash(F.col("text")).alias("digest"), scalars.short_run_id(spec, F.col("text")).alias("short_id"),
-        scalars.email_hash(F.concat("source", F.lit("@example.com"))).alias("owner"))
+        scalars.email_hash(F.concat(F.upper("source"), F.lit(" @example.com"))).alias("owner"))
 
 
 def log_lines(spark, sf):

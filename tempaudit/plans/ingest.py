@@ -50,14 +50,15 @@ def a02(spark, sf):
     return textlog.metadata(log_files(spark, sf)).select("file", F.col("metadata")["job"].alias("job"), F.col("metadata")["operator"].alias("operator"))
 
 
-@query("a03_encoding_probe", """SELECT doc_id, ['utf-8','utf-8-sig','utf-16-le','utf-16-be'][doc_id % 4 + 1] AS encoding, length(text) AS n FROM documents WHERE text <> ''""")
+@query("a03_encoding_probe", """SELECT doc_id, ['utf-8','utf-8-sig','utf-16-le','utf-16-be','utf-32-le','utf-32-be'][doc_id % 6 + 1] AS encoding, length(text) AS n FROM documents""")
 def a03(spark, sf):
-    k = F.col("doc_id") % 4
+    k = F.col("doc_id") % 6
     text = F.col("text")
     content = (
         F.when(k == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8"))).when(k == 2, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE")))
-        .when(k == 3, F.concat(F.unhex(F.lit("FEFF")), F.encode(text, "UTF-16BE"))).otherwise(F.encode(text, "UTF-8")))
-    raw = table(spark, sf, "documents").filter("text <> ''").select("doc_id", content.alias("content"))
+        .when(k == 3, F.concat(F.unhex(F.lit("FEFF")), F.encode(text, "UTF-16BE"))).when(k == 4, F.concat(F.unhex(F.lit("FFFE0000")), F.encode(text, "UTF-32LE")))
+        .when(k == 5, F.concat(F.unhex(F.lit("0000FEFF")), F.encode(text, "UTF-32BE"))).otherwise(F.encode(text, "UTF-8")))
+    raw = table(spark, sf, "documents").select("doc_id", content.alias("content"))
     return raw.select("doc_id", textlog.encoding_of(F.col("content")).alias("encoding"), F.length(textlog.decode_content(F.col("content"))).cast("long").alias("n"))
 
 
@@ -67,12 +68,12 @@ def a04(spark, sf):
 
 
 @query("a05_decimal_commas", """WITH t AS (SELECT o_orderkey AS k, o_totalprice AS p, CAST(floor(o_totalprice) AS BIGINT) AS w, CAST(round(o_totalprice * 100) AS BIGINT) % 100 AS c FROM orders),
-x AS (SELECT k, w, lpad(c::VARCHAR, 2, '0') AS c, lpad((w % 1000)::VARCHAR, 3, '0') AS low, w // 1000 AS high FROM t WHERE w >= 1000)
+x AS (SELECT k, w, lpad(c::VARCHAR, 2, '0') AS c, lpad((w % 1000)::VARCHAR, 3, '0') AS low, w // 1000 AS high FROM t)
 SELECT k, CASE k % 5 WHEN 0 THEN high || low || '.' || c WHEN 1 THEN w || '.' || c WHEN 2 THEN '# ' || high || '.' || low || ',' || c
   WHEN 3 THEN 'no digits here' ELSE 'a,b,c,' || w || ',' || c END AS line FROM x""")
 def a05(spark, sf):
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
-    t = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.floor("o_totalprice").alias("w"), F.lpad((cents % 100).cast("string"), 2, "0").alias("c")).filter("w >= 1000")
+    t = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.floor("o_totalprice").alias("w"), F.lpad((cents % 100).cast("string"), 2, "0").alias("c"))
     high, low = F.expr("cast(w div 1000 as string)"), F.lpad((F.col("w") % 1000).cast("string"), 3, "0")
     k = F.col("k") % 5
     line = (
@@ -82,11 +83,16 @@ def a05(spark, sf):
     return t.select("k", textlog.normalize_decimals(line).alias("line"))
 
 
-@query("a06_parse_warnings", f"""WITH {S}, a AS (SELECT run_id, bool_or(seq % 101 <> 0 AND seq % 103 = 0) AS bad, bool_or(seq % 101 = 0) AS em FROM s GROUP BY run_id)
-SELECT run_id::VARCHAR AS file, concat_ws(',', CASE WHEN bad THEN 'unparsed_cells' END, CASE WHEN em THEN 'empty_cells' END) AS warnings,
-  CASE WHEN bad OR em THEN 'INDETERMINATE' ELSE 'OK' END AS status FROM a""")
+@query("a06_parse_warnings", f"""WITH {S}, a AS (SELECT run_id, bool_or(seq % 7 = 0) AND run_id % 3 = 0 AS wide,
+  run_id % 4 = 1 OR run_id % 4 = 0 AND bool_or(seq % 101 <> 0 AND seq % 103 <> 0) AS commas FROM s GROUP BY run_id)
+SELECT run_id::VARCHAR AS file, concat_ws(',', CASE WHEN wide THEN 'delimiter_fallback' END, CASE WHEN wide AND commas THEN 'parse_failure' END) AS warnings,
+  CASE WHEN wide AND commas THEN 'ERROR' WHEN wide THEN 'INDETERMINATE' ELSE 'OK' END AS status FROM a""")
 def a06(spark, sf):
-    return textlog.parse_status(log_files(spark, sf)).select("file", F.array_join("warnings", ",").alias("warnings"), "status")
+    """A third of the runs have lines with a cell too many; commas help where no cell holds a decimal comma."""
+    run = F.col("file").cast("long")
+    extra = (run % 3 == 0) & (F.col("place.n") >= 0) & (F.col("place.n") % 7 == 0)
+    lines = log_files(spark, sf).withColumn("line", F.when(extra, F.concat("line", F.expr(DELIM.replace("run_id", "cast(file as long)")), F.lit("x"))).otherwise(F.col("line")))
+    return textlog.parse_status(lines, safe_mode=True).select("file", F.array_join("warnings", ",").alias("warnings"), "status")
 
 
 @query("a08_dataset_registry", f"""WITH {CORPUS} SELECT industry, count(*) AS datasets, count(*) FILTER (WHERE expected = 'PASS') AS expected_pass FROM c GROUP BY industry""")

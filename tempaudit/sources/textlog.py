@@ -7,25 +7,27 @@ aggregation; no step needs a whole file in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempaudit.functions import clock, names
 from tempaudit.functions.scalars import once
 
 DELIMITERS = (";", ",", "\t", "|")  # in order of preference on equal score
-CRITICAL = ("no_header", "no_rows")
+CRITICAL = ("no_header", "no_rows", "parse_failure")
 
 # fixed values: byte-order marks as hex, longest first
 BYTE_ORDER_MARKS = (("FFFE0000", "utf-32-le"), ("0000FEFF", "utf-32-be"), ("EFBBBF", "utf-8-sig"), ("FFFE", "utf-16-le"), ("FEFF", "utf-16-be"))
-JAVA_NAMES = {"utf-32-le": "UTF-32", "utf-32-be": "UTF-32", "utf-8-sig": "UTF-8", "utf-16-le": "UTF-16", "utf-16-be": "UTF-16", "utf-8": "UTF-8"}
 
 
 def scan_lines(spark: SparkSession, paths) -> DataFrame:
-    """Lines of UTF-8 files with their file and place."""
+    """Lines of UTF-8 files with their file and place; a line that is no UTF-8 is read as latin1 (``encoding``)."""
     text = spark.read.text(paths)
     place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
-    return text.select(F.col("_metadata.file_path").alias("file"), place.alias("place"), F.col("value").alias("line"))
+    good = F.is_valid_utf8("value")
+    line = F.when(good, F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
+    return text.select(F.col("_metadata.file_path").alias("file"), place.alias("place"), line.alias("line"),
+                       F.when(good, "utf-8").otherwise("latin1").alias("encoding"))
 
 
 def encoding_of(content: Column) -> Column:
@@ -38,11 +40,12 @@ def encoding_of(content: Column) -> Column:
 
 
 def decode_content(content: Column) -> Column:
-    """Text without its mark.  UTF-32 is rare and left to the caller's reader."""
+    """Text without its mark."""
     name, skip = encoding_of(content), lambda n: F.expr(f"substring(content, {n + 1})")
     return (
         F.when(name == "utf-8-sig", F.decode(skip(3), "UTF-8")).when(name == "utf-16-le", F.decode(skip(2), "UTF-16LE"))
-        .when(name == "utf-16-be", F.decode(skip(2), "UTF-16BE")).when(name == "utf-8", F.decode(content, "UTF-8")))
+        .when(name == "utf-16-be", F.decode(skip(2), "UTF-16BE")).when(name.startswith("utf-32"), F.decode(content, "UTF-32"))
+        .otherwise(F.decode(content, "UTF-8")))
 
 
 def scan_encoded(spark: SparkSession, paths) -> DataFrame:
@@ -66,39 +69,49 @@ def data_lines(lines: DataFrame) -> DataFrame:
     return lines.filter(~F.startswith("line", F.lit("#")) & (F.trim("line") != ""))
 
 
-def leading_lines(data: DataFrame, leading=10) -> DataFrame:
-    """First data lines of each file; the rank limit is applied before the shuffle."""
-    w = Window.partitionBy("file").orderBy("place")
-    return data.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= leading)
-
-
 def layouts(data: DataFrame) -> DataFrame:
     """One row per file with data: delimiter, header names, index of the time column, place of the header.
 
-    The delimiter is judged on the leading lines: occurrences, halved unless equal on every line.
-    The time column is the first one with a time name, else one containing such a name, else the first.
+    The delimiter is judged on all lines: occurrences outside quotes, halved unless equal on every line that has any.
+    Where a line has more cells than the header, or the header none of the delimiter, comma is tried
+    instead (``fallback``); if that fails as well, ``failed`` is set.  The time column is the first one with a
+    time name, else one containing such a name, else the first.  All of it is one partial aggregate per file.
     """
-    head = leading_lines(data)
-    counts = F.array(*[F.struct(F.lit(-i).alias("rank"), F.lit(d).alias("d"), F.expr(
-        f"length(line) - length(replace(line, '{d}', ''))").alias("n")) for i, d in enumerate(DELIMITERS)])
-    per = head.select("file", F.explode(counts).alias("c")).filter("c.n > 0").groupBy("file", "c.d", "c.rank").agg(
-        F.sum("c.n").alias("total"), F.count_distinct("c.n").alias("kinds"))
-    score = F.col("total") * F.when(F.col("kinds") == 1, 1.0).otherwise(0.5)
-    best = per.groupBy("file").agg(F.max_by("d", F.struct(score, "rank")).alias("_d"))
-    header = head.filter("_rn = 1").select("file", F.col("place").alias("header_place"), F.col("line").alias("_header"))
-    found = header.join(best, "file", "left").withColumn("delimiter", F.coalesce("_d", F.lit(",")))
-    named = found.withColumn("names", F.transform(F.split("_header", _literal("delimiter")), lambda x: F.trim(x)))
+    bare = F.when(F.col("line").contains('"'), F.regexp_replace("line", '"[^"]*"', "")).otherwise(F.col("line"))
+    n = {i: F.length("bare") - F.length(F.replace("bare", F.lit(d))) for i, d in enumerate(DELIMITERS)}
+    header = F.min(F.struct("place", "line", *[c.alias(f"n{i}") for i, c in n.items()])).alias("h")
+    figures = [f(F.when(c > 0, c)).alias(f"{name}{i}") for i, c in n.items() for name, f in (("total", F.sum), ("low", F.min), ("high", F.max))]
+    counted = data.select("file", "place", "line", once(bare).alias("bare")).groupBy("file").agg(header, *figures)
+    score = [F.struct((F.col(f"total{i}") * F.when(F.col(f"low{i}") == F.col(f"high{i}"), 1.0).otherwise(0.5)).alias("score"), F.lit(-i).alias("rank"),
+                      F.lit(d).alias("d"), F.col(f"h.n{i}").alias("in_header"), F.col(f"high{i}").alias("high")) for i, d in enumerate(DELIMITERS)]
+    comma = DELIMITERS.index(",")
+    best = counted.select("file", "h", F.array_max(F.filter(F.array(*score), lambda x: x["score"].isNotNull())).alias("b"), F.col(f"h.n{comma}").alias("commas"),
+                          F.coalesce(F.col(f"high{comma}"), F.lit(0)).alias("most_commas"))
+    misfit = (F.col("b.high") > F.col("b.in_header")) & F.col("b").isNotNull()
+    found = best.select("file", F.col("h.place").alias("header_place"), F.col("h.line").alias("_header"), F.coalesce(misfit, F.lit(False)).alias("fallback"),
+                        F.when(misfit | F.col("b").isNull(), ",").otherwise(F.col("b.d")).alias("delimiter"), (F.col("most_commas") > F.col("commas")).alias("_odd"))
+    found = found.withColumn("failed", F.col("fallback") & F.col("_odd"))
+    named = found.withColumn("names", cells_of(F.col("_header"), "delimiter"))
     indexed = F.transform("names", lambda n, i: F.struct(F.lower(n).alias("name"), i.alias("i")))
     exact = F.filter(indexed, lambda x: x["name"].isin(*names.TIME_NAMES))
     loose = F.filter(indexed, lambda x: x["name"].rlike("|".join(names.TIME_NAMES)))
     at = F.coalesce(F.get(exact, F.lit(0))["i"], F.get(loose, F.lit(0))["i"], F.lit(0))
-    return named.select("file", "delimiter", "names", at.alias("time_at"), "header_place")
+    return named.select("file", "delimiter", "names", at.alias("time_at"), "header_place", "fallback", "failed")
 
 
 def _literal(delimiter: str) -> Column:
     return F.concat(F.lit("\\Q"), F.col(delimiter), F.lit("\\E"))
 
 
+def cells_of(line: Column, delimiter: str) -> Column:
+    """Trimmed cells of a line.  A delimiter inside double quotes is text; two double quotes stand for one."""
+    inside = F.concat(_literal(delimiter), F.lit('(?=(?:[^"]*"[^"]*")*[^"]*$)'))
+    quoted = lambda x: F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
+    bare = lambda x: F.when((F.length(x) > 1) & x.startswith('"') & x.endswith('"'), quoted(x)).otherwise(x)
+    return F.when(line.contains('"'), F.transform(F.split(line, inside), lambda x: bare(F.trim(x)))).otherwise(
+        F.transform(F.split(line, _literal(delimiter)), lambda x: F.trim(x)))
+
+
 def delimiters(data: DataFrame) -> DataFrame:
     return layouts(data).select("file", "delimiter")
 
@@ -123,7 +136,8 @@ def normalize_decimals(line: Column) -> Column:
 def readings(lines: DataFrame, zone="UTC") -> DataFrame:
     """Long-form readings of all files: ``file, place, us, ts_text, name, text, value``.
 
-    The instant is parsed once per line, before its cells become rows.
+    The instant is parsed once per line, before its cells become rows, in the format its file's
+    instants have together.
 
     The layout is one row per file and meets the lines by an equi join; a file that holds a
     large share of all lines is split there by the adaptive skew join.
@@ -131,14 +145,15 @@ def readings(lines: DataFrame, zone="UTC") -> DataFrame:
     data = data_lines(lines)
     body = data.join(layouts(data), "file").filter(F.col("place") > F.col("header_place"))
     text = F.when(F.col("delimiter") != ",", normalize_decimals(F.col("line"))).otherwise(F.col("line"))
-    cells = body.select("file", "place", "names", "time_at", once(F.split(text, _literal("delimiter"))).alias("cells"))
+    cells = body.select("file", "place", "names", "time_at", "delimiter", once(text).alias("line"))
+    cells = cells.select("file", "place", "names", "time_at", once(cells_of(F.col("line"), "delimiter")).alias("cells"))
     # the outer form keeps the optimizer from testing the cells a second time; no line is without cells
-    timed = cells.withColumn("ts_text", F.trim(F.get("cells", F.col("time_at"))))
-    timed = timed.select("*", once(F.unix_micros(clock.parse(F.col("ts_text"), zone))).alias("us"))
+    timed = cells.withColumn("ts_text", F.get("cells", F.col("time_at")))
+    timed = timed.join(clock.detect_format(timed, "ts_text", ("file",)), "file")
+    timed = timed.select("*", once(F.unix_micros(clock.parse(F.col("ts_text"), F.col("ts_format"), zone))).alias("us"))
     long = timed.select("file", "place", "us", "ts_text", "names", "time_at", F.posexplode_outer("cells").alias("i", "text"))
     return long.filter(F.col("i") != F.col("time_at")).select(
-        "file", "place", "us", "ts_text", F.get("names", F.col("i")).alias("name"), F.trim("text").alias("text"),
-        F.trim("text").try_cast("double").alias("value"))
+        "file", "place", "us", "ts_text", F.get("names", F.col("i")).alias("name"), "text", F.col("text").try_cast("double").alias("value"))
 
 
 def samples_of(long: DataFrame) -> DataFrame:
@@ -148,18 +163,21 @@ def samples_of(long: DataFrame) -> DataFrame:
         F.col("name").alias("sensor"), "value", "text")
 
 
-def parse_status(lines: DataFrame, safe_mode=True) -> DataFrame:
-    """Warnings per file and what they mean: critical ones are errors, others INDETERMINATE in safe mode."""
+def parse_status(lines: DataFrame, safe_mode=False) -> DataFrame:
+    """Warnings per file and what they mean: critical ones are errors, others INDETERMINATE in safe mode.
+
+    Lines read as latin1 (``encoding_fallback``) and lines with more cells than the header
+    (``delimiter_fallback``, with commas as well ``parse_failure``) warn; text and blank cells do not.
+    """
     data = data_lines(lines)
-    header = data.groupBy("file").agg(F.count(F.lit(1)).alias("data_lines"))
-    long = readings(lines)
-    bad = long.groupBy("file").agg(
-        F.count_if(F.col("text").isNotNull() & (F.col("text") != "") & F.col("value").isNull()).alias("bad_cells"),
-        F.count_if(F.coalesce(F.col("text"), F.lit("")) == "").alias("empty_cells"))
-    joined = lines.select("file").distinct().join(header, "file", "left").join(bad, "file", "left")
+    seen = lines.groupBy("file").agg(
+        F.count_if(~F.startswith("line", F.lit("#")) & (F.trim("line") != "")).alias("data_lines"),
+        F.count_if(F.col("encoding") == "latin1" if "encoding" in lines.columns else F.lit(False)).alias("unreadable"))
+    joined = seen.join(layouts(data).select("file", "fallback", "failed"), "file", "left")
     warnings = F.array_compact(F.array(
-        F.when(F.col("data_lines").isNull(), F.lit("no_header")), F.when(F.col("data_lines") == 1, F.lit("no_rows")),
-        F.when(F.col("bad_cells") > 0, F.lit("unparsed_cells")), F.when(F.col("empty_cells") > 0, F.lit("empty_cells"))))
+        F.when(F.col("data_lines") == 0, F.lit("no_header")), F.when(F.col("data_lines") == 1, F.lit("no_rows")),
+        F.when(F.col("unreadable") > 0, F.lit("encoding_fallback")), F.when(F.col("fallback"), F.lit("delimiter_fallback")),
+        F.when(F.col("failed"), F.lit("parse_failure"))))
     return joined.select("file", warnings.alias("warnings")).withColumn(
         "status", F.when(F.arrays_overlap("warnings", F.array(*map(F.lit, CRITICAL))), "ERROR").when(
             (F.size("warnings") > 0) & F.lit(safe_mode), "INDETERMINATE").otherwise("OK"))

@@ -16,7 +16,10 @@ TRACK_STATE = "holding boolean, start_us long, last_us long, best_s double, late
 
 def alert_windows(events: DataFrame, width="10 minutes", slide="1 minute", lateness="10 minutes", slow_s=5.0, error_pct=1.0,
                   verify_pct=0.5) -> DataFrame:
-    """Sliding alert figures over ``ts, compile_s, http_status, verify_error``; rows behind the watermark are dropped."""
+    """Sliding alert figures over ``ts, compile_s, http_status, verify_error``; rows behind the watermark are dropped.
+
+    ``p95_s`` is exact up to 10,000 compilations in a window; beyond, its rank is off by at most a 10,000th of them.
+    """
     bad, seen = F.count_if(F.col("http_status") >= 500), F.count("http_status")
     vbad, vseen = F.count_if("verify_error"), F.count("verify_error")
     w = events.withWatermark("ts", lateness).groupBy(F.window("ts", width, slide)).agg(
@@ -37,7 +40,8 @@ def _track(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
     """
     holding, start, last, best, late = state.get if state.exists else (False, 0, -1, 0.0, 0)
     if state.hasTimedOut:
-        state.remove()
+        # the row is final unless the run resumes; its best hold is kept for that
+        state.update((False, 0, last, best, late))
         yield _track_row(key, False, 0.0, best, last, late)
         return
     rows = pd.concat(list(chunks)).sort_values(["us", "seq"])

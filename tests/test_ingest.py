@@ -56,10 +56,32 @@ def test_metadata_and_status(spark, logs):
     assert meta["semi.csv"] == {"job": "J-1", "site": "north"} and meta["empty.csv"] == {"nothing": "here"}
     status = {stem(r["file"]): (r["status"], sorted(r["warnings"])) for r in textlog.parse_status(lines).collect()}
     assert status == {
-        "semi.csv": ("OK", []), "tab.csv": ("OK", []), "comma.csv": ("INDETERMINATE", ["empty_cells", "unparsed_cells"]),
+        "semi.csv": ("OK", []), "tab.csv": ("OK", []), "comma.csv": ("OK", []),
         "empty.csv": ("ERROR", ["no_header"]), "headonly.csv": ("ERROR", ["no_rows"])}
-    relaxed = {stem(r["file"]): r["status"] for r in textlog.parse_status(lines, safe_mode=False).collect()}
-    assert relaxed["comma.csv"] == "OK" and relaxed["empty.csv"] == "ERROR"
+
+
+def test_quotes_late_delimiters_and_fallbacks(spark, tmp_path):
+    late = "".join(f"2024-01-01T00:00:{i:02d}Z;{i}\n" for i in range(40))
+    files = {
+        "notes.csv": 'timestamp,temp,notes\n2024-01-01T00:00:00Z,180.0,"door open, then ""closed"""\n2024-01-01T00:00:30Z,181.0,\n',
+        "late.csv": "timestamp;v\n" + "2024-01-01T00:00:00Z;1 | 2 | 3\n" * 10 + late,
+        "wide.csv": "timestamp\ttemp\n2024-01-01T00:00:00Z\t1\n2024-01-01T00:00:30Z\t2\t3\n",
+        "broken.csv": "timestamp;temp\n2024-01-01T00:00:00Z;1,5;7\n",
+        "seconds.csv": "time,temp\n0,1\n30,2\n99990,3\n100020,4\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    (tmp_path / "bytes.csv").write_bytes("timestamp,tür\n2024-01-01T00:00:00Z,1\n".encode("latin1"))
+    lines = textlog.scan_lines(spark, str(tmp_path))
+    rows = [(stem(r["file"]), r["name"], r["text"], r["us"]) for r in textlog.readings(lines).collect()]
+    assert ("notes.csv", "notes", 'door open, then "closed"', 1704067200 * 10**6) in rows and sum(r[0] == "notes.csv" for r in rows) == 4
+    assert sorted(r[3] // 10**6 for r in rows if r[0] == "seconds.csv") == [0, 30, 99_990, 100_020]
+    assert {stem(r["file"]): r["delimiter"] for r in textlog.delimiters(textlog.data_lines(lines)).collect()}["late.csv"] == ";"
+    for safe, softer in ((False, "OK"), (True, "INDETERMINATE")):
+        status = {stem(r["file"]): (r["status"], r["warnings"]) for r in textlog.parse_status(lines, safe).collect()}
+        assert status["wide.csv"] == (softer, ["delimiter_fallback"]) and status["bytes.csv"] == (softer, ["encoding_fallback"])
+        assert ("bytes.csv", "tür") in {(r[0], r[1]) for r in rows}
+        assert status["broken.csv"] == ("ERROR", ["delimiter_fallback", "parse_failure"]) and status["notes.csv"] == ("OK", [])
 
 
 def test_encodings(spark, tmp_path):
@@ -68,11 +90,13 @@ def test_encodings(spark, tmp_path):
     (tmp_path / "b.csv").write_bytes(b"\xff\xfe" + text.encode("utf-16-le"))
     (tmp_path / "c.csv").write_bytes(b"\xfe\xff" + text.encode("utf-16-be"))
     (tmp_path / "d.csv").write_text(text)
+    (tmp_path / "e.csv").write_bytes(b"\xff\xfe\x00\x00" + text.encode("utf-32-le"))
+    (tmp_path / "f.csv").write_bytes(b"\x00\x00\xfe\xff" + text.encode("utf-32-be"))
     lines = textlog.scan_encoded(spark, str(tmp_path))
     kinds = {stem(r["file"]): r["encoding"] for r in lines.select("file", "encoding").distinct().collect()}
-    assert kinds == {"a.csv": "utf-8-sig", "b.csv": "utf-16-le", "c.csv": "utf-16-be", "d.csv": "utf-8"}
+    assert kinds == {"a.csv": "utf-8-sig", "b.csv": "utf-16-le", "c.csv": "utf-16-be", "d.csv": "utf-8", "e.csv": "utf-32-le", "f.csv": "utf-32-be"}
     got = textlog.readings(lines.drop("encoding")).collect()
-    assert {(stem(r["file"]), r["name"], r["value"]) for r in got} == {(f, "temp_°C", 1.5) for f in ("a.csv", "b.csv", "c.csv", "d.csv")}
+    assert {(stem(r["file"]), r["name"], r["value"]) for r in got} == {(f, "temp_°C", 1.5) for f in ("a.csv", "b.csv", "c.csv", "d.csv", "e.csv", "f.csv")}
 
 
 @pytest.mark.parametrize("raw, want", [
@@ -156,6 +180,9 @@ def test_fahrenheit_names_and_clock(spark):
     rows = [("temp_F", True), ("shelf", False), ("°F probe", True), ("degF", True), ("fahrenheit", True), ("offset", False), ("temp_C", False)]
     df = spark.createDataFrame(rows, "n string, want boolean").withColumn("got", units.named_fahrenheit(F.col("n")))
     assert [(r["n"], r["got"]) for r in df.collect()] == rows
-    texts = [("1704067200", 0), ("45292", 0), ("2024-01-01T00:00:00Z", 0), ("2023-12-31T19:00:00-05:00", 0), ("2024-01-01 00:00:00", -3600)]
-    got = spark.createDataFrame(texts, "t string, w long").select(F.unix_micros(clock.parse(F.col("t"), "Europe/Berlin")).alias("us"), "w").collect()
-    assert [r["us"] // 10**6 - 1704067200 for r in got] == [r["w"] for r in got]
+    texts = [(1, "1704067200", 0), (2, "45292", 0), (3, "2024-01-01T00:00:00Z", 0), (3, "2023-12-31T19:00:00-05:00", 0), (3, "2024-01-01 00:00:00", -3600)]
+    texts += [(4, str(s), s - 1704067200) for s in (0, 30, 99_990, 100_020)]  # seconds from a run's start stay one clock
+    df = spark.createDataFrame(texts, "run_id long, t string, w long")
+    parsed = F.unix_micros(clock.parse(F.col("t"), F.col("ts_format"), "Europe/Berlin"))
+    got = df.join(clock.detect_format(df, "t"), "run_id").select(parsed.alias("us"), "w").collect()
+    assert len(got) == len(texts) and [r["us"] // 10**6 - 1704067200 for r in got] == [r["w"] for r in got]

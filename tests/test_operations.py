@@ -8,13 +8,28 @@ from pyspark.sql import functions as F
 from tempaudit.operators import bundles, stats, usage
 
 
-def test_digest_forms_agree(spark):
+def test_digests_in_path_order(spark):
     rows = [(b, f"p{i:03d}", hashlib.sha256(f"{b}{i}".encode()).hexdigest(), i * 7) for b in range(5) for i in range(40 if b == 2 else 6)]
     random.Random(1).shuffle(rows)
     m = spark.createDataFrame(rows, "bundle_id long, path string, sha256 string, size_bytes long")
     want = {b: hashlib.sha256("".join(f"sha256 {s} {p}\n" for bb, p, _, s in sorted(rows) if bb == b).encode()).hexdigest() for b in range(5)}
-    for limit in (1000, 10):  # built-in functions, then the stream of lines
-        assert {r["bundle_id"]: r["digest"] for r in bundles.root_digest(m, limit).collect()} == want
+    assert {r["bundle_id"]: r["digest"] for r in bundles.root_digest(m).collect()} == want
+
+
+def test_digests_with_nulls_at_any_size(spark):
+    rows = [(None, f"p{i}", None if i % 3 == 0 else f"h{i}") for i in range(7)] + [(2**60 + 1, None, "x"), (2**60 + 1, "a", "y"), (5, "only", None)]
+    want = {None: "h1h2h4h5", 2**60 + 1: "xy", 5: ""}
+    for n in (1, 3, 50):  # rows and partitions change nothing
+        m = spark.createDataFrame(rows, "bundle_id long, path string, sha256 string").repartition(n)
+        got = {r["bundle_id"]: r["digest"] for r in bundles.content_digest(m).collect()}
+        assert got == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in want.items()}
+
+
+def test_recent_jobs_and_directory_times(spark):
+    jobs = spark.createDataFrame([(i, 1, i) for i in range(80)], "job_id long, user_id long, us long")
+    assert usage.recent_jobs(jobs, 70).count() == 70
+    names = spark.createDataFrame([("2024-03-05_070809_ab12",), ("20240305_070809_ab12",), ("misc",)], "d string")
+    assert [r.t for r in names.select(F.unix_seconds(usage.job_time(F.col("d"))).alias("t")).collect()] == [1709622489, None, None]
 
 
 def test_signup_rules_against_loop(form, spark):

@@ -211,3 +211,10 @@ def test_join_run(form, series):
     assert {r["run_id"]: r["n"] for r in got} == {k: len(v) for k, v in runs.items()}
     half = tl.join_run(means.filter("run_id < 2"), "left_semi").rows().select("run_id").distinct().collect()
     assert {r["run_id"] for r in half} == {0, 1}
+
+
+def test_null_keys_in_both_forms(form, spark):
+    rows = [(None, i * 10**6, i, float(i)) for i in range(40)] + [(1, i * 10**6, i, float(i)) for i in range(12)]
+    line = Timeline.open(spark.createDataFrame(rows, "run_id long, us long, seq long, value double"))
+    got = line.scan(n=position(), total=run_sum("value")).rows().collect()
+    assert sorted((r.run_id or 0, r.n, r.total) for r in got) == sorted([(0, i + 1, i * (i + 1) / 2) for i in range(40)] + [(1, i + 1, i * (i + 1) / 2) for i in range(12)])
