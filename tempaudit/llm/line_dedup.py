@@ -8,12 +8,14 @@ can match.  Lines that meet are compared by a bit-parallel edit distance on the
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempaudit.llm.textops import LEAD, Hasher, find_words, mix, over_texts
+from tempaudit.llm.textops import LEAD, SPACE, Hasher, mix, over_texts
 from tempaudit.session import scratch_path
 
 EDITS = 2
@@ -31,10 +33,7 @@ class Lines:
     """Lines of texts: document, number in it, byte range, byte range without outer white space, length in characters, hash."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, least: int = LEAST_CHARS):
-        words, self.hashes = find_words(data, bounds), Hasher(data)
-        # byte places of characters, one more for the end
-        self.points = np.concatenate([[0], np.cumsum(LEAD[data])])
-        self.places = np.append(np.flatnonzero(LEAD[data]), len(data))
+        self.data, self.points = data, np.concatenate([[0], np.cumsum(LEAD[data])])
         breaks = np.flatnonzero(data == 10)
         doc = np.concatenate([np.arange(len(bounds) - 1), np.searchsorted(bounds, breaks, side="right") - 1])
         start = np.concatenate([bounds[:-1], breaks + 1])
@@ -44,13 +43,42 @@ class Lines:
         self.end = np.where(last, bounds[self.doc + 1], np.append(self.start[1:], 0) - 1) if len(self.doc) else self.start
         first = np.searchsorted(self.doc, np.arange(len(bounds) - 1))
         self.number = np.arange(len(self.doc)) - first[self.doc]
-        head, tail = np.searchsorted(words.start, self.start), np.searchsorted(words.start, self.end) - 1
-        full = tail >= head
-        self.left, self.right = self.start.copy(), self.start.copy()
-        self.left[full], self.right[full] = words.start[head[full]], words.end[tail[full]]
+        self.left, self.right = self._stripped(self.start, self.end)
         self.chars = self.points[self.right] - self.points[self.left]
         self.long = self.chars >= least
-        self.key = self.hashes.ranges(self.left, self.right) & np.uint64(0xFFFFFFFFFFFFFFFE)
+
+    def _stripped(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left, right, data = start.copy(), end.copy(), self.data
+        for at, step, other in ((left, 1, right), (right, -1, left)):
+            rows = np.flatnonzero(left < right)
+            for _ in range(8):  # most lines have hardly any white space at their ends
+                rows = rows[SPACE[data[at[rows] - (step < 0)]]]
+                at[rows] += step
+                rows = rows[left[rows] < right[rows]]
+                if not len(rows):
+                    break
+            if len(rows):
+                solid = np.flatnonzero(~SPACE[data])
+                if step > 0:
+                    found = np.append(solid, len(data))[np.searchsorted(solid, at[rows])]
+                    at[rows] = np.minimum(found, other[rows])
+                else:
+                    found = np.append(0, solid + 1)[np.searchsorted(solid, at[rows])]
+                    at[rows] = np.maximum(found, other[rows])
+        return left, right
+
+    @cached_property
+    def hashes(self) -> Hasher:
+        return Hasher(self.data)
+
+    @cached_property
+    def key(self) -> np.ndarray:
+        return self.hashes.ranges(self.left, self.right) & np.uint64(0xFFFFFFFFFFFFFFFE)
+
+    @cached_property
+    def places(self) -> np.ndarray:
+        """Byte places of the characters, and one for the end."""
+        return np.append(np.flatnonzero(LEAD[self.data]), len(self.data))
 
     def pieces(self, rows: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the segments and probes of lines, each with the line's key and, in its lowest bit, 1 for a probe."""
@@ -188,35 +216,40 @@ def within(codes: list[np.ndarray], i: np.ndarray, j: np.ndarray, edits: int) ->
 
 def near_lines(tiles: DataFrame, edits: int) -> DataFrame:
     """Lines that are within so many edits of a line that came earlier; input rows carry ``no_id``, ``id``, ``row``, ``number`` and ``text``."""
-    def judge(members):
+    def pairs(members):
+        """Pairs of a tile that may be close, each with the line that goes if they are."""
         probe = np.array([m[0] for m in members])
         codes = [np.frombuffer(m[3].encode("utf-32-le"), np.uint32) for m in members]
         bag = np.stack([np.bincount(c & 31, minlength=32) for c in codes]).astype(np.int32)
         left, right = np.flatnonzero(~probe), np.flatnonzero(probe)
-        if not len(left) or not len(right):
-            return set()
         far = np.abs(bag[left][:, None] - bag[right][None]).sum(2)  # one edit changes at most two counts by one
-        i, j = np.nonzero(far <= 2 * edits)
-        i, j = left[i], right[j]
-        other = np.array([members[a][1] != members[b][1] for a, b in zip(i, j)], bool)
-        i, j = i[other], j[other]
-        found = within(codes, i, j, edits)
-        return {max((members[a][2], members[a][1]), (members[b][2], members[b][1]))[1] for a, b in zip(i[found], j[found])}
+        for i, j in zip(*np.nonzero(far <= 2 * edits)):
+            x, y = members[left[i]], members[right[j]]
+            if x[1] != y[1]:
+                yield codes[left[i]], codes[right[j]], max((x[2], x[1]), (y[2], y[1]))[1]
 
     def run(batches):
-        tile, members = None, []
+        tile, members, waiting = None, [], []
+
+        def verdict():
+            codes = [c for a, b, _ in waiting for c in (a, b)]
+            place = 2 * np.arange(len(waiting))
+            sure = within(codes, place, place + 1, edits)
+            return pa.RecordBatch.from_pydict({"line": pa.array(sorted({waiting[k][2] for k in np.flatnonzero(sure)}), pa.int64())})
+
         for batch in batches:
             columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "a", "b", "probe", "line", "no_id", "id", "row", "number", "text")]
-            out = []
             for key, a, b, probe, line, no_id, id_, row, number, text in zip(*columns):
                 if (key, a, b) != tile:
-                    out += judge(members) if len(members) > 1 else []
+                    waiting += pairs(members) if members else []
                     tile, members = (key, a, b), []
+                    if sum(len(x) for x, _, _ in waiting[-1:]) * len(waiting) > CELLS // 4:
+                        yield verdict()
+                        waiting = []
                 members.append((probe, line, (no_id, id_ if not no_id else 0, row, number), text))
-            if out:
-                yield pa.RecordBatch.from_pydict({"line": pa.array(out, pa.int64())})
-        if len(members) > 1 and (out := judge(members)):
-            yield pa.RecordBatch.from_pydict({"line": pa.array(list(out), pa.int64())})
+        waiting += pairs(members) if members else []
+        if waiting:
+            yield verdict()
 
     ordered = tiles.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
     return ordered.mapInArrow(run, "line long").distinct()
