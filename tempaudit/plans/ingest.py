@@ -54,10 +54,15 @@ def a02(spark, sf):
 def a03(spark, sf):
     k = F.col("doc_id") % 6
     text = F.col("text")
+
+    def utf_32(big):
+        digits = F.transform(F.split(text, ""), lambda c: F.lpad(F.hex(F.ascii(c)), 8, "0"))
+        return F.unhex(F.array_join(digits if big else F.transform(digits, lambda h: F.concat(*[F.substring(h, i, 2) for i in (7, 5, 3, 1)])), ""))
+
     content = (
         F.when(k == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8"))).when(k == 2, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE")))
-        .when(k == 3, F.concat(F.unhex(F.lit("FEFF")), F.encode(text, "UTF-16BE"))).when(k == 4, F.concat(F.unhex(F.lit("FFFE0000")), F.encode(text, "UTF-32LE")))
-        .when(k == 5, F.concat(F.unhex(F.lit("0000FEFF")), F.encode(text, "UTF-32BE"))).otherwise(F.encode(text, "UTF-8")))
+        .when(k == 3, F.concat(F.unhex(F.lit("FEFF")), F.encode(text, "UTF-16BE"))).when(k == 4, F.concat(F.unhex(F.lit("FFFE0000")), utf_32(False)))
+        .when(k == 5, F.concat(F.unhex(F.lit("0000FEFF")), utf_32(True))).otherwise(F.encode(text, "UTF-8")))
     raw = table(spark, sf, "documents").select("doc_id", content.alias("content"))
     return raw.select("doc_id", textlog.encoding_of(F.col("content")).alias("encoding"), F.length(textlog.decode_content(F.col("content"))).cast("long").alias("n"))
 
