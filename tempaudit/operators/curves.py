@@ -87,18 +87,19 @@ def heating_check(tl: Timeline, tolerance=2.0, value="value") -> DataFrame:
         "heating_detected", F.coalesce(F.col("max_rise") > tolerance, F.lit(False)))
 
 
-def gas_phases(tl: Timeline, lo=50.0, hi=60.0, value="value", gas="k") -> DataFrame:
-    """Sterilisation phase per run: first sample in range up to the first later gas drop below 10 % of the median."""
-    median = tl.quantile(gas, 0.5, "gas_median")
-    in_range = F.col(value).between(lo, hi)
-    starts = tl.per_run(
-        F.min(F.when(in_range, F.col("us"))).alias("phase_start_us"), F.min("us").alias("run_start_us"),
-        F.max("us").alias("run_end_us"))
-    drop = tl.join_run(median).rows().filter(F.col(gas) < F.col("gas_median") * 0.1)
-    drops = drop.groupBy(*tl.key).agg(F.min("us").alias("first_drop_us"))
-    found = starts.join(median, tl.key).join(drops, tl.key, "left")
+def with_gas_phase(tl: Timeline, lo=50.0, hi=60.0, value="value", gas="k") -> Timeline:
+    """Rows with their run's sterilisation phase: first sample in range up to the first later gas drop below 10 % of the median."""
+    line = tl.attach_quantile(gas, 0.5, "gas_median").attach(
+        phase_start_us=F.min(F.when(F.col(value).between(lo, hi), F.col("us"))), run_start_us=F.min("us"), run_end_us=F.max("us"))
+    line = line.attach(first_drop_us=F.min(F.when(F.col(gas) < F.col("gas_median") * 0.1, F.col("us"))))
     end = F.when(F.col("first_drop_us") > F.col("phase_start_us"), F.col("first_drop_us")).otherwise(F.col("run_end_us"))
-    return found.withColumn("phase_end_us", F.when(F.col("phase_start_us").isNotNull(), end))
+    return line.with_columns(phase_end_us=F.when(F.col("phase_start_us").isNotNull(), end))
+
+
+def gas_phases(tl: Timeline, lo=50.0, hi=60.0, value="value", gas="k") -> DataFrame:
+    """The phase of each run."""
+    names = ("phase_start_us", "run_start_us", "run_end_us", "gas_median", "first_drop_us", "phase_end_us")
+    return with_gas_phase(tl, lo, hi, value, gas).per_run(*[F.first(n).alias(n) for n in names])
 
 
 def in_phase() -> Column:

@@ -179,22 +179,22 @@ def low_share(df: DataFrame, minimum, limit_pct=5.0, value="k", key=("run_id",))
 # -- phases and leading windows ------------------------------------------------------------------
 
 
-def phase_checks(tl: Timeline, phases: DataFrame, humidity="k", gas="value") -> DataFrame:
-    """Humidity and gas inside the sterilisation phase, and the evacuation at the end of the run."""
-    whole = tl.per_run(F.max(gas).alias("peak_gas"), F.max_by(gas, F.struct(*tl.order)).alias("final_gas"))
-    phase = tl.join_run(phases.select(*tl.key, "phase_start_us", "phase_end_us")).where(in_phase())
-    inside = phase.rows()
+def phase_checks(line: Timeline, humidity="k", gas="value", *more: Column) -> DataFrame:
+    """Humidity and gas inside the sterilisation phase, and the evacuation at the end of the run.
+
+    ``line`` carries the phase (``curves.with_gas_phase``).  Without a phase four fifths of all samples must have the
+    right humidity.  ``more`` are further aggregates of the run.
+    """
+    inside = _true(in_phase())
+    line = line.with_columns(_in=inside).attach_quantile(F.when(inside, F.col(gas)), 0.5, "_median")
     ok = _true(F.col(humidity).between(45.0, 85.0))
-    hum = inside.groupBy(*tl.key).agg(F.every(ok).alias("humidity_ok"), ((1 - F.avg(ok.cast("double"))) * 100).alias("humidity_bad_pct"))
-    median = phase.quantile(gas, 0.5, "_median")
-    kept = phase.join_run(median).rows().groupBy(*tl.key).agg(
-        (F.avg(_true(F.col(gas) >= F.col("_median") * 0.5).cast("double"))).alias("gas_kept_share"))
-    joined = whole.join(hum, tl.key, "left").join(kept, tl.key, "left")
-    return joined.select(
-        *tl.key, F.coalesce("humidity_ok", F.lit(True)).alias("humidity_ok"),
-        F.coalesce("humidity_bad_pct", F.lit(0.0)).alias("humidity_bad_pct"),
-        F.coalesce(F.col("gas_kept_share") >= 0.9, F.lit(True)).alias("gas_kept"),
-        ((F.col("peak_gas") > 100) & (F.col("final_gas") > F.col("peak_gas") * 0.1)).alias("evacuation_incomplete"))
+    share = lambda cond: F.avg(F.when(F.col("_in"), cond.cast("double")))
+    reached = F.first("phase_start_us").isNotNull()
+    kept = share(_true(F.col(gas) >= F.col("_median") * 0.5))
+    return line.per_run(
+        F.when(reached, F.coalesce(F.every(F.when(F.col("_in"), ok)), F.lit(True))).otherwise(F.avg(ok.cast("double")) >= 0.8).alias("humidity_ok"),
+        F.coalesce((1 - share(ok)) * 100, F.lit(0.0)).alias("humidity_bad_pct"), F.coalesce(kept >= 0.9, F.lit(True)).alias("gas_kept"),
+        ((F.max(gas) > 100) & (F.max_by(gas, F.struct(*line.order)) > F.max(gas) * 0.1)).alias("evacuation_incomplete"), *more)
 
 
 def first_hours(tl: Timeline, hours=24.0) -> DataFrame:

@@ -177,6 +177,27 @@ class Timeline:
         joined = self.df.join(spots.join(table, self.key), [*self.key, PIECE], how)
         return Timeline(joined, self.key, self.order, self.parts, False)
 
+    def attach(self, **aggs: Column) -> "Timeline":
+        """Per-run aggregates as columns of the rows.
+
+        Plain runs take them from windows on the partitioning they have, which reads and shuffles nothing anew;
+        cut runs merge partials and meet the result once per piece.
+        """
+        if not self.pieces:
+            whole = Window.partitionBy(*self.key)
+            return Timeline(self.df.withColumns({n: a.over(whole) for n, a in aggs.items()}), self.key, self.order, 0, False)
+        return self._attached(self.per_run(*[a.alias(n) for n, a in aggs.items()]))
+
+    def attach_quantile(self, expr, p: float, name: str) -> "Timeline":
+        """Exact interpolated quantile of the run as a column of the rows."""
+        if not self.pieces:
+            return self.attach(**{name: F.percentile(_col(expr), F.lit(p))})
+        return self._attached(self.quantile(expr, p, name))
+
+    def _attached(self, table: DataFrame) -> "Timeline":
+        spots = _join_null_safe(self.df.select(*self.key, PIECE).distinct(), table, self.key)
+        return Timeline(_join_null_safe(self.df, spots, [*self.key, PIECE]), self.key, self.order, self.parts, False)
+
     # -- per-run results ---------------------------------------------------------------------
 
     def per_run(self, *aggs: Column) -> DataFrame:

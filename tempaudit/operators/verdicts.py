@@ -264,15 +264,15 @@ def autoclave_verdict_independent(tl: Timeline, target=121.0, min_f0=8.0, min_ho
 # -- gas sterilisation -----------------------------------------------------------------------------
 
 
-def sterile_verdict(tl: Timeline, lo=50.0, hi=60.0, min_hold_s=7200.0, value="value", humidity="k", gas="gas") -> DataFrame:
-    """Ethylene-oxide cycle over its identified phase."""
-    phases = curves.gas_phases(tl, lo, hi, value, gas)
-    hold = holds.latched_hold(tl, lo, 1.0, value).select(*tl.key, "hold_s")
-    checks = stats.phase_checks(tl, phases, humidity, gas)
-    whole = tl.per_run(F.count(F.lit(1)).alias("samples"), F.min(value).alias("min_temp"), F.max(value).alias("max_temp"))
-    inside = tl.join_run(phases.select(*tl.key, "phase_start_us", "phase_end_us")).where(curves.in_phase())
-    floor = inside.rows().groupBy(*tl.key).agg(F.min(value).alias("_phase_min"))
-    f = whole.join(phases, tl.key).join(hold, tl.key).join(checks, tl.key).join(floor, tl.key, "left")
+def sterile_verdict(tl: Timeline, lo=50.0, hi=60.0, min_hold_s=7200.0, value="value", humidity="k", gas="gas", require_humidity=False,
+                    require_gas=False) -> DataFrame:
+    """Ethylene-oxide cycle over its identified phase; a required signal without any value cannot be judged."""
+    line = curves.with_gas_phase(tl, lo, hi, value, gas)
+    checks = stats.phase_checks(
+        line, humidity, gas, F.count(F.lit(1)).alias("samples"), F.min(value).alias("min_temp"), F.max(value).alias("max_temp"),
+        F.first("phase_start_us").alias("phase_start_us"), F.first("phase_end_us").alias("phase_end_us"),
+        F.min(F.when(F.col("_in"), F.col(value))).alias("_phase_min"), F.count(humidity).alias("_humidities"), F.count(gas).alias("_gases"))
+    f = checks.join(holds.latched_hold(tl, lo, 1.0, value).select(*tl.key, "hold_s"), tl.key)
     reached = F.col("phase_start_us").isNotNull()
     hot = F.col("max_temp") > hi
     # without a phase the whole series is looked at
@@ -283,11 +283,12 @@ def sterile_verdict(tl: Timeline, lo=50.0, hi=60.0, min_hold_s=7200.0, value="va
     phase_s = seconds(F.col("phase_end_us"), F.col("phase_start_us"))
     phases_ok = F.when(range_ok & time_ok, True).when(reached, phase_s >= min_hold_s).otherwise(True)
     passed = range_ok & time_ok & F.col("humidity_ok") & F.col("gas_kept") & phases_ok
-    status = F.when(F.col("samples") < 2, "ERROR").when(passed, "PASS").otherwise("FAIL")
-    codes = [_code(reached & ~time_ok, "time_short"), _code(~reached, "never_in_range"), _code(hot, "too_hot"),
+    lacking = (F.lit(require_humidity) & (F.col("_humidities") == 0)) | (F.lit(require_gas) & (F.col("_gases") == 0))
+    status = F.when(F.col("samples") < 2, "ERROR").when(lacking, "INDETERMINATE").when(passed, "PASS").otherwise("FAIL")
+    codes = [_code(lacking, "signal_missing"), _code(reached & ~time_ok, "time_short"), _code(~reached, "never_in_range"), _code(hot, "too_hot"),
              _code(dropped, "dropped_below"), _code(~F.col("humidity_ok"), "humidity_out"), _code(~F.col("gas_kept"), "gas_not_kept"),
              _code(F.col("evacuation_incomplete"), "evacuation_incomplete"), _code(~phases_ok, "phase_short")]
-    texts = [_text(reached & ~time_ok, "Sterilization time %.1fh too short", F.col("hold_s") / 3600),
+    texts = [F.when(lacking, F.lit("A required signal has no values")), _text(reached & ~time_ok, "Sterilization time %.1fh too short", F.col("hold_s") / 3600),
              F.when(~reached, F.lit("Temperature never reached sterilization range")),
              _text(hot, "Maximum temperature %.1f°C over limit", F.col("max_temp")),
              F.when(dropped, F.lit("Temperature dropped during sterilization phase")),
@@ -303,7 +304,7 @@ def sterile_verdict(tl: Timeline, lo=50.0, hi=60.0, min_hold_s=7200.0, value="va
 
 def concrete_verdict(tl: Timeline, readings: DataFrame | None = None, lo=16.0, hi=27.0, value="value", humidity: str | None = "k",
                      min_samples=10, required=95.0, day_hours=24.0, period_s=86_400.0, require_humidity=False) -> DataFrame:
-    """First-day compliance decides; range, stability and the critical period add reasons.
+    """First-day compliance decides; range, stability and the critical period add reasons; fewer than 5 samples are an error.
 
     ``readings`` are the separate sensors in long form where there are several.
     """
@@ -313,21 +314,22 @@ def concrete_verdict(tl: Timeline, readings: DataFrame | None = None, lo=16.0, h
     critical = stats.critical_period(tl, lo, hi, value, humidity or value, period_s)
     hold = holds.latched_hold(tl, lo, 0.5, value).select(*tl.key, "hold_s")
     base = tl.per_run(
-        F.min(value).alias("min_temp"), F.max(value).alias("max_temp"), F.avg(value).alias("mean_temp"),
+        F.count(F.lit(1)).alias("_n"), F.min(value).alias("min_temp"), F.max(value).alias("max_temp"), F.avg(value).alias("mean_temp"),
         seconds(F.max("us"), F.min("us")).alias("duration_s"), stats.pct(F.col(value).between(lo, hi)).alias("in_range_pct"))
     f = base.join(first, tl.key).join(stable, tl.key).join(hold, tl.key).join(critical, tl.key, "left")
-    status = F.col("status")
+    few = F.col("_n") < 5
+    status = F.when(few, "ERROR").otherwise(F.col("status"))
     failed = status == "FAIL"
     jumpy = F.col("max_rate_per_h") > 5.0
     crit_bad = ~F.coalesce("critical_ok", F.lit(False))
-    codes = [_code(status == "INDETERMINATE", "too_few_samples"), _code(failed, "first_day_out"),
+    codes = [_code(few, "too_short"), _code(status == "INDETERMINATE", "too_few_samples"), _code(failed, "first_day_out"),
              _code(failed & (F.col("duration_s") < 86_400), "period_short"), _code(failed & (F.col("in_range_pct") < 95), "range_out"),
              _code(failed & crit_bad, "critical_out"), _code(failed & (F.col("min_temp") < lo), "below_range"),
              _code(failed & (F.col("max_temp") > hi), "above_range"), _code(failed & jumpy, "unstable")]
-    texts = [_text(status == "INDETERMINATE", "Insufficient samples in 24h window: %d", F.col("samples_24h")),
-             _text(status != "INDETERMINATE", "24h window compliance: %.1f%%", F.col("ok_pct")),
+    texts = [_text(few, "Only %d samples in the log", F.col("_n")), _text(status == "INDETERMINATE", "Insufficient samples in 24h window: %d", F.col("samples_24h")),
+             _text(~few & (status != "INDETERMINATE"), "24h window compliance: %.1f%%", F.col("ok_pct")),
              _text(failed & jumpy, "Excessive temperature change rate: %.1f°C/h", F.col("max_rate_per_h"))]
-    held = F.when((status != "INDETERMINATE") & (F.col("in_range_pct") > 0), F.col("hold_s")).otherwise(0.0)
+    held = F.when(~few & (status != "INDETERMINATE") & (F.col("in_range_pct") > 0), F.col("hold_s")).otherwise(0.0)
     return _finish(f, tl.key, status, codes, texts, held.alias("hold_s"), "ok_pct", "in_range_pct", "critical_pct",
                    "max_rate_per_h", "min_temp", "max_temp")
 
@@ -396,9 +398,20 @@ def coldchain_verdict_independent(tl: Timeline, lo=2.0, hi=8.0, hard_lo=-5.0, ha
     return f.select(*tl.key, limits.alias("limits_ok"), "bad_events", (limits & (F.col("bad_events") == 0)).alias("pass"))
 
 
+def _powder_engine(tl: Timeline, sample_period_s=30.0, value="value") -> DataFrame:
+    """Powder rules over a timeline whose rows carry the specification, or over plain rows by the usual one."""
+    usual = {"target_temp": 180.0, "uncertainty": 2.0, "hold_time_s": 600.0, "hysteresis": 2.0, "max_dips_s": 0.0,
+             "max_ramp": None, "max_time_to_threshold_s": None}
+    rows = tl.rows()
+    missing = {k: F.lit(v).cast("double") for k, v in usual.items() if k not in rows.columns}
+    if "continuous" not in rows.columns:
+        missing["continuous"] = F.lit(True)
+    return powder_verdict(rows.withColumns(missing) if missing else rows, sample_period_s, value, tl.key)
+
+
 # industry -> verdict over a timeline; callers may add entries
 ENGINES = {
-    "powder": powder_verdict,
+    "powder": _powder_engine,
     "haccp": cooling_verdict,
     "autoclave": autoclave_verdict,
     "sterile": sterile_verdict,

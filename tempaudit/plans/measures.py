@@ -211,22 +211,22 @@ def g19(spark, sf):
 
 
 SQL_PHASE_CHECKS = f"""{SQL_PHASES},
-whole AS (SELECT run_id, max(value) AS peak, arg_max(value, us) AS final FROM s GROUP BY run_id),
+whole AS (SELECT run_id, max(value) AS peak, arg_max(value, us) AS final, avg(CASE WHEN k BETWEEN 45 AND 85 THEN 1.0 ELSE 0.0 END) AS hum_all FROM s GROUP BY run_id),
 ins AS (SELECT s.* FROM s JOIN ph USING (run_id) WHERE us >= phase_start_us AND us < phase_end_us),
 med AS (SELECT run_id, quantile_cont(value, 0.5) AS md FROM ins GROUP BY run_id),
 pc AS (SELECT run_id, bool_and(k BETWEEN 45 AND 85) AS hum_ok,
   (1 - avg(CASE WHEN k BETWEEN 45 AND 85 THEN 1.0 ELSE 0.0 END)) * 100 AS hum_bad,
   avg(CASE WHEN value >= md * 0.5 THEN 1.0 ELSE 0.0 END) AS kept FROM ins JOIN med USING (run_id) GROUP BY run_id),
-pchk AS (SELECT run_id, coalesce(hum_ok, true) AS humidity_ok, coalesce(hum_bad, 0) AS humidity_bad_pct,
+pchk AS (SELECT run_id, CASE WHEN phase_start_us IS NULL THEN hum_all >= 0.8 ELSE coalesce(hum_ok, true) END AS humidity_ok, coalesce(hum_bad, 0) AS humidity_bad_pct,
   coalesce(kept >= 0.9, true) AS gas_kept, peak > 100 AND final > peak * 0.1 AS evacuation_incomplete
-  FROM whole LEFT JOIN pc USING (run_id))"""
+  FROM whole JOIN ph USING (run_id) LEFT JOIN pc USING (run_id))"""
 
 
 @query("g20_phase_checks", f"""WITH {S}, {SQL_PHASE_CHECKS}
 SELECT run_id, humidity_ok, round(humidity_bad_pct, 6) AS humidity_bad_pct, gas_kept, evacuation_incomplete FROM pchk""")
 def g20(spark, sf):
     tl = timeline(spark, sf, "k")
-    return stats.phase_checks(tl, curves.gas_phases(tl)).select(
+    return stats.phase_checks(curves.with_gas_phase(tl)).select(
         "run_id", "humidity_ok", r("humidity_bad_pct"), "gas_kept", "evacuation_incomplete")
 
 

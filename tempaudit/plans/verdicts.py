@@ -165,7 +165,7 @@ im AS (SELECT run_id, quantile_cont(k, 0.5) AS imd, min(value) AS pmin FROM ins
 ic AS (SELECT run_id, bool_and(rh BETWEEN 45 AND 85) AS hum, avg(CASE WHEN k >= imd * 0.5 THEN 1.0 ELSE 0.0 END) AS kept, any_value(pmin) AS pmin FROM ins JOIN im USING (run_id) GROUP BY run_id),
 {sql_islands(f"coalesce(last_value(CASE WHEN value >= 20.0 THEN true WHEN value < 19.0 THEN false END IGNORE NULLS) OVER {UPTO}, false)")},
 h AS (SELECT run_id, coalesce(max(duration_s) FILTER (WHERE state), 0) AS hold_s FROM isl GROUP BY run_id),
-a AS (SELECT ph.*, hold_s, coalesce(hum, true) AS hum_ok, coalesce(kept >= 0.9, true) AS gas_ok, peak > 100 AND final > peak * 0.1 AS evac,
+a AS (SELECT ph.*, hold_s, CASE WHEN ps IS NULL THEN (SELECT avg(CASE WHEN rh BETWEEN 45 AND 85 THEN 1.0 ELSE 0.0 END) >= 0.8 FROM x WHERE x.run_id = ph.run_id) ELSE coalesce(hum, true) END AS hum_ok, coalesce(kept >= 0.9, true) AS gas_ok, peak > 100 AND final > peak * 0.1 AS evac,
   ps IS NOT NULL AS reached, mx > 300 AS hot, mn < 18 AND coalesce(CASE WHEN ps IS NOT NULL THEN pmin ELSE mn END < 20, false) AS dropped,
   (pe - ps) / 1e6 AS phase_s FROM ph JOIN h USING (run_id) LEFT JOIN ic USING (run_id)),
 b AS (SELECT *, reached AND hold_s >= 86400 AS time_ok, reached AND NOT hot AND NOT dropped AS range_ok FROM a),

@@ -81,13 +81,32 @@ def test_sterile(form, series):
     assert got[1][0] == "PASS" and got[1][2] == 23_400.0
     assert got[2][0] == "FAIL" and got[2][1] == {"humidity_out"}
     assert got[3][0] == "FAIL" and "time_short" in got[3][1]
+    bare = Timeline.open(df.withColumn("k", F.lit(None).cast("double")))
+    assert {r[0] for r in status(verdicts.sterile_verdict(bare, require_humidity=True), "phase_s").values()} == {"INDETERMINATE"}
+    cold = df.withColumns({"value": F.lit(20.0), "k": F.when(F.col("seq") % 2 == 0, 60.0).otherwise(90.0)})  # no phase, humidity right half of the time
+    assert "humidity_out" in status(verdicts.sterile_verdict(Timeline.open(cold)), "phase_s")[1][1]
+
+
+def test_sterile_reads_its_samples_at_most_three_times(spark, tmp_path, series):
+    series({1: [(600.0 * i, 55.0) for i in range(9)]}, {"k": "60.0", "gas": "500.0"}).write.parquet(str(tmp_path / "s"))
+    verdict = verdicts.sterile_verdict(Timeline.open(spark.read.parquet(str(tmp_path / "s"))))
+    assert str(verdict._jdf.queryExecution().executedPlan()).count("FileScan") <= 3
+
+
+def test_every_engine_runs_through_dispatch(series):
+    day = series({r: [(900.0 * i, 20.0 + r) for i in range(97)] for r in range(6)}, {"k": "60.0", "gas": "500.0"})
+    names = list(verdicts.ENGINES)
+    specs_ = day.select("run_id").distinct().withColumn("industry", F.element_at(F.array(*map(F.lit, names)), (F.col("run_id") + 1).cast("int")))
+    engines = {n: (lambda f: lambda rows, mine: f(Timeline.open(rows)).select("run_id", "status"))(f) for n, f in verdicts.ENGINES.items()}
+    got = {r["run_id"]: r["status"] for r in specs.dispatch(day, specs_, engines).collect()}
+    assert set(got) == set(range(6)) and set(got.values()) <= {"PASS", "FAIL", "INDETERMINATE", "ERROR"}
 
 
 def test_concrete_and_coldchain(form, series):
     day = lambda v, n=97: [(900.0 * i, v(i)) for i in range(n)]
-    runs = {1: day(lambda i: 21.0), 2: day(lambda i: 21.0 if i > 10 else 12.0), 3: day(lambda i: 21.0, 6)}
+    runs = {1: day(lambda i: 21.0), 2: day(lambda i: 21.0 if i > 10 else 12.0), 3: day(lambda i: 21.0, 6), 4: day(lambda i: 21.0, 4)}
     got = status(verdicts.concrete_verdict(Timeline.open(series(runs)), humidity=None))
-    assert got[1][0] == "PASS" and got[2][0] == "FAIL" and got[3][0] == "INDETERMINATE"
+    assert got[1][0] == "PASS" and got[2][0] == "FAIL" and got[3][0] == "INDETERMINATE" and got[4][:2] == ("ERROR", {"too_short"})
     assert {"first_day_out", "critical_out", "below_range", "unstable"} <= got[2][1]
     cold = {1: day(lambda i: 5.0), 2: day(lambda i: 5.0 if i % 5 else 9.0), 3: day(lambda i: 5.0, 9), 4: day(lambda i: 5.0 if i != 50 else 30.0)}
     got = status(verdicts.coldchain_verdict(Timeline.open(series(cold))), "hold_s")
