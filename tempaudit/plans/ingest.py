@@ -224,20 +224,21 @@ def drain(stream, spark, label: str, mode: str, schema: str):
     return spark.read.schema(schema).parquet(path)
 
 
-@query("t01_live_alert_windows", f"""WITH {S}, e AS (SELECT us, CASE WHEN sensor <> 'view' THEN CASE WHEN sensor = 'error' AND value > 150 THEN 500 ELSE 200 END END AS h, CASE WHEN sensor = 'view' THEN value > 100 END AS v FROM s),
-w AS (SELECT e.*, unnest(generate_series(us // 3600000000 - 5, us // 3600000000)) * 3600000000 AS start_us FROM e)
-SELECT start_us, start_us + 21600000000 AS end_us, count(h) AS requests, count(*) FILTER (WHERE h >= 500) AS errors, count(v) AS verifications, count(*) FILTER (WHERE v) AS verify_errors,
-  count(*) FILTER (WHERE h >= 500) / count(h) * 100 > 1 AS erring FROM w WHERE start_us + 21600000000 <= (SELECT max(us) // 1000 * 1000 - 3600000000 FROM s) GROUP BY start_us HAVING count(*) > 0
-""".replace("count(*) FILTER (WHERE h >= 500) / count(h) * 100 > 1 AS erring", "coalesce(count(*) FILTER (WHERE h >= 500) / nullif(count(h), 0) * 100, 0) > 1 AS erring"))
+@query("t01_live_alert_windows", f"""WITH {S}, e AS (SELECT us, 'compile' AS figure, value / 10 AS c, value / 10 > 5 AS b, 6 AS h FROM s
+  UNION ALL SELECT us, 'requests', NULL, sensor = 'error' AND value > 150, 3 FROM s WHERE sensor <> 'view'
+  UNION ALL SELECT us, 'verify', NULL, value > 100, 4 FROM s WHERE sensor = 'view'),
+w AS (SELECT e.*, unnest(generate_series(us // 3600000000 - h + 1, us // 3600000000)) * 3600000000 AS start_us FROM e),
+g AS (SELECT figure, start_us, start_us + any_value(h) * 3600000000 AS end_us, count(*) AS seen, count(*) FILTER (WHERE b) AS bad, quantile_disc(c, 0.95) AS p95 FROM w GROUP BY figure, start_us)
+SELECT figure, start_us, end_us, seen, bad, round(coalesce(p95, -1), 6) AS p95_s, CASE figure WHEN 'compile' THEN p95 > 5 WHEN 'requests' THEN bad / seen * 100 > 1 ELSE bad / seen * 100 > 0.5 END AS alert
+FROM g WHERE end_us <= (SELECT max(us) // 1000 * 1000 - 3600000000 FROM s)""")
 def t01(spark, sf):
-    from tempaudit.streaming.live import alert_windows
+    from tempaudit.streaming.live import ALERT_SCHEMA, alert_windows
 
     e = event_stream(spark, sf).select(
         "ts", (F.col("value") / 10).alias("compile_s"), F.when(F.col("sensor") != "view", F.when((F.col("sensor") == "error") & (F.col("value") > 150), 500).otherwise(200)).alias("http_status"),
         F.when(F.col("sensor") == "view", F.col("value") > 100).alias("verify_error"))
-    w = alert_windows(e, "6 hours", "1 hour", "1 hour")
-    schema = "start_us long, end_us long, p95_s double, requests long, errors long, verifications long, verify_errors long, slow boolean, erring boolean, verify_failing boolean"
-    return drain(w, spark, "alerts", "append", schema).drop("p95_s", "slow", "verify_failing")
+    w = alert_windows(e, ("6 hours", "3 hours", "4 hours"), "1 hour", "1 hour")
+    return drain(w, spark, "alerts", "append", ALERT_SCHEMA).withColumn("p95_s", F.round(F.coalesce("p95_s", F.lit(-1.0)), 6))
 
 
 @query("t02_live_hold_tracker", f"""WITH {S}, {sql_islands(sql_latch())} SELECT s.run_id, round(coalesce(max(duration_s) FILTER (WHERE state), 0), 6)::DOUBLE AS longest_s,

@@ -14,22 +14,29 @@ TRACK_SCHEMA = "run_id long, holding boolean, current_s double, longest_s double
 TRACK_STATE = "holding boolean, start_us long, last_us long, best_s double, late long"
 
 
-def alert_windows(events: DataFrame, width="10 minutes", slide="1 minute", lateness="10 minutes", slow_s=5.0, error_pct=1.0,
-                  verify_pct=0.5) -> DataFrame:
+ALERT_SCHEMA = "figure string, start_us long, end_us long, seen long, bad long, p95_s double, alert boolean"
+
+
+def alert_windows(events: DataFrame, widths=("10 minutes", "5 minutes", "10 minutes"), slide="1 minute", lateness="10 minutes", slow_s=5.0,
+                  error_pct=1.0, verify_pct=0.5) -> DataFrame:
     """Sliding alert figures over ``ts, compile_s, http_status, verify_error``; rows behind the watermark are dropped.
 
+    Each figure (``compile``, ``requests``, ``verify``) has a window of its own width and a row per window in which it was seen.
     ``p95_s`` is exact up to 10,000 compilations in a window; beyond, its rank is off by at most a 10,000th of them.
     """
-    bad, seen = F.count_if(F.col("http_status") >= 500), F.count("http_status")
-    vbad, vseen = F.count_if("verify_error"), F.count("verify_error")
-    w = events.withWatermark("ts", lateness).groupBy(F.window("ts", width, slide)).agg(
-        F.percentile_approx("compile_s", 0.95, 10_000).alias("p95_s"), seen.alias("requests"), bad.alias("errors"),
-        vseen.alias("verifications"), vbad.alias("verify_errors"))
-    pct = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)) * 100, F.lit(0.0))
-    return w.select(
-        F.unix_micros("window.start").alias("start_us"), F.unix_micros("window.end").alias("end_us"), "p95_s", "requests", "errors",
-        "verifications", "verify_errors", F.coalesce(F.col("p95_s") > slow_s, F.lit(False)).alias("slow"),
-        (pct("errors", "requests") > error_pct).alias("erring"), (pct("verify_errors", "verifications") > verify_pct).alias("verify_failing"))
+    timed = events.withWatermark("ts", lateness)
+    nothing = F.lit(None).cast("double")
+    share = lambda limit: F.coalesce(F.col("bad") / F.nullif(F.col("seen"), F.lit(0)) * 100 > limit, F.lit(False))
+    figures = (("compile", "compile_s", F.count_if(F.col("compile_s") > slow_s), F.percentile_approx("compile_s", 0.95, 10_000), F.coalesce(F.col("p95_s") > slow_s, F.lit(False))),
+               ("requests", "http_status", F.count_if(F.col("http_status") >= 500), F.max(nothing), share(error_pct)),
+               ("verify", "verify_error", F.count_if("verify_error"), F.max(nothing), share(verify_pct)))
+    parts = []
+    for (figure, column, bad, p95, alert), width in zip(figures, widths):
+        w = timed.filter(F.col(column).isNotNull()).groupBy(F.window("ts", width, slide)).agg(
+            F.count(F.lit(1)).alias("seen"), bad.alias("bad"), p95.alias("p95_s"))
+        parts.append(w.select(F.lit(figure).alias("figure"), F.unix_micros("window.start").alias("start_us"), F.unix_micros("window.end").alias("end_us"),
+                              "seen", "bad", "p95_s", alert.alias("alert")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def _track(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

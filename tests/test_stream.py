@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tempaudit.operators import holds
 from tempaudit.operators.timeline import Timeline
 from tempaudit.plans.ingest import drain
-from tempaudit.streaming.live import TRACK_SCHEMA, alert_windows, track_holds
+from tempaudit.streaming.live import ALERT_SCHEMA, TRACK_SCHEMA, alert_windows, track_holds
 
 
 def test_hold_tracker_matches_batch(spark, series, tmp_path):
@@ -42,9 +42,25 @@ def test_alert_windows_close_behind_the_watermark(spark, tmp_path):
     df = spark.createDataFrame(rows, "m long, compile_s double, http_status int, verify_error boolean").withColumn("ts", F.timestamp_seconds(F.col("m") * 60))
     path = str(tmp_path / "in")
     df.coalesce(1).write.parquet(path)
-    schema = ("start_us long, end_us long, p95_s double, requests long, errors long, verifications long, verify_errors long, slow boolean, "
-              "erring boolean, verify_failing boolean")
-    out = drain(alert_windows(spark.readStream.schema(df.schema).parquet(path)), spark, "a", "append", schema).collect()
+    out = drain(alert_windows(spark.readStream.schema(df.schema).parquet(path)), spark, "a", "append", ALERT_SCHEMA).collect()
     assert max(r["end_us"] for r in out) <= (59 - 10) * 60 * 10**6
-    full = [r for r in out if r["start_us"] == 0][0]
-    assert (full["requests"], full["errors"], full["erring"], full["p95_s"], full["slow"]) == (10, 1, True, 9.0, True)
+    got = {(r["figure"], r["start_us"] // 60_000_000): r for r in out}
+    slow = got["compile", 0]
+    assert (slow["end_us"], slow["seen"], slow["bad"], slow["p95_s"], slow["alert"]) == (600_000_000, 10, 1, 9.0, True)
+    half, later = got["requests", 0], got["requests", 5]  # requests have windows of half the width
+    assert (half["end_us"], half["seen"], half["bad"], half["alert"]) == (300_000_000, 5, 1, True)
+    assert (later["seen"], later["bad"], later["alert"]) == (5, 0, False)
+    assert not any(r["figure"] == "verify" for r in out)
+
+
+def test_a_resumed_run_keeps_its_longest_hold(spark, series, tmp_path):
+    path = str(tmp_path / "in")
+    days = [series({1: [(10.0, 20.0), (510.0, 20.0), (600.0, 0.0)]}), series({2: [(400_000.0, 0.0)]}), series({2: [(500_000.0, 0.0)]}),
+            series({1: [(600_000.0, 20.0), (600_050.0, 20.0)]})]
+    for part in days:
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(days[0].schema).option("maxFilesPerTrigger", 1).parquet(path).withColumns({
+        "ts": F.timestamp_micros("us"), "on_level": F.lit(10.0), "off_level": F.lit(8.0)})
+    out = [r for r in drain(track_holds(stream), spark, "t", "update", TRACK_SCHEMA).collect() if r["run_id"] == 1]
+    last = max(out, key=lambda r: r["epoch"])
+    assert len(out) >= 2 and last["longest_s"] == 500.0 and last["holding"] and last["current_s"] == 50.0
