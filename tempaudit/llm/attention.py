@@ -1,4 +1,4 @@
-"""A small causal self-attention model in numpy: one head, one feed-forward layer, a softmax over token classes."""
+"""A small causal self-attention model in numpy: one head with a residual path and a softmax over token classes."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import numpy as np
 WIDTH = 32
 #: A following window repeats so many tokens as context; they are not scored again.
 CONTEXT = 8
-DIM, HIDDEN = 16, 32
+DIM = 16
 
 _FUTURE = np.triu(np.full((WIDTH, WIDTH), -1e4, np.float32), 1)
 
@@ -19,37 +19,37 @@ def start(symbols: int, classes: int, seed: int = 29) -> dict[str, np.ndarray]:
         return rng.normal(0, scale, shape).astype(np.float32)
 
     return {"e": normal(symbols, DIM, scale=0.3), "pos": normal(WIDTH, DIM, scale=0.1), "q": normal(DIM, DIM, scale=0.25), "k": normal(DIM, DIM, scale=0.25),
-            "v": normal(DIM, DIM, scale=0.25), "o": normal(DIM, DIM, scale=0.1), "f1": normal(DIM, HIDDEN, scale=0.25), "b1": np.zeros(HIDDEN, np.float32),
-            "f2": normal(HIDDEN, DIM, scale=0.1), "u": normal(DIM, classes, scale=0.1), "b": np.zeros(classes, np.float32)}
+            "v": normal(DIM, DIM, scale=0.25), "o": normal(DIM, DIM, scale=0.1), "u": normal(DIM, classes, scale=0.1), "b": np.zeros(classes, np.float32)}
 
 
 def forward(p: dict, x: np.ndarray, first: int = 0) -> tuple[np.ndarray, tuple]:
     """Class logits at the positions from ``first`` on of windows x (rows of symbols)."""
     h0 = p["e"][x] + p["pos"]
-    q, k, v = h0[:, first:] @ p["q"], h0 @ p["k"], h0 @ p["v"]
+    q, k, v = h0[:, first:] @ (p["q"] * np.float32(DIM ** -0.5)), h0 @ p["k"], h0 @ p["v"]
     a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(DIM ** -0.5)
     np.minimum(a, 40, out=a)
     a += _FUTURE[first:]
     np.exp(a, out=a)
-    a /= a.sum(2, keepdims=True)
-    mixed = a @ v
+    weight = 1 / a.sum(2, keepdims=True)
+    mixed = (a @ v) * weight
     h1 = h0[:, first:] + mixed @ p["o"]
-    g = np.maximum(h1 @ p["f1"] + p["b1"], 0)
-    h2 = h1 + g @ p["f2"]
-    return h2 @ p["u"] + p["b"], (x, h0, q, k, v, a, mixed, h1, g, h2)
+    z = h1 @ p["u"]
+    z += p["b"]
+    return z, (x, h0, q, k, v, a, weight, mixed, h1)
 
 
 def log_probability(p: dict, x: np.ndarray, target: np.ndarray, first: int = 0) -> np.ndarray:
     """Natural log probability of the target class at each position from ``first`` on."""
-    z = np.clip(forward(p, x, first)[0], -60, 60)
+    z = forward(p, x, first)[0]
+    np.minimum(z, 60, out=z)
     chosen = np.take_along_axis(z, target[:, first:, None], 2)[..., 0]
     np.exp(z, out=z)
     return chosen - np.log(z.sum(2))
 
 
 def gradient(p: dict, x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-    z, (x, h0, q, k, v, a, mixed, h1, g, h2) = forward(p, x)
+    z, (x, h0, q, k, v, a, weight_, mixed, h1) = forward(p, x)
+    a = a * weight_
     z -= z.max(2, keepdims=True)
     np.exp(z, out=z)
     z /= z.sum(2, keepdims=True)
@@ -60,17 +60,13 @@ def gradient(p: dict, x: np.ndarray, target: np.ndarray, weight: np.ndarray) ->
     def outer(left, right):
         return left.reshape(-1, left.shape[-1]).T @ right.reshape(-1, right.shape[-1])
 
-    out["u"], out["b"] = outer(h2, z), z.sum((0, 1))
-    dh2 = z @ p["u"].T
-    out["f2"] = outer(g, dh2)
-    dg = (dh2 @ p["f2"].T) * (g > 0)
-    out["f1"], out["b1"] = outer(h1, dg), dg.sum((0, 1))
-    dh1 = dh2 + dg @ p["f1"].T
+    out["u"], out["b"] = outer(h1, z), z.sum((0, 1))
+    dh1 = z @ p["u"].T
     out["o"] = outer(mixed, dh1)
     dmix = dh1 @ p["o"].T
     da = dmix @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(2, keepdims=True)) * np.float32(d ** -0.5)
-    dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dmix
+    ds = a * (da - (da * a).sum(2, keepdims=True))
+    dq, dk, dv = ds @ k * np.float32(d ** -0.5), ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dmix
     out["q"], out["k"], out["v"] = outer(h0, dq), outer(h0, dk), outer(h0, dv)
     dh0 = dh1 + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
     out["pos"] = dh0.sum(0)

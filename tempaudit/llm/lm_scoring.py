@@ -19,10 +19,10 @@ from tempaudit.llm.bpe import Vocabulary
 from tempaudit.llm.textops import LOWER, Hasher, find_words, mix, over_texts, text_chunks
 from tempaudit.session import scratch_path
 
-#: Words whose counts and subwords every task holds; all others are joined.
+#: Most words whose counts and subwords every task holds, the most frequent ones; all others are joined.
 FREQUENT = 300_000
 #: Subwords with a class and an embedding of their own, bands of the others, and their shared embeddings.
-OWN_CLASSES, BANDS = 48, 16
+OWN_CLASSES, BANDS = 32, 16
 OWN_SYMBOLS, SHARED_SYMBOLS = 6000, 500
 #: One window in so many of the training texts trains the attention model; it grows with the corpus.
 TRAIN_ONE_IN = 40
@@ -104,7 +104,7 @@ class Tables:
         self.symbols[order[:OWN_SYMBOLS]] = np.arange(min(OWN_SYMBOLS, len(counts)))
 
 
-def score_stream(p: dict, tables: Tables, stream: np.ndarray, bounds: np.ndarray, end: int, step: int = 256) -> np.ndarray:
+def score_stream(p: dict, tables: Tables, stream: np.ndarray, bounds: np.ndarray, end: int, step: int = 128) -> np.ndarray:
     """Natural log probability of each text's tokens."""
     doc, at = cut_windows(bounds)
     out = np.bincount(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), tables.share[stream], len(bounds) - 1)
@@ -220,6 +220,18 @@ def train(windows: DataFrame, tables, rounds: int) -> dict[str, np.ndarray]:
     return p
 
 
+def least_frequent(words: DataFrame) -> int:
+    """Smallest count of which no more than ``FREQUENT`` words have as much, from the sizes of logarithmic bands of counts."""
+    bands = words.groupBy(F.floor(F.log2(F.col("n").cast("double")) * 64).alias("band")).agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("words"))
+    least, held = 1 << 62, 0
+    for r in sorted(bands.collect(), key=lambda r: -r.band):  # a few thousand bands at most
+        held += r.words
+        if held > FREQUENT:
+            break
+        least = r.least
+    return least
+
+
 def score(docs: DataFrame, vocabulary: str, training: Column, text: str = "text", id_column: str = "doc_id", train_one_in: int = TRAIN_ONE_IN,
           rounds: int = ROUNDS) -> DataFrame:
     """One row per input row: the id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
@@ -252,7 +264,7 @@ def score(docs: DataFrame, vocabulary: str, training: Column, text: str = "text"
         subs[r["sub"]] = r["n"]
     tables = spark.sparkContext.broadcast(Tables(subs))
     weights = spark.sparkContext.broadcast(train(counted.filter("tokens IS NOT NULL").select("tokens"), tables, rounds))
-    frequent = words.orderBy(F.col("n").desc(), "key").limit(FREQUENT).select("key", "n", "word").toArrow().sort_by("key")
+    frequent = words.filter(F.col("n") >= least_frequent(words)).select("key", "n", "word").toArrow().sort_by("key")
     raw = frequent.column("word").to_pylist()
     data = np.frombuffer(b"".join(raw), np.uint8)
     edges = np.concatenate([[0], np.cumsum([len(w) for w in raw])]).astype(np.int64)
