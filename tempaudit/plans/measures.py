@@ -371,12 +371,12 @@ def b11(spark, sf):
         "run_id", "found", F.concat_ws(",", "issues").alias("issues"))
 
 
-@query("b12_required_signals", f"""WITH {S}, a AS (SELECT run_id, list_sort(list(DISTINCT sensor)) AS av FROM s WHERE value > 40 + 10 * (run_id % 9) GROUP BY run_id),
+@query("b12_required_signals", f"""WITH {S}, a AS (SELECT run_id, list_sort(list(DISTINCT CASE WHEN value > 40 + 10 * (run_id % 9) THEN sensor ELSE 'idle' END)) AS av FROM s GROUP BY run_id),
 m AS (SELECT run_id, av, list_sort(list_filter(['click', 'error', 'view'], lambda x: NOT list_contains(av, x))) AS ms FROM a)
 SELECT run_id, array_to_string(av, ',') AS available, array_to_string(ms, ',') AS missing,
   CASE WHEN len(ms) > 0 THEN 'INDETERMINATE' ELSE 'OK' END AS status FROM m""")
 def b12(spark, sf):
-    seen = samples(spark, sf).filter("value > 40 + 10 * (run_id % 9)")
+    seen = samples(spark, sf).withColumn("sensor", F.expr("CASE WHEN value > 40 + 10 * (run_id % 9) THEN sensor ELSE 'idle' END"))
     req = F.array(*map(F.lit, ("click", "error", "view")))
     return sensors.required_signals(seen, req).select(
         "run_id", F.concat_ws(",", "available").alias("available"), F.concat_ws(",", "missing").alias("missing"), "status")

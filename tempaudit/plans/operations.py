@@ -226,8 +226,9 @@ def jobs(spark, sf):
 
 def subscriptions(spark, sf):
     plan = F.element_at(F.array(*map(F.lit, ("starter", "pro", "business", "enterprise", "gold"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    return table(spark, sf, "orders").filter("o_orderkey % 4 = 0").select(
-        F.col("o_orderkey").alias("subscription_id"), F.col("o_custkey").alias("user_id"), plan.alias("plan"), (F.col("o_orderstatus") == "F").alias("active"),
+    active = (F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 4 == 0)
+    return table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("subscription_id"), F.col("o_custkey").alias("user_id"), plan.alias("plan"), active.alias("active"),
         F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("created_us"))
 
 
@@ -350,14 +351,14 @@ def s06(spark, sf):
     return usage.job_by_id(jobs(spark, sf), 77).select("job_id", "user_id", "us")
 
 
-@query("j11_creator_jobs", """SELECT o_orderkey AS job_id, o_custkey AS user_id, CASE WHEN o_orderkey % 5 > 0 THEN CASE o_orderstatus WHEN 'F' THEN 'PASS' ELSE 'FAIL' END ELSE 'none' END AS status
+@query("j11_creator_jobs", """SELECT o_orderkey AS job_id, o_custkey AS user_id, CASE WHEN o_orderkey % 5 > 0 THEN CASE o_orderstatus WHEN 'F' THEN 'PASS' ELSE 'FAIL' END ELSE 'OPEN' END AS status
 FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 10 = 3""")
 def j11(spark, sf):
     mails = users(spark, sf)
     mine = jobs(spark, sf).join(mails, "user_id")
     creators = mails.filter("user_id % 10 = 3").select(F.upper(F.concat(F.lit("  "), "email")).alias("email"))
-    decisions = table(spark, sf, "orders").filter("o_orderkey % 5 > 0").select(
-        F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderstatus") == "F", "PASS").otherwise("FAIL").alias("status"))
+    status = F.when(F.col("o_orderkey") % 5 == 0, "OPEN").when(F.col("o_orderstatus") == "F", "PASS").otherwise("FAIL")
+    decisions = table(spark, sf, "orders").select(F.col("o_orderkey").alias("job_id"), status.alias("status"))
     return usage.creator_jobs(mine, decisions, creators).select("job_id", "user_id", F.coalesce("status", F.lit("none")).alias("status"))
 
 
