@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempaudit.llm.textops import LEAD, SPACE, Hasher, mix, over_texts
+from tempaudit.llm.textops import LEAD, SPACE, Hasher, mix, over_texts, unused
 from tempaudit.session import scratch_path
 
 EDITS = 2
@@ -297,13 +297,15 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
     near = near_lines(tiles.join(texts.join(firsts, "line"), "line"), edits).withColumn("near", F.lit(True))
     marked = firsts.join(near, "line", "left").groupBy(F.col("row").alias("_row")).agg(
         F.collect_list("number").alias("_first"), F.collect_list(F.when(F.col("near"), F.col("number"))).alias("_near"))
-    joined = docs.withColumn("_row", row).join(marked, "_row", "left").drop("_row")
+    key, first_name, near_name = (unused(docs, c) for c in ("_row", "_first", "_near"))
+    marked = marked.select(F.col("_row").alias(key), F.col("_first").alias(first_name), F.col("_near").alias(near_name))
+    joined = docs.withColumn(key, row).join(marked, key, "left").drop(key)
 
     def cut(rows, data, bounds):
         lines = Lines(data, bounds)
         edges = np.searchsorted(lines.doc, np.arange(len(bounds)))
         texts_ = rows.column(rows.schema.get_field_index(text)).to_pylist()
-        firsts_, nears = (rows.column(rows.schema.get_field_index(c)).to_pylist() for c in ("_first", "_near"))
+        firsts_, nears = (rows.column(rows.schema.get_field_index(c)).to_pylist() for c in (first_name, near_name))
         out = {c: [] for c in new}
         raw = data.tobytes()
         for d, value in enumerate(texts_):
@@ -317,7 +319,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
                 raw[lines.start[k]:lines.end[k]] for k in a + np.flatnonzero(keep)).decode())
             for name, x in zip(new[1:], (0 if value is None else int(b - a), exact, len(near_), gone.tolist())):
                 out[name].append(x)
-        names = [n for n in rows.schema.names if n not in ("_first", "_near")]
+        names = [n for n in rows.schema.names if n not in (first_name, near_name)]
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
         return {n: rows.column(rows.schema.get_field_index(n)) for n in names} | {n: pa.array(out[n], k) for n, k in zip(new, kinds)}
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tempaudit.llm.textops import unused
 from tempaudit.session import scratch_path
 
 #: Largest number of membership patterns; the flow over them is solved on the driver.
@@ -174,7 +175,8 @@ def mixed_rows(docs: DataFrame, chosen: Mix, id_column: str = "doc_id") -> DataF
 
     Rows with one id share their uses evenly, rounded.  Documents without words go.
     """
-    uses = chosen.documents.groupBy(F.col(id_column).alias("_id")).agg(F.round(F.try_divide(F.sum("taken"), F.sum("size"))).cast("int").alias("_uses"))
-    uses = uses.filter("_uses > 0")
-    out = docs.join(uses.hint("merge"), F.col(id_column).eqNullSafe(F.col("_id"))).withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("_uses"))))
-    return out.select(*[docs[c] for c in docs.columns])
+    key, times, use = unused(docs, "_id"), unused(docs, "_uses"), unused(docs, "_use")
+    uses = chosen.documents.groupBy(F.col(id_column).alias(key)).agg(F.round(F.try_divide(F.sum("taken"), F.sum("size"))).cast("int").alias(times))
+    uses = uses.filter(F.col(times) > 0)
+    out = docs.join(uses.hint("merge"), F.col(id_column).eqNullSafe(F.col(key))).withColumn(use, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return out.drop(key, times, use)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempaudit.llm.graph import components, local_roots
-from tempaudit.llm.textops import Hasher, find_words, mix, over_texts, text_chunks, windows
+from tempaudit.llm.textops import Hasher, find_words, mix, over_texts, text_chunks, unused, windows
 from tempaudit.session import scratch_path
 
 SIMILARITY = 0.8
@@ -287,5 +287,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
 def one_of_each(docs: DataFrame, text: str = "text", id_column: str = "doc_id", threshold: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` whose id is their class's smallest; all columns stay.  Rows with a null id stay, as they are in no class."""
     found = near_duplicates(docs, text, id_column, threshold)
-    gone = found.filter(F.col(id_column) != F.col("class_id")).select(F.col(id_column).alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), F.col(id_column) == F.col("_gone"), "left_anti")
+    key = unused(docs, "_gone")
+    gone = found.filter(F.col(id_column) != F.col("class_id")).select(F.col(id_column).alias(key)).distinct()
+    return docs.join(gone.hint("merge"), F.col(id_column) == F.col(key), "left_anti")

@@ -149,5 +149,9 @@ def over_texts(df: DataFrame, work, schema: str, column: str = "text", limit: in
     return df.mapInArrow(run, schema)
 
 
-def strings(values: list) -> pa.Array:
-    return pa.array(values, pa.string())
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column of the table has it (case does not count)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

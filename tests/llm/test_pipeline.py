@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tempaudit.llm.queries import judged
@@ -54,6 +55,21 @@ def test_every_stage_against_brute_force(spark, tmp_path):
     assert all(r.ids == library.encode(r.text, add_special_tokens=False).ids and r.n_tokens == len(r.ids) for r in after)
 
 
+def test_odd_rows_and_clashing_columns(spark, odd_texts, docs):
+    """Nulls, repeated rows and helper names as columns pass through every stage."""
+    import corpus_pipeline
+
+    table = docs(odd_texts, [None if i % 5 == 0 else f"s{i % 3}" for i in range(len(odd_texts))])
+    table = table.unionByName(table.limit(5)).unionByName(table.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    extra = ("_id", "_uses", "_use", "_row", "_first", "_near", "_gone", "kept", "text_", "size", "ids")
+    table = table.withColumns({c: F.lit("clash") for c in extra})
+    for name, stage in corpus_pipeline.STAGES:
+        table = stage(spark, table, SF)
+        rows = table.collect()
+        assert rows and all(r[c] == "clash" for r in rows for c in extra if c != "ids")
+        table = spark.createDataFrame(rows, table.schema)
+
+
 def test_empty_documents(spark, tmp_path, empty_docs):
     import corpus_pipeline
 
