@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from tempaudit.llm import bpe, line_dedup, mixing, ngram_join
 from tempaudit.llm.queries import judged, vocabulary
+from tempaudit.llm.textops import unused
 from tempaudit.session import scratch_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps; an id with several texts stays if one of them is kept."""
-    kept = judged(docs, sf_dir).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    key = unused(docs, "_id")
+    kept = judged(docs, sf_dir).filter("kept").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
