@@ -57,6 +57,23 @@ def excursion_totals(tl: Timeline, lo, hi, alarm_s=1800.0, value="value", refere
     ).withColumn("compliance_pct", (F.col("samples") - F.col("samples_outside")) / F.col("samples") * 100)
 
 
+def band_features(tl: Timeline, lo, hi, alarm_s=1800.0, value="value") -> DataFrame:
+    """What the storage rules need of a run, in one ordered pass: samples, excursions, time in range, span and extremes."""
+    inside = F.col(value).between(as_col(lo), as_col(hi))
+    line = tl.scan(_pu=prev("us")).with_columns(
+        _in=F.when(inside, F.coalesce(seconds(F.col("us"), F.col("_pu")), F.lit(0.0))).otherwise(0.0)).dropping("_pu")
+    islands = island_rows(mask(line, outside(lo, hi, value)), "state", F.sum("_in").alias("_in"), F.min(value).alias("_min"), F.max(value).alias("_max"))
+    out, spent = F.col("state"), F.col("duration_s")
+    alarm = out & (spent >= alarm_s)
+    none = F.lit(0).cast("long")
+    return islands.groupBy(*tl.key).agg(
+        F.sum("samples").alias("samples"), F.coalesce(F.sum(F.when(out, F.col("samples"))), none).alias("samples_outside"),
+        F.count_if(out).alias("events"), F.count_if(alarm).alias("alarm_events"), F.coalesce(F.max(F.when(out, spent)), F.lit(0.0)).alias("max_s"),
+        F.coalesce(F.sum(F.when(alarm, spent)), F.lit(0.0)).alias("alarm_s"), F.sum("_in").alias("in_range_s"),
+        seconds(F.max("end_us"), F.min("start_us")).alias("duration_s"), F.min("_min").alias("min_temp"), F.max("_max").alias("max_temp"),
+    ).withColumn("compliance_pct", (F.col("samples") - F.col("samples_outside")) / F.col("samples") * 100)
+
+
 def closed_excursions(tl: Timeline, lo, hi, min_duration_s=0.0, value="value") -> DataFrame:
     """Excursions ending at the first sample back inside (or the end of data).
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempaudit.operators.holds import as_col
@@ -61,15 +61,13 @@ def dead_sensor_report(df: DataFrame, key=("run_id",), value="value") -> DataFra
 
 def select_with_fallback(df: DataFrame, wanted: DataFrame, key=("run_id",)) -> DataFrame:
     """Keep the listed sensors that exist; where none does keep all and set ``fallback_used``."""
-    sensors = df.select(*key, "sensor").distinct()
-    hits = sensors.join(wanted, [*key, "sensor"], "left_semi")
-    listed = wanted.select(*key).distinct().withColumn("_listed", F.lit(True))
-    found = hits.groupBy(*key).agg(F.count(F.lit(1)).alias("_hits"))
-    choice = sensors.join(listed, list(key), "left").join(found, list(key), "left").join(
-        hits.withColumn("_hit", F.lit(True)), [*key, "sensor"], "left")
-    fallback = F.coalesce("_listed", F.lit(False)) & F.col("_hits").isNull()
-    keep = F.col("_listed").isNull() | fallback | F.coalesce("_hit", F.lit(False))
-    chosen = choice.filter(keep).select(*key, "sensor", fallback.alias("fallback_used"))
+    flags = lambda rows, here, listed: rows.select(*key, "sensor", F.lit(here).alias("_here"), F.lit(listed).alias("_listed"))
+    known = flags(df, True, False).unionByName(flags(wanted, False, True)).groupBy(*key, "sensor").agg(
+        F.bool_or("_here").alias("_here"), F.bool_or("_listed").alias("_listed"))
+    run = Window.partitionBy(*key)
+    judged = known.withColumns({"_any": F.bool_or("_listed").over(run), "_hit": F.bool_or(F.col("_listed") & F.col("_here")).over(run)})
+    fallback = F.col("_any") & ~F.col("_hit")
+    chosen = judged.filter(F.col("_here") & (F.col("_listed") | ~F.col("_hit"))).select(*key, "sensor", fallback.alias("fallback_used"))
     return keyed_join(df, chosen, [*key, "sensor"], ["us", "value"])
 
 

@@ -352,10 +352,7 @@ def concrete_verdict_independent(tl: Timeline, lo=10.0, hi=35.0, window_s=86_400
 
 def coldchain_verdict(tl: Timeline, lo=2.0, hi=8.0, required=95.0, samples_per_day=96.0, value="value", alarm_s=1800.0) -> DataFrame:
     """Share of samples in range; a log too thin for its length cannot decide."""
-    totals = excursions.excursion_totals(tl, lo, hi, alarm_s, value)
-    kept = excursions.time_in_range(tl, lo, hi, value)
-    span = tl.per_run(seconds(F.max("us"), F.min("us")).alias("duration_s"), F.min(value).alias("min_temp"), F.max(value).alias("max_temp"))
-    f = totals.join(kept, tl.key).join(span, tl.key)
+    f = excursions.band_features(tl, lo, hi, alarm_s, value)
     days = F.col("duration_s") / 86_400
     need = F.greatest(F.lit(10).cast("long"), F.floor(days * samples_per_day))
     thin, good = F.col("samples") < need, F.col("compliance_pct") >= required
@@ -371,10 +368,8 @@ def coldchain_verdict(tl: Timeline, lo=2.0, hi=8.0, required=95.0, samples_per_d
 
 def coldchain_details(tl: Timeline, lo=2.0, hi=8.0, required=95.0, alarm_s=1800.0, value="value") -> DataFrame:
     """Storage conditions in detail: daily compliance, alarms, logging interval, extremes."""
-    totals = excursions.excursion_totals(tl, lo, hi, alarm_s, value)
     daily = stats.daily_rollup(stats.daily_compliance(tl.rows(), lo, hi, value, tl.key), required, tl.key)
-    span = tl.per_run(seconds(F.max("us"), F.min("us")).alias("duration_s"), F.min(value).alias("min_temp"), F.max(value).alias("max_temp"))
-    f = totals.join(span, tl.key).join(daily, tl.key)
+    f = excursions.band_features(tl, lo, hi, alarm_s, value).join(daily, tl.key)
     range_ok = F.col("compliance_pct") >= required
     calm = F.col("alarm_s") <= 7200.0
     step = F.col("duration_s") / (F.col("samples") - 1)
