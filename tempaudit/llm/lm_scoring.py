@@ -1,8 +1,8 @@
 """Language-model scores of whole texts: word counts of the corpus, and causal attention over subword ids.
 
 Words become subword ids by longest match in a public vocabulary.  The attention model gives the
-probability of the next subword's class; a class is a frequent subword or a band of rarer ones, and inside
-a class a subword's share of the corpus counts applies.  The product is a probability over all
+probability of the next subword's class; a class is a frequent subword or a cluster of others that keep the same
+company, and inside a class a subword's share of the corpus counts applies.  The product is a probability over all
 sequences of subwords, so the score of a text is that of its spelling.
 """
 
@@ -21,8 +21,11 @@ from tempaudit.session import scratch_path
 
 #: Most words whose counts and subwords every task holds, the most frequent ones; all others are joined.
 FREQUENT = 300_000
-#: Subwords with a class and an embedding of their own, bands of the others, and their shared embeddings.
-OWN_CLASSES, BANDS = 32, 16
+#: Frequent subwords that are a class of their own, and clusters of all others: half begin words, half go on with them.
+OWN_CLASSES, CLUSTERS = 16, 32
+#: Frequent subwords whose presence in a window is the company that clusters are made by, and rounds of clustering.
+COMPANY, CLUSTER_ROUNDS = 24, 15
+#: Subwords with an embedding of their own, and embeddings that the others share.
 OWN_SYMBOLS, SHARED_SYMBOLS = 6000, 500
 #: One window in so many of the training texts trains the attention model; it grows with the corpus.
 TRAIN_ONE_IN = 40
@@ -85,19 +88,36 @@ def fill(stream: np.ndarray, bounds: np.ndarray, doc: np.ndarray, at: np.ndarray
     return target, np.where(inside, before, end)
 
 
+def cluster(x: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
+    """Weighted k-means; centres start evenly over the rows' mass, rows given by falling weight."""
+    if len(x) <= k:
+        return np.arange(len(x))
+    mass = np.cumsum(weight)
+    centre = x[np.searchsorted(mass, (np.arange(k) + 0.5) / k * mass[-1])]
+    for _ in range(CLUSTER_ROUNDS):
+        near = (x @ centre.T - 0.5 * (centre * centre).sum(1)).argmax(1)
+        total = np.bincount(near, weight, k)
+        sums = np.stack([np.bincount(near, weight * x[:, c], k) for c in range(x.shape[1])], 1)
+        centre = np.where(total[:, None] > 0, sums / np.maximum(total, 1e-9)[:, None], centre)
+    return near
+
+
 class Tables:
     """What the counts of the corpus say: class and share of each subword, and the symbols the model reads."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, company: np.ndarray, begins: np.ndarray):
         order = np.argsort(-counts, kind="stable")
         self.classes = np.zeros(len(counts), np.int64)
-        own = min(OWN_CLASSES, len(counts))
-        self.classes[order[:own]] = np.arange(own)
-        rest = order[own:]
-        mass = np.cumsum(counts[rest] + 0.5)
-        self.classes[rest] = own + np.minimum((mass / mass[-1] * BANDS).astype(np.int64), BANDS - 1) if len(rest) else 0
+        self.classes[order[:OWN_CLASSES]] = np.arange(min(OWN_CLASSES, len(counts)))
+        rest = np.ones(len(counts), bool)
+        rest[order[:OWN_CLASSES]] = False
+        shape = company + 5 * (company.sum(0) + 1) / (company.sum() + company.shape[1])
+        shape = np.sqrt(shape / shape.sum(1, keepdims=True))
+        for half, first in ((rest & begins, OWN_CLASSES), (rest & ~begins, OWN_CLASSES + CLUSTERS // 2)):
+            rows = order[half[order]]
+            self.classes[rows] = first + cluster(shape[rows], counts[rows] + 0.5, CLUSTERS // 2)
         smooth = counts + 0.5
-        total = np.maximum(np.bincount(self.classes, smooth, OWN_CLASSES + BANDS), 0.5)
+        total = np.maximum(np.bincount(self.classes, smooth, OWN_CLASSES + CLUSTERS), 0.5)
         self.bias = np.log(total / total.sum()).astype(np.float32)
         self.share = np.log(smooth / total[self.classes]).astype(np.float64)
         self.symbols = (OWN_SYMBOLS + mix(np.arange(len(counts), dtype=np.uint64)) % np.uint64(SHARED_SYMBOLS)).astype(np.int64)
@@ -184,9 +204,8 @@ def train(windows: DataFrame, tables, rounds: int) -> dict[str, np.ndarray]:
     The average is taken per slice of the weights by grouped sums; the driver gets one set of weights.
     """
     spark = windows.sparkSession
-    p = attention.start(OWN_SYMBOLS + SHARED_SYMBOLS, OWN_CLASSES + BANDS)
+    p = attention.start(OWN_SYMBOLS + SHARED_SYMBOLS, OWN_CLASSES + CLUSTERS)
     p["b"] = tables.value.bias.copy()  # training starts from the classes' frequencies in the whole corpus
-    slices = 16
     for turn in range(rounds):
         now = spark.sparkContext.broadcast(p)
 
@@ -203,23 +222,58 @@ def train(windows: DataFrame, tables, rounds: int) -> dict[str, np.ndarray]:
                     adam.step(attention.gradient(mine, t.symbols[before], t.classes[np.maximum(target, 0)], known.astype(np.float32)))
                     seen += int(known.sum())
             if seen:
-                flat = np.frombuffer(attention.pack(mine), np.float32) * np.float64(seen)
-                for k, part in enumerate(np.array_split(flat, slices)):
-                    yield pa.RecordBatch.from_pydict({"slice": [k], "seen": [seen], "total": pa.array([part.tobytes()], pa.binary())})
+                yield from sliced(np.frombuffer(attention.pack(mine), np.float32) * np.float64(seen), seen)
 
-        def join(table):
-            total = sum(np.frombuffer(v) for v in table.column("total").to_pylist())
-            return pa.table({"slice": table.column("slice")[:1], "seen": [sum(table.column("seen").to_pylist())], "total": pa.array([total.tobytes()], pa.binary())})
-
-        learned = windows.mapInArrow(learn, "slice long, seen long, total binary")
-        parts = learned.groupBy("slice").applyInArrow(join, "slice long, seen long, total binary").collect()
-        if not parts:
+        seen, flat = summed(windows.mapInArrow(learn, SLICED))
+        if not seen:
             break
-        flat = np.concatenate([np.frombuffer(bytes(r.total)) / r.seen for r in sorted(parts, key=lambda r: r.slice)])
-        p = attention.unpack(flat.astype(np.float32).tobytes(), p)
+        p = attention.unpack((flat / seen).astype(np.float32).tobytes(), p)
     return p
 
 
+SLICED = "slice long, seen long, total binary"
+
+
+def sliced(flat: np.ndarray, seen: int, slices: int = 16):
+    """A task's vector in parts, so that a sum over tasks is spread."""
+    for k, part in enumerate(np.array_split(flat.astype(np.float64), slices)):
+        yield pa.RecordBatch.from_pydict({"slice": [k], "seen": [seen], "total": pa.array([part.tobytes()], pa.binary())})
+
+
+def summed(parts: DataFrame) -> tuple[int, np.ndarray]:
+    """Sum of all tasks' ``seen`` and vectors; the driver gets one vector."""
+    def join(table):
+        total = sum(np.frombuffer(v) for v in table.column("total").to_pylist())
+        return pa.table({"slice": table.column("slice")[:1], "seen": [sum(table.column("seen").to_pylist())], "total": pa.array([total.tobytes()], pa.binary())})
+
+    rows = sorted(parts.groupBy("slice").applyInArrow(join, SLICED).collect(), key=lambda r: r.slice)
+    return (rows[0].seen, np.concatenate([np.frombuffer(bytes(r.total)) for r in rows])) if rows else (0, np.zeros(0))
+
+
+def company_of(windows: DataFrame, counts: np.ndarray) -> np.ndarray:
+    """Per subword, in how many of its places each of the most frequent subwords was in the same window."""
+    top, size = np.argsort(-counts, kind="stable")[:COMPANY], len(counts)
+
+    def run(batches):
+        place = np.full(size + 1, -1)
+        place[top] = np.arange(len(top))
+        total, seen = np.zeros((size + 1, COMPANY)), 0
+        for batch in batches:
+            rows = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.int32).reshape(-1, WIDTH + 1)[:, 1:]
+            hit = place[rows]
+            there = np.zeros((len(rows), COMPANY), bool)
+            at = np.nonzero(hit >= 0)
+            there[at[0], hit[at]] = True
+            for c in range(COMPANY):
+                total[:, c] += np.bincount(rows[there[:, c]].ravel() % (size + 1), minlength=size + 1)  # -1, no token, is the last
+            seen += len(rows)
+        if seen:
+            yield from sliced(total[:-1].ravel(), seen)
+
+    seen, flat = summed(windows.mapInArrow(run, SLICED))
+    return flat.reshape(size, COMPANY) if seen else np.zeros((size, COMPANY))
+
+
 def least_frequent(words: DataFrame) -> int:
     """Smallest count of which no more than ``FREQUENT`` words have as much, from the sizes of logarithmic bands of counts."""
     bands = words.groupBy(F.floor(F.log2(F.col("n").cast("double")) * 64).alias("band")).agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("words"))
@@ -262,8 +316,10 @@ def score(docs: DataFrame, vocabulary: str, training: Column, text: str = "text"
     subs = np.zeros(sub.value.size + 1, np.int64)
     for r in counted.filter("sub IS NOT NULL").groupBy("sub").agg(F.sum("n").alias("n")).collect():
         subs[r["sub"]] = r["n"]
-    tables = spark.sparkContext.broadcast(Tables(subs))
-    weights = spark.sparkContext.broadcast(train(counted.filter("tokens IS NOT NULL").select("tokens"), tables, rounds))
+    windows = counted.filter("tokens IS NOT NULL").select("tokens")
+    begins = np.array([p[:1] == b" " for p in sub.value.vocab.pieces] + [True])
+    tables = spark.sparkContext.broadcast(Tables(subs, company_of(windows, subs), begins))
+    weights = spark.sparkContext.broadcast(train(windows, tables, rounds))
     frequent = words.filter(F.col("n") >= least_frequent(words)).select("key", "n", "word").toArrow().sort_by("key")
     raw = frequent.column("word").to_pylist()
     data = np.frombuffer(b"".join(raw), np.uint8)
