@@ -3,7 +3,8 @@
 Words become subword ids by longest match in a public vocabulary.  The attention model gives the
 probability of the next subword's class; a class is a frequent subword or a cluster of others that keep the same
 company, and inside a class a subword's share of the corpus counts applies.  The product is a probability over all
-sequences of subwords, so the score of a text is that of its spelling.
+sequences of subwords.  A word's probability is the mean of that of its subwords in their context and of its share
+of the corpus's tokens, so that a frequent word does not depend on its spelling, and a new one has only that.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ HELD_WORDS = 400_000
 #: Key of the end token; a word cannot have it but by a hash collision.
 END = np.uint64(0x5EED5EED5EED5EED)
 LOG10 = np.log(10.0)
+#: Weight of a word's share of the corpus in its probability; the attention model has the rest.
+BY_COUNT = 0.5
 
 
 class Subwords:
@@ -125,19 +128,26 @@ class Tables:
 
 
 def score_stream(p: dict, tables: Tables, stream: np.ndarray, bounds: np.ndarray, end: int, step: int = 128) -> np.ndarray:
-    """Natural log probability of each text's tokens."""
+    """Natural log probability of each subword; every one is scored in one window."""
     doc, at = cut_windows(bounds)
-    out = np.bincount(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), tables.share[stream], len(bounds) - 1)
+    out = tables.share[stream]
     for first, rows in ((0, np.flatnonzero(at == 0)), (CONTEXT, np.flatnonzero(at > 0))):
         for i in range(0, len(rows), step):
             pick = rows[i:i + step]
             target, before = fill(stream, bounds, doc[pick], at[pick], end)
-            known = target >= 0
+            known = target[:, first:] >= 0
             found = attention.log_probability(p, tables.symbols[before], tables.classes[np.maximum(target, 0)], first)
-            out += np.bincount(doc[pick], np.where(known[:, first:], found, 0).sum(1), len(out))
+            place = bounds[doc[pick]][:, None] + at[pick][:, None] + np.arange(first, WIDTH)
+            out[place[known]] += found[known]
     return out
 
 
+def mixed(n, total: int, spelled):
+    """Log10 probability of words with counts n and log10 probabilities of their subwords."""
+    by_count = BY_COUNT if total else 0.0
+    return np.log10(by_count * n / max(total, 1) + (1 - by_count) * 10.0 ** np.maximum(spelled, -300)) if by_count else spelled
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     return LOWER[data]
 
@@ -291,8 +301,8 @@ def score(docs: DataFrame, vocabulary: str, training: Column, text: str = "text"
     """One row per input row: the id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
     Tokens are words with A-Z lower-cased, then one end.  ``training`` tells the texts that are learned from (null: yes).
-    ``base_score`` is the add-one log10 probability by the words' counts in them, ``score`` that of the attention model over
-    subwords.  A null text is empty and holds the end only.  Repeated rows count as often as they stand
+    ``base_score`` is the add-one log10 probability by the words' counts in them, ``score`` that of the model:
+    attention over subwords and the words' shares of the corpus, half each.  A null text is empty and holds the end only.  Repeated rows count as often as they stand
     there and are scored alike; an empty table gives no rows; with no training text all counts are 0.
 
     Counts run over all training texts, with the words of a task pre-aggregated.  The counts of the
@@ -344,26 +354,36 @@ def score(docs: DataFrame, vocabulary: str, training: Column, text: str = "text"
         tokens, edges_ = gather(np.concatenate([pool, more]), np.concatenate([at, at[-1] + more_at[1:]]), pick[back])
         docs_at = np.searchsorted(found.doc, np.arange(n + 1))
         stream, ends = with_ends(tokens, edges_[docs_at], s.end)
-        natural = score_stream(weights.value, tables.value, stream, ends, s.end)
+        spelled = np.concatenate([[0], np.cumsum(score_stream(weights.value, tables.value, stream, ends, s.end))]) / LOG10
+        word_lp = spelled[edges_[1:] + found.doc] - spelled[edges_[:-1] + found.doc]
+        end_lp = spelled[ends[1:]] - spelled[ends[1:] - 1]
         log_n = np.where(usual, np.log10(1 + n_of[place]) if len(keys) else 0.0, 0.0)[back]
         known = usual[back]
+        count_of = np.where(usual, n_of[place] if len(keys) else 0.0, 0.0)[back]
+        new = np.log10(1 - BY_COUNT) + word_lp if total else word_lp  # until a rare word's count is known
+        scores = np.bincount(found.doc, np.where(known, mixed(count_of, total, word_lp), new), n) + mixed(end_n, total, end_lp)
         unusual = np.flatnonzero(~known)
         edge = np.searchsorted(found.doc[unusual], np.arange(n + 1))
         odd = hashes[unusual].view(np.int64)
         count = np.diff(docs_at)
         return {"id": rows.column(rows.schema.get_field_index("id")), "training": rows.column(rows.schema.get_field_index("training")),
                 "n_tokens": count + 1, "n_known": np.bincount(found.doc[known], minlength=n) + int(end_n > 0),
-                "logs": np.bincount(found.doc, log_n, n) + np.log10(1 + end_n), "score": natural / LOG10,
+                "logs": np.bincount(found.doc, log_n, n) + np.log10(1 + end_n), "score": scores,
+                "spelled": pa.array([word_lp[unusual[a:b]] for a, b in zip(edge[:-1], edge[1:])], pa.list_(pa.float64())),
                 "rare": pa.array([odd[a:b] for a, b in zip(edge[:-1], edge[1:])], pa.list_(pa.int64()))}
 
     id_type = docs.schema[id_column].dataType.simpleString()
     out = over_texts(base.select("id", "training", "text"), work, f"id {id_type}, training boolean, n_tokens long, n_known long, logs double, score double, "
-                                                                  "rare array<long>")
+                                                                  "spelled array<double>, rare array<long>")
     scored = written(out.withColumn("place", F.monotonically_increasing_id()), "scored")
-    rest = scored.select("place", F.explode("rare").alias("key")).join(words.select("key", "n"), "key")
-    rest = rest.groupBy("place").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more_logs"), F.count(F.lit(1)).alias("more_known"))
-    joined = scored.drop("rare").join(rest, "place", "left")
+    rest = scored.select("place", F.explode(F.arrays_zip("rare", "spelled")).alias("r")).select("place", F.col("r.rare").alias("key"), "r.spelled")
+    rest = rest.join(words.select("key", "n"), "key")
+    lp = F.greatest("spelled", F.lit(-300.0))
+    gain = F.log10(BY_COUNT * F.col("n") / max(total, 1) + (1 - BY_COUNT) * F.pow(F.lit(10.0), lp)) - float(np.log10(1 - BY_COUNT)) - F.col("spelled")
+    rest = rest.groupBy("place").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more_logs"), F.count(F.lit(1)).alias("more_known"), F.sum(gain).alias("gain"))
+    joined = scored.drop("rare", "spelled").join(rest, "place", "left")
     log_total = float(np.log10(total + distinct + 1))
     return joined.select(F.col("id").alias(id_column), (~F.col("training")).alias("held_out"), "n_tokens",
                          (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-                         (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * log_total).alias("base_score"), "score")
+                         (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * log_total).alias("base_score"),
+                         (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"))

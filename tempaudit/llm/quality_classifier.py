@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempaudit.llm.textops import LEAD, LOWER, Hasher, find_words, over_texts, per_doc
+from tempaudit.llm.textops import LEAD, LOWER, Hasher, find_words, hashed_sample, over_texts, per_doc
 from tempaudit.session import scratch_path
 
 #: Largest number of labelled documents the text model is fitted on, taken in hash order.
@@ -112,7 +112,7 @@ class TextModel:
 def train(docs: DataFrame, labels: DataFrame, text: str, id_column: str, targets: tuple[str, ...], rows: int) -> TextModel:
     """Fit on at most ``rows`` labelled documents, the first in the order of their ids' hashes."""
     spark = docs.sparkSession
-    chosen = labels.orderBy(F.xxhash64(F.lit(3), "_key"), "_key").limit(rows)
+    chosen = hashed_sample(labels, rows, "_key")
     sample = docs.select(F.col(id_column).alias("_key"), F.col(text).alias("text")).join(F.broadcast(chosen), "_key")
 
     def work(part, data, bounds):

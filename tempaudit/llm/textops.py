@@ -12,6 +12,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; a longer text is a step of its own.
 CHUNK = 2_000_000
@@ -149,6 +150,17 @@ def over_texts(df: DataFrame, work, schema: str, column: str = "text", limit: in
     return df.mapInArrow(run, schema)
 
 
+def hashed_sample(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """At most so many rows, the first by the hash of their columns; all of them if there are no more.
+
+    Rows beyond a hash that about half as many again lie below are dropped first, so no task hands on a full sample of its own.
+    """
+    total, place = df.count(), F.xxhash64(F.lit(3), *columns)
+    if total > 2 * rows:
+        df = df.filter(place <= F.lit(int(2 ** 64 * 1.5 * rows / total) - 2 ** 63))
+    return df.orderBy(place, *columns).limit(rows)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, with underscores added until no column of the table has it (case does not count)."""
     taken = {c.lower() for c in df.columns}

@@ -18,6 +18,9 @@ def training():
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) != 2
 
 
+SCORES = []
+
+
 def tokens(text):
     lower = "".join(c.lower() if c.isascii() else c for c in text or "")
     return re.findall(r"[^\x20\x09-\x0D]+", lower) + [None]
@@ -42,6 +45,8 @@ def test_counts_and_base_score(docs, odd_texts, monkeypatch, frequent):
         assert r.base_score == pytest.approx(want[4], rel=1e-9)
         assert r.score < 0 and math.isfinite(r.score)
     assert got[0].score == got[1].score  # null and empty
+    SCORES.append([got[i].score for i in range(len(odd_texts))])
+    assert np.allclose(SCORES[0], SCORES[-1], rtol=0.01)  # whether words come by broadcast or by join
 
 
 def test_model_beats_the_word_counts_on_held_out_text(docs):
