@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tempaudit.operators import compare, curves, holds, stats, usage
-from tempaudit.operators.timeline import Timeline
 from tempaudit.plans.common import HYST, S, THR, WIN, expr, query, r, samples, sql_islands, sql_latch, table, timeline
 
 # the corpus: an order is a dataset; its status is the outcome, its price decides what was expected

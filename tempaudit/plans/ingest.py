@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from tempaudit.functions import scalars
 from tempaudit.operators import compare, curves
 from tempaudit.plans.columns import log_lines
-from tempaudit.plans.common import HYST, S, THR, UPTO, WIN, expr, query, r, samples, sql_islands, sql_latch, table, timeline
+from tempaudit.plans.common import HYST, S, THR, expr, query, samples, sql_islands, sql_latch, table, timeline
 from tempaudit.plans.comparisons import CORPUS, corpus
-from tempaudit.plans.operations import ACT, artifacts
 from tempaudit.plans.ordered import STEP_US
 from tempaudit.session import ensure_checkpointing, scratch_path
 from tempaudit.sources import corpus as scans

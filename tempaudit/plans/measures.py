@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tempaudit.operators import curves, excursions, sensors, stats
 from tempaudit.operators.timeline import Timeline
-from tempaudit.plans.common import HI, HYST, LO, S, THR, UPTO, WIN, expr, query, r, samples, sql_latch, timeline
+from tempaudit.plans.common import HI, HYST, LO, S, THR, WIN, expr, query, r, samples, sql_latch, timeline
 from tempaudit.plans.ordered import OUT, SQL_CLOSED, SQL_PHASES, sql_islands
 
 DAY = 86_400_000_000

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tempaudit.functions import clock, scalars
+from tempaudit.functions import scalars
 from tempaudit.operators import bundles, campaigns, opslog, usage
-from tempaudit.operators.timeline import Timeline
 from tempaudit.plans.columns import SQL_LOG, log_lines
-from tempaudit.plans.common import S, WIN, expr, query, r, samples, table
+from tempaudit.plans.common import expr, query, r, samples, table
 from tempaudit.session import small_table
 
 DAY = 86_400_000_000

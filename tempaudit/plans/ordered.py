@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tempaudit.operators import curves, excursions, holds
-from tempaudit.operators.timeline import seconds
-from tempaudit.plans.common import (BUDGET, HI, HYST, LO, S, SQL_LONGEST, THR, UPTO, WIN, expr, query, r, samples,
+from tempaudit.plans.common import (BUDGET, HI, HYST, LO, S, SQL_LONGEST, THR, WIN, expr, query, r, samples,
                                     sql_islands, sql_latch, timeline)
 
 
