@@ -76,19 +76,21 @@ def gradient(p: dict, x: np.ndarray, target: np.ndarray, weight: np.ndarray) ->
 
 
 class Adam:
-    """The usual adaptive steps, one state per parameter."""
+    """The usual adaptive steps, one state per parameter; of a parameter with given rows, these alone take the step."""
 
     def __init__(self, p: dict, rate: float):
         self.p, self.rate, self.t = p, rate, 0
         self.first, self.second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
 
-    def step(self, grads: dict[str, np.ndarray]) -> None:
+    def step(self, grads: dict[str, np.ndarray], rows: dict[str, np.ndarray] | None = None) -> None:
         self.t += 1
         scale = self.rate * (1 - 0.99 ** self.t) ** 0.5 / (1 - 0.9 ** self.t)
         for k, g in grads.items():
-            self.first[k] += 0.1 * (g - self.first[k])
-            self.second[k] += 0.01 * (g * g - self.second[k])
-            self.p[k] -= (scale * self.first[k] / (np.sqrt(self.second[k]) + 1e-7)).astype(np.float32)
+            at = (rows or {}).get(k, slice(None))
+            first, second = self.first[k][at], self.second[k][at]
+            first, second = first + 0.1 * (g - first), second + 0.01 * (g * g - second)
+            self.first[k][at], self.second[k][at] = first, second
+            self.p[k][at] -= (scale * first / (np.sqrt(second) + 1e-7)).astype(np.float32)
 
 
 def pack(p: dict) -> bytes:

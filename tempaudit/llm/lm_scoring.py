@@ -28,8 +28,8 @@ OWN_CLASSES, CLUSTERS = 16, 32
 COMPANY, CLUSTER_ROUNDS = 24, 15
 #: Subwords with an embedding of their own, and embeddings that the others share.
 OWN_SYMBOLS, SHARED_SYMBOLS = 6000, 500
-#: One window in so many of the training texts trains the attention model; it grows with the corpus.
-TRAIN_ONE_IN = 40
+#: One window in so many of the training texts trains the attention model: all of them.
+TRAIN_ONE_IN = 1
 ROUNDS, BATCH, RATE = 2, 32, 0.01
 #: Distinct words a task counts before it hands them on.
 HELD_WORDS = 400_000
@@ -152,8 +152,20 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return LOWER[data]
 
 
-def count_corpus(docs: DataFrame, sub, share: int) -> DataFrame:
-    """Over the training texts: rows (key, word, n) of words, (sub, n) of subwords, and training windows."""
+def packed(rows: np.ndarray, size: int) -> pa.Array:
+    """Windows of ids below ``size`` (-1 beyond the text), each in as few bytes as do."""
+    raw = rows.astype(np.uint16 if size < 65535 else np.int32)
+    return pa.array([r.tobytes() for r in raw], pa.binary())
+
+
+def unpacked(column: pa.Array, size: int) -> np.ndarray:
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint16 if size < 65535 else np.int32).reshape(-1, WIDTH + 1).astype(np.int32)
+    raw[raw >= size] = -1
+    return raw
+
+
+def count_corpus(docs: DataFrame, sub) -> DataFrame:
+    """Over the training texts: rows (key, word, n) of words, (sub, n) of subwords, and all windows."""
     schema = "key long, word binary, n long, sub int, tokens binary"
 
     def run(batches):
@@ -187,14 +199,12 @@ def count_corpus(docs: DataFrame, sub, share: int) -> DataFrame:
                 tokens, place = gather(ids, edges, back)
                 stream, ends = with_ends(tokens, place[np.searchsorted(found.doc, np.arange(n + 1))], s.end)
                 doc, at = cut_windows(ends)
-                salt = np.asarray(rows.column(rows.schema.get_field_index("row"))).view(np.uint64)
-                pick = np.flatnonzero(mix(salt[doc] + at.astype(np.uint64)) % np.uint64(share) == 0)
-                if len(pick):
-                    target, before = fill(stream, ends, doc[pick], at[pick], s.end)
-                    both = np.concatenate([before[:, :1], target], 1).astype(np.int32)
+                if len(doc):
+                    target, before = fill(stream, ends, doc, at, s.end)
+                    both = packed(np.concatenate([before[:, :1], target], 1), s.size + 1)
                     m = len(both)
                     yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()),
-                                                      pa.array([r.tobytes() for r in both], pa.binary())], ["key", "word", "n", "sub", "tokens"])
+                                                      both], ["key", "word", "n", "sub", "tokens"])
                 if sum(map(len, keys)) > HELD_WORDS:
                     yield from hand_on()
                     keys, counts, words = [], [], []
@@ -223,13 +233,14 @@ def train(windows: DataFrame, tables, rounds: int) -> dict[str, np.ndarray]:
             mine, seen = {k: v.copy() for k, v in now.value.items()}, 0
             adam, t = attention.Adam(mine, RATE / (1 + turn)), tables.value
             for batch in batches:
-                raw = b"".join(batch.column("tokens").to_pylist())
-                rows = np.frombuffer(raw, np.int32).reshape(-1, WIDTH + 1)
+                rows = unpacked(batch.column("tokens"), len(t.symbols))
                 for i in range(0, len(rows), BATCH):
                     target = rows[i:i + BATCH, 1:]
                     known = target >= 0
                     before = np.concatenate([rows[i:i + BATCH, :1], np.maximum(target[:, :-1], 0)], 1)
-                    adam.step(attention.gradient(mine, t.symbols[before], t.classes[np.maximum(target, 0)], known.astype(np.float32)))
+                    there, x = np.unique(t.symbols[before], return_inverse=True)
+                    part = mine | {"e": mine["e"][there]}  # only the symbols of the batch take a step
+                    adam.step(attention.gradient(part, x.reshape(before.shape), t.classes[np.maximum(target, 0)], known.astype(np.float32)), {"e": there})
                     seen += int(known.sum())
             if seen:
                 yield from sliced(np.frombuffer(attention.pack(mine), np.float32) * np.float64(seen), seen)
@@ -269,13 +280,13 @@ def company_of(windows: DataFrame, counts: np.ndarray) -> np.ndarray:
         place[top] = np.arange(len(top))
         total, seen = np.zeros((size + 1, COMPANY)), 0
         for batch in batches:
-            rows = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.int32).reshape(-1, WIDTH + 1)[:, 1:]
-            hit = place[rows]
+            rows = unpacked(batch.column("tokens"), size)[:, 1:]
+            hit, rows = place[rows], np.where(rows < 0, size, rows)  # no token is the last
             there = np.zeros((len(rows), COMPANY), bool)
             at = np.nonzero(hit >= 0)
             there[at[0], hit[at]] = True
             for c in range(COMPANY):
-                total[:, c] += np.bincount(rows[there[:, c]].ravel() % (size + 1), minlength=size + 1)  # -1, no token, is the last
+                total[:, c] += np.bincount(rows[there[:, c]].ravel(), minlength=size + 1)
             seen += len(rows)
         if seen:
             yield from sliced(total[:-1].ravel(), seen)
@@ -307,7 +318,8 @@ def score(docs: DataFrame, vocabulary: str, training: Column, text: str = "text"
 
     Counts run over all training texts, with the words of a task pre-aggregated.  The counts of the
     ``FREQUENT`` most frequent words go to every task; the other words of a text are joined to the counts.
-    One window in ``train_one_in`` of the training texts trains the attention weights, whatever their number.
+    All windows of the training texts tell the company that subwords keep; one in ``train_one_in`` trains the
+    attention weights, by default every one.
     """
     spark = docs.sparkSession
 
@@ -317,9 +329,8 @@ def score(docs: DataFrame, vocabulary: str, training: Column, text: str = "text"
         return spark.read.parquet(path)
 
     sub = spark.sparkContext.broadcast(Subwords(Vocabulary(vocabulary)))
-    base = docs.select(F.col(id_column).alias("id"), F.coalesce(training, F.lit(True)).alias("training"), F.xxhash64(id_column, text).alias("row"),
-                       F.col(text).alias("text"))
-    counted = written(count_corpus(base.filter("training").select("row", "text"), sub, train_one_in), "counts")
+    base = docs.select(F.col(id_column).alias("id"), F.coalesce(training, F.lit(True)).alias("training"), F.col(text).alias("text"))
+    counted = written(count_corpus(base.filter("training").select("text"), sub), "counts")
     words = written(counted.filter("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"), F.min("word").alias("word")), "words")
     ends = F.sum(F.when(F.col("key") == int(END.view(np.int64)), F.col("n")))
     total, distinct, end_n = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(ends, F.lit(0))).first()
@@ -329,6 +340,8 @@ def score(docs: DataFrame, vocabulary: str, training: Column, text: str = "text"
     windows = counted.filter("tokens IS NOT NULL").select("tokens")
     begins = np.array([p[:1] == b" " for p in sub.value.vocab.pieces] + [True])
     tables = spark.sparkContext.broadcast(Tables(subs, company_of(windows, subs), begins))
+    if train_one_in > 1:
+        windows = windows.filter(F.pmod(F.xxhash64("tokens"), F.lit(train_one_in)) == 0)
     weights = spark.sparkContext.broadcast(train(windows, tables, rounds))
     frequent = words.filter(F.col("n") >= least_frequent(words)).select("key", "n", "word").toArrow().sort_by("key")
     raw = frequent.column("word").to_pylist()

@@ -102,3 +102,27 @@ def test_windows_score_every_token_once():
 
 def test_empty(empty_docs):
     assert score(empty_docs, PATH, training()).count() == 0
+
+
+def test_every_training_window_is_learned_from(docs, monkeypatch):
+    """At the parameters of the query: company counts every window, and a strong order is learned from few texts."""
+    rng = np.random.default_rng(6)
+    words = ["the", "of", "house", "water", "green", "river", "walks", "slowly"]
+    texts = []
+    for _ in range(1200):
+        at, out = int(rng.integers(8)), []
+        for _ in range(100):
+            out.append(words[at])
+            at = (at + 1 + int(rng.random() < 0.1)) % 8
+        texts.append(" ".join(out))
+    seen = {}
+    monkeypatch.setattr(lm_scoring, "train", lambda windows, tables, rounds, f=lm_scoring.train: seen.update(n=windows.count()) or f(windows, tables, rounds))
+    monkeypatch.setattr(lm_scoring, "company_of", lambda windows, counts, f=lm_scoring.company_of: seen.update(company=windows.count()) or f(windows, counts))
+    got = score(docs(texts), PATH, training()).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    learned = sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts)))
+    each = len(lm_scoring.cut_windows(np.array([0, 101]))[0])  # these words are one subword each
+    assert seen == {"n": learned * each, "company": learned * each}
+    assert got[0] > 0.8 * got[1]
+    score(docs(texts[:50]), PATH, training(), train_one_in=40)
+    few = sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(50)) * each
+    assert seen["company"] == few and seen["n"] < few
