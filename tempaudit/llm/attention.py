@@ -1,4 +1,4 @@
-"""A small causal self-attention model in numpy: one head with a residual path and a softmax over token classes."""
+"""A small causal self-attention model in numpy: one head, one feed-forward layer, a softmax over token classes."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import numpy as np
 WIDTH = 32
 #: A following window repeats so many tokens as context; they are not scored again.
 CONTEXT = 8
-DIM = 16
+DIM, HIDDEN = 16, 32
 
 _FUTURE = np.triu(np.full((WIDTH, WIDTH), -1e4, np.float32), 1)
 
@@ -19,7 +19,8 @@ def start(symbols: int, classes: int, seed: int = 29) -> dict[str, np.ndarray]:
         return rng.normal(0, scale, shape).astype(np.float32)
 
     return {"e": normal(symbols, DIM, scale=0.3), "pos": normal(WIDTH, DIM, scale=0.1), "q": normal(DIM, DIM, scale=0.25), "k": normal(DIM, DIM, scale=0.25),
-            "v": normal(DIM, DIM, scale=0.25), "o": normal(DIM, DIM, scale=0.1), "u": normal(DIM, classes, scale=0.1), "b": np.zeros(classes, np.float32)}
+            "v": normal(DIM, DIM, scale=0.25), "o": normal(DIM, DIM, scale=0.1), "f1": normal(DIM, HIDDEN, scale=0.25), "b1": np.zeros(HIDDEN, np.float32),
+            "f2": normal(HIDDEN, DIM, scale=0.1), "u": normal(DIM, classes, scale=0.1), "b": np.zeros(classes, np.float32)}
 
 
 def forward(p: dict, x: np.ndarray, first: int = 0) -> tuple[np.ndarray, tuple]:
@@ -33,9 +34,13 @@ def forward(p: dict, x: np.ndarray, first: int = 0) -> tuple[np.ndarray, tuple]:
     weight = 1 / a.sum(2, keepdims=True)
     mixed = (a @ v) * weight
     h1 = h0[:, first:] + mixed @ p["o"]
-    z = h1 @ p["u"]
+    g = h1 @ p["f1"]
+    g += p["b1"]
+    np.maximum(g, 0, out=g)
+    h2 = h1 + g @ p["f2"]
+    z = h2 @ p["u"]
     z += p["b"]
-    return z, (x, h0, q, k, v, a, weight, mixed, h1)
+    return z, (x, h0, q, k, v, a, weight, mixed, h1, g, h2)
 
 
 def log_probability(p: dict, x: np.ndarray, target: np.ndarray, first: int = 0) -> np.ndarray:
@@ -48,7 +53,7 @@ def log_probability(p: dict, x: np.ndarray, target: np.ndarray, first: int = 0)
 
 
 def gradient(p: dict, x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-    z, (x, h0, q, k, v, a, weight_, mixed, h1) = forward(p, x)
+    z, (x, h0, q, k, v, a, weight_, mixed, h1, g, h2) = forward(p, x)
     a = a * weight_
     z -= z.max(2, keepdims=True)
     np.exp(z, out=z)
@@ -60,8 +65,12 @@ def gradient(p: dict, x: np.ndarray, target: np.ndarray, weight: np.ndarray) ->
     def outer(left, right):
         return left.reshape(-1, left.shape[-1]).T @ right.reshape(-1, right.shape[-1])
 
-    out["u"], out["b"] = outer(h1, z), z.sum((0, 1))
-    dh1 = z @ p["u"].T
+    out["u"], out["b"] = outer(h2, z), z.sum((0, 1))
+    dh2 = z @ p["u"].T
+    out["f2"] = outer(g, dh2)
+    dg = (dh2 @ p["f2"].T) * (g > 0)
+    out["f1"], out["b1"] = outer(h1, dg), dg.sum((0, 1))
+    dh1 = dh2 + dg @ p["f1"].T
     out["o"] = outer(mixed, dh1)
     dmix = dh1 @ p["o"].T
     da = dmix @ v.transpose(0, 2, 1)

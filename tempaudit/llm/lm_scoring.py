@@ -23,7 +23,7 @@ from tempaudit.session import scratch_path
 #: Most words whose counts and subwords every task holds, the most frequent ones; all others are joined.
 FREQUENT = 300_000
 #: Frequent subwords that are a class of their own, and clusters of all others: half begin words, half go on with them.
-OWN_CLASSES, CLUSTERS = 16, 32
+OWN_CLASSES, CLUSTERS = 32, 32
 #: Frequent subwords whose presence in a window is the company that clusters are made by, and rounds of clustering.
 COMPANY, CLUSTER_ROUNDS = 24, 15
 #: Subwords with an embedding of their own, and embeddings that the others share.

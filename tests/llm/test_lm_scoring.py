@@ -126,3 +126,14 @@ def test_every_training_window_is_learned_from(docs, monkeypatch):
     score(docs(texts[:50]), PATH, training(), train_one_in=40)
     few = sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(50)) * each
     assert seen["company"] == few and seen["n"] < few
+
+
+def test_feed_forward_layer_and_classes():
+    """Without attention the logits are no sum over parts of an embedding, and frequent subwords are told apart."""
+    p = attention.start(3, 4)
+    p["o"][:], p["pos"][:], p["e"][2] = 0, 0, p["e"][0] + p["e"][1]
+    one, two, both = (attention.forward(p, np.full((1, attention.WIDTH), i))[0] for i in range(3))
+    assert not np.allclose(one + two, both, atol=1e-3)
+    counts = np.arange(1000, 0, -1)
+    tables = lm_scoring.Tables(counts, np.ones((1000, lm_scoring.COMPANY)), np.arange(1000) % 2 == 0)
+    assert len(tables.bias) == 64 and len(set(tables.classes[:32])) == 32 and tables.classes[32:].min() == 32
