@@ -23,6 +23,8 @@ EDITS = 2
 LEAST_CHARS = 25
 #: Lines of each side of a tile.
 TILE = 128
+#: A segment of more lines is cut into blocks of so many lines, and its pairs of blocks are dealt out over tasks.
+HOT, BLOCK = 2048, 1024
 #: A table of at most so many narrow rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Pairs times characters that one comparison step holds.
@@ -115,7 +117,10 @@ def first_lines(docs: DataFrame) -> DataFrame:
 
 
 def meetings(docs: DataFrame, edits: int) -> DataFrame:
-    """Tiles of lines that share a segment: ``key``, ``a``, ``b``, ``probe``, ``line``.  A task holds the keys of one segment's lines (8 bytes each)."""
+    """Tiles of lines that share a segment: ``key``, ``a``, ``b``, ``probe``, ``line``, ``others``.  A task holds the keys of one segment's lines (8 bytes each).
+
+    Of a segment of more than ``HOT`` lines, each line is handed on once, with the number of blocks that its own is to meet in ``others``.
+    """
     def work(rows, data, bounds):
         lines = Lines(data, bounds)
         at = np.flatnonzero(lines.long)
@@ -127,6 +132,12 @@ def meetings(docs: DataFrame, edits: int) -> DataFrame:
 
     def tiles(key, line):
         index, probe = np.unique(line[line & 1 == 0]), np.unique(line[line & 1 == 1]) & ~1
+        if len(index) + len(probe) > HOT:
+            place = np.concatenate([np.arange(len(index)), np.arange(len(probe))]) // BLOCK
+            side = np.arange(len(place)) >= len(index)
+            blocks = -(-len(index) // BLOCK), -(-len(probe) // BLOCK)
+            return {"key": np.full(len(place), key), "a": place.astype(np.int32), "b": place.astype(np.int32), "probe": side,
+                    "line": np.concatenate([index, probe]), "others": np.where(side, *blocks).astype(np.int32)} if min(blocks) else {"line": []}
         out = []
         for i in range(0, len(index), TILE):
             for j in range(0, len(probe), TILE):
@@ -135,7 +146,8 @@ def meetings(docs: DataFrame, edits: int) -> DataFrame:
                     out.append((np.full(len(x) + len(y), i // TILE), np.full(len(x) + len(y), j // TILE), np.arange(len(x) + len(y)) >= len(x),
                                 np.concatenate([x, y])))
         a, b, side, member = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
-        return {"key": np.full(len(a), key), "a": a.astype(np.int32), "b": b.astype(np.int32), "probe": side.astype(bool), "line": member}
+        return {"key": np.full(len(a), key), "a": a.astype(np.int32), "b": b.astype(np.int32), "probe": side.astype(bool), "line": member,
+                "others": np.zeros(len(a), np.int32)}
 
     def run(batches):
         held_key, held = None, []
@@ -168,7 +180,15 @@ def meetings(docs: DataFrame, edits: int) -> DataFrame:
             if len(found["line"]):
                 yield pa.RecordBatch.from_pydict(found)
 
-    return met.mapInArrow(run, "key long, a int, b int, probe boolean, line long")
+    return met.mapInArrow(run, "key long, a int, b int, probe boolean, line long, others int")
+
+
+def every_tile(tiles: DataFrame) -> DataFrame:
+    """``tiles`` with each line of a cut segment once per block that its own is to meet."""
+    cut = tiles.filter("others > 0").repartition("key", "line", "probe").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    cut = cut.select("key", F.when(F.col("probe"), F.col("other")).otherwise(F.col("a")).alias("a"),
+                     F.when(F.col("probe"), F.col("b")).otherwise(F.col("other")).alias("b"), "probe", "line")
+    return tiles.filter("others = 0").drop("others").unionByName(cut)
 
 
 def within(codes: list[np.ndarray], i: np.ndarray, j: np.ndarray, edits: int) -> np.ndarray:
@@ -222,14 +242,24 @@ def near_lines(tiles: DataFrame, edits: int) -> DataFrame:
         codes = [np.frombuffer(m[3].encode("utf-32-le"), np.uint32) for m in members]
         bag = np.stack([np.bincount(c & 31, minlength=32) for c in codes]).astype(np.int32)
         left, right = np.flatnonzero(~probe), np.flatnonzero(probe)
-        far = np.abs(bag[left][:, None] - bag[right][None]).sum(2)  # one edit changes at most two counts by one
-        for i, j in zip(*np.nonzero(far <= 2 * edits)):
-            x, y = members[left[i]], members[right[j]]
-            if x[1] != y[1]:
-                yield codes[left[i]], codes[right[j]], max((x[2], x[1]), (y[2], y[1]))[1]
+        for k in range(0, len(left), 16):
+            far = np.abs(bag[left[k:k + 16]][:, None] - bag[right][None]).sum(2)  # one edit changes at most two counts by one
+            for i, j in zip(*np.nonzero(far <= 2 * edits)):
+                x, y = members[left[k + i]], members[right[j]]
+                if x[1] != y[1]:
+                    yield codes[left[k + i]], codes[right[j]], max((x[2], x[1]), (y[2], y[1]))[1]
 
     def run(batches):
-        tile, members, waiting = None, [], []
+        tile, members, waiting, cells = None, [], [], 0
+
+        def closed(members):
+            nonlocal waiting, cells
+            for pair in pairs(members) if members else ():
+                waiting.append(pair)
+                cells += len(pair[0])
+                if cells > CELLS // 4:
+                    yield verdict()
+                    waiting, cells = [], 0
 
         def verdict():
             codes = [c for a, b, _ in waiting for c in (a, b)]
@@ -241,13 +271,10 @@ def near_lines(tiles: DataFrame, edits: int) -> DataFrame:
             columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "a", "b", "probe", "line", "no_id", "id", "row", "number", "text")]
             for key, a, b, probe, line, no_id, id_, row, number, text in zip(*columns):
                 if (key, a, b) != tile:
-                    waiting += pairs(members) if members else []
+                    yield from closed(members)
                     tile, members = (key, a, b), []
-                    if sum(len(x) for x, _, _ in waiting[-1:]) * len(waiting) > CELLS // 4:
-                        yield verdict()
-                        waiting = []
                 members.append((probe, line, (no_id, id_ if not no_id else 0, row, number), text))
-        waiting += pairs(members) if members else []
+        yield from closed(members)
         if waiting:
             yield verdict()
 
@@ -294,7 +321,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
         return {"line": lines.key[at].view(np.int64), "text": pa.array([raw[a:b].decode() for a, b in zip(lines.left[at], lines.right[at])], pa.string())}
 
     texts = written(over_texts(base.join(small(per_row), "row").select("numbers", "text"), fetch, "line long, text string").dropDuplicates(["line"]), "line-texts")
-    near = near_lines(tiles.join(texts.join(firsts, "line"), "line"), edits).withColumn("near", F.lit(True))
+    near = near_lines(every_tile(tiles).join(texts.join(firsts, "line"), "line"), edits).withColumn("near", F.lit(True))
     marked = firsts.join(near, "line", "left").groupBy(F.col("row").alias("_row")).agg(
         F.collect_list("number").alias("_first"), F.collect_list(F.when(F.col("near"), F.col("number"))).alias("_near"))
     key, first_name, near_name = (unused(docs, c) for c in ("_row", "_first", "_near"))

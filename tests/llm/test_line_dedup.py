@@ -87,3 +87,15 @@ def test_odd_rows(spark, docs, odd_texts, empty_docs, monkeypatch):
     monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
     out = cleaned(spark.createDataFrame(rows, "doc_id int, text string")).collect()
     assert sorted(map(tuple, out)) == [(1, line), (1, line), (3, "short")]
+
+
+def test_lines_of_a_hot_segment_are_handed_on_once(spark, docs, pages, monkeypatch):
+    for name, size in (("HOT", 4), ("BLOCK", 2)):
+        monkeypatch.setattr(line_dedup, name, size, raising=False)
+    got = {r.doc_id: (r.kept_text, r.n_lines, r.n_exact, r.n_near) for r in dedup_lines(docs(pages)).collect()}
+    assert [got[i] for i in range(len(pages))] == brute(pages)
+    monkeypatch.setattr(line_dedup, "HOT", 64)
+    rng = random.Random(8)
+    table = docs(["Posted by some user on the first of May, " + "".join(rng.choices("0123456789", k=20)) for _ in range(600)])
+    met = line_dedup.meetings(table, 2).groupBy("key").count().agg(F.max("count")).first()[0]
+    assert 1200 >= met >= 600
