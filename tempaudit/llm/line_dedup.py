@@ -19,7 +19,7 @@ from tempaudit.llm.textops import LEAD, SPACE, Hasher, mix, over_texts, unused
 from tempaudit.session import scratch_path
 
 EDITS = 2
-#: Shorter lines (in characters, without white space at the ends) are never removed: they are no boilerplate.
+#: Shorter lines (in characters, without white space at the ends) are not compared by edits; by default they are not removed as copies either.
 LEAST_CHARS = 25
 #: Lines of each side of a tile.
 TILE = 128
@@ -102,10 +102,10 @@ class Lines:
         return np.concatenate(keys).view(np.int64), np.concatenate(lines).view(np.int64)
 
 
-def first_lines(docs: DataFrame) -> DataFrame:
-    """Every distinct long line with its first place: ``line``, ``no_id``, ``id``, ``row``, ``number``."""
+def first_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
+    """Every distinct line of ``least`` characters or more with its first place: ``line``, ``no_id``, ``id``, ``row``, ``number``."""
     def work(rows, data, bounds):
-        lines = Lines(data, bounds)
+        lines = Lines(data, bounds, least)
         at = np.flatnonzero(lines.long)
         take = pa.array(lines.doc[at])
         return {"line": lines.key[at].view(np.int64), "id": rows.column(rows.schema.get_field_index("id")).take(take),
@@ -286,12 +286,12 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", id_column: str = "doc_id", edits: int = EDITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", id_column: str = "doc_id", edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
     """All columns of ``docs`` and ``kept_text``, ``n_lines``, ``n_exact``, ``n_near`` and ``removed`` (numbers of the removed lines).
 
-    A line of at least ``LEAST_CHARS`` characters (without outer white space, \\n-split) is removed if an equal line
-    comes earlier, in the order of id (null last), text and line number, or if it is a first line within ``edits``
-    edits of an earlier one.  Whether that earlier line is itself removed makes no difference.
+    A line of at least ``least`` characters (without outer white space, \\n-split) is removed if an equal line
+    comes earlier, in the order of id (null last), text and line number, or if it is a first line of ``LEAST_CHARS``
+    characters or more within ``edits`` edits of an earlier such one.  With ``least`` 1 all lines but blank ones count.  Whether that earlier line is itself removed makes no difference.
     Null texts stay null with no lines; an empty text has one empty line.  Rows that repeat an id and its text are one document and
     get the same result.  New columns replace columns of the same names.
 
@@ -308,7 +308,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
     docs = docs.drop(*new)
     row = F.xxhash64(F.col(id_column), F.col(text))
     base = docs.select(F.col(id_column).alias("id"), row.alias("row"), F.col(text).alias("text"))
-    firsts = written(first_lines(base), "first-lines")
+    firsts = written(first_lines(base, least), "first-lines")
     tiles = written(meetings(base, edits), "line-tiles")
     wanted = tiles.select("line").distinct().join(firsts, "line")
     per_row = written(wanted.groupBy("row").agg(F.collect_list("number").alias("numbers")), "wanted-lines")
@@ -329,7 +329,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
     joined = docs.withColumn(key, row).join(marked, key, "left").drop(key)
 
     def cut(rows, data, bounds):
-        lines = Lines(data, bounds)
+        lines = Lines(data, bounds, least)
         edges = np.searchsorted(lines.doc, np.arange(len(bounds)))
         texts_ = rows.column(rows.schema.get_field_index(text)).to_pylist()
         firsts_, nears = (rows.column(rows.schema.get_field_index(c)).to_pylist() for c in (first_name, near_name))

@@ -67,7 +67,7 @@ def op6_lm_scoring(spark, sf):
 
 @query
 def op7_line_dedup(spark, sf):
-    out = line_dedup.dedup_lines(table(spark, sf, "documents"))
+    out = line_dedup.dedup_lines(table(spark, sf, "documents"), least=1)
     return out.select("doc_id", "n_lines", "n_exact", "n_near", "removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -99,3 +99,12 @@ def test_lines_of_a_hot_segment_are_handed_on_once(spark, docs, pages, monkeypat
     table = docs(["Posted by some user on the first of May, " + "".join(rng.choices("0123456789", k=20)) for _ in range(600)])
     met = line_dedup.meetings(table, 2).groupBy("key").count().agg(F.max("count")).first()[0]
     assert 1200 >= met >= 600
+
+
+def test_query_removes_equal_lines_of_every_length(tmp_path, spark, docs):
+    from tempaudit.llm.queries import QUERIES
+
+    line = "one line that is long enough to count"
+    docs([f"{line}\nshort\n\nx", f"{line}\nshort\n\n x \nshore", "short\r\n\n", line + "!"]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_exact, r.n_near, list(r.removed)) for r in QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {0: (0, 0, []), 1: (3, 0, [0, 1, 3]), 2: (1, 0, [0]), 3: (0, 1, [0])}
