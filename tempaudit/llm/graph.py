@@ -63,5 +63,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         before, seen = seen, state(now)
         if before == seen:
             break
+    else:
+        if seen[0]:
+            raise RuntimeError(f"links still change after {rounds} rounds")
     roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

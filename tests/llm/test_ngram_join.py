@@ -70,3 +70,12 @@ def test_odd_rows(spark, docs, odd_texts, empty_docs):
 def test_depth_reaches_the_target():
     depth = ngram_join.floor_depth(0.8, 0.999)
     assert 1 - (1 - 0.8 ** depth) ** ngram_join.TREES >= 0.999 and 2 < depth < ngram_join.DEEPEST
+
+
+def test_components_that_run_out_of_rounds_raise(spark):
+    from tempaudit.llm.graph import components
+
+    path = spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long")
+    assert {r.root for r in components(path).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components(path, rounds=1)
