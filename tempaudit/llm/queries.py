@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempaudit.llm import bpe, embedding_dedup, line_dedup, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, secrets, url_filters
+from tempaudit.llm import (bpe, embedding_dedup, filter_audit, hard_negatives, line_dedup, lm_scoring, mixing, ngram_join, quality_classifier,
+                           quality_rules, secrets, sharding, url_filters)
 from tempaudit.session import small_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +106,60 @@ def judged(docs, sf):
 @query
 def op10_quality_classifier(spark, sf):
     return judged(table(spark, sf, "documents"), sf)
+
+
+@query
+def op11_filter_audit(spark, sf):
+    return filter_audit.audit_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+ORACLES["op11_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+g AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, CASE WHEN len(words) < 200 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > least THEN 16 ELSE 0 END AS mask,
+    coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM w LEFT JOIN g USING (doc_id)),
+m AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, mask),
+l(c, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+    FROM l a JOIN l b ON b.c <> a.c JOIN l c ON c.c NOT IN (a.c, b.c) JOIN l d ON d.c NOT IN (a.c, b.c, c.c) JOIN l e ON e.c NOT IN (a.c, b.c, c.c, d.c)),
+s AS (SELECT filter_order, step, bits[step] AS bit, list_sum(bits[1:step]) - bits[step] AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+x AS (SELECT part, filter_order, step, any_value(bit) AS bit,
+    sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+    FROM m, s GROUP BY part, filter_order, step)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+    CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+    CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM x"""
+
+
+@query
+def op12_hard_negatives(spark, sf):
+    rows = hard_negatives.usable(table(spark, sf, "embeddings"), "embedding", "vec_id", "label")
+    return hard_negatives.mine(hard_negatives.moved_labels(rows, 7, 10), 50)
+
+
+ORACLES["op12_hard_negatives"] = """
+WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (SELECT a.id AS anchor, b.id AS other, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+    FROM e a JOIN e b ON a.id % 50 = 0 AND a.id <> b.id),
+pos AS (SELECT * FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5),
+neg AS (SELECT pos.anchor, pos.other AS positive, p.other AS negative, pos.score AS ps, p.score AS ns,
+    row_number() OVER (PARTITION BY pos.anchor, pos.other ORDER BY p.score DESC, p.other) AS rank
+    FROM pos JOIN p ON p.anchor = pos.anchor AND NOT p.same AND 100 * p.score BETWEEN 50 * pos.score AND 95 * pos.score)
+SELECT anchor AS anchor_id, positive AS positive_id, CAST(rank AS INTEGER) AS rank, negative AS negative_id, ps AS positive_score, ns AS negative_score
+FROM neg WHERE rank <= 3"""
+
+
+@query
+def op13_sharding(spark, sf):
+    return sharding.shard_documents(table(spark, sf, "documents"), 8)
