@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempaudit.functions.scalars import join_reasons, tolerance_check
+from tempaudit.operators.holds import _true, as_col
+from tempaudit.operators.recipes import Recipe, Round, after, longest_stretch, stretch_rounds, together
 from tempaudit.operators.stats import order_statistic
+from tempaudit.operators.timeline import following, last_seen, prev, seconds
 from tempaudit.session import small_table
 
 CLASSES = ("PASS", "FAIL", "ERROR", "INDETERMINATE")
@@ -34,7 +37,11 @@ def unpivot_metrics(df: DataFrame, metrics: list[str], keep=("run_id", "industry
 def metric_differences(engine: DataFrame, independent: DataFrame, tolerances: DataFrame, default_relative=0.05,
                        exact_below=None, key=("run_id", "industry")) -> DataFrame:
     """Engine and independent metrics side by side; a metric one side lacks is not within tolerance."""
-    both = engine.join(independent, [*key, "metric"], "full_outer")
+    return judged_pairs(engine.join(independent, [*key, "metric"], "full_outer"), tolerances, default_relative, exact_below, key)
+
+
+def judged_pairs(both: DataFrame, tolerances: DataFrame, default_relative=0.05, exact_below=None, key=("run_id", "industry")) -> DataFrame:
+    """Rows of ``metric``, ``engine``, ``independent`` judged by the tolerance of their industry and metric."""
     judged = both.join(F.broadcast(tolerances), ["industry", "metric"], "left")
     check = tolerance_check(F.col("engine"), F.col("independent"), F.col("tolerance"), default_relative, exact_below)
     return judged.withColumn("_c", check).select(
@@ -42,10 +49,34 @@ def metric_differences(engine: DataFrame, independent: DataFrame, tolerances: Da
         "_c.tolerance_type")
 
 
+def hold_and_ramp(threshold, hysteresis, value="value", p="_hr_") -> Recipe:
+    """Hold time and largest ramp twice, in one pass: by the engine's way (latch, backward differences) as ``engine_hold`` and
+    ``engine_ramp``, and independently (band, central differences) as ``other_hold`` and ``other_ramp``."""
+    v, on = F.col(value), as_col(threshold)
+    off = on - as_col(hysteresis)
+    before, around = seconds(F.col("us"), F.col(f"{p}pu")), seconds(F.col(f"{p}nu"), F.col(f"{p}pu"))
+    start = Round({f"{p}seen": last_seen(F.when(v >= on, True).when(v < off, False)), f"{p}pv": prev(value), f"{p}pu": prev("us"),
+                   f"{p}nv": following(value), f"{p}nu": following("us")})
+    latched = after(start, stretch_rounds(_true(F.col(f"{p}seen")), p, "latch_"))
+    rounds = together(latched, stretch_rounds(_true(v >= off), p, "band_"))
+    backward = F.when(F.col(f"{p}pu").isNull(), 0.0).when(before > 0, (v - F.col(f"{p}pv")) / before * 60)
+    central = F.when(around > 0, (F.col(f"{p}nv") - F.col(f"{p}pv")) / around * 60)
+    return Recipe(p, rounds, {
+        "engine_hold": longest_stretch(p, "latch_"), "engine_ramp": F.max(backward), "other_hold": longest_stretch(p, "band_"),
+        "other_ramp": F.coalesce(F.max(central), F.lit(0.0))})
+
+
+def paired_metrics(df: DataFrame, pairs: dict[str, tuple[Column, Column]], keep=("run_id", "industry")) -> DataFrame:
+    """One row per metric from runs that hold both sides."""
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), a.cast("double").alias("engine"), b.cast("double").alias("independent"))
+                     for m, (a, b) in pairs.items()])
+    return df.select(*keep, F.explode(rows).alias("_m")).select(*keep, "_m.*")
+
+
 def shadow_status(differences: DataFrame, key=("run_id", "industry")) -> DataFrame:
     """One row per run: AGREEMENT, TOLERANCE_VIOLATION or, with nothing to compare, INDEPENDENT_ERROR.
 
-    The reason lists the violating metrics; a run has a fixed handful of them.
+    The reason lists the violating metrics; a run has a fixed handful of them.  Columns of the run may go along in ``key``.
     """
     comparable = F.col("engine").isNotNull() & F.col("independent").isNotNull()
     bad = comparable & ~F.col("within_tolerance")
@@ -56,11 +87,15 @@ def shadow_status(differences: DataFrame, key=("run_id", "industry")) -> DataFra
         F.col("violations") > 0, "TOLERANCE_VIOLATION").otherwise("AGREEMENT"))
 
 
+def final_status(status: Column, shadow: Column) -> Column:
+    """A verdict whose shadow comparison violates a tolerance is undecided."""
+    return F.when(shadow == "TOLERANCE_VIOLATION", F.lit("INDETERMINATE")).otherwise(status)
+
+
 def downgrade(verdicts: DataFrame, shadow: DataFrame, key="run_id") -> DataFrame:
-    """A verdict whose shadow comparison violates a tolerance becomes INDETERMINATE."""
+    """``final_status`` of verdicts that are kept apart from their shadow comparison."""
     joined = verdicts.join(shadow.select(key, "shadow_status"), key, "left")
-    violated = F.coalesce(F.col("shadow_status") == "TOLERANCE_VIOLATION", F.lit(False))
-    return joined.withColumn("final_status", F.when(violated, "INDETERMINATE").otherwise(F.col("status")))
+    return joined.withColumn("final_status", final_status(F.col("status"), F.col("shadow_status")))
 
 
 def replay_check(original: DataFrame, again: DataFrame, exact: list[str], close: list[str], tolerance=0.1, key="run_id") -> DataFrame:

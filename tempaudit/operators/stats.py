@@ -77,15 +77,21 @@ def lethality(tl: Timeline, reference=121.1, z=10.0, value="value", supplied: st
     return line.per_run((F.coalesce(F.max(supplied), total) if supplied else total).alias("f0"))
 
 
-def maturity(tl: Timeline, datum=-10.0, factor=13.65, value="value") -> DataFrame:
+DATUM, FACTOR = -10.0, 13.65  # fixed values: datum temperature and half-strength degree hours
+
+
+def strength(hours: Column, factor=FACTOR) -> Column:
+    """Percent of the final strength after so many degree hours."""
+    return F.when(hours > 0, F.least(hours / (hours + factor) * 100, F.lit(100.0))).otherwise(0.0)
+
+
+def maturity(tl: Timeline, datum=DATUM, factor=FACTOR, value="value") -> DataFrame:
     """Temperature-time above the datum in degree hours and the strength estimated from it."""
     ahead = tl.scan(_nv=following(value), _nu=following("us"))
     mean = (F.col(value) + F.col("_nv")) / 2
     part = F.when(mean > datum, (mean - datum) * seconds(F.col("_nu"), F.col("us")) / 3600)
     total = F.coalesce(F.sum(part), F.lit(0.0))
-    return ahead.per_run(total.alias("maturity_h")).withColumn("strength_pct", F.when(
-        F.col("maturity_h") > 0, F.least(F.col("maturity_h") / (F.col("maturity_h") + factor) * 100, F.lit(100.0))
-    ).otherwise(0.0))
+    return ahead.per_run(total.alias("maturity_h")).withColumn("strength_pct", strength(F.col("maturity_h"), factor))
 
 
 def window_ids(tl: Timeline, window_s: int, step_s: int) -> DataFrame:
@@ -105,17 +111,58 @@ def window_ids(tl: Timeline, window_s: int, step_s: int) -> DataFrame:
     return usable.withColumn("window_id", F.explode(F.expr(f"sequence({first}, {last})"))).drop("_t0", "_t1")
 
 
+def with_windows(tl: Timeline, lo, hi, window_s: int, step_s: int, value="value") -> Timeline:
+    """Rows with their neighbours, position and the time in the band before them: what ``window_edges`` needs."""
+    line = tl.scan(_pu=prev("us"), _nu=following("us"), _pos=position()).attach(_t0=F.min("us"), _t1=F.max("us"))
+    inside = _true(F.col(value).between(as_col(lo), as_col(hi)))
+    line = line.with_columns(_good=F.when(inside, F.coalesce(F.col("_nu") - F.col("us"), F.lit(0))).otherwise(F.lit(0)),
+                             _w=F.lit(window_s * 1_000_000), _s=F.lit(step_s * 1_000_000))
+    return line.scan(_g=run_sum("_good")).with_columns(_g=F.col("_g") - F.col("_good"))
+
+
+def window_edges(line: Timeline, keep: dict[str, Column] | None = None) -> DataFrame:
+    """The first and the last sample of every overlapping window, as rows ``window_id``, ``_begins``, ``_pos``, ``_g``, ``_at``.
+
+    A window's contents follow from running sums at its two edges, so each is two rows, however many samples it holds and however
+    far windows overlap.  Windows begin every step from the run's first sample, hold both ends, and end within the run; those
+    without samples have no rows.  ``keep`` are values of the rows themselves, on a row of their own without a window.
+    """
+    ceil = lambda at: f"(({at} - _t0 - _w) + _s - 1) div _s"
+    last = "if(_t1 - _t0 >= _w, (_t1 - _t0 - _w) div _s, -1L)"
+    held_from, held_to = ceil("us"), "(us - _t0) div _s"  # windows that hold the sample
+    begin = f"greatest(coalesce((_pu - _t0) div _s + 1, 0L), {held_from}, 0L)", f"least({held_to}, {last})"
+    end = f"greatest({held_from}, 0L)", f"least(coalesce({ceil('_nu')} - 1, {last}), {held_to}, {last})"
+    edge = lambda span, begins: F.expr(f"if({span[1]} >= {span[0]}, transform(sequence({span[0]}, {span[1]}), k -> struct(k AS id, {begins} AS begins)), array())")
+    lists = [edge(begin, "true"), edge(end, "false")]
+    if keep:
+        lists.append(F.array(F.struct(F.lit(None).cast("long").alias("id"), F.lit(None).cast("boolean").alias("begins"))))
+    rows = line.rows().withColumns({f"_keep{n}": c for n, c in (keep or {}).items()}).withColumn("_e", F.explode(F.concat(*lists)))
+    own = {n: F.when(F.col("_e.id").isNull(), F.col(f"_keep{n}")) for n in keep or ()}
+    return rows.select(*line.key, F.col("_e.id").alias("window_id"), F.col("_e.begins").alias("_begins"), "_pos", "_g", F.col("us").alias("_at"),
+                       *[c.alias(n) for n, c in own.items()])
+
+
+def windows_of(edges: DataFrame, key, required=95.0, *extra: Column) -> DataFrame:
+    """One row per window (and one without, for what ``keep`` handed on): samples, seconds, time-weighted share in the band."""
+    at = lambda column, begins: F.max(F.when(F.col("_begins") == begins, F.col(column)))
+    span = lambda column: at(column, False) - at(column, True)
+    total = F.col("total_s")
+    return edges.groupBy(*key, "window_id").agg(
+        (span("_pos") + 1).alias("samples"), (span("_at") / F.lit(1e6)).alias("total_s"), (span("_g") / F.lit(1e6)).alias("_good_s"), *extra,
+    ).withColumn("compliance_pct", F.when(total > 0, F.col("_good_s") / total * 100).when(F.col("window_id").isNotNull(), 0.0)).withColumn(
+        "compliant", (F.col("compliance_pct") >= required) & (F.col("samples") >= 2)).drop("_good_s")
+
+
 def window_compliance(tl: Timeline, lo, hi, window_s=86_400, step_s=43_200, required=95.0, value="value") -> DataFrame:
     """Time-weighted in-range share of each overlapping window; a sample's value holds until the next."""
-    assigned = window_ids(tl, window_s, step_s)
-    line = tl.again(assigned, key=[*tl.key, "window_id"], growth=window_s // step_s + 1).scan(_nu=following("us"))
-    step = F.coalesce(seconds(F.col("_nu"), F.col("us")), F.lit(0.0))
-    inside = F.col(value).between(as_col(lo), as_col(hi))
-    total, good = F.sum(step), F.sum(F.when(inside, step).otherwise(0.0))
-    return line.per_run(
-        F.count(F.lit(1)).alias("samples"), total.alias("total_s"),
-        F.when(total > 0, good / total * 100).otherwise(0.0).alias("compliance_pct"),
-    ).withColumn("compliant", (F.col("compliance_pct") >= required) & (F.col("samples") >= 2))
+    return windows_of(window_edges(with_windows(tl, lo, hi, window_s, step_s, value)), tl.key, required)
+
+
+def window_totals(share=0.8) -> list[Column]:
+    """Aggregates of a run over its windows."""
+    there, good = F.col("window_id").isNotNull(), F.col("window_id").isNotNull() & F.col("compliant")
+    return [F.count_if(there).alias("total_windows"), F.avg("compliance_pct").alias("mean_pct"),
+            F.when(F.count_if(there) > 0, F.count_if(good) >= F.count_if(there) * share).alias("overall_pass")]
 
 
 def window_rollup(windows: DataFrame, key=("run_id",), share=0.8) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tempaudit.operators import compare, curves, holds, stats, usage
+from tempaudit.operators import compare, stats, usage
+from tempaudit.operators.recipes import measure
 from tempaudit.plans.common import HYST, S, THR, WIN, expr, query, r, samples, sql_islands, sql_latch, table, timeline
 
 # the corpus: an order is a dataset; its status is the outcome, its price decides what was expected
@@ -114,16 +115,24 @@ def b20(spark, sf):
 # -- engine against independent calculation --------------------------------------------------------
 
 
+HOLD, RAMP = "hold_time_s", "ramp_rate_C_per_min"
+
+
 def sides(spark, sf):
-    """Hold time and largest ramp of every run by engine (latch, backward) and independently (band, central)."""
-    tl = timeline(spark, sf)
+    """Hold time and largest ramp of every run by engine and independently, from one pass."""
+    recipe = compare.hold_and_ramp(expr(THR), expr(HYST))
+    c = recipe.measured
     industry = F.when(F.col("run_id") % 2 == 0, "powder").otherwise("autoclave").alias("industry")
-    engine = holds.latched_hold(tl, expr(THR), expr(HYST)).join(curves.max_backward_ramp(tl), "run_id").select(
-        "run_id", industry, F.col("hold_s").alias("hold_time_s"), F.col("max_ramp").alias("ramp_rate_C_per_min"))
-    other = holds.band_hold(tl, expr(THR), expr(HYST)).join(curves.max_central_ramp(tl), "run_id").select(
-        "run_id", industry, F.col("hold_s").alias("hold_time_s"), F.when(F.col("run_id") % 10 < 8, F.col("max_ramp")).alias("ramp_rate_C_per_min"))
-    names = ["hold_time_s", "ramp_rate_C_per_min"]
-    return compare.unpivot_metrics(engine, names, name="engine"), compare.unpivot_metrics(other, names, name="independent")
+    return measure(timeline(spark, sf), {"": recipe}).select(
+        "run_id", industry, c("engine_hold").alias("e_hold"), c("engine_ramp").alias("e_ramp"), c("other_hold").alias("i_hold"),
+        F.when(F.col("run_id") % 10 < 8, c("other_ramp")).alias("i_ramp"),
+        F.when(c("engine_hold") >= 86400, "PASS").otherwise("FAIL").alias("status"))
+
+
+def differences(spark, sf, *key):
+    pairs = {HOLD: (F.col("e_hold"), F.col("i_hold")), RAMP: (F.col("e_ramp"), F.col("i_ramp"))}
+    both = compare.paired_metrics(sides(spark, sf), pairs, ("run_id", "industry", *key))
+    return compare.judged_pairs(both, compare.tolerance_table(spark), key=("run_id", "industry", *key))
 
 
 def _sql_hold(state: str, name: str) -> str:
@@ -145,9 +154,7 @@ df AS (SELECT *, CASE WHEN e IS NULL OR i IS NULL THEN false WHEN e = 0 AND i =
 @query("j03_metric_differences", f"""WITH {S}, {SQL_SIDES} SELECT run_id, metric, round(e, 6)::DOUBLE AS engine, round(i, 6)::DOUBLE AS independent, ok AS within_tolerance,
   CASE WHEN e IS NULL OR i IS NULL THEN 'N/A' WHEN e = 0 AND i = 0 THEN 'exact' WHEN tol IS NOT NULL THEN 'absolute' ELSE 'relative' END AS tolerance_type FROM df""")
 def j03(spark, sf):
-    engine, other = sides(spark, sf)
-    d = compare.metric_differences(engine, other, compare.tolerance_table(spark))
-    return d.select("run_id", "metric", r("engine"), r("independent"), "within_tolerance", "tolerance_type")
+    return differences(spark, sf).select("run_id", "metric", r("engine"), r("independent"), "within_tolerance", "tolerance_type")
 
 
 @query("v12_shadow_comparison", f"""WITH {S}, {SQL_SIDES}, sh AS (SELECT run_id, count(*) FILTER (WHERE e IS NOT NULL AND i IS NOT NULL) AS compared,
@@ -156,11 +163,9 @@ def j03(spark, sf):
 SELECT run_id, compared, violations, reason, CASE WHEN compared = 0 THEN 'INDEPENDENT_ERROR' WHEN violations > 0 THEN 'TOLERANCE_VIOLATION' ELSE 'AGREEMENT' END AS shadow_status,
   CASE WHEN violations > 0 THEN 'INDETERMINATE' WHEN h_e.h >= 86400 THEN 'PASS' ELSE 'FAIL' END AS final_status FROM sh JOIN h_e USING (run_id)""")
 def v12(spark, sf):
-    engine, other = sides(spark, sf)
-    shadow = compare.shadow_status(compare.metric_differences(engine, other, compare.tolerance_table(spark)))
-    verdicts = engine.filter("metric = 'hold_time_s'").select("run_id", F.when(F.col("engine") >= 86400, "PASS").otherwise("FAIL").alias("status"))
-    final = compare.downgrade(verdicts, shadow).select("run_id", "final_status")
-    return shadow.drop("industry").join(final, "run_id")
+    shadow = compare.shadow_status(differences(spark, sf, "status"), ("run_id", "industry", "status"))
+    final = compare.final_status(F.col("status"), F.col("shadow_status"))
+    return shadow.withColumn("final_status", final).drop("industry", "status")
 
 
 REPLAY = """old AS (SELECT o_orderkey AS run_id, o_orderstatus AS status, o_totalprice AS hold_s,

@@ -45,24 +45,24 @@ def j01(spark, sf):
                                     F.count_if(F.col("value") >= F.col("threshold")).alias("above"))
 
 
-def sql_hold_verdict(form: str) -> str:
+def sql_hold_verdict(form: str, library: str = SP, entries: int = 6, period: float = 14_400.0) -> str:
     latch = f"""coalesce(last_value(CASE WHEN value >= thr THEN true WHEN value < thr - hysteresis THEN false END IGNORE NULLS) OVER {UPTO}, false)"""
     state = f"CASE WHEN continuous THEN {latch if form == 'latch' else 'value >= thr - hysteresis'} ELSE value >= thr END"
     total = "budgeted" if form == "latch" else "stepped"
     few = "INDETERMINATE" if form == "latch" else "FAIL"
-    return f"""WITH {S}, {SP}, x AS (SELECT s.*, sp.*, target_temp + uncertainty AS thr FROM s JOIN sp ON run_id % 6 = spec_no),
+    return f"""WITH {S}, {library}, x AS (SELECT s.*, sp.*, target_temp + uncertainty AS thr FROM s JOIN sp ON run_id % {entries} = spec_no),
 {sql_islands(state, 'x')},
 rv AS (SELECT *, coalesce((us - lag(us) OVER {WIN}) / 1e6, 0) AS dt, (value - lag(value) OVER {WIN}) / ((us - lag(us) OVER {WIN}) / 1e6) * 60 AS ramp FROM x),
 rp AS (SELECT run_id, max(coalesce(ramp, 0)) AS max_ramp, count(*) AS n, min(value) AS mn, max(value) AS mx,
   (min(us) FILTER (WHERE value >= thr) - min(us)) / 1e6 AS ttt, coalesce(sum(dt) FILTER (WHERE value >= thr), 0) AS gross,
   coalesce(sum(dt) FILTER (WHERE NOT value >= thr), 0) AS dips FROM rv GROUP BY run_id),
 iu AS (SELECT isl.*, sp.max_dips_s, sum(CASE WHEN state THEN 0 ELSE duration_s END) OVER (PARTITION BY run_id ORDER BY island
-  ROWS UNBOUNDED PRECEDING) AS used FROM isl JOIN sp ON run_id % 6 = spec_no),
+  ROWS UNBOUNDED PRECEDING) AS used FROM isl JOIN sp ON run_id % {entries} = spec_no),
 iv AS (SELECT *, max(CASE WHEN used > max_dips_s THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY island ROWS UNBOUNDED PRECEDING) AS stopped FROM iu),
 hh AS (SELECT run_id, coalesce(max(duration_s) FILTER (WHERE state), 0) AS best,
   coalesce(sum(duration_s) FILTER (WHERE state AND stopped = 0), 0) AS budgeted FROM iv GROUP BY run_id),
 v0 AS (SELECT *, CASE WHEN dips > max_dips_s THEN greatest(0, gross - (dips - max_dips_s)) ELSE gross END AS stepped,
-  greatest(5, floor(hold_time_s / 14400.0) + 2) AS need, target_temp + uncertainty AS thr FROM rp JOIN hh USING (run_id) JOIN sp ON run_id % 6 = spec_no),
+  greatest(5, floor(hold_time_s / {period}) + 2) AS need, target_temp + uncertainty AS thr FROM rp JOIN hh USING (run_id) JOIN sp ON run_id % {entries} = spec_no),
 v AS (SELECT *, CASE WHEN continuous THEN best ELSE {total} END AS held, coalesce(max_ramp > max_ramp_limit, false) AS fast,
   coalesce(ttt > max_ttt, false) AS late, n < need AS short, mx < thr AS never FROM v0)
 SELECT run_id, CASE WHEN short THEN '{few}' WHEN never THEN 'FAIL' WHEN held >= hold_time_s AND NOT fast AND NOT late THEN 'PASS' ELSE 'FAIL' END AS status,
@@ -97,13 +97,17 @@ c AS (SELECT s.run_id, arg_min(value, us) AS start_temp, min(value) AS mn, max(v
   FROM s JOIN a ON a.run_id = s.run_id JOIN b ON b.run_id = s.run_id JOIN up ON up.run_id = s.run_id GROUP BY s.run_id)"""
 
 
-@query("v03_cooling_verdict", f"""WITH {S}, {SQL_COOL},
-f AS (SELECT *, start_temp < {F135} - 0.1 AS cold, max_rise > 350 AS heated, coalesce(p1 > 259200, false) AS slow1,
-  coalesce(p2 > 864000, false) AS slow2 FROM c)
+def sql_cooling(p1=259_200, p2=864_000, rise=350) -> str:
+    return f"""WITH {S}, {SQL_COOL},
+f AS (SELECT *, start_temp < {F135} - 0.1 AS cold, max_rise > {rise} AS heated, coalesce(p1 > {p1}, false) AS slow1,
+  coalesce(p2 > {p2}, false) AS slow2 FROM c)
 SELECT run_id, CASE WHEN NOT cold AND NOT heated AND NOT slow1 AND p1 IS NOT NULL AND NOT slow2 AND p2 IS NOT NULL THEN 'PASS' ELSE 'FAIL' END AS status,
   concat_ws(',', CASE WHEN cold THEN 'start_too_cold' END, CASE WHEN heated THEN 'heating' END, CASE WHEN slow1 THEN 'phase1_slow' END,
     CASE WHEN p1 IS NULL THEN 'phase1_missed' END, CASE WHEN slow2 THEN 'phase2_slow' END, CASE WHEN p2 IS NULL THEN 'phase2_missed' END) AS codes,
-  round(CASE WHEN p2 IS NOT NULL THEN coalesce(below, 0) ELSE 0 END, 3)::DOUBLE AS hold_s, round(p1, 3) AS to_70f_s, round(p2, 3) AS to_41f_s FROM f""")
+  round(CASE WHEN p2 IS NOT NULL THEN coalesce(below, 0) ELSE 0 END, 3)::DOUBLE AS hold_s, round(p1, 3) AS to_70f_s, round(p2, 3) AS to_41f_s FROM f"""
+
+
+@query("v03_cooling_verdict", sql_cooling())
 def v03(spark, sf):
     v = verdicts.cooling_verdict(timeline(spark, sf), 259_200.0, 864_000.0, 350.0)
     return v.select("run_id", "status", F.array_join("codes", ",").alias("codes"), r("hold_s", 3), r("to_70f_s", 3), r("to_41f_s", 3))
@@ -121,25 +125,29 @@ def v09(spark, sf):
 PRESSURE = "CAST(CASE run_id % 3 WHEN 0 THEN 105 + k WHEN 1 THEN 0.8 + k / 50 ELSE 10 + k / 4 END AS DOUBLE)"
 
 
-@query("v04_autoclave_verdict", f"""WITH {S}, {sql_f0(150.0, 100.0)},
+def sql_autoclave(lo=60.0, hi=400, hold=86_400, ref=150.0, z=100.0) -> str:
+    return f"""WITH {S}, {sql_f0(ref, z)},
 x AS (SELECT *, {PRESSURE} AS p FROM s),
-{sql_islands(f"coalesce(last_value(CASE WHEN value >= 60.0 THEN true WHEN value < 60.0 - 0.3 THEN false END IGNORE NULLS) OVER {UPTO}, false)", 'x')},
+{sql_islands(f"coalesce(last_value(CASE WHEN value >= {lo} THEN true WHEN value < {lo} - 0.3 THEN false END IGNORE NULLS) OVER {UPTO}, false)", 'x')},
 e AS (SELECT *, lead(p) OVER {WIN} AS np, lead(state) OVER {WIN} AS ns FROM isl_rows),
 u AS (SELECT run_id, CASE WHEN max(p) BETWEEN 0.8 AND 3.0 AND min(p) >= 0.5 THEN 'bar' WHEN max(p) BETWEEN 10 AND 50 AND min(p) >= 5 THEN 'psi'
   WHEN max(p) BETWEEN 80 AND 300 AND min(p) >= 50 THEN 'kPa' ELSE 'unknown' END AS unit FROM x GROUP BY run_id),
 uf AS (SELECT *, CASE unit WHEN 'bar' THEN 100.0 WHEN 'psi' THEN 6.895 ELSE 1.0 END AS fac FROM u),
 a AS (SELECT e.run_id, any_value(unit) AS unit, min(CASE WHEN NOT coalesce(ns, true) THEN least(p, np) ELSE p END) FILTER (WHERE state) * any_value(fac) AS hp,
-  count(*) FILTER (WHERE p * fac < 103.4) / count(*) * 100 AS low_pct, count(*) FILTER (WHERE value BETWEEN 60 AND 400) AS in_range, max(value) AS mx
+  count(*) FILTER (WHERE p * fac < 103.4) / count(*) * 100 AS low_pct, count(*) FILTER (WHERE value BETWEEN {lo} AND {hi}) AS in_range, max(value) AS mx
   FROM e JOIN uf ON uf.run_id = e.run_id GROUP BY e.run_id),
 h AS (SELECT run_id, coalesce(max(duration_s) FILTER (WHERE state), 0) AS hold_s FROM isl GROUP BY run_id),
-j AS (SELECT *, hold_s >= 86400 AS long_enough, in_range > 0 AS reached, f0 >= 12 AS f0_ok, mx > 400 AS hot, coalesce(hp < 103.4, false) AS dropped, low_pct > 5 AS lowp
+j AS (SELECT *, hold_s >= {hold} AS long_enough, in_range > 0 AS reached, f0 >= 12 AS f0_ok, mx > {hi} AS hot, coalesce(hp < 103.4, false) AS dropped, low_pct > 5 AS lowp
   FROM a JOIN h USING (run_id) JOIN f USING (run_id)),
 k AS (SELECT *, reached AND NOT long_enough AND f0 >= 24 AS comp FROM j)
 SELECT run_id, CASE WHEN f0_ok AND reached AND (long_enough OR comp) AND NOT hot AND NOT dropped AND NOT lowp THEN 'PASS' ELSE 'FAIL' END AS status,
   concat_ws(',', CASE WHEN NOT f0_ok THEN 'f0_low' END, CASE WHEN comp THEN 'hold_compensated' END,
     CASE WHEN reached AND NOT long_enough AND NOT comp THEN 'hold_short' END, CASE WHEN NOT reached THEN 'never_in_range' END, CASE WHEN hot THEN 'too_hot' END,
     CASE WHEN dropped THEN 'pressure_dropped' END, CASE WHEN lowp THEN 'pressure_low' END) AS codes,
-  round(f0, 2) AS f0, round(hold_s, 6)::DOUBLE AS hold_s, unit AS pressure_unit, round(low_pct, 6) AS low_pressure_pct FROM k""")
+  round(f0, 2) AS f0, round(hold_s, 6)::DOUBLE AS hold_s, unit AS pressure_unit, round(low_pct, 6) AS low_pressure_pct FROM k"""
+
+
+@query("v04_autoclave_verdict", sql_autoclave())
 def v04(spark, sf):
     tl = Timeline.open(samples(spark, sf).select("run_id", "us", "seq", "value", expr(PRESSURE).alias("k")))
     v = verdicts.autoclave_verdict(tl, 60.0, 400.0, 86_400.0, reference=150.0, z=100.0)
@@ -155,51 +163,59 @@ def v08(spark, sf):
     return v.select("run_id", r("f0", 1), r("hold_s"), "pass")
 
 
-@query("v05_sterile_verdict", f"""WITH {S}, x AS (SELECT *, 40 + k / 2 AS rh FROM s),
+def sql_sterile(lo=20.0, hi=300, hold=86_400) -> str:
+    return f"""WITH {S}, x AS (SELECT *, 40 + k / 2 AS rh FROM s),
 m AS (SELECT run_id, quantile_cont(k, 0.5) AS md FROM s GROUP BY run_id),
-p0 AS (SELECT s.run_id, min(us) FILTER (WHERE value BETWEEN 20 AND 300) AS ps, max(us) AS pe0, min(us) FILTER (WHERE k < md * 0.1) AS fd,
+p0 AS (SELECT s.run_id, min(us) FILTER (WHERE value BETWEEN {lo} AND {hi}) AS ps, max(us) AS pe0, min(us) FILTER (WHERE k < md * 0.1) AS fd,
   max(k) AS peak, arg_max(k, us) AS final, min(value) AS mn, max(value) AS mx FROM s JOIN m USING (run_id) GROUP BY s.run_id),
 ph AS (SELECT *, CASE WHEN ps IS NOT NULL THEN CASE WHEN fd > ps THEN fd ELSE pe0 END END AS pe FROM p0),
 ins AS (SELECT x.* FROM x JOIN ph USING (run_id) WHERE us >= ps AND us < pe),
 im AS (SELECT run_id, quantile_cont(k, 0.5) AS imd, min(value) AS pmin FROM ins GROUP BY run_id),
 ic AS (SELECT run_id, bool_and(rh BETWEEN 45 AND 85) AS hum, avg(CASE WHEN k >= imd * 0.5 THEN 1.0 ELSE 0.0 END) AS kept, any_value(pmin) AS pmin FROM ins JOIN im USING (run_id) GROUP BY run_id),
-{sql_islands(f"coalesce(last_value(CASE WHEN value >= 20.0 THEN true WHEN value < 19.0 THEN false END IGNORE NULLS) OVER {UPTO}, false)")},
+{sql_islands(f"coalesce(last_value(CASE WHEN value >= {lo} THEN true WHEN value < {lo} - 1.0 THEN false END IGNORE NULLS) OVER {UPTO}, false)")},
 h AS (SELECT run_id, coalesce(max(duration_s) FILTER (WHERE state), 0) AS hold_s FROM isl GROUP BY run_id),
 a AS (SELECT ph.*, hold_s, CASE WHEN ps IS NULL THEN (SELECT avg(CASE WHEN rh BETWEEN 45 AND 85 THEN 1.0 ELSE 0.0 END) >= 0.8 FROM x WHERE x.run_id = ph.run_id) ELSE coalesce(hum, true) END AS hum_ok, coalesce(kept >= 0.9, true) AS gas_ok, peak > 100 AND final > peak * 0.1 AS evac,
-  ps IS NOT NULL AS reached, mx > 300 AS hot, mn < 18 AND coalesce(CASE WHEN ps IS NOT NULL THEN pmin ELSE mn END < 20, false) AS dropped,
+  ps IS NOT NULL AS reached, mx > {hi} AS hot, mn < {lo} - 2 AND coalesce(CASE WHEN ps IS NOT NULL THEN pmin ELSE mn END < {lo}, false) AS dropped,
   (pe - ps) / 1e6 AS phase_s FROM ph JOIN h USING (run_id) LEFT JOIN ic USING (run_id)),
-b AS (SELECT *, reached AND hold_s >= 86400 AS time_ok, reached AND NOT hot AND NOT dropped AS range_ok FROM a),
-c AS (SELECT *, CASE WHEN range_ok AND time_ok THEN true WHEN reached THEN phase_s >= 86400 ELSE true END AS phases_ok FROM b)
+b AS (SELECT *, reached AND hold_s >= {hold} AS time_ok, reached AND NOT hot AND NOT dropped AS range_ok FROM a),
+c AS (SELECT *, CASE WHEN range_ok AND time_ok THEN true WHEN reached THEN phase_s >= {hold} ELSE true END AS phases_ok FROM b)
 SELECT run_id, CASE WHEN range_ok AND time_ok AND hum_ok AND gas_ok AND phases_ok THEN 'PASS' ELSE 'FAIL' END AS status,
   concat_ws(',', CASE WHEN reached AND NOT time_ok THEN 'time_short' END, CASE WHEN NOT reached THEN 'never_in_range' END, CASE WHEN hot THEN 'too_hot' END,
    CASE WHEN dropped THEN 'dropped_below' END, CASE WHEN NOT hum_ok THEN 'humidity_out' END, CASE WHEN NOT gas_ok THEN 'gas_not_kept' END,
    CASE WHEN evac THEN 'evacuation_incomplete' END, CASE WHEN NOT phases_ok THEN 'phase_short' END) AS codes,
-  round(hold_s, 6)::DOUBLE AS hold_s, round(phase_s, 6)::DOUBLE AS phase_s FROM c""")
+  round(hold_s, 6)::DOUBLE AS hold_s, round(phase_s, 6)::DOUBLE AS phase_s FROM c"""
+
+
+@query("v05_sterile_verdict", sql_sterile())
 def v05(spark, sf):
     df = samples(spark, sf).select("run_id", "us", "seq", "value", F.col("k").alias("gas"), (F.lit(40.0) + F.col("k") / 2).alias("k"))
     v = verdicts.sterile_verdict(Timeline.open(df), 20.0, 300.0, 86_400.0)
     return v.select("run_id", "status", F.array_join("codes", ",").alias("codes"), r("hold_s"), r("phase_s"))
 
 
-@query("v06_concrete_verdict", f"""WITH {S}, {SQL_STAB},
+def sql_concrete(lo=2.0, hi=150, few=18, hours=240, period=864_000) -> str:
+    return f"""WITH {S}, {SQL_STAB},
 t AS (SELECT run_id, min(us) AS t0 FROM s GROUP BY run_id),
-i AS (SELECT run_id, count(*) AS n24, avg(CASE WHEN value BETWEEN 2 AND 150 THEN 1.0 ELSE 0.0 END) * 100 AS ok_pct FROM s JOIN t USING (run_id)
-  WHERE us <= t0 + 864000000000 GROUP BY run_id),
+i AS (SELECT run_id, count(*) AS n24, avg(CASE WHEN value BETWEEN {lo} AND {hi} THEN 1.0 ELSE 0.0 END) * 100 AS ok_pct FROM s JOIN t USING (run_id)
+  WHERE us <= t0 + {hours * 3_600_000_000} GROUP BY run_id),
 n AS (SELECT *, row_number() OVER {WIN} AS pos, lag(us) OVER {WIN} AS pu FROM s),
 fd AS (SELECT run_id, max((us - pu) / 1e6) FILTER (WHERE pos = 2) AS dt FROM n GROUP BY run_id),
-cr AS (SELECT run_id, count(*) AS cn, avg(CASE WHEN value BETWEEN 2 AND 150 THEN 1.0 ELSE 0.0 END) * 100 AS cp FROM n JOIN fd USING (run_id)
-  WHERE pos <= floor(864000.0 / dt) GROUP BY run_id),
-{sql_islands(f"coalesce(last_value(CASE WHEN value >= 2.0 THEN true WHEN value < 1.5 THEN false END IGNORE NULLS) OVER {UPTO}, false)")},
+cr AS (SELECT run_id, count(*) AS cn, avg(CASE WHEN value BETWEEN {lo} AND {hi} THEN 1.0 ELSE 0.0 END) * 100 AS cp FROM n JOIN fd USING (run_id)
+  WHERE pos <= floor({period}.0 / dt) GROUP BY run_id),
+{sql_islands(f"coalesce(last_value(CASE WHEN value >= {lo} THEN true WHEN value < {lo} - 0.5 THEN false END IGNORE NULLS) OVER {UPTO}, false)")},
 h AS (SELECT run_id, coalesce(max(duration_s) FILTER (WHERE state), 0) AS hold_s FROM isl GROUP BY run_id),
-w AS (SELECT run_id, min(value) AS mn, max(value) AS mx, (max(us) - min(us)) / 1e6 AS dur, avg(CASE WHEN value BETWEEN 2 AND 150 THEN 1.0 ELSE 0.0 END) * 100 AS rp FROM s GROUP BY run_id),
-v AS (SELECT *, CASE WHEN n24 < 18 THEN 'INDETERMINATE' WHEN ok_pct >= 95 THEN 'PASS' ELSE 'FAIL' END AS status FROM w JOIN i USING (run_id)
+w AS (SELECT run_id, min(value) AS mn, max(value) AS mx, (max(us) - min(us)) / 1e6 AS dur, avg(CASE WHEN value BETWEEN {lo} AND {hi} THEN 1.0 ELSE 0.0 END) * 100 AS rp FROM s GROUP BY run_id),
+v AS (SELECT *, CASE WHEN n24 < {few} THEN 'INDETERMINATE' WHEN ok_pct >= 95 THEN 'PASS' ELSE 'FAIL' END AS status FROM w JOIN i USING (run_id)
   JOIN stab USING (run_id) JOIN h USING (run_id) LEFT JOIN cr USING (run_id)),
 z AS (SELECT *, status = 'FAIL' AS bad FROM v)
 SELECT run_id, status, concat_ws(',', CASE WHEN status = 'INDETERMINATE' THEN 'too_few_samples' END, CASE WHEN bad THEN 'first_day_out' END,
   CASE WHEN bad AND dur < 86400 THEN 'period_short' END, CASE WHEN bad AND rp < 95 THEN 'range_out' END,
-  CASE WHEN bad AND NOT coalesce(cn > 1 AND cp >= 98, false) THEN 'critical_out' END, CASE WHEN bad AND mn < 2 THEN 'below_range' END,
-  CASE WHEN bad AND mx > 150 THEN 'above_range' END, CASE WHEN bad AND max_rate > 5 THEN 'unstable' END) AS codes,
-  round(CASE WHEN status <> 'INDETERMINATE' AND rp > 0 THEN hold_s ELSE 0 END, 6)::DOUBLE AS hold_s, round(ok_pct, 6) AS ok_pct, round(rp, 6) AS in_range_pct FROM z""")
+  CASE WHEN bad AND NOT coalesce(cn > 1 AND cp >= 98, false) THEN 'critical_out' END, CASE WHEN bad AND mn < {lo} THEN 'below_range' END,
+  CASE WHEN bad AND mx > {hi} THEN 'above_range' END, CASE WHEN bad AND max_rate > 5 THEN 'unstable' END) AS codes,
+  round(CASE WHEN status <> 'INDETERMINATE' AND rp > 0 THEN hold_s ELSE 0 END, 6)::DOUBLE AS hold_s, round(ok_pct, 6) AS ok_pct, round(rp, 6) AS in_range_pct FROM z"""
+
+
+@query("v06_concrete_verdict", sql_concrete())
 def v06(spark, sf):
     v = verdicts.concrete_verdict(timeline(spark, sf, "k"), None, 2.0, 150.0, min_samples=18, day_hours=240.0, period_s=864_000.0)
     return v.select("run_id", "status", F.array_join("codes", ",").alias("codes"), r("hold_s"), r("ok_pct"), r("in_range_pct"))
@@ -209,16 +225,20 @@ def sql_outside(lo: float, hi: float) -> str:
     return sql_islands(f"(value < {lo} OR value > {hi})", extra=", min(value) AS mn, max(value) AS mx")
 
 
-@query("v07_coldchain_verdict", f"""WITH {S}, {sql_outside(2, 150)},
+def sql_coldchain(lo=2, hi=150, required=92, per_day=2.3) -> str:
+    return f"""WITH {S}, {sql_outside(lo, hi)},
 ex AS (SELECT run_id, count(*) AS events, max(duration_s) AS max_s FROM isl WHERE state GROUP BY run_id),
 d AS (SELECT *, coalesce((us - lag(us) OVER {WIN}) / 1e6, 0) AS dt FROM s),
-a AS (SELECT run_id, count(*) AS n, avg(CASE WHEN value BETWEEN 2 AND 150 THEN 1.0 ELSE 0.0 END) * 100 AS pct, (max(us) - min(us)) / 1e6 / 86400 AS days,
-  coalesce(sum(dt) FILTER (WHERE value BETWEEN 2 AND 150), 0) AS held FROM d GROUP BY run_id),
-b AS (SELECT *, n < greatest(10, floor(days * 2.3)) AS thin FROM a LEFT JOIN ex USING (run_id))
-SELECT run_id, CASE WHEN thin THEN 'INDETERMINATE' WHEN pct >= 92 THEN 'PASS' ELSE 'FAIL' END AS status,
-  CASE WHEN thin THEN 'too_few_samples' WHEN pct >= 92 THEN 'in_range' ELSE 'compliance_low' END AS codes,
+a AS (SELECT run_id, count(*) AS n, avg(CASE WHEN value BETWEEN {lo} AND {hi} THEN 1.0 ELSE 0.0 END) * 100 AS pct, (max(us) - min(us)) / 1e6 / 86400 AS days,
+  coalesce(sum(dt) FILTER (WHERE value BETWEEN {lo} AND {hi}), 0) AS held FROM d GROUP BY run_id),
+b AS (SELECT *, n < greatest(10, floor(days * {per_day})) AS thin FROM a LEFT JOIN ex USING (run_id))
+SELECT run_id, CASE WHEN thin THEN 'INDETERMINATE' WHEN pct >= {required} THEN 'PASS' ELSE 'FAIL' END AS status,
+  CASE WHEN thin THEN 'too_few_samples' WHEN pct >= {required} THEN 'in_range' ELSE 'compliance_low' END AS codes,
   concat_ws(',', CASE WHEN days < 1 THEN 'short_period' END, CASE WHEN days >= 30 THEN 'extended_period' END, CASE WHEN events > 0 THEN 'excursions' END) AS warnings,
-  round(held, 6)::DOUBLE AS hold_s, round(pct, 6) AS compliance_pct, coalesce(events, 0) AS events FROM b""")
+  round(held, 6)::DOUBLE AS hold_s, round(pct, 6) AS compliance_pct, coalesce(events, 0) AS events FROM b"""
+
+
+@query("v07_coldchain_verdict", sql_coldchain())
 def v07(spark, sf):
     v = verdicts.coldchain_verdict(timeline(spark, sf), 2.0, 150.0, 92.0, 2.3)
     return v.select("run_id", "status", F.array_join("codes", ",").alias("codes"), F.array_join("warnings", ",").alias("warnings"), r("hold_s"),
@@ -363,43 +383,49 @@ def b16(spark, sf):
         "o_orderkey", "industry", "s.*")
 
 
-@query("b18_industry_dispatch", f"""WITH {S}, i AS (SELECT run_id, CASE run_id % 3 WHEN 0 THEN 'powder' WHEN 1 THEN 'coldchain' ELSE 'sterile' END AS industry,
-  avg(CASE WHEN value BETWEEN 2 AND 150 THEN 1.0 ELSE 0.0 END) * 100 AS pct FROM s GROUP BY run_id)
-SELECT run_id, industry, CASE WHEN industry = 'sterile' THEN 'PASS' WHEN industry = 'powder' THEN CASE WHEN pct >= 96 THEN 'PASS' ELSE 'FAIL' END
-  ELSE CASE WHEN pct >= 92 THEN 'PASS' ELSE 'FAIL' END END AS status FROM i""")
+ENGINE_NAMES = ("powder", "haccp", "autoclave", "sterile", "concrete", "coldchain")  # the engine of runs with run_id % 6 = 0 to 5
+ONE_SPEC = ("sp(spec_no, target_temp, uncertainty, hold_time_s, hysteresis, continuous, max_dips_s, max_ramp_limit, max_ttt) AS "
+            "(VALUES (0, 180.0, 2.0, 600, 2.0, true, 0.0, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)))")
+
+
+def sql_engines(*queries: str) -> str:
+    return " UNION ALL ".join(f"SELECT run_id, '{name}' AS industry, status, codes FROM ({q}) AS q{i} WHERE run_id % 6 = {i}"
+                              for i, (name, q) in enumerate(zip(ENGINE_NAMES, queries)))
+
+
+def tagged_runs(spark, sf):
+    """Samples with a signal for every engine, and a specification with aliased industry names per run."""
+    named = ("Powder-Coating", "haccp", "autoclave", "ETO", "concrete", " cold-chain")
+    df = samples(spark, sf).select("run_id", "us", "seq", "value", "k", F.col("k").alias("gas"), (F.lit(40.0) + F.col("k") / 2).alias("rh"),
+                                   expr(PRESSURE).alias("pressure"))
+    industry = F.element_at(F.array(*map(F.lit, named)), (F.col("run_id") % 6 + 1).cast("int"))
+    return df, df.select("run_id").distinct().withColumn("industry", industry)
+
+
+def _judged(spark, sf, engines, extra=lambda specs: specs):
+    df, specs = tagged_runs(spark, sf)
+    return verdicts.judge_runs(df, extra(specs), engines).select("run_id", "industry", "status", F.array_join("codes", ",").alias("codes"))
+
+
+@query("b18_industry_dispatch", sql_engines(sql_hold_verdict("band"), sql_cooling(), sql_autoclave(), sql_sterile(), sql_concrete(), sql_coldchain()))
 def b18(spark, sf):
-    from tempaudit.operators import stats
-
-    def engine(minimum):
-        def run(df, specs):
-            pct = stats.in_range_pct(Timeline.open(df), 2.0, 150.0)
-            return pct.join(specs, "run_id").select(
-                "run_id", "industry", F.when(F.col("in_range_pct") >= minimum, "PASS").otherwise("FAIL").alias("status"))
-        return run
-
-    alias = F.when(F.col("run_id") % 3 == 0, "Powder-Coating").when(F.col("run_id") % 3 == 1, " cold-chain").otherwise("ETO")
-    df = samples(spark, sf)
-    specs = df.select("run_id").distinct().withColumn("industry", alias)
-    return specs_mod.dispatch(df, specs, {"powder": engine(96.0), "coldchain": engine(92.0), "sterile": engine(0.0)})
-
-
-@query("u03_engine_table", f"""WITH {S}, {sql_outside(2, 150)},
-a AS (SELECT run_id, count(*) AS n, avg(CASE WHEN value BETWEEN 2 AND 150 THEN 1.0 ELSE 0.0 END) * 100 AS pct, (max(us) - min(us)) / 1e6 / 86400 AS days FROM s
-  WHERE run_id % 2 = 0 GROUP BY run_id),
-{SQL_COOL.replace("up AS", "upp AS").replace("JOIN up ON up.", "JOIN upp ON upp.").replace("a AS (SELECT run_id, (min(CASE", "ca AS (SELECT run_id, (min(CASE", 1).replace("any_value(a.x)", "any_value(ca.x)").replace("JOIN a ON a.", "JOIN ca ON ca.")}
-SELECT run_id, 'coldchain' AS industry, CASE WHEN n < greatest(10, floor(days * 2.3)) THEN 'INDETERMINATE' WHEN pct >= 92 THEN 'PASS' ELSE 'FAIL' END AS status FROM a
-UNION ALL SELECT run_id, 'haccp', CASE WHEN start_temp >= {F135} - 0.1 AND NOT max_rise > 350 AND p1 <= 259200 AND p2 <= 864000 THEN 'PASS' ELSE 'FAIL' END FROM c WHERE run_id % 2 = 1""")
+    """All engines with limits that fit the spacing of the stand-in samples; powder runs bring theirs along."""
+    limits = ("target_temp", "uncertainty", "hold_time_s", "hysteresis", "continuous", "max_dips_s", "max_ramp", "max_time_to_threshold_s")
+    return _judged(spark, sf, {
+        "powder": verdicts.powder_engine(14_400.0, given=limits), "haccp": verdicts.cooling_engine(259_200.0, 864_000.0, 350.0),
+        "autoclave": verdicts.autoclave_engine(60.0, 400.0, 86_400.0, pressure="pressure", reference=150.0, z=100.0),
+        "sterile": verdicts.sterile_engine(20.0, 300.0, 86_400.0, humidity="rh"),
+        "concrete": verdicts.concrete_engine(2.0, 150.0, min_samples=18, day_hours=240.0, period_s=864_000.0),
+        "coldchain": verdicts.coldchain_engine(2.0, 150.0, 92.0, 2.3)}, lambda specs: with_library(spark, specs).drop("spec_no"))
+
+
+@query("u03_engine_table", sql_engines(
+    sql_hold_verdict("band", ONE_SPEC, 1, 30.0), sql_cooling(7200, 21_600, 2), sql_autoclave(119.0, 123, 900, 121.1, 10.0),
+    sql_sterile(50.0, 60, 7200), sql_concrete(16.0, 27, 10, 24, 86_400), sql_coldchain(2, 8, 95, 96.0)))
 def u03(spark, sf):
-    """The engine table is a plain dict; this run adds parameters to two of its entries."""
-    engines = {
-        "coldchain": lambda df, specs: verdicts.ENGINES["coldchain"](Timeline.open(df), 2.0, 150.0, 92.0, 2.3),
-        "haccp": lambda df, specs: verdicts.ENGINES["haccp"](Timeline.open(df), 259_200.0, 864_000.0, 350.0),
-    }
-    df = samples(spark, sf).select("run_id", "us", "seq", "value")
-    industry = F.when(F.col("run_id") % 2 == 0, "coldchain").otherwise("haccp")
-    specs = df.select("run_id").distinct().withColumn("industry", industry)
-    tagged = {k: (lambda f, k: lambda d, s: f(d, s).select("run_id", F.lit(k).alias("industry"), "status"))(f, k) for k, f in engines.items()}
-    return specs_mod.dispatch(df, specs, tagged)
+    """The table of engines as shipped, with the limits of the rules; two entries are told which column holds their signal."""
+    return _judged(spark, sf, verdicts.ENGINES | {
+        "autoclave": verdicts.autoclave_engine(pressure="pressure"), "sterile": verdicts.sterile_engine(humidity="rh")})
 
 
 @query("u04_processing_trace", f"""WITH {V0_SQL}, t AS (SELECT run_id, unnest(['timestamps_utc', 'sorted', 'quality_checked']) AS step FROM rep

@@ -93,13 +93,53 @@ def test_sterile_reads_its_samples_at_most_three_times(spark, tmp_path, series):
     assert str(verdict._jdf.queryExecution().executedPlan()).count("FileScan") <= 3
 
 
-def test_every_engine_runs_through_dispatch(series):
-    day = series({r: [(900.0 * i, 20.0 + r) for i in range(97)] for r in range(6)}, {"k": "60.0", "gas": "500.0"})
+def six_kinds(series):
+    waves = {r: [(900.0 * i, 20.0 + r + (i * (r + 3)) % 41 * (i % 7 > 2)) for i in range(97)] for r in range(12)}
+    return series(waves | {12: [(0.0, 1.0)]}, {"k": "50.0 + seq % 40", "gas": "500.0 + seq % 11"})
+
+
+def test_all_engines_together_judge_as_each_alone(form, series):
+    day = six_kinds(series)
     names = list(verdicts.ENGINES)
-    specs_ = day.select("run_id").distinct().withColumn("industry", F.element_at(F.array(*map(F.lit, names)), (F.col("run_id") + 1).cast("int")))
-    engines = {n: (lambda f: lambda rows, mine: f(Timeline.open(rows)).select("run_id", "status"))(f) for n, f in verdicts.ENGINES.items()}
-    got = {r["run_id"]: r["status"] for r in specs.dispatch(day, specs_, engines).collect()}
-    assert set(got) == set(range(6)) and set(got.values()) <= {"PASS", "FAIL", "INDETERMINATE", "ERROR"}
+    specs_ = day.select("run_id").distinct().withColumn("industry", F.element_at(F.array(*map(F.lit, names)), (F.col("run_id") % 6 + 1).cast("int")))
+    got = {r["run_id"]: r for r in verdicts.judge_runs(day, specs_.filter("run_id <> 12")).collect()}
+    assert set(got) == set(range(12))
+    for i, name in enumerate(names):
+        alone = verdicts.judge(Timeline.open(day.filter(F.col("run_id") % 6 == i)), verdicts.ENGINES[name]())
+        for r in alone.filter("run_id <> 12").collect():
+            both = got[r["run_id"]]
+            assert both["industry"] == name
+            assert (both["status"], both["pass"], both["codes"], both["reasons"]) == (r["status"], r["pass"], r["codes"], r["reasons"]), name
+    unknown = verdicts.judge_runs(day, specs_.withColumn("industry", F.lit("ceramics"))).first()
+    assert unknown["status"] == "ERROR" and unknown["codes"] == ["unknown_industry"]
+
+
+def test_runs_without_an_id_are_judged_in_both_forms(form, series):
+    day = six_kinds(series).withColumn("run_id", F.when(F.col("run_id") != 3, F.col("run_id"))).withColumn("seq", F.monotonically_increasing_id())
+    for name, engine in verdicts.ENGINES.items():
+        assert {r["run_id"] for r in verdicts.judge(Timeline.open(day), engine()).collect()} == {None, *range(13)} - {3}, name
+
+
+def test_powder_recipe_equals_the_band_form(form, series):
+    day = six_kinds(series).withColumns({
+        "target_temp": F.lit(30.0), "uncertainty": F.lit(1.0), "hold_time_s": F.lit(1800.0), "hysteresis": F.lit(3.0),
+        "continuous": F.col("run_id") % 2 == 0, "max_dips_s": F.lit(2000.0), "max_ramp": F.lit(1.5), "max_time_to_threshold_s": F.lit(5000.0)})
+    limits = day.columns[6:]
+    recipe = verdicts.powder_engine(300.0, given=limits)
+    columns = ["run_id", "status", "codes", "hold_s", "max_ramp", "time_to_threshold_s", "samples"]
+    rows = lambda df: sorted(map(tuple, df.select(*columns).collect()), key=str)
+    assert rows(verdicts.judge(Timeline.open(day), recipe)) == rows(verdicts.powder_verdict(day, 300.0))
+
+
+def test_queries_of_several_features_read_their_samples_once(spark):
+    from tempaudit.plans import load_all
+
+    queries = load_all()[0]
+    for name, most in (("v12_shadow_comparison", 1), ("j03_metric_differences", 1), ("v06_concrete_verdict", 1), ("v11_concrete_independent", 1),
+                       ("b18_industry_dispatch", 2), ("u03_engine_table", 2), ("g11_window_compliance", 1)):
+        df = queries[name](spark, "/root/testdata/sf0.001")
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("] parquet") <= most, (name, plan)
 
 
 def test_concrete_and_coldchain(form, series):
