@@ -53,6 +53,51 @@ def test_alert_windows_close_behind_the_watermark(spark, tmp_path):
     assert not any(r["figure"] == "verify" for r in out)
 
 
+def test_p95_is_exact_with_many_values_in_a_window(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i % 600, round(rng.lognormvariate(0, 1), 4)) for i in range(50_000)] + [(5000, 0.0)]
+    df = spark.createDataFrame(rows, "s long, compile_s double").withColumns({
+        "ts": F.timestamp_seconds("s"), "http_status": F.lit(None).cast("int"), "verify_error": F.lit(None).cast("boolean")})
+    path = str(tmp_path / "in")
+    df.write.parquet(path)
+    out = drain(alert_windows(spark.readStream.schema(df.schema).parquet(path)), spark, "a", "append", ALERT_SCHEMA).collect()
+    got = {r["start_us"] // 60_000_000: r for r in out}
+    for minute in (-9, -4, 0, 3, 9):
+        inside = sorted(v for s, v in rows if minute * 60 <= s < minute * 60 + 600)
+        assert (got[minute]["seen"], got[minute]["bad"]) == (len(inside), sum(v > 5 for v in inside))
+        assert got[minute]["p95_s"] == inside[-(-len(inside) * 95 // 100) - 1]
+    assert len([r for r in out if r["start_us"] == 0]) == 1 and got[0]["seen"] == 50_000
+
+
+def test_a_run_of_a_whole_batch_goes_through_pieces(spark, series, tmp_path):
+    rng = random.Random(6)
+    points = [(30.0 * i, rng.uniform(0, 20)) for i in range(3000)]
+    rng.shuffle(points)
+    df = series({1: points, 2: points[:50]})
+    path = str(tmp_path / "in")
+    for lo, hi in ((0, 40_000), (40_000, 100_000)):
+        df.filter(F.col("us").between(lo * 10**6, hi * 10**6 - 1)).repartition(3).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(df.schema).parquet(path).withColumns({
+        "ts": F.timestamp_micros("us"), "on_level": F.lit(8.0), "off_level": F.lit(2.0)})
+    out = drain(track_holds(stream, most=200), spark, "t", "update", TRACK_SCHEMA).collect()
+    best = {k: max(r["longest_s"] for r in out if r["run_id"] == k) for k in (1, 2)}
+    assert best == {r["run_id"]: r["hold_s"] for r in holds.latched_hold(Timeline.open(df), 8.0, 6.0).collect()}
+
+
+def test_state_of_finished_runs_goes(spark, series, tmp_path):
+    path = str(tmp_path / "in")
+    day = 86_400.0
+    for part in (series({1: [(10.0, 20.0), (510.0, 20.0)]}), series({2: [(3 * day, 0.0)]}), series({2: [(9 * day, 0.0)]}), series({2: [(20 * day, 0.0)]}),
+                 series({1: [(21 * day, 0.0), (21 * day + 7, 20.0)]})):
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(path).withColumns({
+        "ts": F.timestamp_micros("us"), "on_level": F.lit(10.0), "off_level": F.lit(8.0)})
+    out = [r for r in drain(track_holds(stream, keep_ms=5 * 86_400_000), spark, "t", "update", TRACK_SCHEMA).collect() if r["run_id"] == 1]
+    ended = [r for r in out if not r["holding"] and r["longest_s"] == 500.0]
+    last = max(out, key=lambda r: r["epoch"])
+    assert ended and last["longest_s"] == 0.0 and last["holding"]  # begun anew after its state was dropped
+
+
 def test_a_resumed_run_keeps_its_longest_hold(spark, series, tmp_path):
     path = str(tmp_path / "in")
     days = [series({1: [(10.0, 20.0), (510.0, 20.0), (600.0, 0.0)]}), series({2: [(400_000.0, 0.0)]}), series({2: [(500_000.0, 0.0)]}),
