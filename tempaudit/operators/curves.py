@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempaudit.operators.holds import as_col
-from tempaudit.operators.timeline import Timeline, following, last_seen, next_seen, prev, range_sums, seconds
+from tempaudit.operators.timeline import Timeline, following, join_runs, last_seen, next_seen, prev, range_sums, seconds
 
 
 def with_step(tl: Timeline) -> Timeline:
@@ -77,7 +77,7 @@ def cooling_rate(tl: Timeline, start, end, value="value") -> DataFrame:
     """Mean degrees per hour between two crossings; null unless the second comes later."""
     a, b = crossing(tl, start, "cooling", value, "_a"), crossing(tl, end, "cooling", value, "_b")
     rate = (as_col(start) - as_col(end)) / ((F.col("_b") - F.col("_a")) / 3600)
-    return a.join(b, tl.key).select(*tl.key, F.when(F.col("_b") > F.col("_a"), rate).alias("cooling_rate_per_h"))
+    return join_runs(a, b, key=tl.key).select(*tl.key, F.when(F.col("_b") > F.col("_a"), rate).alias("cooling_rate_per_h"))
 
 
 def heating_check(tl: Timeline, tolerance=2.0, value="value") -> DataFrame:
@@ -114,9 +114,7 @@ def rolling_uniformity(tl: Timeline, half_width_s=1800.0, value="value", min_poi
     mean first, so that little is lost to cancellation.
     """
     half = int(half_width_s * 1_000_000)
-    centre = tl.per_run(F.avg(value).alias("_m"))
-    x = F.col(value) - F.col("_m")
-    centred = tl.join_run(centre).with_columns(_x=x)
+    centred = tl.attach(_m=F.avg(value)).with_columns(_x=F.col(value) - F.col("_m"))
     w = range_sums(centred, half, half, {"_n": F.lit(1), "_s": F.coalesce("_x", F.lit(0.0)),
                                          "_q": F.coalesce(F.col("_x") * F.col("_x"), F.lit(0.0))})
     variance = F.greatest(F.col("_q") / F.col("_n") - F.pow(F.col("_s") / F.col("_n"), 2), F.lit(0.0))
@@ -124,47 +122,65 @@ def rolling_uniformity(tl: Timeline, half_width_s=1800.0, value="value", min_poi
     return w.groupBy(*tl.key).agg(F.avg(kept).alias("uniformity"), F.count(kept).alias("windows"))
 
 
-def grid(tl: Timeline, step_s: int, value="value") -> DataFrame:
-    """Bucket means on a regular grid from each run's first bucket to its last, empty cells included.
+def _buckets(tl: Timeline, step_s: int, value="value") -> DataFrame:
+    """Mean of each bucket that holds a sample.
 
     Buckets start at midnight of the run's first day, which is the epoch grid where the step
     divides a day.
     """
-    step, day, key = step_s * 1_000_000, 86_400_000_000, tl.key
+    step, day = step_s * 1_000_000, 86_400_000_000
     if 86_400 % step_s == 0:
-        buckets = tl.with_columns(bucket_us=F.expr(f"us - pmod(us, {step}L)"))
+        placed = tl.with_columns(bucket_us=F.expr(f"us - pmod(us, {step}L)"))
     else:
-        origin = tl.per_run(F.expr(f"min(us) - pmod(min(us), {day}L)").alias("_o"))
-        buckets = tl.join_run(origin).with_columns(bucket_us=F.expr(f"us - pmod(us - _o, {step}L)"))
-    means = buckets.rows().groupBy(*key, "bucket_us").agg(F.avg(value).alias("mean_value"))
-    span = means.groupBy(*key).agg(F.min("bucket_us").alias("_a"), F.max("bucket_us").alias("_z"))
-    # two levels, so that no row ever carries the grid of a long run as one array
+        placed = tl.attach(_o=F.min("us")).with_columns(bucket_us=F.expr(f"us - pmod(us - _o + pmod(_o, {day}L), {step}L)"))
+    return placed.rows().groupBy(*tl.key, "bucket_us").agg(F.avg(value).alias("mean_value"))
+
+
+def _with_gaps(rows: DataFrame, step_s: int) -> DataFrame:
+    """Each bucket followed by the empty cells up to the next one (``_next_us``), as rows with the cell's instant ``at_us``.
+
+    Two levels, so that no row ever carries a long gap as one array.
+    """
+    step = step_s * 1_000_000
     block = step * 4096
-    blocks = span.select(*key, "_z", F.explode(F.expr(f"sequence(_a, _z, {block}L)")).alias("_b"))
-    cells = blocks.select(*key, F.explode(F.expr(f"sequence(_b, least(_z, _b + {block - step}L), {step}L)")).alias("bucket_us"))
-    return cells.join(means, [*key, "bucket_us"], "left")
+    to = f"coalesce(_next_us - {step}L, bucket_us)"
+    blocks = rows.withColumn("_b", F.explode(F.expr(f"sequence(bucket_us, {to}, {block}L)")))
+    cells = F.explode(F.expr(f"sequence(_b, least({to}, _b + {block - step}L), {step}L)"))
+    return blocks.withColumn("at_us", cells).drop("_b")
+
+
+def grid(tl: Timeline, step_s: int, value="value") -> DataFrame:
+    """Bucket means on a regular grid from each run's first bucket to its last, empty cells included.
+
+    Cells between two buckets are made where they are missing; no grid is built apart and joined.
+    """
+    line = tl.again(_buckets(tl, step_s, value), order=["bucket_us"]).scan(_next_us=following("bucket_us"))
+    own = F.col("at_us") == F.col("bucket_us")
+    return _with_gaps(line.rows(), step_s).select(
+        *tl.key, F.col("at_us").alias("bucket_us"), F.when(own, F.col("mean_value")).alias("mean_value"))
 
 
 def resample(tl: Timeline, step_s: int, value="value", force=False, fill_limit=2) -> DataFrame:
     """Fixed-step series: bucket means, forward fill up to ``fill_limit`` buckets, then time interpolation.
 
-    Runs whose median step is outside [1.15 step, 2 step] are left out unless ``force``.
+    Runs whose median step is outside [1.15 step, 2 step] are left out unless ``force``.  One ordered pass over the buckets finds
+    what each gap lies between; its cells are filled as they are made.
     """
     step = step_s * 1_000_000
     wanted = tl
     if not force:
-        medians = with_step(tl).quantile("dt", 0.5, "_median")
-        wanted = tl.join_run(medians.filter(F.col("_median").between(1.15 * step_s, 2.0 * step_s)), "left_semi")
-    cells = grid(wanted, step_s, value)
-    line = tl.again(cells, order=["bucket_us"])
+        wanted = with_step(tl).attach_quantile("dt", 0.5, "_median").where(F.col("_median").between(1.15 * step_s, 2.0 * step_s)).dropping("dt", "_median")
+    line = tl.again(_buckets(wanted, step_s, value), order=["bucket_us"])
     known = F.struct(F.col("bucket_us").alias("at"), F.col("mean_value").alias("v"))
     seen = F.when(F.col("mean_value").isNotNull(), known)
-    line = line.scan(_p=last_seen(seen), _n=next_seen(seen))
-    near = (F.col("bucket_us") - F.col("_p.at")) <= fill_limit * step
-    ffilled = F.when(near, F.col("_p.v"))
+    line = line.scan(_p=last_seen(seen), _n=next_seen(seen), _next_us=following("bucket_us")).scan(_later=following("_n"))
+    cells = _with_gaps(line.rows(), step_s)
+    at, after = F.col("at_us"), F.when(F.col("at_us") == F.col("bucket_us"), F.col("_n")).otherwise(F.col("_later"))
+    cells = cells.withColumn("_n", after)
+    ffilled = F.when(at - F.col("_p.at") <= fill_limit * step, F.col("_p.v"))
     # interpolation runs between the last forward-filled cell and the next known one
     left_at = F.col("_p.at") + fill_limit * step
-    share = (F.col("bucket_us") - left_at) / (F.col("_n.at") - left_at)
+    share = (at - left_at) / (F.col("_n.at") - left_at)
     between = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * share
     filled = F.coalesce(ffilled, between, F.col("_p.v"), F.col("_n.v"))
-    return line.rows().select(*tl.key, "bucket_us", filled.alias(value))
+    return cells.select(*tl.key, at.alias("bucket_us"), filled.alias(value))

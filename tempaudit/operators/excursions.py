@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempaudit.operators.holds import _true, as_col, island_rows, mask
-from tempaudit.operators.timeline import Timeline, following, prev, seconds
+from tempaudit.operators.timeline import Timeline, following, join_runs, prev, seconds
 
 
 def deviation(value: Column, lo, hi) -> Column:
@@ -51,7 +51,7 @@ def excursion_totals(tl: Timeline, lo, hi, alarm_s=1800.0, value="value", refere
         total(whole & F.col("above_range")).alias("above_s"),
         F.min(F.when(whole & F.col("below_range"), F.col("min_value"))).alias("lowest"),
         F.max(F.when(whole & F.col("above_range"), F.col("max_value"))).alias("highest"))
-    merged = base.drop("_last").join(sums, tl.key, "left")
+    merged = join_runs(base.drop("_last"), sums, key=tl.key)
     return merged.fillna(0, ["events", "alarm_events"]).fillna(
         0.0, ["total_s", "max_s", "alarm_s", "below_s", "above_s"]
     ).withColumn("compliance_pct", (F.col("samples") - F.col("samples_outside")) / F.col("samples") * 100)
@@ -106,7 +106,7 @@ def time_compliance(tl: Timeline, lo, hi, value="value") -> DataFrame:
     spent = closed_excursions(tl, lo, hi, 0.0, value).groupBy(*tl.key).agg(
         F.count(F.lit(1)).alias("excursions"), F.sum("duration_s").alias("excursion_s"))
     whole = tl.per_run(seconds(F.max("us"), F.min("us")).alias("duration_s"))
-    joined = whole.join(spent, tl.key, "left").fillna(0, ["excursions"]).fillna(0.0, ["excursion_s"])
+    joined = join_runs(whole, spent, key=tl.key).fillna(0, ["excursions"]).fillna(0.0, ["excursion_s"])
     return joined.withColumn("compliance_pct", F.when(
         F.col("duration_s") > 0, (F.col("duration_s") - F.col("excursion_s")) / F.col("duration_s") * 100).otherwise(0.0))
 

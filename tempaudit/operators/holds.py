@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempaudit.operators.timeline import Timeline, last_seen, position, prev, run_max, run_sum, seconds
+from tempaudit.operators.timeline import Timeline, join_runs, last_seen, position, prev, run_max, run_sum, seconds
 
 
 def as_col(x) -> Column:
@@ -86,7 +86,7 @@ def budget_hold(tl: Timeline, threshold, max_dips_s, value="value") -> DataFrame
     counted = budget_islands(tl, threshold, max_dips_s, value).filter("counts").groupBy(*tl.key).agg(
         F.sum("duration_s").alias("cumulative_s"), F.count(F.lit(1)).alias("intervals"))
     every = tl.per_run(F.count(F.lit(1)).alias("samples"))
-    return every.join(counted, tl.key, "left").select(
+    return join_runs(every, counted, key=tl.key).select(
         *tl.key, F.coalesce("cumulative_s", F.lit(0.0)).alias("cumulative_s"),
         F.coalesce("intervals", F.lit(0).cast("long")).alias("intervals"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tempaudit.functions.units import celsius_samples
 from tempaudit.operators import curves
 from tempaudit.operators.holds import as_col
-from tempaudit.operators.timeline import Timeline, keyed_join
+from tempaudit.operators.timeline import Timeline, join_runs, keyed_join
 
 
 def normalize(readings: DataFrame, max_period_s=300.0, allowed_gaps_s=60.0, step_s: int | None = 30, within_s=0.1,
@@ -32,7 +32,7 @@ def normalize(readings: DataFrame, max_period_s=300.0, allowed_gaps_s=60.0, step
     quality = per_sensor.groupBy("run_id").agg(
         F.sum("samples").alias("rows_kept"), F.max("max_step_s").alias("max_step_s"), F.sum("gaps").alias("gaps"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("issues")))).alias("issues"))
-    report = before.join(quality, "run_id")
+    report = join_runs(before, quality)
     hard = (F.col("near_duplicates") > 0) & (duplicates_are_errors if duplicates_are_errors is not None else F.lit(False))
     issues = F.when(hard, F.array_append("issues", F.lit("duplicate_samples"))).otherwise(F.col("issues"))
     report = report.withColumn("issues", issues).withColumn(

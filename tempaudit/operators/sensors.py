@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempaudit.operators.holds import as_col
-from tempaudit.operators.timeline import Timeline, keyed_join
+from tempaudit.operators.timeline import Timeline, join_runs, keyed_join
 
 
 def combine(df: DataFrame, mode="min", key=("run_id", "us"), value="value", threshold=None, require_at_least=None) -> DataFrame:
@@ -20,7 +20,7 @@ def combine(df: DataFrame, mode="min", key=("run_id", "us"), value="value", thre
         # exact median of three or more readings, else the mean; ranked when an instant is huge
         middle = Timeline.open(df, key, [value]).quantile(value, 0.5, "_median")
         few = df.groupBy(*key).agg(F.avg(value).alias("_mean"), valid.alias("n_valid"))
-        return few.join(middle, list(key), "left").select(
+        return join_runs(few, middle, key=key).select(
             *key, F.when(F.col("n_valid") >= 3, F.col("_median")).otherwise(F.col("_mean")).alias("combined"), "n_valid")
     elif mode == "majority":
         above = F.count_if(F.col(value) >= as_col(threshold))

@@ -31,12 +31,10 @@ def run_summary(tl: Timeline, value="value") -> DataFrame:
 
 
 def sampling_stats(tl: Timeline, value="value") -> DataFrame:
-    stepped = with_step(tl)
-    base = stepped.per_run(
+    return with_step(tl).attach_quantile("dt", 0.5, "_median").per_run(
         F.count(F.lit(1)).alias("samples"), F.avg("dt").alias("mean_step_s"), F.min("dt").alias("min_step_s"),
         F.max("dt").alias("max_step_s"), F.count_if(F.col("dt") == 0).alias("duplicates"),
-        F.count_if(F.col(value).isNull()).alias("missing"), seconds(F.max("us"), F.min("us")).alias("duration_s"))
-    return base.join(stepped.quantile("dt", 0.5, "median_step_s"), tl.key, "left")
+        F.count_if(F.col(value).isNull()).alias("missing"), seconds(F.max("us"), F.min("us")).alias("duration_s"), F.first("_median").alias("median_step_s"))
 
 
 def in_range_pct(tl: Timeline, lo, hi, value="value") -> DataFrame:
@@ -102,8 +100,7 @@ def window_ids(tl: Timeline, window_s: int, step_s: int) -> DataFrame:
     ``window_s / step_s + 1`` windows.
     """
     w, s = window_s * 1_000_000, step_s * 1_000_000
-    bounds = tl.per_run(F.min("us").alias("_t0"), F.max("us").alias("_t1"))
-    placed = tl.join_run(bounds).rows()
+    placed = tl.attach(_t0=F.min("us"), _t1=F.max("us")).rows()
     offset = "(us - _t0)"
     first = f"greatest(0L, ({offset} - {w}L + {s - 1}L) div {s}L)"
     last = f"least({offset} div {s}L, (_t1 - _t0 - {w}L) div {s}L)"
@@ -246,9 +243,8 @@ def phase_checks(line: Timeline, humidity="k", gas="value", *more: Column) -> Da
 
 def first_hours(tl: Timeline, hours=24.0) -> DataFrame:
     """Samples up to ``hours`` after the run's first one, that instant included."""
-    start = tl.per_run(F.min("us").alias("_t0"))
     lead = F.col("us") <= F.col("_t0") + F.lit(int(hours * 3_600_000_000))
-    return tl.join_run(start).where(lead).dropping("_t0").rows()
+    return tl.attach(_t0=F.min("us")).where(lead).dropping("_t0").rows()
 
 
 def first_day_verdict(tl: Timeline, lo=16.0, hi=27.0, value="value", humidity: str | None = None, min_samples=10,
@@ -267,8 +263,7 @@ def first_day_verdict(tl: Timeline, lo=16.0, hi=27.0, value="value", humidity: s
 def critical_period(tl: Timeline, lo=16.0, hi=27.0, value="value", humidity="k", period_s=86_400.0) -> DataFrame:
     """Leading samples as many as fit the period at the run's first step."""
     line = tl.scan(_pos=position(), _pu=prev("us"))
-    first_dt = line.per_run(F.max(F.when(F.col("_pos") == 2, seconds(F.col("us"), F.col("_pu")))).alias("_first_dt"))
-    lead = line.join_run(first_dt).rows().filter(F.col("_pos") <= F.floor(F.lit(period_s) / F.col("_first_dt")))
+    lead = line.attach(_first_dt=F.max(F.when(F.col("_pos") == 2, seconds(F.col("us"), F.col("_pu"))))).rows().filter(F.col("_pos") <= F.floor(F.lit(period_s) / F.col("_first_dt")))
     return lead.groupBy(*tl.key).agg(
         F.count(F.lit(1)).alias("critical_samples"), pct(F.col(value).between(lo, hi)).alias("critical_pct"),
         pct(F.col(humidity) >= 95.0).alias("critical_rh_pct"),
@@ -311,7 +306,7 @@ def order_statistic(df: DataFrame, value, index, name: str, key=()) -> DataFrame
 
 def nth_of_counts(counts: DataFrame, index, name: str, key=()) -> DataFrame:
     line = Timeline.open(counts, list(key) or ["_all"], ["_v"])
-    ranked = line.scan(_upto=run_sum("_c")).join_run(line.per_run(F.sum("_c").alias("_n")))
+    ranked = line.scan(_upto=run_sum("_c")).attach(_n=F.sum("_c"))
     return ranked.per_run(F.min(F.when(F.col("_upto") > index, F.col("_v"))).alias(name)).drop("_all")
 
 

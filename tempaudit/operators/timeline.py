@@ -167,14 +167,15 @@ class Timeline:
         return Timeline(done, self.key, self.order, self.parts, False)
 
     def join_run(self, table: DataFrame, how: str = "inner") -> "Timeline":
-        """Join a table with one row per run to the rows.
+        """Join a table with one row per run to the rows; a null run meets a null run.
 
-        A cut run meets its row once per piece, so the rows stay spread as they are.
+        A cut run meets its row once per piece, so the rows stay spread as they are.  Values that follow from the rows
+        themselves come cheaper by ``attach``.
         """
         if not self.pieces:
-            return Timeline(self.df.join(table, self.key, how), self.key, self.order, 0, self._fresh)
-        spots = self.df.select(*self.key, PIECE).distinct()
-        joined = self.df.join(spots.join(table, self.key), [*self.key, PIECE], how)
+            return Timeline(_join_null_safe(self.df, table, self.key, how), self.key, self.order, 0, self._fresh)
+        spots = _join_null_safe(self.df.select(*self.key, PIECE).distinct(), table, self.key, "inner")
+        joined = _join_null_safe(self.df, spots, [*self.key, PIECE], how)
         return Timeline(joined, self.key, self.order, self.parts, False)
 
     def attach(self, **aggs: Column) -> "Timeline":
@@ -213,18 +214,16 @@ class Timeline:
         value = _col(expr)
         if not self.pieces:
             return self.rows().groupBy(*self.key).agg(F.percentile(value, F.lit(p)).alias(name))
+        there = F.col("_v").isNotNull()  # a group without values keeps its row
         counts = (
-            self.rows().select(*self.key, value.cast("double").alias("_v")).filter("_v is not null")
-            .groupBy(*self.key, "_v").agg(F.count(F.lit(1)).alias("_c"))
+            self.rows().select(*self.key, value.cast("double").alias("_v"))
+            .groupBy(*self.key, "_v").agg(F.count_if(there).alias("_c"))
         )
-        totals = counts.groupBy(*self.key).agg(F.sum("_c").alias("_n"))
-        ranked = self.again(counts, order=["_v"]).scan(_upto=run_sum("_c")).rows()
+        ranked = self.again(counts, order=["_v"]).scan(_upto=run_sum("_c")).attach(_n=F.sum("_c"))
         spot = (F.col("_n") - 1) * F.lit(p)
         lo = F.min(F.when(F.col("_upto") > F.floor(spot), F.col("_v")))
         hi = F.min(F.when(F.col("_upto") > F.ceil(spot), F.col("_v")))
-        found = ranked.join(totals, self.key).groupBy(*self.key).agg(
-            lo.alias("_lo"), hi.alias("_hi"), F.first(spot - F.floor(spot)).alias("_f")
-        )
+        found = ranked.per_run(lo.alias("_lo"), hi.alias("_hi"), F.first(spot - F.floor(spot)).alias("_f"))
         return found.select(*self.key, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias(name))
 
     def islands(self, state: str, name: str = "island") -> "Timeline":
@@ -245,11 +244,11 @@ class Timeline:
         return Timeline(self.df.filter(cond), self.key, self.order, self.parts, self._fresh)
 
 
-def _join_null_safe(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join in which a null key meets a null key, as windows and groups treat it."""
+def _join_null_safe(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join in which a null key meets a null key, as windows and groups treat it."""
     other = table.withColumnsRenamed({k: f"_k_{k}" for k in keys})
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-    return rows.join(other, same, "left").drop(*[f"_k_{k}" for k in keys])
+    return rows.join(other, same, how).drop(*[f"_k_{k}" for k in keys])
 
 
 def _over(s: Scan, w) -> Column:
@@ -360,8 +359,8 @@ def keyed_join(big: DataFrame, small: DataFrame, on, spread, how: str = "inner",
 
 
 def join_runs(*tables: DataFrame, key=("run_id",)) -> DataFrame:
-    """Put one-row-per-run tables side by side."""
-    return reduce(lambda a, b: a.join(b, list(key), "left"), tables)
+    """Put one-row-per-run tables side by side, by the runs of the first; a null run meets a null run."""
+    return reduce(lambda a, b: _join_null_safe(a, b, list(key)), tables)
 
 
 def seconds(later: Column, earlier: Column) -> Column:

@@ -502,7 +502,7 @@ def coldchain_verdict(tl: Timeline, lo=2.0, hi=8.0, required=95.0, samples_per_d
 def coldchain_details(tl: Timeline, lo=2.0, hi=8.0, required=95.0, alarm_s=1800.0, value="value") -> DataFrame:
     """Storage conditions in detail: daily compliance, alarms, logging interval, extremes."""
     daily = stats.daily_rollup(stats.daily_compliance(tl.rows(), lo, hi, value, tl.key), required, tl.key)
-    f = excursions.band_features(tl, lo, hi, alarm_s, value).join(daily, tl.key)
+    f = join_runs(excursions.band_features(tl, lo, hi, alarm_s, value), daily, key=tl.key)
     range_ok = F.col("compliance_pct") >= required
     calm = F.col("alarm_s") <= 7200.0
     step = F.col("duration_s") / (F.col("samples") - 1)
@@ -521,7 +521,7 @@ def coldchain_verdict_independent(tl: Timeline, lo=2.0, hi=8.0, hard_lo=-5.0, ha
     bad = (F.col("severity") == "critical") | (hours > max_hours) | ((F.col("severity") == "high") & (hours > 4))
     events = excursions.closed_excursions(tl, lo, hi, 0.0, value).groupBy(*tl.key).agg(F.count_if(bad).alias("bad_events"))
     ends = tl.per_run(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    f = ends.join(events, tl.key, "left").fillna(0, ["bad_events"])
+    f = join_runs(ends, events, key=tl.key).fillna(0, ["bad_events"])
     limits = (F.col("_lo") >= hard_lo) & (F.col("_hi") <= hard_hi)
     return f.select(*tl.key, limits.alias("limits_ok"), "bad_events", (limits & (F.col("bad_events") == 0)).alias("pass"))
 
