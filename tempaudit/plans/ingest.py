@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tempaudit.functions import scalars
@@ -18,22 +19,39 @@ from tempaudit.sources import sinks, textlog
 DELIM = "CASE run_id % 4 WHEN 0 THEN ';' WHEN 1 THEN ',' WHEN 2 THEN '\t' ELSE '|' END"
 
 
+def parts(spark) -> int:
+    """Tasks that make the logs, however few bytes they are."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def log_files(spark, sf):
-    s = samples(spark, sf)
+    """Every run as a log of three leading lines, a header and a line per sample, made from one scan."""
+    s = samples(spark, sf).select("run_id", "us", "seq", "value", "k").repartition("run_id").withColumn("first", F.min("seq").over(Window.partitionBy("run_id")))
     d = F.expr(DELIM)
     place = lambda n: F.struct(F.lit(0).cast("long").alias("block"), n.cast("long").alias("n"))
     iso = F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     number = F.when(F.col("run_id") % 4 == 0, F.replace(F.col("value").cast("decimal(12,2)").cast("string"), F.lit("."), F.lit(","))).otherwise(
         F.col("value").cast("decimal(12,2)").cast("string"))
     number = F.when(F.col("seq") % 101 == 0, "").when(F.col("seq") % 103 == 0, "n/a").otherwise(number)
-    rows = s.select(F.col("run_id").cast("string").alias("file"), place(F.col("seq")).alias("place"),
-                    scalars.once(F.concat(iso, d, number, d, F.col("k").cast("int").cast("string"))).alias("line"))
-    runs = s.select("run_id").distinct()
-    head = F.array(F.concat(F.lit("# job: J"), "run_id"), F.concat(F.lit("# operator: op"), F.col("run_id") % 3), F.lit(""),
-                   F.concat(F.lit("timestamp"), d, F.lit("temp_C"), d, F.lit("pressure_psi")))
-    top = runs.select(F.col("run_id").cast("string").alias("file"), F.posexplode(head).alias("i", "line")).select(
-        "file", place(F.col("i") - 10).alias("place"), "line")
-    return rows.unionByName(top)
+    row = F.concat(iso, d, number, d, F.col("k").cast("int").cast("string"))
+    head = (F.concat(F.lit("# job: J"), "run_id"), F.concat(F.lit("# operator: op"), F.col("run_id") % 3), F.lit(""),
+            F.concat(F.lit("timestamp"), d, F.lit("temp_C"), d, F.lit("pressure_psi")))
+    line = lambda text, n: F.struct(place(n).alias("place"), text.alias("line"))
+    top = F.when(F.col("seq") == F.col("first"), F.array(*[line(x, F.lit(i - 10)) for i, x in enumerate(head)]))
+    every = F.concat(F.coalesce(top, F.array().cast("array<struct<place:struct<block:bigint,n:bigint>,line:string>>")), F.array(line(row, F.col("seq"))))
+    return s.select(F.col("run_id").cast("string").alias("file"), F.explode(every).alias("l")).select("file", "l.*")
+
+
+def written_logs(spark, sf):
+    """The logs as real text files, one per run, read back by the line scan; ``run`` is the file's run."""
+    path = scratch_path(spark, "logs")
+    lines = log_files(spark, sf)
+    lines.repartition(parts(spark), "file").sortWithinPartitions("file", "place").select("line", F.col("file").alias("run")).write.partitionBy("run").text(path)
+    return textlog.scan_lines(spark, f"{path}/*")
+
+
+def run_of(file):
+    return F.regexp_extract(file, r"/run=(\d+)/", 1)
 
 
 @query("a01_text_log_readings", f"""WITH {S}, c AS (SELECT run_id, seq, us // 1000000 * 1000000 AS us, unnest(['temp_C', 'pressure_psi']) AS sensor, unnest([
@@ -46,7 +64,8 @@ def a01(spark, sf):
 
 @query("a02_log_metadata", f"""WITH {S} SELECT DISTINCT run_id::VARCHAR AS file, 'J' || run_id AS job, 'op' || (run_id % 3) AS operator FROM s""")
 def a02(spark, sf):
-    return textlog.metadata(log_files(spark, sf)).select("file", F.col("metadata")["job"].alias("job"), F.col("metadata")["operator"].alias("operator"))
+    """From real files."""
+    return textlog.metadata(written_logs(spark, sf)).select(run_of(F.col("file")).alias("file"), F.col("metadata")["job"].alias("job"), F.col("metadata")["operator"].alias("operator"))
 
 
 @query("a03_encoding_probe", """SELECT doc_id, ['utf-8','utf-8-sig','utf-16-le','utf-16-be','utf-32-le','utf-32-be'][doc_id % 6 + 1] AS encoding, length(text) AS n FROM documents""")
@@ -68,7 +87,8 @@ def a03(spark, sf):
 
 @query("a04_delimiter_detection", f"""WITH {S} SELECT DISTINCT run_id::VARCHAR AS file, CASE run_id % 4 WHEN 0 THEN ';' WHEN 1 THEN ',' WHEN 2 THEN chr(9) ELSE '|' END AS delimiter FROM s""")
 def a04(spark, sf):
-    return textlog.delimiters(textlog.data_lines(log_files(spark, sf)))
+    """From real files."""
+    return textlog.delimiters(written_logs(spark, sf)).withColumn("file", run_of(F.col("file")))
 
 
 @query("a05_decimal_commas", """WITH t AS (SELECT o_orderkey AS k, o_totalprice AS p, CAST(floor(o_totalprice) AS BIGINT) AS w, CAST(round(o_totalprice * 100) AS BIGINT) % 100 AS c FROM orders),

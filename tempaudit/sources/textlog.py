@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tempaudit.functions import clock, names
 from tempaudit.functions.scalars import once
+from tempaudit.session import scratch_path
 
 DELIMITERS = (";", ",", "\t", "|")  # in order of preference on equal score
 CRITICAL = ("no_header", "no_rows", "parse_failure")
@@ -65,38 +66,52 @@ def metadata(lines: DataFrame) -> DataFrame:
     return latest.groupBy("file").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("metadata"))
 
 
+def is_data(line="line") -> Column:
+    return ~F.startswith(line, F.lit("#")) & (F.trim(line) != "")
+
+
 def data_lines(lines: DataFrame) -> DataFrame:
-    return lines.filter(~F.startswith("line", F.lit("#")) & (F.trim("line") != ""))
+    return lines.filter(is_data())
 
 
-def layouts(data: DataFrame) -> DataFrame:
-    """One row per file with data: delimiter, header names, index of the time column, place of the header.
+def profiles(lines: DataFrame) -> DataFrame:
+    """One row per file, from one partial aggregate over its lines: layout, how many lines hold data, how many were no UTF-8.
 
-    The delimiter is judged on all lines: occurrences outside quotes, halved unless equal on every line that has any.
+    The delimiter is judged on all data lines: occurrences outside quotes, halved unless equal on every line that has any.
     Where a line has more cells than the header, or the header none of the delimiter, comma is tried
     instead (``fallback``); if that fails as well, ``failed`` is set.  The time column is the first one with a
-    time name, else one containing such a name, else the first.  All of it is one partial aggregate per file.
+    time name, else one containing such a name, else the first.  A file without data has a null delimiter.
     """
-    bare = F.when(F.col("line").contains('"'), F.regexp_replace("line", '"[^"]*"', "")).otherwise(F.col("line"))
+    text = F.when(is_data(), F.col("line"))
+    bare = F.when(text.contains('"'), F.regexp_replace(text, '"[^"]*"', "")).otherwise(text)
     n = {i: F.length("bare") - F.length(F.replace("bare", F.lit(d))) for i, d in enumerate(DELIMITERS)}
-    header = F.min(F.struct("place", "line", *[c.alias(f"n{i}") for i, c in n.items()])).alias("h")
+    there = F.col("bare").isNotNull()
+    header = F.min(F.when(there, F.struct("place", "line", *[c.alias(f"n{i}") for i, c in n.items()]))).alias("h")
     figures = [f(F.when(c > 0, c)).alias(f"{name}{i}") for i, c in n.items() for name, f in (("total", F.sum), ("low", F.min), ("high", F.max))]
-    counted = data.select("file", "place", "line", once(bare).alias("bare")).groupBy("file").agg(header, *figures)
+    latin = F.col("encoding") == "latin1" if "encoding" in lines.columns else F.lit(False)
+    counted = lines.select("file", "place", "line", latin.alias("latin"), once(bare).alias("bare")).groupBy("file").agg(
+        header, *figures, F.count("bare").alias("data_lines"), F.count_if("latin").alias("unreadable"))
     score = [F.struct((F.col(f"total{i}") * F.when(F.col(f"low{i}") == F.col(f"high{i}"), 1.0).otherwise(0.5)).alias("score"), F.lit(-i).alias("rank"),
                       F.lit(d).alias("d"), F.col(f"h.n{i}").alias("in_header"), F.col(f"high{i}").alias("high")) for i, d in enumerate(DELIMITERS)]
     comma = DELIMITERS.index(",")
-    best = counted.select("file", "h", F.array_max(F.filter(F.array(*score), lambda x: x["score"].isNotNull())).alias("b"), F.col(f"h.n{comma}").alias("commas"),
-                          F.coalesce(F.col(f"high{comma}"), F.lit(0)).alias("most_commas"))
+    best = counted.select("file", "h", "data_lines", "unreadable", F.array_max(F.filter(F.array(*score), lambda x: x["score"].isNotNull())).alias("b"),
+                          F.col(f"h.n{comma}").alias("commas"), F.coalesce(F.col(f"high{comma}"), F.lit(0)).alias("most_commas"))
     misfit = (F.col("b.high") > F.col("b.in_header")) & F.col("b").isNotNull()
-    found = best.select("file", F.col("h.place").alias("header_place"), F.col("h.line").alias("_header"), F.coalesce(misfit, F.lit(False)).alias("fallback"),
-                        F.when(misfit | F.col("b").isNull(), ",").otherwise(F.col("b.d")).alias("delimiter"), (F.col("most_commas") > F.col("commas")).alias("_odd"))
+    delimiter = F.when(F.col("h").isNotNull(), F.when(misfit | F.col("b").isNull(), ",").otherwise(F.col("b.d")))
+    found = best.select("file", "data_lines", "unreadable", F.col("h.place").alias("header_place"), F.col("h.line").alias("_header"),
+                        F.coalesce(misfit, F.lit(False)).alias("fallback"), delimiter.alias("delimiter"), (F.col("most_commas") > F.col("commas")).alias("_odd"))
     found = found.withColumn("failed", F.col("fallback") & F.col("_odd"))
     named = found.withColumn("names", cells_of(F.col("_header"), "delimiter"))
     indexed = F.transform("names", lambda n, i: F.struct(F.lower(n).alias("name"), i.alias("i")))
     exact = F.filter(indexed, lambda x: x["name"].isin(*names.TIME_NAMES))
     loose = F.filter(indexed, lambda x: x["name"].rlike("|".join(names.TIME_NAMES)))
     at = F.coalesce(F.get(exact, F.lit(0))["i"], F.get(loose, F.lit(0))["i"], F.lit(0))
-    return named.select("file", "delimiter", "names", at.alias("time_at"), "header_place", "fallback", "failed")
+    return named.select("file", "delimiter", "names", at.alias("time_at"), "header_place", "fallback", "failed", "data_lines", "unreadable")
+
+
+def layouts(lines: DataFrame) -> DataFrame:
+    """The layout of every file with data (see ``profiles``)."""
+    return profiles(lines).filter("delimiter IS NOT NULL").drop("data_lines", "unreadable")
 
 
 def _literal(delimiter: str) -> Column:
@@ -118,6 +133,7 @@ def delimiters(data: DataFrame) -> DataFrame:
 
 def normalize_decimals(line: Column) -> Column:
     """Decimal commas to points (1.234,56 becomes 1234.56), unless the commas separate fields."""
+    # fixed values: the spellings of numbers that count as European
     plain = ~line.contains(",") | (F.trim(line) == "") | line.startswith("#") | ~line.rlike(r"\d")
     grouped = line.rlike(r"\b\d{1,3}(?:\.\d{3})+,\d{1,9}\b")
     numbers = F.regexp_extract_all(line, F.lit(r"\d+[.,]\d+(?:[.,]\d+)*"), F.lit(0))
@@ -133,24 +149,47 @@ def normalize_decimals(line: Column) -> Column:
     return F.when(plain | separators, line).otherwise(changed)
 
 
+def _written(df: DataFrame, label: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _bodies(lines: DataFrame, layout: DataFrame) -> DataFrame:
+    """Lines below the header with their file's layout."""
+    return data_lines(lines).join(layout, "file").filter(F.col("place") > F.col("header_place"))
+
+
+def _decimal_points() -> Column:
+    return F.when(F.col("delimiter") != ",", normalize_decimals(F.col("line"))).otherwise(F.col("line"))
+
+
+def instant_formats(lines: DataFrame, layout: DataFrame) -> DataFrame:
+    """The layout with the format that each file's instants have together."""
+    body = _bodies(lines, layout).select("file", "time_at", "delimiter", F.col("line").alias("raw"))
+    # only a number can be other than ISO text, and only a line whose cell there is one needs its decimals read
+    cell = lambda line: F.get(cells_of(line, "delimiter"), F.col("time_at"))
+    text = once(cell(F.col("raw"))).alias("raw_ts")
+    body = body.select("file", "delimiter", text)
+    point = F.when((F.col("delimiter") != ",") & F.col("raw_ts").contains(","), F.replace("raw_ts", F.lit(","), F.lit("."))).otherwise(F.col("raw_ts"))
+    return layout.join(clock.detect_format(body.select("file", point.alias("ts_text")), "ts_text", ("file",)), "file", "left")
+
+
 def readings(lines: DataFrame, zone="UTC") -> DataFrame:
     """Long-form readings of all files: ``file, place, us, ts_text, name, text, value``.
 
-    The instant is parsed once per line, before its cells become rows, in the format its file's
-    instants have together.
-
-    The layout is one row per file and meets the lines by an equi join; a file that holds a
-    large share of all lines is split there by the adaptive skew join.
+    Two small passes come first: one finds every file's layout, one the format its instants have together; each leaves a written row
+    per file.  Lines are then cut and parsed once.  The rows of files meet the lines by an equi join, which is a broadcast as long as
+    Spark's own limit of its size allows; beyond, a file that holds a large share of all lines is split by the adaptive skew join.
     """
-    data = data_lines(lines)
-    body = data.join(layouts(data), "file").filter(F.col("place") > F.col("header_place"))
-    text = F.when(F.col("delimiter") != ",", normalize_decimals(F.col("line"))).otherwise(F.col("line"))
-    cells = body.select("file", "place", "names", "time_at", "delimiter", once(text).alias("line"))
-    cells = cells.select("file", "place", "names", "time_at", once(cells_of(F.col("line"), "delimiter")).alias("cells"))
-    # the outer form keeps the optimizer from testing the cells a second time; no line is without cells
+    layout = _written(layouts(lines), "layouts")
+    layout = _written(instant_formats(lines, layout), "formats").withColumn("ts_format", F.coalesce("ts_format", F.lit("iso")))
+    cells = _bodies(lines, layout).select("file", "place", "names", "time_at", "delimiter", "ts_format", once(_decimal_points()).alias("line"))
+    cells = cells.select("file", "place", "names", "time_at", "ts_format", once(cells_of(F.col("line"), "delimiter")).alias("cells"))
     timed = cells.withColumn("ts_text", F.get("cells", F.col("time_at")))
-    timed = timed.join(clock.detect_format(timed, "ts_text", ("file",)), "file")
+    # the instant is parsed once per line, before its cells become rows
     timed = timed.select("*", once(F.unix_micros(clock.parse(F.col("ts_text"), F.col("ts_format"), zone))).alias("us"))
+    # the outer form keeps the optimizer from testing the cells a second time; no line is without cells
     long = timed.select("file", "place", "us", "ts_text", "names", "time_at", F.posexplode_outer("cells").alias("i", "text"))
     return long.filter(F.col("i") != F.col("time_at")).select(
         "file", "place", "us", "ts_text", F.get("names", F.col("i")).alias("name"), "text", F.col("text").try_cast("double").alias("value"))
@@ -169,11 +208,7 @@ def parse_status(lines: DataFrame, safe_mode=False) -> DataFrame:
     Lines read as latin1 (``encoding_fallback``) and lines with more cells than the header
     (``delimiter_fallback``, with commas as well ``parse_failure``) warn; text and blank cells do not.
     """
-    data = data_lines(lines)
-    seen = lines.groupBy("file").agg(
-        F.count_if(~F.startswith("line", F.lit("#")) & (F.trim("line") != "")).alias("data_lines"),
-        F.count_if(F.col("encoding") == "latin1" if "encoding" in lines.columns else F.lit(False)).alias("unreadable"))
-    joined = seen.join(layouts(data).select("file", "fallback", "failed"), "file", "left")
+    joined = profiles(lines)
     warnings = F.array_compact(F.array(
         F.when(F.col("data_lines") == 0, F.lit("no_header")), F.when(F.col("data_lines") == 1, F.lit("no_rows")),
         F.when(F.col("unreadable") > 0, F.lit("encoding_fallback")), F.when(F.col("fallback"), F.lit("delimiter_fallback")),
