@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("ordered", "measures", "columns", "verdicts", "comparisons", "operations", "ingest")
+FAMILIES = ("ordered", "measures", "columns", "verdicts", "comparisons", "operations", "ingest", "files")
 
 
 def load_all():

@@ -30,10 +30,15 @@ def registry(spark: SparkSession, entries) -> DataFrame:
     return spark.createDataFrame(rows, REGISTRY_SCHEMA)
 
 
-def scan_decisions(spark: SparkSession, root: str) -> DataFrame:
-    """Every ``decision.json`` below a root, status filled from older fields."""
+def read_registry(spark: SparkSession, path) -> DataFrame:
+    """A registry kept as JSON lines, for registries too large for the driver."""
+    return spark.read.schema(REGISTRY_SCHEMA).json(path)
+
+
+def scan_decisions(spark: SparkSession, root: str, name="decision.json") -> DataFrame:
+    """Every file of that name (or pattern) below a root, status filled from older fields."""
     raw = spark.read.schema(DECISION_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "decision.json").json(root)
+        "pathGlobFilter", name).json(root)
     return with_status(raw.withColumn("path", F.col("_metadata.file_path")))
 
 

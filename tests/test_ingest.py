@@ -186,3 +186,18 @@ def test_fahrenheit_names_and_clock(spark):
     parsed = F.unix_micros(clock.parse(F.col("t"), F.col("ts_format"), "Europe/Berlin"))
     got = df.join(clock.detect_format(df, "t"), "run_id").select(parsed.alias("us"), "w").collect()
     assert len(got) == len(texts) and [r["us"] // 10**6 - 1704067200 for r in got] == [r["w"] for r in got]
+
+
+def test_listing_reads_no_content_and_tables_keep_their_schema(spark, tmp_path):
+    from tempaudit.sources import corpus
+
+    for job in ("ab/j1", "zz/j2"):
+        (tmp_path / job).mkdir(parents=True)
+        (tmp_path / job / "a.csv").write_text("x" * 7)
+    listed = corpus.list_artifacts(spark, str(tmp_path))
+    assert [(r["job_id"], r["size_bytes"]) for r in listed.collect()] == [("j1", 7)]
+    plan = str(listed._jdf.queryExecution().executedPlan())
+    assert "content" not in plan.split("ReadSchema:")[-1]
+    spark.createDataFrame([("u", 1)], "user_id string, extra int").write.parquet(str(tmp_path / "users"))
+    read = corpus.scan_table(spark, "users", str(tmp_path / "users"))
+    assert read.columns == ["user_id", "email", "plan", "created_at"] and read.first()["email"] is None
