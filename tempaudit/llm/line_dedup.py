@@ -355,7 +355,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
 
 
 def cleaned(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` with repeated lines cut out of the text; rows that lose all their words to it go."""
-    out = dedup_lines(docs, text, id_column)
+    """The rows of ``docs`` with repeated lines of any length cut out of the text; rows that lose all their words to it go."""
+    out = dedup_lines(docs, text, id_column, least=1)
     empty = (F.size("removed") > 0) & ~F.coalesce(F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     return out.filter(~empty).select(*[F.col("kept_text").alias(c) if c == text else F.col(c) for c in docs.columns])

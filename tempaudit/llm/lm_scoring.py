@@ -255,19 +255,37 @@ def train(windows: DataFrame, tables, rounds: int) -> dict[str, np.ndarray]:
 SLICED = "slice long, seen long, total binary"
 
 
-def sliced(flat: np.ndarray, seen: int, slices: int = 16):
+#: Numbers in a slice, so that a batch of slices stays small whatever the vector.
+SLICE = 2048
+
+
+def sliced(flat: np.ndarray, seen: int):
     """A task's vector in parts, so that a sum over tasks is spread."""
-    for k, part in enumerate(np.array_split(flat.astype(np.float64), slices)):
-        yield pa.RecordBatch.from_pydict({"slice": [k], "seen": [seen], "total": pa.array([part.tobytes()], pa.binary())})
+    parts = [flat[i:i + SLICE].astype(np.float64).tobytes() for i in range(0, len(flat), SLICE)]
+    yield pa.RecordBatch.from_pydict({"slice": pa.array(range(len(parts)), pa.int64()), "seen": pa.array([seen] * len(parts), pa.int64()),
+                                      "total": pa.array(parts, pa.binary())})
 
 
 def summed(parts: DataFrame) -> tuple[int, np.ndarray]:
-    """Sum of all tasks' ``seen`` and vectors; the driver gets one vector."""
-    def join(table):
-        total = sum(np.frombuffer(v) for v in table.column("total").to_pylist())
-        return pa.table({"slice": table.column("slice")[:1], "seen": [sum(table.column("seen").to_pylist())], "total": pa.array([total.tobytes()], pa.binary())})
+    """Sum of all tasks' ``seen`` and vectors; the driver gets one vector.
 
-    rows = sorted(parts.groupBy("slice").applyInArrow(join, SLICED).collect(), key=lambda r: r.slice)
+    A task adds up the slices it is dealt as they stream in and holds one sum per slice, so any number of tasks may have parts.
+    """
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        seen: dict[int, int] = {}
+        for batch in batches:
+            for k, n, raw in zip(*(batch.column(c).to_pylist() for c in ("slice", "seen", "total"))):
+                seen[k] = seen.get(k, 0) + n
+                if k in held:
+                    held[k] += np.frombuffer(raw)
+                else:
+                    held[k] = np.frombuffer(raw).copy()
+        if held:
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(list(held), pa.int64()), "seen": pa.array(list(seen.values()), pa.int64()),
+                                              "total": pa.array([v.tobytes() for v in held.values()], pa.binary())})
+
+    rows = sorted(parts.repartition("slice").mapInArrow(add, SLICED).collect(), key=lambda r: r.slice)
     return (rows[0].seen, np.concatenate([np.frombuffer(bytes(r.total)) for r in rows])) if rows else (0, np.zeros(0))
 
 

@@ -30,7 +30,7 @@ def brute(texts, edits=2, least=25):
             elif core in seen:
                 exact += 1
             else:
-                close = any(abs(len(core) - len(o)) <= edits and distance(core, o) <= edits for o in earlier)
+                close = len(core) >= 25 and any(len(o) >= 25 and abs(len(core) - len(o)) <= edits and distance(core, o) <= edits for o in earlier)
                 seen.add(core)
                 earlier.append(core)
                 near += close
