@@ -6,13 +6,12 @@ reduced before the shuffle.  Lag-based measures go through :class:`Timeline`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempaudit.operators.curves import in_phase, with_step
 from tempaudit.operators.holds import _true, as_col, latch
-from tempaudit.operators.timeline import Timeline, following, position, prev, run_sum, seconds
-from tempaudit.session import ensure_checkpointing
+from tempaudit.operators.timeline import Timeline, _join_null_safe, following, position, prev, run_sum, seconds
 
 DAY_US = 86_400_000_000
 F135_C, F70_C, F41_C = (135 - 32) * 5 / 9, (70 - 32) * 5 / 9, 5.0  # fixed values: cooling targets
@@ -281,18 +280,13 @@ def hold_pressure(tl: Timeline, threshold, hysteresis, pressure="k", value="valu
 
 
 def value_counts(df: DataFrame, value, key=()) -> DataFrame:
-    """How often each value occurs per group (``_v``, ``_c``; ``_all`` stands for no key).
-
-    Checkpointed: the table is compact, the rows behind it may be costly (parsed logs), and
-    whatever is taken from it reads them once.
-    """
+    """How often each value occurs per group (``_v``, ``_c``; ``_all`` stands for no key)."""
     v = F.col(value) if isinstance(value, str) else value
     keyed = df.withColumn("_all", F.lit(1)) if not key else df
     key = list(key) or ["_all"]
-    ensure_checkpointing(df.sparkSession)
     # the group of missing values goes after the count, so that no filter repeats a costly value
     counts = keyed.select(*key, v.alias("_v")).groupBy(*key, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    return counts.checkpoint().filter("_v is not null")
+    return counts.filter("_v is not null")
 
 
 def order_statistic(df: DataFrame, value, index, name: str, key=()) -> DataFrame:
@@ -304,10 +298,32 @@ def order_statistic(df: DataFrame, value, index, name: str, key=()) -> DataFrame
     return nth_of_counts(value_counts(df, value, key), index, name, key)
 
 
+def value_cell(v: Column) -> Column:
+    """A whole number that never falls as the value rises: 4096 cells to each doubling of its size."""
+    x = v.cast("double")
+    size = F.floor(F.log2(F.abs(x)) * 4096) + (1 << 23)  # positive for every double
+    beyond = F.lit(1 << 40)
+    cell = F.when(x == 0, F.lit(0).cast("long")).when(F.abs(x) == float("inf"), beyond).otherwise(size)
+    return F.when(F.isnan(x), beyond + 1).when(x < 0, -cell).otherwise(cell)
+
+
 def nth_of_counts(counts: DataFrame, index, name: str, key=()) -> DataFrame:
-    line = Timeline.open(counts, list(key) or ["_all"], ["_v"])
-    ranked = line.scan(_upto=run_sum("_c")).attach(_n=F.sum("_c"))
-    return ranked.per_run(F.min(F.when(F.col("_upto") > index, F.col("_v"))).alias(name)).drop("_all")
+    """The same from value counts, as a plain plan that starts no job of its own.
+
+    Counts are summed per cell of values and the cells put in order, which tells the cell of the wanted element; only the values of
+    that cell are put in order after it.  A task orders a group's cells, whose number follows from the values' range, and then one cell.
+    """
+    group = list(key) or ["_all"]
+    placed = counts.withColumn("_cell", value_cell(F.col("_v")))
+    along, whole = Window.partitionBy(*group).orderBy("_cell"), Window.partitionBy(*group)
+    cells = placed.groupBy(*group, "_cell").agg(F.sum("_c").alias("_in")).select(
+        *group, "_cell", "_in", F.sum("_in").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"), F.sum("_in").over(whole).alias("_n"))
+    wanted = cells.withColumn("_at", index).filter((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_in") <= F.col("_at"))).select(
+        *group, "_cell", F.col("_at"), (F.col("_upto") - F.col("_in")).alias("_before"))
+    inside = _join_null_safe(placed, wanted, [*group, "_cell"], "inner")
+    line = Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    found = inside.withColumn("_upto", F.sum("_c").over(line) + F.col("_before")).filter(F.col("_upto") > F.col("_at"))
+    return found.groupBy(*group).agg(F.min("_v").alias(name)).drop("_all")
 
 
 def truth_by_counts(df: DataFrame, threshold, step_s: float, min_hold_min=400.0, value="value", pressure="k", key=("run_id",)) -> DataFrame:

@@ -84,3 +84,20 @@ def test_quota(spark):
     df = spark.createDataFrame(rows, "plan string, quota long, used long, overage_price double")
     got = [(r["allowed"], r["code"], r["remaining"], r["overage"]) for r in usage.quota_status(df).collect()]
     assert got == [(False, "FREE_TIER_EXCEEDED", 0, 0), (True, "OK", 0, 2), (False, "MONTHLY_QUOTA_EXCEEDED", 0, 2), (True, "OK", None, 0), (True, "OK", 2, 0)]
+
+
+def test_order_statistics_start_no_job_and_take_any_values(spark):
+    inf = float("inf")
+    groups = {"a": [-inf, -3.5, -3.5, -1e-9, 0.0, 2e-308, 7.0, 7.0000001, 1e300, inf], "b": [5.0] * 9, None: [1.0, 2.0, 3.0], "c": [None]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup())
+    for share in (0.0, 0.3, 0.5, 0.95):
+        plan = stats.order_statistic(df, "v", F.floor(F.col("_n") * share), "x", ["g"])
+        whole = stats.order_statistic(df, "v", F.floor(F.col("_n") * share), "x")
+        assert len(tracker.getJobIdsForGroup()) == before
+        want = {g: sorted(vs)[int(len(vs) * share)] for g, vs in groups.items() if g != "c"}
+        every = sorted(v for vs in groups.values() for v in vs if v is not None)
+        assert {r["g"]: r["x"] for r in plan.collect()} == want
+        assert [r["x"] for r in whole.collect()] == [every[int(len(every) * share)]]
+        before = len(tracker.getJobIdsForGroup())
