@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tempaudit.functions import scalars
 from tempaudit.operators import compare, curves
 from tempaudit.plans.columns import log_lines
 from tempaudit.plans.common import HYST, S, THR, expr, query, samples, sql_islands, sql_latch, table, timeline
