@@ -98,6 +98,16 @@ def op9_embedding_near_dedup(spark, sf):
     return embedding_dedup.links(table(spark, sf, "embeddings"))
 
 
+ORACLES["op9_embedding_near_dedup"] = """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+r(u, w) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, l.w FROM r JOIN l ON r.w = l.u),
+c AS (SELECT u AS vec_id, min(w) AS component_id FROM r GROUP BY u),
+n AS (SELECT u AS vec_id, count(*) AS n_links FROM l GROUP BY u)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
+
+
 def judged(docs, sf):
     """Documents by the quality classifier; a source stands for a host, its languages for the host's paths."""
     return quality_classifier.classify(docs, table(docs.sparkSession, sf, "labels"), F.col("source"), F.col("lang"))
