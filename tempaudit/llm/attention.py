@@ -23,67 +23,112 @@ def start(symbols: int, classes: int, seed: int = 29) -> dict[str, np.ndarray]:
             "f2": normal(HIDDEN, DIM, scale=0.1), "u": normal(DIM, classes, scale=0.1), "b": np.zeros(classes, np.float32)}
 
 
-def forward(p: dict, x: np.ndarray, first: int = 0) -> tuple[np.ndarray, tuple]:
-    """Class logits at the positions from ``first`` on of windows x (rows of symbols)."""
-    h0 = p["e"][x] + p["pos"]
-    q, k, v = h0[:, first:] @ (p["q"] * np.float32(DIM ** -0.5)), h0 @ p["k"], h0 @ p["v"]
-    a = q @ k.transpose(0, 2, 1)
+class Room:
+    """Arrays that batch after batch is written into; a batch of any size takes the first numbers of each."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, like: np.ndarray, *shape: int) -> np.ndarray:
+        size, have = int(np.prod(shape)), self.held.get(name)
+        if have is None or len(have) < size or have.dtype != like.dtype:
+            have = self.held[name] = np.empty(size, like.dtype)
+        return have[:size].reshape(shape)
+
+
+def projections(p: dict) -> np.ndarray:
+    """Queries (scaled), keys and values of a position by one product."""
+    return np.concatenate([p["q"] * np.asarray(DIM ** -0.5, p["q"].dtype), p["k"], p["v"]], 1)
+
+
+def forward(p: dict, x: np.ndarray, first: int = 0, room: Room | None = None) -> tuple[np.ndarray, tuple]:
+    """Class logits at the positions from ``first`` on of windows x (rows of symbols), a row per window and position.
+
+    All products but those of attention itself run over the positions of all windows at once.
+    """
+    e, room = p["e"], room or Room()
+    n, t, d = *x.shape, DIM
+    s = t - first
+    h0 = np.take(e, x, 0, out=room("h0", e, n, t, d), mode="clip")
+    h0 += p["pos"]
+    qkv = np.matmul(h0.reshape(-1, d), projections(p), out=room("qkv", e, n * t, 3 * d)).reshape(n, t, 3 * d)
+    a = np.matmul(qkv[:, first:, :d], qkv[:, :, d:2 * d].transpose(0, 2, 1), out=room("a", e, n, s, t))
     np.minimum(a, 40, out=a)
     a += _FUTURE[first:]
     np.exp(a, out=a)
-    weight = 1 / a.sum(2, keepdims=True)
-    mixed = (a @ v) * weight
-    h1 = h0[:, first:] + mixed @ p["o"]
-    g = h1 @ p["f1"]
+    share = 1 / (a.reshape(-1, t) @ np.ones(t, e.dtype))[:, None]
+    mixed = np.matmul(a, qkv[:, :, 2 * d:], out=room("mixed", e, n, s, d)).reshape(-1, d)
+    mixed *= share
+    h1 = np.matmul(mixed, p["o"], out=room("h1", e, n * s, d))
+    h1.reshape(n, s, d)[:] += h0[:, first:]
+    g = np.matmul(h1, p["f1"], out=room("g", e, n * s, HIDDEN))
     g += p["b1"]
     np.maximum(g, 0, out=g)
-    h2 = h1 + g @ p["f2"]
-    z = h2 @ p["u"]
+    h2 = np.matmul(g, p["f2"], out=room("h2", e, n * s, d))
+    h2 += h1
+    z = np.matmul(h2, p["u"], out=room("z", e, n * s, len(p["b"])))
     z += p["b"]
-    return z, (x, h0, q, k, v, a, weight, mixed, h1, g, h2)
+    np.clip(z, -60, 60, out=z)
+    return z, (h0, qkv, a, share, mixed, h1, g, h2)
 
 
-def log_probability(p: dict, x: np.ndarray, target: np.ndarray, first: int = 0) -> np.ndarray:
+def log_probability(p: dict, x: np.ndarray, target: np.ndarray, first: int = 0, room: Room | None = None) -> np.ndarray:
     """Natural log probability of the target class at each position from ``first`` on."""
-    z = forward(p, x, first)[0]
-    np.minimum(z, 60, out=z)
-    chosen = np.take_along_axis(z, target[:, first:, None], 2)[..., 0]
+    z = forward(p, x, first, room)[0]
+    wanted = target[:, first:]
+    chosen = z[np.arange(len(z)), wanted.ravel()]
     np.exp(z, out=z)
-    return chosen - np.log(z.sum(2))
+    return (chosen - np.log(z @ np.ones(z.shape[1], z.dtype))).reshape(wanted.shape)
 
 
-def gradient(p: dict, x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-    z, (x, h0, q, k, v, a, weight_, mixed, h1, g, h2) = forward(p, x)
-    a = a * weight_
-    z -= z.max(2, keepdims=True)
+def gradient(p: dict, x: np.ndarray, target: np.ndarray, weight: np.ndarray, first: int = 0, room: Room | None = None) -> dict[str, np.ndarray]:
+    """Slopes of the weighted mean loss over the positions from ``first`` on."""
+    e, room = p["e"], room or Room()
+    z, (h0, qkv, a, share, mixed, h1, g, h2) = forward(p, x, first, room)
+    n, t, d, m = *x.shape, DIM, len(z)
+    s, out = t - first, {}
+    part = (weight[:, first:] / max(weight[:, first:].sum(), 1)).ravel().astype(e.dtype)
     np.exp(z, out=z)
-    z /= z.sum(2, keepdims=True)
-    np.put_along_axis(z, target[..., None], np.take_along_axis(z, target[..., None], 2) - 1, 2)
-    z *= (weight / max(weight.sum(), 1))[..., None]
-    d, out = DIM, {}
-
-    def outer(left, right):
-        return left.reshape(-1, left.shape[-1]).T @ right.reshape(-1, right.shape[-1])
-
-    out["u"], out["b"] = outer(h2, z), z.sum((0, 1))
-    dh2 = z @ p["u"].T
-    out["f2"] = outer(g, dh2)
-    dg = (dh2 @ p["f2"].T) * (g > 0)
-    out["f1"], out["b1"] = outer(h1, dg), dg.sum((0, 1))
-    dh1 = dh2 + dg @ p["f1"].T
-    out["o"] = outer(mixed, dh1)
-    dmix = dh1 @ p["o"].T
-    da = dmix @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    dq, dk, dv = ds @ k * np.float32(d ** -0.5), ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dmix
-    out["q"], out["k"], out["v"] = outer(h0, dq), outer(h0, dk), outer(h0, dv)
-    dh0 = dh1 + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-    out["pos"] = dh0.sum(0)
-    flat, rows = dh0.reshape(-1, d), x.ravel()
-    out["e"] = np.stack([np.bincount(rows, flat[:, c], len(p["e"])) for c in range(d)], 1).astype(np.float32)
+    z *= (part / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
+    z[np.arange(m), target[:, first:].ravel()] -= part
+    each = np.ones(m, e.dtype)
+    out["u"], out["b"] = h2.T @ z, each @ z
+    dh2 = np.matmul(z, p["u"].T, out=room("dh2", e, m, d))
+    out["f2"] = g.T @ dh2
+    dg = np.matmul(dh2, p["f2"].T, out=room("dg", e, m, HIDDEN))
+    dg *= g > 0
+    out["f1"], out["b1"] = h1.T @ dg, each @ dg
+    dh1 = np.matmul(dg, p["f1"].T, out=room("dh1", e, m, d))
+    dh1 += dh2
+    out["o"] = mixed.T @ dh1
+    dm = np.matmul(dh1, p["o"].T, out=room("dm", e, m, d))
+    dm *= share
+    level = np.einsum("ij,ij->i", dm, mixed)  # a row's share-weighted mean slope, without a pass over the attention
+    dm = dm.reshape(n, s, d)
+    ds = np.matmul(dm, qkv[:, :, 2 * d:].transpose(0, 2, 1), out=room("ds", e, n, s, t))
+    ds -= level.reshape(n, s, 1)
+    ds *= a
+    dqkv = room("dqkv", e, n, t, 3 * d)
+    dqkv[:, :first, :d] = 0
+    dqkv[:, first:, :d] = ds @ qkv[:, :, d:2 * d]
+    dqkv[:, :, d:2 * d] = ds.transpose(0, 2, 1) @ qkv[:, first:, :d]
+    dqkv[:, :, 2 * d:] = a.transpose(0, 2, 1) @ dm
+    flat = dqkv.reshape(-1, 3 * d)
+    both = h0.reshape(-1, d).T @ flat
+    out["q"], out["k"], out["v"] = both[:, :d] * np.asarray(d ** -0.5, e.dtype), both[:, d:2 * d], both[:, 2 * d:]
+    dh0 = np.matmul(flat, projections(p).T, out=room("dh0", e, n * t, d))
+    dh0.reshape(n, t, d)[:, first:] += dh1.reshape(n, s, d)
+    out["pos"] = (np.ones(n, e.dtype) @ dh0.reshape(n, -1)).reshape(t, d)
+    out["e"] = row_sums(x.ravel(), dh0, len(e))
     return out
 
 
+def row_sums(to: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows that go to each of n places."""
+    d = rows.shape[1]
+    return np.bincount((to[:, None] * d + np.arange(d)).ravel(), rows.ravel(), n * d).reshape(n, d).astype(rows.dtype)
+
+
 class Adam:
     """The usual adaptive steps, one state per parameter; of a parameter with given rows, these alone take the step."""
 

@@ -30,7 +30,7 @@ COMPANY, CLUSTER_ROUNDS = 24, 15
 OWN_SYMBOLS, SHARED_SYMBOLS = 6000, 500
 #: One window in so many of the training texts trains the attention model: all of them.
 TRAIN_ONE_IN = 1
-ROUNDS, BATCH, RATE = 2, 32, 0.01
+ROUNDS, BATCH, RATE = 2, 128, 0.01
 #: Distinct words a task counts before it hands them on.
 HELD_WORDS = 400_000
 #: Key of the end token; a word cannot have it but by a hash collision.
@@ -130,13 +130,13 @@ class Tables:
 def score_stream(p: dict, tables: Tables, stream: np.ndarray, bounds: np.ndarray, end: int, step: int = 128) -> np.ndarray:
     """Natural log probability of each subword; every one is scored in one window."""
     doc, at = cut_windows(bounds)
-    out = tables.share[stream]
+    out, room = tables.share[stream], attention.Room()
     for first, rows in ((0, np.flatnonzero(at == 0)), (CONTEXT, np.flatnonzero(at > 0))):
         for i in range(0, len(rows), step):
             pick = rows[i:i + step]
             target, before = fill(stream, bounds, doc[pick], at[pick], end)
             known = target[:, first:] >= 0
-            found = attention.log_probability(p, tables.symbols[before], tables.classes[np.maximum(target, 0)], first)
+            found = attention.log_probability(p, tables.symbols[before], tables.classes[np.maximum(target, 0)], first, room)
             place = bounds[doc[pick]][:, None] + at[pick][:, None] + np.arange(first, WIDTH)
             out[place[known]] += found[known]
     return out
@@ -221,9 +221,10 @@ def count_corpus(docs: DataFrame, sub) -> DataFrame:
 def train(windows: DataFrame, tables, rounds: int) -> dict[str, np.ndarray]:
     """Parallel training: each task steps through its windows from the common weights, then all weights are averaged.
 
+    A round learns from every token of the training texts once: what a window repeats as context is only read.
     The average is taken per slice of the weights by grouped sums; the driver gets one set of weights.
     """
-    spark = windows.sparkSession
+    spark, end = windows.sparkSession, len(tables.value.symbols) - 1
     p = attention.start(OWN_SYMBOLS + SHARED_SYMBOLS, OWN_CLASSES + CLUSTERS)
     p["b"] = tables.value.bias.copy()  # training starts from the classes' frequencies in the whole corpus
     for turn in range(rounds):
@@ -231,17 +232,25 @@ def train(windows: DataFrame, tables, rounds: int) -> dict[str, np.ndarray]:
 
         def learn(batches, now=now, turn=turn):
             mine, seen = {k: v.copy() for k, v in now.value.items()}, 0
-            adam, t = attention.Adam(mine, RATE / (1 + turn)), tables.value
+            adam, t, room = attention.Adam(mine, RATE / (1 + turn)), tables.value, attention.Room()
+            place, rng = np.zeros(len(mine["e"]), np.int64), np.random.default_rng(turn)
             for batch in batches:
                 rows = unpacked(batch.column("tokens"), len(t.symbols))
-                for i in range(0, len(rows), BATCH):
-                    target = rows[i:i + BATCH, 1:]
-                    known = target >= 0
-                    before = np.concatenate([rows[i:i + BATCH, :1], np.maximum(target[:, :-1], 0)], 1)
-                    there, x = np.unique(t.symbols[before], return_inverse=True)
-                    part = mine | {"e": mine["e"][there]}  # only the symbols of the batch take a step
-                    adam.step(attention.gradient(part, x.reshape(before.shape), t.classes[np.maximum(target, 0)], known.astype(np.float32)), {"e": there})
-                    seen += int(known.sum())
+                begins = rows[:, 0] == end  # these have no context, all their tokens are learned from
+                for first, some in ((0, np.flatnonzero(begins)), (CONTEXT, np.flatnonzero(~begins))):
+                    some = rng.permutation(some)
+                    for i in range(0, len(some), BATCH):
+                        window = rows[some[i:i + BATCH]]
+                        target = window[:, 1:]
+                        known = target >= 0
+                        symbol = t.symbols[np.concatenate([window[:, :1], np.maximum(target[:, :-1], 0)], 1)]
+                        used = np.zeros(len(place), bool)
+                        used[symbol] = True
+                        there = np.flatnonzero(used)
+                        place[there] = np.arange(len(there))
+                        part = mine | {"e": mine["e"][there]}  # only the symbols of the batch take a step
+                        adam.step(attention.gradient(part, place[symbol], t.classes[np.maximum(target, 0)], known.astype(np.float32), first, room), {"e": there})
+                        seen += int(known[:, first:].sum())
             if seen:
                 yield from sliced(np.frombuffer(attention.pack(mine), np.float32) * np.float64(seen), seen)
 

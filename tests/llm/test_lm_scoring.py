@@ -137,3 +137,19 @@ def test_feed_forward_layer_and_classes():
     counts = np.arange(1000, 0, -1)
     tables = lm_scoring.Tables(counts, np.ones((1000, lm_scoring.COMPANY)), np.arange(1000) % 2 == 0)
     assert len(tables.bias) == 64 and len(set(tables.classes[:32])) == 32 and tables.classes[32:].min() == 32
+
+
+def test_context_is_read_but_not_learned_from():
+    """Slopes from a position on are those of a loss that gives the positions before it no weight; scratch arrays change nothing."""
+    rng = np.random.default_rng(1)
+    p = {k: v.astype(np.float64) for k, v in attention.start(12, 5).items()}
+    room = attention.Room()
+    for n in (4, 2, 3):
+        x, target = rng.integers(0, 12, (n, attention.WIDTH)), rng.integers(0, 5, (n, attention.WIDTH))
+        weight = rng.integers(0, 2, x.shape).astype(np.float64)
+        late = weight * (np.arange(attention.WIDTH) >= attention.CONTEXT)
+        whole, part = attention.gradient(p, x, target, late), attention.gradient(p, x, target, weight, attention.CONTEXT, room)
+        for k in p:
+            assert np.allclose(whole[k], part[k], atol=1e-12), k
+        full = attention.log_probability(p, x, target)[:, attention.CONTEXT:]
+        assert np.allclose(full, attention.log_probability(p, x, target, attention.CONTEXT, room))
