@@ -28,8 +28,6 @@ OWN_CLASSES, CLUSTERS = 32, 32
 COMPANY, CLUSTER_ROUNDS = 24, 15
 #: Subwords with an embedding of their own, and embeddings that the others share.
 OWN_SYMBOLS, SHARED_SYMBOLS = 6000, 500
-#: One window in so many of the training texts trains the attention model: all of them.
-TRAIN_ONE_IN = 1
 ROUNDS, BATCH, RATE = 2, 128, 0.01
 #: Distinct words a task counts before it hands them on.
 HELD_WORDS = 400_000
@@ -334,8 +332,7 @@ def least_frequent(words: DataFrame) -> int:
     return least
 
 
-def score(docs: DataFrame, vocabulary: str, training: Column, text: str = "text", id_column: str = "doc_id", train_one_in: int = TRAIN_ONE_IN,
-          rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, vocabulary: str, training: Column, text: str = "text", id_column: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
     """One row per input row: the id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
     Tokens are words with A-Z lower-cased, then one end.  ``training`` tells the texts that are learned from (null: yes).
@@ -345,8 +342,7 @@ def score(docs: DataFrame, vocabulary: str, training: Column, text: str = "text"
 
     Counts run over all training texts, with the words of a task pre-aggregated.  The counts of the
     ``FREQUENT`` most frequent words go to every task; the other words of a text are joined to the counts.
-    All windows of the training texts tell the company that subwords keep; one in ``train_one_in`` trains the
-    attention weights, by default every one.
+    All windows of the training texts tell the company that subwords keep and train the attention weights.
     """
     spark = docs.sparkSession
 
@@ -367,8 +363,6 @@ def score(docs: DataFrame, vocabulary: str, training: Column, text: str = "text"
     windows = counted.filter("tokens IS NOT NULL").select("tokens")
     begins = np.array([p[:1] == b" " for p in sub.value.vocab.pieces] + [True])
     tables = spark.sparkContext.broadcast(Tables(subs, company_of(windows, subs), begins))
-    if train_one_in > 1:
-        windows = windows.filter(F.pmod(F.xxhash64("tokens"), F.lit(train_one_in)) == 0)
     weights = spark.sparkContext.broadcast(train(windows, tables, rounds))
     frequent = words.filter(F.col("n") >= least_frequent(words)).select("key", "n", "word").toArrow().sort_by("key")
     raw = frequent.column("word").to_pylist()
