@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tempaudit.functions.scalars import one_of
 from tempaudit.operators.timeline import keyed_join
+from tempaudit.session import few_listing_tasks
 
 SPEC_SCHEMA = """
 version string, industry string, job struct<job_id: string>,
@@ -46,8 +47,9 @@ def canonical_industry(name: Column) -> Column:
 
 def read_specs(spark, path: str) -> DataFrame:
     """One row per specification file; malformed files keep their text for the quarantine."""
-    return spark.read.schema(SPEC_SCHEMA + ", _corrupt string").option("multiLine", True).option(
-        "columnNameOfCorruptRecord", "_corrupt").json(path)
+    reader = spark.read.schema(SPEC_SCHEMA + ", _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt")
+    with few_listing_tasks(spark):
+        return reader.json(path)
 
 
 def adapt(parameters: Column, industry: Column) -> Column:
