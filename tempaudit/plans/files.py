@@ -60,7 +60,7 @@ def a09f(spark, sf):
         F.format_string('{"job_id": "%d", "pass": %s}', k, (F.col("s_acctbal") < 4000).cast("string")))
     path = scratch_path(spark, "store")
     rows = table(spark, sf, "supplier").select(doc.alias("doc"), (k % 4).alias("shelf"), k.alias("no"))
-    rows.write.partitionBy("shelf", "no").text(path)
+    spread(rows, "no").write.partitionBy("shelf", "no").text(path)
     rows.select(F.lit("time,temp").alias("t"), "shelf").write.mode("append").option("compression", "gzip").partitionBy("shelf").text(path)  # other files
     read = scans.scan_decisions(spark, path, "part-*.txt")
     return read.select(F.col("job_id").cast("long").alias("job"), "status", "fallback_used")

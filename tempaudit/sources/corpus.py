@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempaudit.functions.scalars import status_of
+from tempaudit.session import few_listing_tasks
 
 REGISTRY_SCHEMA = ("dataset_key string, id string, industry string, csv_path string, spec_path string, expected_outcome string, "
                    "provenance map<string,string>, metadata map<string,string>")
@@ -37,8 +38,9 @@ def read_registry(spark: SparkSession, path) -> DataFrame:
 
 def scan_decisions(spark: SparkSession, root: str, name="decision.json") -> DataFrame:
     """Every file of that name (or pattern) below a root, status filled from older fields."""
-    raw = spark.read.schema(DECISION_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", name).json(root)
+    reader = spark.read.schema(DECISION_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name)
+    with few_listing_tasks(spark):
+        raw = reader.json(root)
     return with_status(raw.withColumn("path", F.col("_metadata.file_path")))
 
 

@@ -34,3 +34,9 @@ def test_listings_of_many_folders_take_few_tasks(spark):
         assert int(spark.conf.get(name)) <= 4 * spark.sparkContext.defaultParallelism
         raise ValueError
     assert spark.conf.get(name) == before
+
+
+def test_decision_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    got, paths = written(spark, tmp_path, monkeypatch, "a09f")
+    assert len(tasks(paths)) > 1
+    assert len(paths) == 39 and sorted(r["job"] for r in got) == list(range(39))
