@@ -94,7 +94,7 @@ def a12f(spark, sf):
     path = scratch_path(spark, "artifacts")
     rows = table(spark, sf, "supplier").select("s_name", F.when(k % 3 > 0, F.lower(F.lpad(F.hex(k % 4), 2, "0"))).otherwise("misc").alias("shelf"), k.alias("job"))
     for shelf in ("00", "01", "02", "03", "misc"):
-        rows.filter(F.col("shelf") == shelf).drop("shelf").coalesce(1).write.partitionBy("job").text(f"{path}/{shelf}")
+        spread(rows.filter(F.col("shelf") == shelf).drop("shelf"), "job").write.partitionBy("job").text(f"{path}/{shelf}")
     listed = scans.list_artifacts(spark, path)
     return listed.select(F.regexp_extract("path", r"/([0-9a-f]{2})/job=", 1).alias("shelf"), "job_id", "size_bytes")
 

@@ -40,3 +40,9 @@ def test_decision_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     got, paths = written(spark, tmp_path, monkeypatch, "a09f")
     assert len(tasks(paths)) > 1
     assert len(paths) == 39 and sorted(r["job"] for r in got) == list(range(39))
+
+
+def test_artifact_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    got, paths = written(spark, tmp_path, monkeypatch, "a12f")
+    assert all(len(tasks(p for p in paths if p.startswith(shelf))) > 1 for shelf in ("00/", "01/", "02/", "03/", "misc/"))
+    assert {r["job_id"]: r["size_bytes"] for r in got} == {f"job={k}": (len(f"Supplier#{k}") + 1) * (2 if k == 38 else 1) for k in range(39) if k % 3}
