@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from tempaudit.llm import secrets
 from tempaudit.llm.secrets import scan
 
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|(?a:(?i:secret|token|api_?key)))["']?\x20*[:=]\x20*["']?"""
@@ -98,3 +99,22 @@ def test_a_secret_is_read_to_its_end(docs):
     tail = "z" * 60 + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=240))
     rows = scan(docs([*plain, "x " + tail + " y"])).orderBy("doc_id").collect()
     assert rows[-1].spans == f"model:2:{2 + len(tail)}"
+
+
+def test_networks_learn_from_every_finding_and_candidate(docs):
+    rng = random.Random(4)
+    value = lambda n, letters: "".join(rng.choices(letters, k=n))
+    texts = [f"the token={value(24, 'abcXYZ019')} of {value(16, 'aeinrst')} and {value(14, 'aeinrst')} end" for _ in range(3600)]
+    found = secrets.scan_base(docs(texts), "text", "doc_id")
+    groups, n = secrets.grouped(found, 2000)
+    assert n > 1
+    held = list(secrets.unpacked(iter(groups.toArrow().to_batches())))
+    assert sum(len(f[0]) for _, f, _ in held) == 3600 and sum(len(h[0]) for _, _, halves in held for h in halves) == 7200
+    for number, theirs, halves in held[:2]:
+        parts = [secrets.lesson(number, theirs, halves, own, turn, 4) for own in (0, 1) for turn in range(4)]
+        assert sum(len(plain[0]) for _, plain in parts) == sum(len(h[0]) for h in halves)
+        assert all(len(x) >= len(theirs[0][turn % 4::4]) for turn, ((x, _), _) in enumerate(parts))
+    nets, again = secrets.train(found, group=2000), secrets.train(found.repartition(5), group=2000)
+    scores = secrets.counted_scores(groups, nets, 4, True)
+    assert sum(int(counts[kind == secrets.PLAIN].sum()) for kind, _, counts in scores) == 7200  # every candidate has a say in the threshold
+    assert abs(nets[0].threshold - again[0].threshold) < 1e-3
