@@ -254,7 +254,10 @@ LEARNED, PLAIN = -3, -2
 
 
 def grouped(found: DataFrame, group: int) -> tuple[DataFrame, int]:
-    """All different first windows of findings and candidates, a row per group, and the number of groups they were dealt to by hash."""
+    """All different first windows of findings and candidates, a row per group, and the number of groups they were dealt to by hash.
+
+    A group's number is a value of its own, not that of a shuffle partition: however many there are, it is fitted on as one group.
+    """
     spark = found.sparkSession
 
     def pieces(batches):
@@ -267,15 +270,20 @@ def grouped(found: DataFrame, group: int) -> tuple[DataFrame, int]:
             yield pa.RecordBatch.from_pydict({"piece": pa.array(sorted({r.tobytes() for x in rows for r in x}), pa.binary())})
 
     def packed(batches):
-        rows = sorted({r for batch in batches for r in batch.column(0).to_pylist()}, key=lambda r: (hashlib.blake2b(r, digest_size=8).digest(), r))
-        if rows:
+        held: dict[int, set[bytes]] = {}
+        for batch in batches:
+            for number, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.setdefault(number, set()).add(r)
+        for _, rows in sorted(held.items()):
+            rows = sorted(rows, key=lambda r: (hashlib.blake2b(r, digest_size=8).digest(), r))
             yield pa.RecordBatch.from_pydict({"rows": pa.array([b"".join(rows)], pa.binary())})
 
     every = found.select("candidates", "windows", "sizes", "found", "found_sizes").mapInArrow(pieces, "piece binary")
     count = every.agg(F.approx_count_distinct(F.xxhash64("piece"))).first()[0]
     groups = max(1, round(count / group))
     path = scratch_path(spark, "groups")
-    every.repartition(groups, "piece").mapInArrow(packed, "rows binary").write.parquet(path)
+    dealt = every.select(F.pmod(F.xxhash64("piece"), F.lit(groups)).alias("number"), "piece")
+    dealt.repartition(groups, "number").mapInArrow(packed, "rows binary").write.parquet(path)
     return spark.read.parquet(path), groups
 
 

@@ -118,3 +118,16 @@ def test_networks_learn_from_every_finding_and_candidate(docs):
     scores = secrets.counted_scores(groups, nets, 4, True)
     assert sum(int(counts[kind == secrets.PLAIN].sum()) for kind, _, counts in scores) == 7200  # every candidate has a say in the threshold
     assert abs(nets[0].threshold - again[0].threshold) < 1e-3
+
+
+def test_groups_do_not_depend_on_the_number_of_shuffle_partitions(docs, monkeypatch):
+    """Each group costs made findings and fits of its own, so more partitions must not make more groups."""
+    rng = random.Random(8)
+    value = lambda n: "".join(rng.choices("aeinrst", k=n))
+    found = secrets.scan_base(docs([f"the token={value(24)} of {value(16)} and {value(14)} end" for _ in range(600)]), "text", "doc_id")
+    few = secrets.grouped(found, 600)
+    wide = type(found).repartition
+    monkeypatch.setattr(type(found), "repartition", lambda df, n, *by: wide(df, 40, *by) if isinstance(n, int) else wide(df, n, *by))
+    many = secrets.grouped(found, 600)
+    rows = [sorted(bytes(r.rows) for r in groups.collect()) for groups, _ in (few, many)]
+    assert few[1] == many[1] == len(rows[0]) and rows[0] == rows[1]
