@@ -9,7 +9,8 @@ WIDTH = 32
 CONTEXT = 8
 DIM, HIDDEN = 16, 32
 
-_FUTURE = np.triu(np.full((WIDTH, WIDTH), -1e4, np.float32), 1)
+#: Most that a position's match with another may be: 40, and so little that nothing is left of it where the other is later.
+_MOST = np.where(np.triu(np.ones((WIDTH, WIDTH), bool), 1), np.float32(-1e4), np.float32(40))
 
 
 def start(symbols: int, classes: int, seed: int = 29) -> dict[str, np.ndarray]:
@@ -53,8 +54,7 @@ def forward(p: dict, x: np.ndarray, first: int = 0, room: Room | None = None) ->
     h0 += p["pos"]
     qkv = np.matmul(h0.reshape(-1, d), projections(p), out=room("qkv", e, n * t, 3 * d)).reshape(n, t, 3 * d)
     a = np.matmul(qkv[:, first:, :d], qkv[:, :, d:2 * d].transpose(0, 2, 1), out=room("a", e, n, s, t))
-    np.minimum(a, 40, out=a)
-    a += _FUTURE[first:]
+    np.minimum(a, _MOST[first:], out=a)
     np.exp(a, out=a)
     share = 1 / (a.reshape(-1, t) @ np.ones(t, e.dtype))[:, None]
     mixed = np.matmul(a, qkv[:, :, 2 * d:], out=room("mixed", e, n, s, d)).reshape(-1, d)
@@ -76,7 +76,7 @@ def log_probability(p: dict, x: np.ndarray, target: np.ndarray, first: int = 0,
     """Natural log probability of the target class at each position from ``first`` on."""
     z = forward(p, x, first, room)[0]
     wanted = target[:, first:]
-    chosen = z[np.arange(len(z)), wanted.ravel()]
+    chosen = z.ravel()[np.arange(0, z.size, z.shape[1]) + wanted.ravel()]
     np.exp(z, out=z)
     return (chosen - np.log(z @ np.ones(z.shape[1], z.dtype))).reshape(wanted.shape)
 
@@ -90,7 +90,7 @@ def gradient(p: dict, x: np.ndarray, target: np.ndarray, weight: np.ndarray, fir
     part = (weight[:, first:] / max(weight[:, first:].sum(), 1)).ravel().astype(e.dtype)
     np.exp(z, out=z)
     z *= (part / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
-    z[np.arange(m), target[:, first:].ravel()] -= part
+    z.ravel()[np.arange(0, z.size, z.shape[1]) + target[:, first:].ravel()] -= part
     each = np.ones(m, e.dtype)
     out["u"], out["b"] = h2.T @ z, each @ z
     dh2 = np.matmul(z, p["u"].T, out=room("dh2", e, m, d))
@@ -110,9 +110,9 @@ def gradient(p: dict, x: np.ndarray, target: np.ndarray, weight: np.ndarray, fir
     ds *= a
     dqkv = room("dqkv", e, n, t, 3 * d)
     dqkv[:, :first, :d] = 0
-    dqkv[:, first:, :d] = ds @ qkv[:, :, d:2 * d]
-    dqkv[:, :, d:2 * d] = ds.transpose(0, 2, 1) @ qkv[:, first:, :d]
-    dqkv[:, :, 2 * d:] = a.transpose(0, 2, 1) @ dm
+    np.matmul(ds, qkv[:, :, d:2 * d], out=dqkv[:, first:, :d])
+    np.matmul(ds.transpose(0, 2, 1), qkv[:, first:, :d], out=dqkv[:, :, d:2 * d])
+    np.matmul(a.transpose(0, 2, 1), dm, out=dqkv[:, :, 2 * d:])
     flat = dqkv.reshape(-1, 3 * d)
     both = h0.reshape(-1, d).T @ flat
     out["q"], out["k"], out["v"] = both[:, :d] * np.asarray(d ** -0.5, e.dtype), both[:, d:2 * d], both[:, 2 * d:]
@@ -126,25 +126,49 @@ def gradient(p: dict, x: np.ndarray, target: np.ndarray, weight: np.ndarray, fir
 def row_sums(to: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Sums of the rows that go to each of n places."""
     d = rows.shape[1]
-    return np.bincount((to[:, None] * d + np.arange(d)).ravel(), rows.ravel(), n * d).reshape(n, d).astype(rows.dtype)
+    place = np.take(np.arange(n * d).reshape(n, d), to, 0)
+    return np.bincount(place.ravel(), rows.ravel(), n * d).reshape(n, d).astype(rows.dtype)
 
 
 class Adam:
-    """The usual adaptive steps, one state per parameter; of a parameter with given rows, these alone take the step."""
+    """The usual adaptive steps; of a parameter named in ``by_rows`` the given rows alone take one.
 
-    def __init__(self, p: dict, rate: float):
-        self.p, self.rate, self.t = p, rate, 0
-        self.first, self.second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+    All other arrays of ``p`` become views of one vector, so that a step is a few operations and not a few for each of them.
+    """
+
+    def __init__(self, p: dict, rate: float, by_rows: tuple[str, ...] = ()):
+        self.rate, self.t, self.by_rows = rate, 0, by_rows
+        self.names = [k for k in p if k not in by_rows]
+        flat, at = np.concatenate([p[k].ravel() for k in self.names]), 0
+        for k in self.names:
+            size = p[k].size
+            p[k], at = flat[at:at + size].reshape(p[k].shape), at + size
+        self.states = {k: (v, np.zeros_like(v), np.zeros_like(v)) for k, v in [("", flat)] + [(k, p[k]) for k in by_rows]}
 
     def step(self, grads: dict[str, np.ndarray], rows: dict[str, np.ndarray] | None = None) -> None:
         self.t += 1
         scale = self.rate * (1 - 0.99 ** self.t) ** 0.5 / (1 - 0.9 ** self.t)
-        for k, g in grads.items():
-            at = (rows or {}).get(k, slice(None))
-            first, second = self.first[k][at], self.second[k][at]
-            first, second = first + 0.1 * (g - first), second + 0.01 * (g * g - second)
-            self.first[k][at], self.second[k][at] = first, second
-            self.p[k][at] -= (scale * first / (np.sqrt(second) + 1e-7)).astype(np.float32)
+        self._move("", slice(None), np.concatenate([grads[k].ravel() for k in self.names]), scale)
+        for k in self.by_rows:
+            self._move(k, rows[k], grads[k], scale)
+
+    def _move(self, key: str, at, g: np.ndarray, scale: float) -> None:
+        value, firsts, seconds = self.states[key]
+        first, second = firsts[at], seconds[at]
+        change = g - first
+        change *= 0.1
+        first += change
+        np.multiply(g, g, out=change)
+        change -= second
+        change *= 0.01
+        second += change
+        if not isinstance(at, slice):
+            firsts[at], seconds[at] = first, second
+        np.multiply(first, scale, out=change)
+        root = np.sqrt(second)
+        root += 1e-7
+        change /= root
+        value[at] -= change
 
 
 def pack(p: dict) -> bytes:

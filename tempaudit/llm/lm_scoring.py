@@ -152,12 +152,17 @@ def lowered(data: np.ndarray) -> np.ndarray:
 
 def packed(rows: np.ndarray, size: int) -> pa.Array:
     """Windows of ids below ``size`` (-1 beyond the text), each in as few bytes as do."""
-    raw = rows.astype(np.uint16 if size < 65535 else np.int32)
-    return pa.array([r.tobytes() for r in raw], pa.binary())
+    raw = np.ascontiguousarray(rows.astype(np.uint16 if size < 65535 else np.int32))
+    edges = np.arange(len(raw) + 1, dtype=np.int32) * np.int32(raw.itemsize * raw.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(edges), pa.py_buffer(raw)])
 
 
 def unpacked(column: pa.Array, size: int) -> np.ndarray:
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint16 if size < 65535 else np.int32).reshape(-1, WIDTH + 1).astype(np.int32)
+    kind = np.dtype(np.uint16 if size < 65535 else np.int32)
+    if not len(column):
+        return np.zeros((0, WIDTH + 1), np.int32)
+    edges = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset:column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2], np.uint8)[edges[0]:edges[-1]].view(kind).reshape(-1, WIDTH + 1).astype(np.int32)
     raw[raw >= size] = -1
     return raw
 
@@ -230,7 +235,7 @@ def train(windows: DataFrame, tables, rounds: int) -> dict[str, np.ndarray]:
 
         def learn(batches, now=now, turn=turn):
             mine, seen = {k: v.copy() for k, v in now.value.items()}, 0
-            adam, t, room = attention.Adam(mine, RATE / (1 + turn)), tables.value, attention.Room()
+            adam, t, room = attention.Adam(mine, RATE / (1 + turn), ("e",)), tables.value, attention.Room()
             place, rng = np.zeros(len(mine["e"]), np.int64), np.random.default_rng(turn)
             for batch in batches:
                 rows = unpacked(batch.column("tokens"), len(t.symbols))

@@ -157,3 +157,35 @@ def test_context_is_read_but_not_learned_from():
             assert np.allclose(whole[k], part[k], atol=1e-12), k
         full = attention.log_probability(p, x, target)[:, attention.CONTEXT:]
         assert np.allclose(full, attention.log_probability(p, x, target, attention.CONTEXT, room))
+
+
+def test_steps_over_one_vector_are_the_usual_ones():
+    """All weights but the embeddings are views of one vector; each takes the step it would take alone."""
+    rng = np.random.default_rng(3)
+    p = attention.start(9, 5)
+    plain = {k: v.astype(np.float64) for k, v in p.items()}
+    first, second = ({k: np.zeros_like(v) for k, v in plain.items()} for _ in range(2))
+    adam = attention.Adam(p, 0.01, ("e",))
+    assert p["u"].base is p["b"].base is p["pos"].base is not None
+    for t in range(1, 6):
+        there = np.sort(rng.choice(9, 4, replace=False))
+        g = {k: rng.normal(0, 1, v[there].shape if k == "e" else v.shape).astype(np.float32) for k, v in p.items()}
+        adam.step(g, {"e": there})
+        for k in p:
+            at = there if k == "e" else slice(None)
+            first[k][at] += 0.1 * (g[k] - first[k][at])
+            second[k][at] += 0.01 * (g[k].astype(np.float64) ** 2 - second[k][at])
+            plain[k][at] -= 0.01 * (1 - 0.99 ** t) ** 0.5 / (1 - 0.9 ** t) * first[k][at] / (np.sqrt(second[k][at]) + 1e-7)
+    for k in p:
+        assert np.allclose(p[k], plain[k], atol=1e-5), k
+
+
+def test_windows_are_read_back_from_any_slice():
+    rng = np.random.default_rng(4)
+    for size in (50_258, 70_000):
+        rows = rng.integers(-1, size, (7, attention.WIDTH + 1))
+        column = lm_scoring.packed(rows, size)
+        assert column.type == "binary" and column[2].as_py() == lm_scoring.packed(rows[2:3], size)[0].as_py()
+        assert np.array_equal(lm_scoring.unpacked(column, size), rows)
+        assert np.array_equal(lm_scoring.unpacked(column.slice(2, 3), size), rows[2:5])
+        assert lm_scoring.unpacked(column.slice(0, 0), size).shape == (0, attention.WIDTH + 1)
